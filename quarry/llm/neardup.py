@@ -267,8 +267,9 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "root", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "doc_id"
     )
-    texts = docs.select("doc_id", "text")
-    rows = dealt.join(texts, "doc_id").repartition("root", "i", "k").sortWithinPartitions("root", "i", "k", "doc_id")
+    # only texts of cluster members travel: their ids are broadcast while their counted number is small
+    dealt, _ = common.sized(dealt, "dealt")
+    rows = docs.select("doc_id", "text").join(dealt, "doc_id").repartition("root", "i", "k").sortWithinPartitions("root", "i", "k", "doc_id")
 
     def verify(batches):
         key, held, many = None, [], 0
