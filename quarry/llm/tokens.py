@@ -2,13 +2,14 @@
 
 The vocabulary used here never joins characters across ASCII white space, so a text's ids are the
 ids of its white-space separated words put together.  A worker therefore keeps a bounded memo from
-word to ids and asks the library only for words it has not seen, in batches.
+word to ids and asks the library only for words it has not seen.  Machines are taken to be little-endian.
 """
 
 from __future__ import annotations
 
+import re
 import struct
-import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -21,28 +22,58 @@ MEMO_WORDS = 600_000
 MEMO_WORD_BYTES = 64
 
 
+#: Words of these characters alone (no apostrophe) fall into runs of letters, single digits and runs of marks,
+#: as the vocabulary's own splitting has it; composed Latin letters need no further normalisation than lower case.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+_ONLY_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+
+
+def byte_letters() -> dict[int, str]:
+    """The usual letter for each byte of byte-level vocabularies: printable ones stand for themselves."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
 class WordEncoder:
-    """``text -> little-endian unsigned 32-bit ids`` with a bounded word memo."""
+    """``text -> little-endian unsigned 32-bit ids`` with bounded memos of words and of their parts.
+
+    Plain words go part by part to the vocabulary's model; all others to the whole encoder.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._memo: dict[bytes, bytes] = {}
+        self._model = self._tokenizer.model
+        self._letters = byte_letters()
+        self._words: dict[bytes, bytes] = {}
+        self._parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self._parts.get(part)
+        if found is None:
+            if len(self._parts) > MEMO_WORDS:
+                self._parts.clear()
+            known = part if part.isascii() else "".join([self._letters[b] for b in part.encode()])
+            found = self._parts[part] = array("I", [t.id for t in self._model.tokenize(known)]).tobytes()
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if _ONLY_PLAIN.fullmatch(text) and "<|" not in text:
+            return b"".join([self._part(p) for p in _PLAIN.findall(text.lower())])
+        return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        memo = self._words
         for text in texts:
             words = text.encode().split()
-            memo = self._memo
             if len(memo) > MEMO_WORDS:
                 memo.clear()
-            new = list(set(words).difference(memo))
             long = {}
-            for at in range(0, len(new), 4096):
-                some = new[at : at + 4096]
-                for word, enc in zip(some, self._tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                    ids = enc.ids
-                    (memo if len(word) <= MEMO_WORD_BYTES else long)[word] = struct.pack(f"<{len(ids)}I", *ids)
+            for word in set(words).difference(memo):
+                (memo if len(word) <= MEMO_WORD_BYTES else long)[word] = self._word(word)
             yield b"".join(map((memo | long).__getitem__ if long else memo.__getitem__, words))
 
 
@@ -102,10 +133,6 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int |
     return docs.select("doc_id", "text").mapInArrow(cut_up, "doc_id long, piece int, start long, length long, ids binary")
 
 
-def ids_crc32(ids: bytes) -> int:
-    return zlib.crc32(ids)
-
-
 def with_digest(rows: DataFrame) -> DataFrame:
     """Replace the id array by its crc32 (unsigned, of the little-endian bytes)."""
     return rows.withColumn("ids_crc32", F.crc32("ids")).drop("ids")
