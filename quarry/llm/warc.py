@@ -106,35 +106,45 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = 0, records_per_f
 _FIELD = re.compile(rb"([^:\r\n]+): *([^\r\n]*)")
 
 
+def inflated(data: bytes, step: int = 1_000_000):
+    """The content of a gzip file of any number of members, in parts."""
+    view, at, pending, unzip = memoryview(data), 0, b"", zlib.decompressobj(31)
+    while True:
+        if not pending:
+            if at >= len(view):
+                return
+            pending = view[at : at + step]
+            at += step
+        yield unzip.decompress(pending)
+        pending = b""
+        if unzip.eof:
+            pending, unzip = unzip.unused_data, zlib.decompressobj(31)
+
+
 def parse_archive(data: bytes):
-    """Records ``(headers, block)`` of a gzip archive, one at a time; lengths come from Content-Length alone."""
-    unzip, rest = zlib.decompressobj(31), b""
-    view, at = memoryview(data), 0
+    """Records ``(headers, block)`` of an archive, one at a time; lengths come from Content-Length alone."""
+    parts, rest, at = inflated(data), bytearray(), 0
 
     def more() -> bool:
-        nonlocal rest, at, unzip
-        if at >= len(view):
+        nonlocal rest, at
+        part = next(parts, None)
+        if part is None:
             return False
-        if unzip.eof:
-            tail = unzip.unused_data
-            unzip = zlib.decompressobj(31)
-            rest += unzip.decompress(tail)
-        part = view[at : at + 1_000_000]
-        at += len(part)
-        rest += unzip.decompress(part)
+        del rest[:at]
+        at = 0
+        rest += part
         return True
 
     while True:
-        while (end := rest.find(b"\r\n\r\n")) < 0:
+        while (end := rest.find(b"\r\n\r\n", at)) < 0:
             if not more():
                 return
-        headers = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(rest[:end])}
-        size = int(headers["content-length"])
-        while len(rest) < end + 4 + size + 4:
-            if not more():
-                break
-        yield headers, rest[end + 4 : end + 4 + size]
-        rest = rest[end + 4 + size + 4 :]
+        headers = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(bytes(rest[at:end]))}
+        begin, size = end + 4 - at, int(headers["content-length"])
+        while len(rest) < at + begin + size + 4 and more():
+            pass
+        yield headers, bytes(rest[at + begin : at + begin + size])
+        at += begin + size + 4
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
