@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import search
 from .fixtures import view
-from .registry import query
-
-COUNT = F.count(F.lit(1))
+from .registry import n_rows, query
 
 
 @query("b7_score_threshold", "select query_id, vec_id, score from hits h where score >= 0.3 or not exists (select 1 from hits x where x.query_id = h.query_id and x.score >= 0.3)")
@@ -51,7 +49,7 @@ def compressed(spark, sf_dir):
 @query("d17_sources", """
 select query_id, source, count(*) n, list_sort(list(distinct page)) pages, list_sort(list(distinct section)) sections from hits group by query_id, source""")
 def sources(spark, sf_dir):
-    return view(spark, sf_dir, "hits").groupBy("query_id", "source").agg(COUNT.alias("n"), F.sort_array(F.collect_set("page")).alias("pages"), F.sort_array(F.collect_set("section")).alias("sections"))
+    return view(spark, sf_dir, "hits").groupBy("query_id", "source").agg(n_rows().alias("n"), F.sort_array(F.collect_set("page")).alias("pages"), F.sort_array(F.collect_set("section")).alias("sections"))
 
 
 @query("d18_best_per_source", "select query_id, source, max(score) score, arg_min(vec_id, rank) vec_id from hits group by query_id, source")
@@ -77,7 +75,7 @@ s as (select query_id, case when cover >= 0.8 then 9 when cover >= 0.6 then 7 wh
 select query_id, relevance, completeness, coverage, relevance + completeness + 8 + coverage total, relevance + completeness + 8 + coverage >= 32 sufficient from s""")
 def assessment(spark, sf_dir):
     hit = F.when(F.contains("content", F.concat(F.lit("word"), F.col("query_id") % 7)), 1.0).otherwise(0.0)
-    a = view(spark, sf_dir, "hits").where("rank <= 5").groupBy("query_id").agg(COUNT.alias("n"), F.sum(F.length("content")).alias("chars"), F.countDistinct("source").alias("sources"), F.avg(hit).alias("cover"))
+    a = view(spark, sf_dir, "hits").where("rank <= 5").groupBy("query_id").agg(n_rows().alias("n"), F.sum(F.length("content")).alias("chars"), F.countDistinct("source").alias("sources"), F.avg(hit).alias("cover"))
     c, n = F.col("cover"), F.col("chars")
     rel = F.when(c >= 0.8, 9).when(c >= 0.6, 7).when(c >= 0.4, 5).when(c >= 0.2, 3).otherwise(1)
     comp = F.least(F.lit(10).cast("long"), F.least(F.lit(3).cast("long"), F.col("n")) + F.when(n >= 2000, 7).when(n >= 1000, 5).when(n >= 500, 3).otherwise(1))
@@ -141,9 +139,9 @@ _HISTORY = "m as (select *, sum(1.5 * length(content)) over (partition by sessio
 def history(spark, sf_dir):
     """Newest turns that fit the budget, in order of time, with the number left out."""
     w = Window.partitionBy("session_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, 0)
-    m = view(spark, sf_dir, "messages").withColumn("used", F.sum(1.5 * F.length("content")).over(w)).withColumn("n", COUNT.over(Window.partitionBy("session_id")))
+    m = view(spark, sf_dir, "messages").withColumn("used", F.sum(1.5 * F.length("content")).over(w)).withColumn("n", n_rows().over(Window.partitionBy("session_id")))
     rows = F.array_sort(F.collect_list(F.struct("seq", F.concat("role", F.lit(": "), "content").alias("line"))))
-    return m.where("used <= 3000").groupBy("session_id").agg((F.max("n") - COUNT).alias("omitted"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("history"))
+    return m.where("used <= 3000").groupBy("session_id").agg((F.max("n") - n_rows()).alias("omitted"), F.array_join(F.transform(rows, lambda r: r["line"]), "\n").alias("history"))
 
 
 @query("e8_last_user_message", "select session_id, seq, last_value(case when role = 'user' then content end ignore nulls) over (partition by session_id order by seq rows between unbounded preceding and 1 preceding) last_user from messages")

@@ -6,9 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph
 from .fixtures import view
-from .registry import query
-
-COUNT = F.count(F.lit(1))
+from .registry import n_rows, query
 
 
 @query("c14_edge_lookup", "select head, relation, tail from edges where head = 'N:NATION_7' or tail = 'N:NATION_7' or head = 'N:NATION_12' or tail = 'N:NATION_12'")
@@ -56,8 +54,8 @@ def relation_scan(spark, sf_dir):
 
 @query("d19_graph_statistics", "select 'entity' kind, type label, count(*) n from entities group by type union all select 'edge', relation, count(*) from edges group by relation")
 def statistics(spark, sf_dir):
-    a = view(spark, sf_dir, "entities").groupBy(F.col("type").alias("label")).agg(COUNT.alias("n")).select(F.lit("entity").alias("kind"), "label", "n")
-    b = view(spark, sf_dir, "edges").groupBy(F.col("relation").alias("label")).agg(COUNT.alias("n")).select(F.lit("edge").alias("kind"), "label", "n")
+    a = view(spark, sf_dir, "entities").groupBy(F.col("type").alias("label")).agg(n_rows().alias("n")).select(F.lit("entity").alias("kind"), "label", "n")
+    b = view(spark, sf_dir, "edges").groupBy(F.col("relation").alias("label")).agg(n_rows().alias("n")).select(F.lit("edge").alias("kind"), "label", "n")
     return a.unionByName(b)
 
 

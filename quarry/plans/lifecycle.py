@@ -10,7 +10,11 @@ from ..operators import maintain
 from .fixtures import NOW, view
 from .registry import query
 
-NOW_ = F.lit(NOW).cast("timestamp")
+
+def now():
+    return F.lit(NOW).cast("timestamp")
+
+
 _STATUS_COUNT = "select collection, coalesce(status, 'none') status, count(*) n from t group by all"
 
 
@@ -43,13 +47,13 @@ def delete_documents(spark, sf_dir):
 
 @query("a9_supersede", "with t as (select collection, case when document_id % 3 = 0 and coalesce(status, 'active') = 'active' then 'superseded' else status end status from chunks) " + _STATUS_COUNT)
 def supersede(spark, sf_dir):
-    return _by_status(maintain.supersede(view(spark, sf_dir, "chunks"), _some(spark, sf_dir), NOW_))
+    return _by_status(maintain.supersede(view(spark, sf_dir, "chunks"), _some(spark, sf_dir), now()))
 
 
 @query("a10_deprecate", "with t as (select collection, case when document_id % 3 = 0 then 'deprecated' else status end status from chunks) " + _STATUS_COUNT)
 def deprecate(spark, sf_dir):
     d = _some(spark, sf_dir).withColumn("reason", F.lit("old")).withColumn("actor", F.lit("admin"))
-    return _by_status(maintain.deprecate(view(spark, sf_dir, "chunks"), d, NOW_))
+    return _by_status(maintain.deprecate(view(spark, sf_dir, "chunks"), d, now()))
 
 
 @query("a11_restore", "with t as (select collection, case when document_id % 3 = 0 and status = 'deprecated' then 'active' else status end status from chunks) " + _STATUS_COUNT)
@@ -61,7 +65,7 @@ def restore(spark, sf_dir):
 select collection, count(*) filter (where not gone) kept, count(*) filter (where gone) removed from (select collection,
   coalesce((status = 'superseded' and created_at < timestamp '{NOW}' - interval 7 day) or (status = 'deprecated' and created_at < timestamp '{NOW}' - interval 30 day), false) gone from chunks) group by collection""")
 def retention(spark, sf_dir):
-    gone = maintain.expired(None, NOW_)
+    gone = maintain.expired(None, now())
     return view(spark, sf_dir, "chunks").groupBy("collection").agg(F.count_if(~gone).alias("kept"), F.count_if(gone).alias("removed"))
 
 

@@ -5,12 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 from .fixtures import SQL_VIEWS
 
 QUERIES: dict[str, Callable] = {}
 SQL: dict[str, str] = {}
 
 
+def n_rows() -> Column:
+    return F.count(F.lit(1))
+
+
 def oracle(body: str) -> str:
     """``body`` with the fixture views that it names, as common table expressions."""
     needed: list[str] = []

@@ -7,9 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores, text
 from .fixtures import NOW, view
-from .registry import query
-
-COUNT = F.count(F.lit(1))
+from .registry import n_rows, query
 
 
 @query("d4_feedback_statistics", """
@@ -17,12 +15,12 @@ select count(*) total, count(*) filter (where rating = 1) positive, count(*) fil
 def feedback_statistics(spark, sf_dir):
     pos = F.count_if(F.col("rating") == 1)
     return view(spark, sf_dir, "feedback").agg(
-        COUNT.alias("total"), pos.alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"), F.round(F.coalesce(F.avg("rating"), F.lit(0.0)), 2).alias("avg_rating"), F.round(F.coalesce(F.try_divide(pos * 100.0, COUNT), F.lit(0.0)), 1).alias("satisfaction"))
+        n_rows().alias("total"), pos.alias("positive"), F.count_if(F.col("rating") == -1).alias("negative"), F.round(F.coalesce(F.avg("rating"), F.lit(0.0)), 2).alias("avg_rating"), F.round(F.coalesce(F.try_divide(pos * 100.0, n_rows()), F.lit(0.0)), 1).alias("satisfaction"))
 
 
 @query("d5_frequent_queries", "select query, n, sample from (select query, count(*) n, substr(arg_max(answer, id), 1, 200) sample from feedback group by query) order by n desc, query limit 20")
 def frequent(spark, sf_dir):
-    g = view(spark, sf_dir, "feedback").groupBy("query").agg(COUNT.alias("n"), F.substring(F.max_by("answer", "id"), 1, 200).alias("sample"))
+    g = view(spark, sf_dir, "feedback").groupBy("query").agg(n_rows().alias("n"), F.substring(F.max_by("answer", "id"), 1, 200).alias("sample"))
     return g.orderBy(F.desc("n"), "query").limit(20)
 
 
@@ -34,7 +32,7 @@ def low_ratings(spark, sf_dir):
 @query("d7_low_rated_sources", "select sources, count(*) n from feedback where rating = -1 group by sources having count(*) >= 90")
 def low_sources(spark, sf_dir):
     """Per whole list, as reports count; see ``c5_blacklist`` for the exploded form."""
-    return view(spark, sf_dir, "feedback").where("rating = -1").groupBy("sources").agg(COUNT.alias("n")).where("n >= 90")
+    return view(spark, sf_dir, "feedback").where("rating = -1").groupBy("sources").agg(n_rows().alias("n")).where("n >= 90")
 
 
 @query("d8_weekly_report", """
@@ -43,28 +41,28 @@ select strftime(date_trunc('week', created_at), '%Y-%m-%d') "week", count(*) tot
 from feedback group by 1""")
 def weekly(spark, sf_dir):
     pos, neg = F.count_if(F.col("rating") == 1), F.count_if(F.col("rating") == -1)
-    sat = pos * 100.0 / COUNT
+    sat = pos * 100.0 / n_rows()
     tips = F.array_compact(F.array(F.when(sat < 70, F.lit("satisfaction")), F.when(neg > 5, F.lit("low ratings"))))
     week = F.date_format(F.date_trunc("week", "created_at"), "yyyy-MM-dd")
-    return view(spark, sf_dir, "feedback").groupBy(week.alias("week")).agg(COUNT.alias("total"), pos.alias("positive"), F.round(sat, 1).alias("satisfaction"), tips.alias("suggestions"))
+    return view(spark, sf_dir, "feedback").groupBy(week.alias("week")).agg(n_rows().alias("total"), pos.alias("positive"), F.round(sat, 1).alias("satisfaction"), tips.alias("suggestions"))
 
 
 @query("d9_bad_cases", "select kind, name, n, 'pending' status from (select 'query' kind, query \"name\", count(*) n from feedback where rating = -1 group by query union all select 'sources', sources, count(*) from feedback where rating = -1 group by sources having count(*) >= 90)")
 def bad_cases(spark, sf_dir):
     low = view(spark, sf_dir, "feedback").where("rating = -1")
-    a = low.groupBy(F.col("query").alias("name")).agg(COUNT.alias("n")).select(F.lit("query").alias("kind"), "name", "n")
-    b = low.groupBy(F.col("sources").alias("name")).agg(COUNT.alias("n")).where("n >= 90").select(F.lit("sources").alias("kind"), "name", "n")
+    a = low.groupBy(F.col("query").alias("name")).agg(n_rows().alias("n")).select(F.lit("query").alias("kind"), "name", "n")
+    b = low.groupBy(F.col("sources").alias("name")).agg(n_rows().alias("n")).where("n >= 90").select(F.lit("sources").alias("kind"), "name", "n")
     return a.unionByName(b).withColumn("status", F.lit("pending"))
 
 
 @query("d10_session_statistics", "select count(distinct session_id) sessions, count(*) messages, count(*) filter (where role = 'user') user_messages from messages")
 def session_statistics(spark, sf_dir):
-    return view(spark, sf_dir, "messages").agg(F.countDistinct("session_id").alias("sessions"), COUNT.alias("messages"), F.count_if(F.col("role") == "user").alias("user_messages"))
+    return view(spark, sf_dir, "messages").agg(F.countDistinct("session_id").alias("sessions"), n_rows().alias("messages"), F.count_if(F.col("role") == "user").alias("user_messages"))
 
 
 @query("d11_exam_bank", "select question_type, source_file, count(*) n from questions group by grouping sets ((), (question_type), (source_file))")
 def exam_bank(spark, sf_dir):
-    return view(spark, sf_dir, "questions").groupingSets([[], ["question_type"], ["source_file"]], "question_type", "source_file").agg(COUNT.alias("n"))
+    return view(spark, sf_dir, "questions").groupingSets([[], ["question_type"], ["source_file"]], "question_type", "source_file").agg(n_rows().alias("n"))
 
 
 _GRADED = """
@@ -95,7 +93,7 @@ def grade_report(spark, sf_dir):
 
 @query("m16_grading_by_type", f"with {_GRADED} select question_type, count(*) n, count(points) scored, cast(coalesce(sum(points), 0) as bigint) points from g group by question_type")
 def grading_by_type(spark, sf_dir):
-    return graded(spark, sf_dir).groupBy("question_type").agg(COUNT.alias("n"), F.count("points").alias("scored"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"))
+    return graded(spark, sf_dir).groupBy("question_type").agg(n_rows().alias("n"), F.count("points").alias("scored"), F.coalesce(F.sum("points"), F.lit(0)).cast("long").alias("points"))
 
 
 @query("c7_exam_papers", "select exam_id, count(*) n, count(q.id) found, cast(sum(coalesce(score, 0)) as bigint) total, list(question_id order by question_order, question_id) question_ids from exam_questions e left join questions q on q.id = e.question_id and q.id % 7 <> 0 group by exam_id")
@@ -103,7 +101,7 @@ def exam_papers(spark, sf_dir):
     q = view(spark, sf_dir, "questions").where("id % 7 <> 0").select("id", "score")
     e = view(spark, sf_dir, "exam_questions")
     ids = F.transform(F.array_sort(F.collect_list(F.struct("question_order", "question_id"))), lambda x: x["question_id"])
-    return e.join(q, e["question_id"] == q["id"], "left").groupBy("exam_id").agg(COUNT.alias("n"), F.count("id").alias("found"), F.sum(F.coalesce("score", F.lit(0))).cast("long").alias("total"), ids.alias("question_ids"))
+    return e.join(q, e["question_id"] == q["id"], "left").groupBy("exam_id").agg(n_rows().alias("n"), F.count("id").alias("found"), F.sum(F.coalesce("score", F.lit(0))).cast("long").alias("total"), ids.alias("question_ids"))
 
 
 @query("b8_feedback_filter", "select id, user_id, rating from feedback where rating = -1 and user_id < 20 and created_at >= timestamp '2024-01-05' order by created_at desc, id limit 30")
@@ -123,7 +121,7 @@ def recent_changes(spark, sf_dir):
 @query("b10_question_search", "select id, question_type, count(*) over () total from questions where lower(content) like '%7%' and difficulty <= 3 order by id limit 50")
 def question_search(spark, sf_dir):
     q = view(spark, sf_dir, "questions").where(F.contains(F.lower("content"), F.lit("7")) & (F.col("difficulty") <= 3))
-    total = q.agg(COUNT.alias("total"))
+    total = q.agg(n_rows().alias("total"))
     return q.orderBy("id").limit(50).join(F.broadcast(total), F.lit(True)).select("id", "question_type", "total")
 
 
@@ -159,18 +157,18 @@ def similar_faqs(spark, sf_dir):
 def category_report(spark, sf_dir):
     b = view(spark, sf_dir, "benchmark").select(F.concat(F.lit("c"), F.col("item_id") % 5).alias("category"), ((F.col("item_id") * 37) % 101).alias("score"))
     share = lambda n: F.round(F.avg(F.when(F.col("score") >= n, 1.0).otherwise(0.0)), 4)
-    return b.rollup("category").agg(COUNT.alias("n"), F.round(F.avg("score"), 2).alias("mean"), F.max("score").alias("best"), F.min("score").alias("worst"), share(80).alias("good"), share(40).alias("fair"))
+    return b.rollup("category").agg(n_rows().alias("n"), F.round(F.avg("score"), 2).alias("mean"), F.max("score").alias("best"), F.min("score").alias("worst"), share(80).alias("good"), share(40).alias("fair"))
 
 
 @query("d23_call_usage", "select query_id, count(*) calls, cast(sum(tokens) as bigint) tokens, count(*) filter (where not success) failures, count(distinct call_type) kinds, count(*) >= 2 at_limit from call_log group by query_id")
 def call_usage(spark, sf_dir):
-    return view(spark, sf_dir, "call_log").groupBy("query_id").agg(COUNT.alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("success")).alias("failures"), F.countDistinct("call_type").alias("kinds"), (COUNT >= 2).alias("at_limit"))
+    return view(spark, sf_dir, "call_log").groupBy("query_id").agg(n_rows().alias("calls"), F.sum("tokens").alias("tokens"), F.count_if(~F.col("success")).alias("failures"), F.countDistinct("call_type").alias("kinds"), (n_rows() >= 2).alias("at_limit"))
 
 
 @query("d29_iteration_summary", "select session_id, count(*) n, round(max(confidence), 6) best, round(avg(confidence), 6) mean, cast(sum(results_count) as bigint) results, arg_max(iteration, confidence * 1000000 - iteration) best_iteration from iterations group by session_id")
 def iteration_summary(spark, sf_dir):
     return view(spark, sf_dir, "iterations").groupBy("session_id").agg(
-        COUNT.alias("n"), F.round(F.max("confidence"), 6).alias("best"), F.round(F.avg("confidence"), 6).alias("mean"), F.sum("results_count").alias("results"), F.max_by("iteration", F.col("confidence") * 1000000 - F.col("iteration")).cast("long").alias("best_iteration"))
+        n_rows().alias("n"), F.round(F.max("confidence"), 6).alias("best"), F.round(F.avg("confidence"), 6).alias("mean"), F.sum("results_count").alias("results"), F.max_by("iteration", F.col("confidence") * 1000000 - F.col("iteration")).cast("long").alias("best_iteration"))
 
 
 _TREND = """
@@ -217,19 +215,19 @@ def balanced(spark, sf_dir):
 
 @query("f8_ordered_limit", "select query, n, mean from (select query, count(*) n, round(avg(rating), 6) mean from feedback group by query) order by n desc, mean desc, query limit 10")
 def ordered_limit(spark, sf_dir):
-    g = view(spark, sf_dir, "feedback").groupBy("query").agg(COUNT.alias("n"), F.round(F.avg("rating"), 6).alias("mean"))
+    g = view(spark, sf_dir, "feedback").groupBy("query").agg(n_rows().alias("n"), F.round(F.avg("rating"), 6).alias("mean"))
     return g.orderBy(F.desc("n"), F.desc("mean"), "query").limit(10)
 
 
 @query("f9_pagination", "select id, content, (select count(*) from questions) total from questions order by id limit 25 offset 50")
 def pagination(spark, sf_dir):
     q = view(spark, sf_dir, "questions")
-    return q.orderBy("id").offset(50).limit(25).join(F.broadcast(q.agg(COUNT.alias("total"))), F.lit(True)).select("id", "content", "total")
+    return q.orderBy("id").offset(50).limit(25).join(F.broadcast(q.agg(n_rows().alias("total"))), F.lit(True)).select("id", "content", "total")
 
 
 @query("h9_faq_score", "select query, round(0.4 * least(1.0, count(*) / 20.0) + 0.6 * (avg(rating) + 1) / 2, 6) score from feedback group by query")
 def faq_score(spark, sf_dir):
-    g = view(spark, sf_dir, "feedback").groupBy("query").agg(COUNT.alias("n"), F.avg("rating").alias("mean"))
+    g = view(spark, sf_dir, "feedback").groupBy("query").agg(n_rows().alias("n"), F.avg("rating").alias("mean"))
     return g.select("query", F.round(scores.faq_score(F.col("n"), F.col("mean")), 6).alias("score"))
 
 
@@ -252,19 +250,19 @@ _ISLANDS = "select user_id, ts, case when ts - lag(ts) over (partition by user_i
 def session_windows(spark, sf_dir):
     """Batch twin of the session expiry stream."""
     e = view(spark, sf_dir, "events")
-    return e.groupBy("user_id", F.session_window("ts", "24 hours")).agg(COUNT.alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
+    return e.groupBy("user_id", F.session_window("ts", "24 hours")).agg(n_rows().alias("events"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).drop("session_window")
 
 
 @query("i4_faq_suggestions", "select query, n, round(score, 6) score from (select query, count(*) n, 0.4 * least(1.0, count(*) / 20.0) + 0.6 score from feedback where rating = 1 group by query) where score > 0.5")
 def faq_suggestions(spark, sf_dir):
     """Batch twin of the suggestion stream."""
-    g = view(spark, sf_dir, "feedback").where("rating = 1").groupBy("query").agg(COUNT.alias("n"))
+    g = view(spark, sf_dir, "feedback").where("rating = 1").groupBy("query").agg(n_rows().alias("n"))
     return g.withColumn("score", F.round(scores.faq_score(F.col("n"), F.lit(1.0)), 6)).where("score > 0.5")
 
 
 @query("i6_daily_report", "select strftime(created_at, '%Y-%m-%d') as \"day\", count(*) total, count(*) filter (where rating = 1) positive from feedback group by 1")
 def daily(spark, sf_dir):
-    g = view(spark, sf_dir, "feedback").groupBy(F.window("created_at", "1 day")).agg(COUNT.alias("total"), F.count_if(F.col("rating") == 1).alias("positive"))
+    g = view(spark, sf_dir, "feedback").groupBy(F.window("created_at", "1 day")).agg(n_rows().alias("total"), F.count_if(F.col("rating") == 1).alias("positive"))
     return g.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "total", "positive")
 
 

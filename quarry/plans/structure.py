@@ -8,9 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text
 from ..operators import chunking, search
 from .fixtures import view
-from .registry import query
-
-COUNT = F.count(F.lit(1))
+from .registry import n_rows, query
 
 
 @query("l1_recursive_chunks")
@@ -25,7 +23,7 @@ def sentence_chunks(spark, sf_dir):
 
 @query("l3_paragraph_packs", "select doc_id, count(*) n, cast(sum(length(line)) as bigint) chars from doc_lines group by doc_id")
 def paragraph_packs(spark, sf_dir):
-    return view(spark, sf_dir, "doc_lines").groupBy("doc_id").agg(COUNT.alias("n"), F.sum(F.length("line")).alias("chars"))
+    return view(spark, sf_dir, "doc_lines").groupBy("doc_id").agg(n_rows().alias("n"), F.sum(F.length("line")).alias("chars"))
 
 
 @query("e18_merged_lines")
@@ -96,7 +94,7 @@ def header_row(spark, sf_dir):
 
 @query("d36_table_metadata", "select sheet, count(*) - 1 n_rows, max(len(cells)) n_columns from table_rows group by sheet")
 def table_metadata(spark, sf_dir):
-    return view(spark, sf_dir, "table_rows").groupBy("sheet").agg((COUNT - 1).alias("n_rows"), F.max(F.size("cells")).cast("long").alias("n_columns"))
+    return view(spark, sf_dir, "table_rows").groupBy("sheet").agg((n_rows() - 1).alias("n_rows"), F.max(F.size("cells")).cast("long").alias("n_columns"))
 
 
 @query("b14_image_noise", "select chunk_id from (select *, row_number() over (partition by source, hash order by chunk_id) d from images where width between 100 and 2000 and height between 100 and 2000 and greatest(width, height) <= 10 * least(width, height)) where d = 1")
@@ -136,13 +134,13 @@ def figure_references(spark, sf_dir):
 
 @query("d21_item_types", "select chunk_type, count(*) n, count(*) filter (where length(content) < 20) short from chunks group by chunk_type")
 def item_types(spark, sf_dir):
-    return view(spark, sf_dir, "chunks").groupBy("chunk_type").agg(COUNT.alias("n"), F.count_if(F.length("content") < 20).alias("short"))
+    return view(spark, sf_dir, "chunks").groupBy("chunk_type").agg(n_rows().alias("n"), F.count_if(F.length("content") < 20).alias("short"))
 
 
 @query("d22_image_statistics", "select regexp_extract(image_id, '\\.([a-z]+)$', 1) format, count(*) n, cast(sum(width * height) as bigint) pixels, round(sum(width * height) / 1048576.0, 2) megapixels from images group by 1")
 def image_statistics(spark, sf_dir):
     px = F.sum(F.col("width") * F.col("height"))
-    return view(spark, sf_dir, "images").groupBy(F.regexp_extract("image_id", r"\.([a-z]+)$", 1).alias("format")).agg(COUNT.alias("n"), px.cast("long").alias("pixels"), F.round(px / 1048576.0, 2).alias("megapixels"))
+    return view(spark, sf_dir, "images").groupBy(F.regexp_extract("image_id", r"\.([a-z]+)$", 1).alias("format")).agg(n_rows().alias("n"), px.cast("long").alias("pixels"), F.round(px / 1048576.0, 2).alias("megapixels"))
 
 
 @query("d33_rich_media", "select source, list_sort(list(distinct image_id)) images, list_sort(list(distinct page)) pages from images group by source")
