@@ -195,7 +195,7 @@ def query_types(spark, sf_dir):
     return m.select("session_id", "seq", text.query_type(F.col("content")).alias("query_type"))
 
 
-@query("h25_token_estimates", "select session_id, seq, length(content) // 2 half, 1.5 * length(content) one_and_half from messages")
+@query("h25_token_estimates", "select session_id, seq, length(content) // 2 half, 1.5::double * length(content) one_and_half from messages")
 def token_estimates(spark, sf_dir):
     return view(spark, sf_dir, "messages").select("session_id", "seq", text.token_estimate(F.col("content")).alias("half"), (F.length("content") * 1.5).alias("one_and_half"))
 

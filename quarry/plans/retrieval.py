@@ -157,7 +157,7 @@ def length_weights(spark, sf_dir):
 
 
 @query("h8_boost_and_decay", f"""
-select chunk_id, round(0.5 + case when collection = 'public_kb' then 0.1 else 0 end, 6) boosted,
+select chunk_id, round(0.5::double + case when collection = 'public_kb' then 0.1::double else 0 end, 6) boosted,
   round(0.5 - case when date_diff('day', created_at::date, date '{NOW[:10]}') / 30.0 > 6 then least(0.1, 0.01 * (date_diff('day', created_at::date, date '{NOW[:10]}') / 30.0 - 6)) else 0 end, 6) decayed from chunks""")
 def boost_and_decay(spark, sf_dir):
     s = F.lit(0.5)

@@ -170,7 +170,7 @@ def table_text(spark, sf_dir):
     return view(spark, sf_dir, "table_rows").where("row_no <= 3").select("sheet", "row_no", F.concat(F.lit("fields: "), F.array_join(text.markdown_cells(md), ", ")).alias("described"))
 
 
-@query("h31_image_scores", "select chunk_id, round(least(8, 2 * (case when contains(caption, '1') then 1 else 0 end + case when contains(caption, '2') then 1 else 0 end)) + case when width > 800 then 1.5 else 0 end, 4) score from images")
+@query("h31_image_scores", "select chunk_id, round(least(8, 2 * (case when contains(caption, '1') then 1 else 0 end + case when contains(caption, '2') then 1 else 0 end)) + case when width > 800 then 1.5 else 0 end, 4)::double score from images")
 def image_scores(spark, sf_dir):
     words = F.array(F.lit("1"), F.lit("2"))
     hit = F.size(F.filter(words, lambda w: F.contains(F.col("caption"), w)))
