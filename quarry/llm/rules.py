@@ -24,7 +24,7 @@ RATIOS = {
     "word_length": ("word_chars", 100, 50, True),
     "symbols": ("n_symbols", 1000, 30, False),
     "dup_lines": ("n_dup_lines", 1000, 20, False),
-    "repeats": ("n_repeat_words", 1000, 60, False),
+    "repeats": ("n_repeat_words", 1000, 100, False),
 }
 #: Documents that a (language, source) sketch needs; below, the language's merged sketch counts, then the one of all.
 LEAST_DOCS = 100
