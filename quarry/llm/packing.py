@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS = 96
+GROUPS = 512
 SALTS = 64
 
 
