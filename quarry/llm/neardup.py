@@ -41,7 +41,7 @@ _BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
 
 class _Words(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         h = self[word] = xxhash.xxh64_intdigest(word)
         return h

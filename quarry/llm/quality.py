@@ -47,7 +47,7 @@ _memo: dict[bytes, bytes] = {}
 
 
 def tokens(text: str) -> np.ndarray:
-    if len(_memo) > 400_000:
+    if len(_memo) > 120_000:
         _memo.clear()
     words, out, last = text.encode().split(), [], None
     for w in words:

@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words kept in a worker's memo (about 100 bytes each) before it starts afresh.
-MEMO_WORDS = 600_000
+#: Words (and parts of words) kept in a worker's memos, about 100 bytes each, before they start afresh; frequent ones soon return.
+MEMO_WORDS = 150_000
 #: Longer words (no white space in them) go to the library each time.
 MEMO_WORD_BYTES = 64
 

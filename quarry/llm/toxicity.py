@@ -80,7 +80,7 @@ class Model:
 
     def score(self, text: str) -> float:
         memo, found = self._memo, set()
-        if len(memo) > 300_000:
+        if len(memo) > 100_000:
             memo.clear()
         for word in set(text.encode().split()):
             if word not in memo:
