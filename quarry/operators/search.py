@@ -46,11 +46,19 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | No
             names = batch["vec_id"].to_numpy()
             s = np.round(own @ x.T, 6)
             parts = [np.arange(len(names))] if by is None else [np.flatnonzero(batch[by].to_numpy() == v) for v in batch[by].unique()]
-            for i, query_id in enumerate(own_ids):
-                for part in parts:
-                    part_ = part[names[part] != query_id]
-                    best = part_[np.lexsort((names[part_], -s[i, part_]))[:k]]
-                    yield pd.DataFrame({"query_id": query_id, "vec_id": names[best], "score": s[i, best] + 0.0, **{c: batch[c].to_numpy()[best] for c in keep}})
+            who, where = [], []
+            for part in parts:
+                order = part[np.argsort(names[part], kind="stable")]
+                for i, query_id in enumerate(own_ids):
+                    mine = order[names[order] != query_id]
+                    if len(mine) > 4 * k:  # no need to sort what cannot be among the best k
+                        least = np.partition(s[i, mine], -k)[-k]
+                        mine = mine[s[i, mine] >= least]
+                    best = mine[np.argsort(-s[i, mine], kind="stable")[:k]]
+                    who.append(np.full(len(best), i))
+                    where.append(best)
+            i, j = np.concatenate(who), np.concatenate(where)
+            yield pd.DataFrame({"query_id": own_ids[i], "vec_id": names[j], "score": s[i, j] + 0.0, **{c: batch[c].to_numpy()[j] for c in keep}})
 
     found = vectors.select("vec_id", "embedding", *(c for c in keep)).mapInPandas(search, schema)
     return topk(found, ["query_id", *([by] if by else [])], [F.desc("score"), F.col("vec_id")], k)
