@@ -1,7 +1,8 @@
 """Toxicity: a linear classifier with counterfactual regularisation.
 
-Features are the words of a text and the beginnings of its words, each counted once; those that
-separate the labels best are chosen by their log-odds on the labelled sample.  Every labelled text
+Features are the words of a text and the beginnings of its words; a beginning counts once for each
+distinct word that has it, up to ``CAP``.  Those that depart most from independence of the label (by
+their likelihood ratio on the labelled sample) are chosen.  Every labelled text
 that names a group is also seen with each identity term swapped for another of the same kind, and
 the loss penalises the squared change of the score, so naming a group carries no weight by itself.
 """
@@ -10,6 +11,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +40,7 @@ IDENTITY_TERMS = (
 )
 MAX_LABELLED = 20_000
 FEATURES = 1500
+CAP = 3
 #: Hash space of candidate features.
 SPACE = 1 << 22
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”…¡¿"
@@ -60,8 +63,9 @@ def text_words(text: str) -> set[str]:
     return {bare(w.decode()) for w in set(text.encode().split())} - {""}
 
 
-def text_features(words: set[str]) -> set[int]:
-    return {f for w in words for f in word_features(w)}
+def text_features(words: set[str]) -> Counter[int]:
+    """Number of distinct words behind each feature."""
+    return Counter(f for w in words for f in word_features(w))
 
 
 def swapped(words: set[str]) -> set[str] | None:
@@ -76,23 +80,27 @@ class Model:
 
     def __init__(self, weights: dict[int, float], bias: float):
         self.weights, self.bias = weights, bias
-        self._memo: dict[bytes, tuple[int, ...]] = {}
+        self._memo: dict[bytes, tuple[str, tuple[int, ...]]] = {}
 
     def score(self, text: str) -> float:
-        memo, found = self._memo, set()
+        memo, found = self._memo, Counter()
         if len(memo) > 100_000:
             memo.clear()
+        seen = set()
         for word in set(text.encode().split()):
             if word not in memo:
                 b = bare(word.decode())
-                memo[word] = tuple(f for f in word_features(b) if f in self.weights) if b else ()
-            found.update(memo[word])
-        z = self.bias + math.fsum(self.weights[f] for f in found)
+                memo[word] = b, tuple(f for f in word_features(b) if f in self.weights) if b else ()
+            b, features = memo[word]
+            if features and b not in seen:
+                seen.add(b)
+                found.update(features)
+        z = self.bias + math.fsum(self.weights[f] * min(n, CAP) for f, n in found.items())
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def choose_features(sample: DataFrame, n: int = FEATURES) -> tuple[list[int], int, int]:
-    """The ``n`` features with the largest smoothed log-odds (either sign, weighted by support), and the label counts."""
+    """The ``n`` features that speak most clearly for the label, and the label counts."""
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -101,10 +109,16 @@ def choose_features(sample: DataFrame, n: int = FEATURES) -> tuple[list[int], in
 
     totals = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     pos, neg = totals.get(1, 0), totals.get(0, 0)
+    if not pos or not neg:
+        return [], pos, neg
     counts = sample.mapInPandas(present, "f int, label int").groupBy("f").agg(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q"))
-    gap = F.log((F.col("p") + 0.5) / (pos + 1.0)) - F.log((F.col("q") + 0.5) / (neg + 1.0))
-    strength = F.abs(gap) * F.sqrt(F.least(F.col("p") + F.col("q"), F.lit(50)))
-    best = counts.where("p + q >= 3").orderBy(F.desc(F.round(strength, 9)), "f").limit(n).select("f").collect()
+    # twice the log of the likelihood ratio against a feature that says nothing about the label
+    share = pos / (pos + neg)
+    part = lambda c, expected: F.when(c > 0, c * F.log(c / expected)).otherwise(F.lit(0.0))
+    n_ = F.col("p") + F.col("q")
+    strength = part(F.col("p"), n_ * share) + part(F.col("q"), n_ * (1 - share))
+    # only what speaks for the label: in a long clean text, words that are rare in toxic ones would add up against it
+    best = counts.where((n_ >= 3) & (F.col("p") > n_ * share)).orderBy(F.desc(F.round(strength, 9)), "f").limit(n).select("f").collect()
     return [r["f"] for r in best], pos, neg
 
 
@@ -127,7 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3,
             for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
                 words = text_words(text)
                 swap = swapped(words)
-                code = lambda ws: sorted(index[f] for f in text_features(ws) if f in index)
+                code = lambda ws: sorted(index[f] for f, c in text_features(ws).items() if f in index for _ in range(min(c, CAP)))
                 out.append((doc_id, label, code(words), code(swap) if swap is not None else None))
             yield pd.DataFrame(out, columns=["doc_id", "label", "x", "swap"])
 
@@ -148,7 +162,7 @@ def train(x, y, pairs, n, penalty, l2, steps):
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1))
     d_rows, d_cols, d_sign = [], [], []
     for k, (a, s) in enumerate(pairs):
-        plus, minus = np.setdiff1d(a, s), np.setdiff1d(s, a)
+        plus, minus = (list((Counter(u.tolist()) - Counter(v.tolist())).elements()) for u, v in ((a, s), (s, a)))
         d_rows += [k] * (len(plus) + len(minus))
         d_cols += [*plus, *minus]
         d_sign += [1.0] * len(plus) + [-1.0] * len(minus)
