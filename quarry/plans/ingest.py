@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import hooks, scores, text
 from ..operators import graph, maintain, search
+from ..sources import files
 from .fixtures import view
 from .registry import n_rows, query
 from .retrieval import _BM25, bm25_of_chunks
@@ -82,6 +83,59 @@ def multi_hop(spark, sf_dir):
     return graph.subgraph(names, view(spark, sf_dir, "edges"), 2).groupBy("start").agg(n_rows().alias("n"))
 
 
+@query("m4_single_collection_search", f"""
+with {_BM25}, s as (select query_id, chunk_id, score, row_number() over (partition by query_id order by score desc, chunk_id) r from b where collection = 'public_kb'),
+t9 as (select query_id, chunk_id, round(0.5 / (60 + r) + 0.5 * score / 10, 6) score from s where r <= 20)
+select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from t9) where rank <= 10""")
+def single_collection(spark, sf_dir):
+    """One collection: its statistics are its own, so other collections are not read into the index."""
+    chunks = view(spark, sf_dir, "chunks").where("collection = 'public_kb'")
+    order = [F.desc("score"), F.col("chunk_id")]
+    top = search.topk(bm25_of_chunks(spark, sf_dir, chunks), ["query_id"], order, 20, "r")
+    mixed = top.select("query_id", "chunk_id", F.round(scores.blended(F.col("r"), F.col("score") / 10), 6).alias("score"))
+    return search.topk(mixed, ["query_id"], order, 10)
+
+
+@query("h6_type_weights", "select session_id, seq, case when content like '%the%' then 0.4 when content like '%und%' then 0.7 else 0.5 end::double vector_weight from messages where role = 'user'")
+def type_weights(spark, sf_dir):
+    kind = F.when(F.contains("content", F.lit("the")), "fact").when(F.contains("content", F.lit("und")), "process").otherwise("other")
+    return view(spark, sf_dir, "messages").where("role = 'user'").select("session_id", "seq", scores.type_weights(kind)[0].alias("vector_weight"))
+
+
+@query("h48_recommendation_scores", "select query_id, vec_id, round(0.7 * score + case when query_id % 2 = vec_id % 2 then 0.15 else 0 end, 8) score from hits")
+def recommendation_scores(spark, sf_dir):
+    tag = lambda c: F.array(F.col(c) % 2)
+    return view(spark, sf_dir, "hits").select("query_id", "vec_id", F.round(scores.recommendation_score(F.col("score"), tag("query_id"), tag("vec_id")), 8).alias("score"))
+
+
+@query("a1_folder_scan")
+def folder_scan(spark, sf_dir):
+    """The listing of the table files themselves; their content is not read."""
+    return files.scan_folder(spark, sf_dir, "*.parquet", content=False).select("name", "size")
+
+
+@query("b17_document_listing")
+def document_listing(spark, sf_dir):
+    return files.scan_folder(spark, sf_dir, "*.parquet", content=False).orderBy(F.desc("modified"), "name").select("name", "size", "modified")
+
+
+@query("i1_debounced_changes")
+def debounced(spark, sf_dir):
+    """Batch twin of the debouncing stream: an event counts if none of its user was accepted within two hours before."""
+    import pandas as pd
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        keep, last = [], None
+        for ts in pdf["ts"]:
+            ok = last is None or (ts - last).total_seconds() >= 7200
+            last = ts if ok else last
+            keep.append(ok)
+        return pdf[keep][["event_id", "user_id"]]
+
+    return view(spark, sf_dir, "events").select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(fold, "event_id long, user_id long")
+
+
 @query("j1_default_embeddings")
 def default_embeddings(spark, sf_dir):
     v = hooks.hashed_vector(F.col("text"), 16)
