@@ -182,6 +182,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = GROUPS, salts: i
     are interchangeable.  An empty table gives an empty table.
     """
     spark = pieces.sparkSession
+    pieces = pieces.drop("sequence_id", "offset")  # they are given anew
     counted = pieces.where("length > 0").groupBy("length").count().collect()  # at most `capacity` rows
     rows, _ = plan({int(r["length"]): int(r["count"]) for r in counted}, capacity, groups=groups)
     table = np.array(sorted(rows) or [(0,) * 6], np.int64)

@@ -80,6 +80,12 @@ def test_pack_is_gapless(docs, empty):
     assert packing.pack(tokens.pieces(empty, queries.vocabulary())).count() == 0
 
 
+def test_pack_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(1, 0, 5, 9, 9), (1, 0, 5, 9, 9), (2, 0, None, 9, 9)], "doc_id long, piece int, length long, sequence_id long, offset long")
+    got = packing.pack(df, 8).orderBy("doc_id", "sequence_id").collect()
+    assert [(r.sequence_id, r.offset) for r in got] == [(0, 0), (1, 0), (None, None)]
+
+
 def test_too_long_a_piece_is_an_error(spark):
     with pytest.raises(ValueError):
         packing.pack(spark.createDataFrame([(1, 0, 9)], "doc_id long, piece int, length long"), 8).count()
