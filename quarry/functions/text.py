@@ -12,11 +12,12 @@ CJK = "一-龥"
 
 def tokens(s: Column) -> Column:
     """Lower-case runs of letters and digits; runs of CJK characters become overlapping pairs."""
-    runs = F.regexp_extract_all(F.lower(s), F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
+    low = F.lower(s)
+    runs = F.regexp_extract_all(low, F.lit(rf"[{CJK}]+|[\p{{L}}\p{{N}}&&[^{CJK}]]+"), F.lit(0))
     pairs = lambda r: F.when(
         r.rlike(f"^[{CJK}]{{2,}}$"), F.transform(F.sequence(F.lit(1), F.greatest(F.length(r) - 1, F.lit(1))), lambda i: F.substring(r, i, F.lit(2)))
     ).otherwise(F.array(r))
-    return F.when(s.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, pairs))).otherwise(runs)
+    return F.when(s.rlike(f"[{CJK}]"), F.flatten(F.transform(runs, pairs))).otherwise(F.regexp_extract_all(low, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))
 
 
 def keywords(s: Column, least: int = 2) -> Column:

@@ -87,22 +87,22 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 
 
 def postings(chunks: DataFrame) -> DataFrame:
-    """``collection, term, chunk_id, tf, dl``: one row for each term of a chunk; chunks without terms have none."""
+    """``collection, term, chunk_id, tf, dl``: one row for each term of a chunk; chunks without terms have none.
+
+    The outer form of explode keeps Spark from evaluating the tokens once more to filter empty ones.
+    """
     words = chunks.select("collection", "chunk_id", text.tokens(F.col("content")).alias("ts"))
     return (
-        words.select("collection", "chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term"))
+        words.select("collection", "chunk_id", F.explode_outer("ts").alias("term"), F.size("ts").alias("dl")).where("term is not null")
         .groupBy("collection", "term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
     )
 
 
-def doc_stats(chunks: DataFrame) -> DataFrame:
-    """``collection, chunk_id, dl``."""
-    return chunks.select("collection", "chunk_id", F.size(text.tokens(F.col("content"))).alias("dl"))
-
-
-def collection_stats(stats: DataFrame) -> DataFrame:
-    """``collection, n, avgdl``: one row for each collection."""
-    return stats.groupBy("collection").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def collection_stats(chunks: DataFrame, index: DataFrame) -> DataFrame:
+    """``collection, n, avgdl``: one row for each collection; texts are not read again, lengths come from the index."""
+    n = chunks.groupBy("collection").agg(F.count(F.lit(1)).alias("n"))
+    length = index.groupBy("collection").agg(F.sum("tf").alias("tokens"))
+    return n.join(length, "collection", "left").select("collection", "n", (F.coalesce("tokens", F.lit(0)) / F.col("n")).alias("avgdl"))
 
 
 def term_stats(index: DataFrame, collections: DataFrame) -> DataFrame:

@@ -110,9 +110,17 @@ SQL_VIEWS: dict[str, str] = {
 SQL_VIEWS = {k: v.replace("{", "").replace("}", "") for k, v in SQL_VIEWS.items()}
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table of fewer splits than cores out once, so that work on its texts is parallel; larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table; ``events.ts`` as a timestamp with the session's (UTC) zone."""
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents":
+        df = spread(df)
     if name == "events":
         df = df.withColumn("ts", df["ts"].cast("timestamp"))
     return df

@@ -32,7 +32,7 @@ def terms_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_of_chunks(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
     chunks = view(spark, sf_dir, "chunks") if chunks is None else chunks
     index = search.postings(chunks)
-    collections = search.collection_stats(search.doc_stats(chunks))
+    collections = search.collection_stats(chunks, index)
     return search.bm25(terms_of_queries(spark, sf_dir), index, search.term_stats(index, collections), collections).withColumn("score", F.round("score", 6))
 
 
@@ -46,12 +46,13 @@ def flagship(spark, sf_dir):
 def term_stats(spark, sf_dir):
     chunks = view(spark, sf_dir, "chunks")
     index = search.postings(chunks)
-    return search.term_stats(index, search.collection_stats(search.doc_stats(chunks))).withColumn("idf", F.round("idf", 6))
+    return search.term_stats(index, search.collection_stats(chunks, index)).withColumn("idf", F.round("idf", 6))
 
 
 @query("a6_bm25_collection_stats", f"with {_POSTINGS} select collection, n, round(avgdl, 6) avgdl from c")
 def collection_stats(spark, sf_dir):
-    return search.collection_stats(search.doc_stats(view(spark, sf_dir, "chunks"))).withColumn("avgdl", F.round("avgdl", 6))
+    chunks = view(spark, sf_dir, "chunks")
+    return search.collection_stats(chunks, search.postings(chunks)).withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("c2_bm25_scores", f"with {_BM25} select * from b")
