@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.fixtures import spread
 from . import chat, common, mixing, neardup, packing, quality, rules, token_files, tokens, topk, toxicity, warc
 
 
@@ -16,7 +17,8 @@ def vocabulary() -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
 
 
 def op1_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
