@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words (and parts of words) kept in a worker's memos, about 100 bytes each, before they start afresh; frequent ones soon return.
-MEMO_WORDS = 150_000
+MEMO_WORDS = 250_000
 #: Longer words (no white space in them) go to the library each time.
 MEMO_WORD_BYTES = 64
 
