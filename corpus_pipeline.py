@@ -20,8 +20,8 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def neardup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (its smallest id); a row without an id stays."""
-    return neardup.deduplicated(docs)
+    """One document of each group linked by similarities of 0.8 or more (its smallest id); a row without an id stays."""
+    return neardup.deduplicated(docs, percent=80)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Texts with equal word sequences form a class; only its smallest document goes on.
-2. Minwise signatures are cut into ``BANDS`` bands of ``ROWS`` values.  Documents that share a band are
+2. Minwise signatures are cut into bands whose number and rows follow the wanted similarity (``shape``).  Documents that share a band are
    candidates: each band value links its documents to the smallest, and the connected components of these
    links (clusters) contain every candidate pair.  No pairs are listed, so a cluster of n documents costs n rows.
 3. Inside a cluster, the signature of one document at a time is compared with all others in batches of
@@ -11,7 +11,7 @@
    component of a cluster are explored.  Clusters of more than ``BLOCK_SHINGLES`` are cut into blocks, and every
    two blocks meet in a task of their own.
 
-A pair of similarity 0.85 shares no band with probability (1 - 0.85**5) ** 25 < 5e-7.
+A pair of similarity 0.85 shares no band with probability (1 - 0.85**5) ** 25 < 5e-7, one of 0.80 (32 bands of 4) with probability (1 - 0.8**4) ** 32 < 5e-8.
 """
 
 from __future__ import annotations
@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 
 from . import common
 
-BANDS, ROWS, HASHES = 25, 5, 128
+HASHES = 128
+#: Probability with which a pair of exactly the wanted similarity may share no band.
+UNBANDED = 1e-6
 BATCH = 32
 #: Posterior probability below which a candidate is dropped.
 MISS = 1e-6
@@ -36,7 +38,7 @@ _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(0, 1 << 63, HASHES, np.uint64)
-_BAND = _rng.integers(1, 1 << 63, (BANDS, ROWS), np.uint64) | np.uint64(1)
+_BAND = _rng.integers(1, 1 << 63, HASHES, np.uint64) | np.uint64(1)
 
 
 class _Words(dict):
@@ -75,16 +77,24 @@ def signature(s: np.ndarray) -> np.ndarray:
     return _mix(best)
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    rows = sig[: BANDS * ROWS].reshape(BANDS, ROWS)
-    return _mix((rows * _BAND).sum(1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
+@lru_cache(maxsize=8)
+def shape(percent: int) -> tuple[int, int]:
+    """``bands, rows``: the longest bands with which a pair of that similarity is missed with less than ``UNBANDED``."""
+    rows = max((r for r in range(1, HASHES + 1) if (1 - (percent / 100) ** r) ** (HASHES // r) < UNBANDED), default=1)
+    return HASHES // rows, rows
+
+
+def bands(sig: np.ndarray, percent: int = 85) -> np.ndarray:
+    n, rows = shape(percent)
+    values = (sig[: n * rows] * _BAND[: n * rows]).reshape(n, rows)
+    return _mix(values.sum(1, dtype=np.uint64) + np.arange(n, dtype=np.uint64)).view(np.int64)
 
 
 def normal(text: str) -> list[bytes]:
     return text.encode().lower().split()
 
 
-def profiles(docs: DataFrame) -> DataFrame:
+def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, digest, bands``: digest of the word sequence (null: no words) and band values."""
 
     def profile(batches):
@@ -96,7 +106,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                     rows.append((doc_id, 0, None, None))
                     continue
                 s = shingles(words)
-                rows.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), bands(signature(s)).tolist()))
+                rows.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), bands(signature(s), percent).tolist()))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "bands"])
@@ -246,7 +256,7 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     sets and are linked with nothing.  Rows that repeat a ``doc_id`` each get a row; a null ``doc_id`` takes
     the component of its equal texts, and null where it has none.  Empty tables give an empty table.
     """
-    known = common.cut(profiles(docs), "profiles")
+    known = common.cut(profiles(docs, percent), "profiles")
     classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = common.cut(classes, "classes")
     reps = (

@@ -55,6 +55,20 @@ def test_blocks_give_the_same_components(spark, monkeypatch):
     assert got == brute_components(rows)
 
 
+def test_pipeline_links_from_similarity_080(spark):
+    rows = [r for seed in range(5, 9) for r in [(seed * 1000 + i, f"seed{seed} " + t) for i, t in family(12, seed)]]
+    rows = [(i, " ".join(w + t.split()[0] for w in t.split())) for i, t in rows]
+    want, strict = ({i for i, (_, root) in brute_components(rows, p).items() if root == i} for p in (80, 85))
+    got = corpus_pipeline.neardup_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert want != strict and sorted(r.doc_id for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_bands_miss_few_pairs(percent):
+    n, rows = neardup.shape(percent)
+    assert n * rows <= neardup.HASHES and (1 - (percent / 100) ** rows) ** n < 1e-6
+
+
 def test_neardup_on_odd_documents(docs, empty):
     got = neardup.components(docs).collect()
     assert len(got) == docs.count()
