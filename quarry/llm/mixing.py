@@ -2,7 +2,9 @@
 
 Word counts per source give capped targets; equal blocks of words are allocated to sources by the
 highest quotients ``target / (2k + 1)``; each source's whole-number quota becomes a number of full
-passes over its documents and one partial pass, taken in a seeded order of the documents.
+passes over its documents and one partial pass.  Documents that hold more than a small share of the
+quota are decided first, longest first; the partial pass then takes the others in a seeded order until
+the words still wanted are reached.  Output shards follow the quotas of blocks per source and shard.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ MAX_SOURCES = 200_000
 BLOCKS = 1 << 20
 #: Hash bins that order a source's documents.
 BINS = 1 << 16
-#: Up to so many documents, a source's partial pass is fitted over all of them.
+#: A document of more than this part of its source's quota is long and decided apart; a source has fewer than ``BINS`` of them.
 SMALL_SOURCE = 4096
 
 
@@ -68,7 +70,7 @@ def sainte_lague(target: list[float], seats: int) -> list[int]:
 
 
 def plan(sources: list[tuple[str | None, int]], weights=WEIGHTS, cap: float = 3.0, shards: int = 16) -> list[tuple]:
-    """``(source, source_size, target, quota words, passes, rest words, quota blocks per shard)``; sources by code point, null last."""
+    """``(source, source_size, target, quota words, passes, rest words, quota words per shard)``; sources by code point, null last."""
     sources = sorted(sources, key=lambda s: (s[0] is None, s[0] or ""))
     sizes = [int(n) for _, n in sources]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
@@ -80,85 +82,117 @@ def plan(sources: list[tuple[str | None, int]], weights=WEIGHTS, cap: float = 3.
         words = min(cap * size, blocks * total / seats) if seats else 0.0
         passes = min(int(words // size), int(cap)) if size else 0
         rest = max(0.0, words - passes * size) if passes < cap else 0.0
-        quotas = [blocks * (h + 1) // shards - blocks * h // shards for h in range(shards)]
+        scale = words / blocks if blocks else 0.0
+        quotas = [scale * (blocks * (h + 1) // shards - blocks * h // shards) for h in range(shards)]
         out.append((name, size, float(t), float(words), passes, float(rest), quotas))
     return out
 
 
+def choose(sizes: list[int], share: float) -> list[int]:
+    """1 for each of the descending sizes that is taken: whenever the words due so far exceed the words taken by half of it."""
+    due = taken = 0.0
+    more = []
+    for n in sizes:
+        due += share * n
+        take = due - taken >= n / 2 and n > 0
+        taken += n * take
+        more.append(int(take))
+    return more
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, cap: float = 3.0, seed: int = 7, shards: int = 16) -> DataFrame:
     """Add ``size, source_size, target, times, taken, shard`` to every row.
 
     ``times`` says how often the mix takes the document (0 to ``cap``), ``taken`` is ``times * size``
-    words, ``shard`` the output shard.  Null text: size 0, never taken.  A null source is a source of its
-    own, last in order.  The order inside a source follows a seeded hash of ``doc_id`` (then the text's
-    hash), so reruns and other partitionings agree; equal rows may trade places.  Empty tables stay empty.
-
-    Nothing is shuffled but counts for each (source, bin), and the documents of the one bin per source in
-    which the partial pass ends (all documents of a source of at most ``SMALL_SOURCE``).
+    words, ``shard`` the output shard (null for documents not taken).  Null text: size 0, never taken.  A
+    null source is a source of its own, last in order.  The order inside a source follows a seeded hash of
+    ``doc_id`` (then the text's hash), so reruns and other partitionings agree; equal rows are taken
+    together.  Empty tables stay empty.
+
+    Nothing is shuffled but counts for each (source, bin), the long documents (without their texts), and
+    the documents of the one bin per source in which the partial pass ends.  Long documents go to the shard
+    that lacks most words, the others by the running sum of their bin over what the shards still lack.
     """
     spark = docs.sparkSession
     names = [c for c in docs.columns if c not in ("size", "source_size", "target", "times", "taken", "shard")]
     size = F.coalesce(F.regexp_count("text", F.lit(common.WORD)), F.lit(0)).cast("long")
     key = F.xxhash64(F.lit(seed), F.col("doc_id"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")))
     sized = docs.select(*names, size.alias("size"), key.alias("_key"), F.pmod(key, F.lit(BINS)).cast("int").alias("_bin"))
-    counts = common.cut(sized.groupBy("source", "_bin").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")), "mix-bins")
-    per_source = counts.groupBy("source").agg(F.sum("words").alias("words"), F.sum("docs").alias("docs")).limit(MAX_SOURCES + 1).collect()
+    narrow = common.cut(sized.select("source", "doc_id", "size", "_key", "_bin"), "mix-sizes")
+    per_source = narrow.groupBy("source").agg(F.sum("size").alias("words")).limit(MAX_SOURCES + 1).collect()
     if len(per_source) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
-    n_docs = {r["source"]: r["docs"] for r in per_source}
     planned = plan([(r["source"], r["words"]) for r in per_source], weights, cap, shards)
+    own = F.col("source").eqNullSafe(F.col("_source"))
+
+    # long documents: decided and dealt to shards first
+    head = [(s, n, t, passes, rest, max(n / BINS, min(n, words) / SMALL_SOURCE), quotas) for s, n, t, words, passes, rest, quotas in planned]
+    head = F.broadcast(spark.createDataFrame(head, "_source string, source_size long, target double, _passes int, _rest double, _long double, _quotas array<double>"))
+    dealt = narrow.join(head, own)
 
-    # the bin in which each source's partial pass ends
-    head = spark.createDataFrame([(s, float(rest), n_docs[s] <= SMALL_SOURCE) for s, _, _, _, _, rest, _ in planned], "_source string, rest double, whole boolean")
+    def deal(pdf):
+        pdf = pdf.sort_values(["size", "_key", "doc_id"], ascending=[False, True, True], kind="stable")
+        lacking, passes = np.array(pdf["_quotas"].iloc[0], float), int(pdf["_passes"].iloc[0])
+        pdf["_more"] = choose(pdf["size"].tolist(), pdf["_rest"].iloc[0] / max(pdf["source_size"].iloc[0], 1))
+        shard = []
+        for n in (pdf["size"] * (pdf["_more"] + passes)).tolist():
+            shard.append(int(lacking.argmax()))
+            lacking[shard[-1]] -= n
+        pdf["_shard"] = shard
+        return pdf[["source", "doc_id", "_key", "size", "_more", "_shard"]]
+
+    long = (
+        dealt.where("size > _long").groupBy("source", "doc_id", "_key", "source_size", "_rest", "_passes", "_quotas").agg(F.sum("size").alias("size"))
+        .groupBy("source").applyInPandas(deal, "source string, doc_id long, _key long, size long, _more int, _shard int")
+    )
+    long = common.cut(long, "mix-long")
+    held = {(r["source"], r["_shard"]): (r["more"], r["all"]) for r in long.groupBy("source", "_shard").agg(F.sum(F.col("size") * F.col("_more")).alias("more"), F.sum("size").alias("all")).collect()}
+
+    # the bin in which each source's partial pass ends, and the bins at which its shards begin
+    rest = []
+    for s, _, _, _, passes, wanted, quotas in planned:
+        mine = [held.get((s, h), (0, 0)) for h in range(shards)]
+        lacking = [max(0.0, q - passes * a - m) for q, (m, a) in zip(quotas, mine, strict=True)]
+        rest.append((s, float(max(0.0, wanted - sum(m for m, _ in mine))), np.cumsum(lacking).tolist(), passes))
+    rest = F.broadcast(spark.createDataFrame(rest, "_source string, rest double, lacking array<double>, passes int"))
+    counts = dealt.where("size <= _long").groupBy("source", "_bin").agg(F.sum("size").alias("words"))
+    everything = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     run = Window.partitionBy("source").orderBy("_bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    at = counts.withColumn("upto", F.sum("words").over(run)).join(F.broadcast(head), F.col("source").eqNullSafe(F.col("_source"))).select("source", "_bin", "words", "upto", "rest", "whole")
-    ends = {
-        r["source"]: (r["end"].asDict() if r["end"] else None)
-        for r in at.where("not whole and rest > 0 and upto >= rest").groupBy("source").agg(F.min(F.struct("_bin", (F.col("upto") - F.col("words")).alias("before"), "words")).alias("end")).collect()
-    }
-    rows = []
-    for s, words, target, _, passes, rest, _ in planned:
-        end = ends.get(s)
-        if n_docs[s] <= SMALL_SOURCE:
-            rows.append((s, words, target, passes, -1, float(rest), float(words), True))
-        elif rest <= 0 or not end:
-            rows.append((s, words, target, passes, 0 if rest <= 0 else BINS, 0.0, 0.0, False))
-        else:
-            rows.append((s, words, target, passes, end["_bin"], float(rest - end["before"]), float(end["words"]), False))
-    schema = "_source string, source_size long, target double, _passes int, _end int, _rest double, _pool double, _whole boolean"
-    table = spark.createDataFrame(rows, schema)
-    joined = sized.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")))
-    in_end = F.col("_whole") | ((F.col("_bin") == F.col("_end")) & (F.col("_rest") > 0))
+    at = counts.withColumn("upto", F.sum("words").over(run)).withColumn("pool", F.sum("words").over(everything)).join(rest, own)
+    reached = lambda words: F.col("passes") * words + F.least(words, F.col("rest"))  # noqa: E731  words taken when so many were passed
+    goal = F.element_at("lacking", -1)
+    place = reached(F.col("upto") - F.col("words") / 2) * goal / F.greatest(reached(F.col("pool")), F.lit(1.0))
+    at = at.withColumn("shard", F.least(F.size(F.filter("lacking", lambda x: x <= place)), F.lit(shards - 1)))
+    ends = at.groupBy("source", "shard").agg(
+        F.min("_bin").alias("first"), F.min(F.when((F.col("rest") > 0) & (F.col("upto") >= F.col("rest")), F.struct("_bin", (F.col("rest") - F.col("upto") + F.col("words")).alias("part"), "words"))).alias("end")
+    )
+    ends = common.cut(ends.groupBy("source").agg(F.min("end").alias("_end"), F.sort_array(F.collect_list(F.struct("first", "shard"))).alias("_begins")), "mix-ends")
+    ends = rest.join(ends, own, "left").select("_source", "_end", "_begins", (F.col("rest") > 0).alias("_some"))
+    table = head.drop("_rest", "_quotas").withColumnRenamed("_source", "_s").join(F.broadcast(ends), F.col("_s").eqNullSafe(F.col("_source"))).drop("_s")
+    table = F.broadcast(common.cut(table.coalesce(1), "mix-plan"))
 
-    # Inside the end bin: long documents first, one is taken whenever the words due so far exceed the words taken.
+    # inside the end bin the words taken come within a document of the part that is still wanted
     def fit(pdf):
         pdf = pdf.sort_values(["size", "_key", "doc_id"], ascending=[False, True, True], kind="stable")
-        share = pdf["_rest"].iloc[0] / max(pdf["_pool"].iloc[0], 1.0)
-        due = taken = 0.0
-        more = []
-        for n in pdf["size"].to_numpy():
-            due += share * n
-            take = due - taken >= n / 2 and n > 0
-            taken += n * take
-            more.append(int(take))
-        pdf["_more"] = more
+        pdf["_more"] = choose(pdf["size"].tolist(), pdf["part"].iloc[0] / max(pdf["words"].iloc[0], 1))
         return pdf[["source", "doc_id", "_key", "_more"]]
 
-    picked = (
-        joined.where(in_end).select("source", "doc_id", "_key", "size", "_rest", "_pool")
+    last = (
+        narrow.join(table, own).where("size <= _long and _bin = _end._bin").groupBy("source", "doc_id", "_key", F.col("_end.part").alias("part"), F.col("_end.words").alias("words")).agg(F.sum("size").alias("size"))
         .groupBy("source").applyInPandas(fit, "source string, doc_id long, _key long, _more int")
-        .groupBy("source", "doc_id", "_key").agg(F.max("_more").alias("_more"))
-        .where("_more > 0")
-        .select(F.col("_key").alias("_k"), F.col("doc_id").alias("_d"), "_more")
     )
-    picked, _ = common.sized(picked, "mix-ends")
-    early = (~F.col("_whole")) & (F.col("_bin") < F.col("_end"))
+    picked = long.select("source", "doc_id", "_key", "_more", "_shard").unionByName(last.where("_more > 0").withColumn("_shard", F.lit(None).cast("int")))
+    picked, _ = common.sized(picked.select(F.col("source").alias("_of"), F.col("_key").alias("_k"), F.col("doc_id").alias("_d"), "_more", "_shard"), "mix-picked")
+    joined = sized.join(table, own)
+    apart = (F.col("size") > F.col("_long")) | F.coalesce(F.col("_bin") == F.col("_end._bin"), F.lit(False))
+    # before the end bin, or anywhere where the pass ends in none, every short document is taken once more
+    early = (F.col("size") <= F.col("_long")) & F.col("_some") & F.coalesce(F.col("_bin") < F.col("_end._bin"), F.lit(True))
     times = F.col("_passes") + F.when(early, 1).otherwise(F.coalesce("_more", F.lit(0)))
-    shard = F.pmod(F.shiftright("_key", 16), F.lit(shards)).cast("int")
+    shard = F.coalesce("_shard", F.element_at(F.filter("_begins", lambda b: b["first"] <= F.col("_bin")), -1)["shard"])
     return (
-        joined.join(picked, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & in_end, "left")
+        joined.join(picked, (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_of")) & apart, "left")
         .withColumn("times", F.when(F.col("size") > 0, F.least(times, F.lit(int(cap)))).otherwise(F.lit(0)).cast("int"))
-        .select(*names, "size", "source_size", "target", "times", (F.col("times").cast("long") * F.col("size")).alias("taken"), shard.alias("shard"))
+        .select(*names, "size", "source_size", "target", "times", (F.col("times").cast("long") * F.col("size")).alias("taken"), F.when(F.col("times") > 0, shard).alias("shard"))
     )
 
 

@@ -154,3 +154,15 @@ def test_large_sources_end_in_one_bin(spark, monkeypatch):
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 50 as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
     rows = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in rows)
+
+
+def test_words_per_shard_follow_the_quotas(spark):
+    docs = spark.range(6003).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(if(id < 3, 9000, 1 + id % 50) as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
+    rows = mixing.mix(docs).groupBy("source", "shard").agg(F.sum("taken").alias("taken"), F.max("source_size").alias("size")).where("shard is not null").collect()
+    quotas = {p[0]: p[6] for p in mixing.plan(list({(r.source, r["size"]) for r in rows}))}
+    got = {(r.source, r.shard): r.taken for r in rows}
+    for s, quota in quotas.items():
+        # a copied long document may fill more than one quota; the other shards share what is left of them
+        free = [h for h in range(16) if got[s, h] < 9000]
+        share = (sum(quota) - sum(got[s, h] for h in range(16) if h not in free)) / len(free)
+        assert sum(quota) > 0 and all(abs(got[s, h] - share) <= 0.02 * share + 100 for h in free)
