@@ -18,8 +18,8 @@ from . import common
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Sources that the driver may plan for (three numbers each); more raise an error.
 MAX_SOURCES = 200_000
-#: Blocks shared out; a source's quota is exact to half a block.
-BLOCKS = 1 << 20
+#: Least number of blocks shared out, and the least number for the smallest target; a source's quota is exact to half a block.
+BLOCKS, LEAST_BLOCKS = 1 << 20, 1 << 12
 #: Hash bins that order a source's documents.
 BINS = 1 << 16
 #: A document of more than this part of its source's quota is long and decided apart; a source has fewer than ``BINS`` of them.
@@ -75,7 +75,8 @@ def plan(sources: list[tuple[str | None, int]], weights=WEIGHTS, cap: float = 3.
     sizes = [int(n) for _, n in sources]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], cap)
     total = sum(sizes)
-    seats = min(BLOCKS, total)
+    least = min((t for t in target if t > 0), default=0.0)
+    seats = min(total, max(BLOCKS, int(LEAST_BLOCKS * total / least))) if least else 0
     got = sainte_lague(target, seats)
     out = []
     for (name, size), t, blocks in zip(sources, target, got, strict=True):

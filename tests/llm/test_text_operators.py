@@ -166,3 +166,19 @@ def test_words_per_shard_follow_the_quotas(spark):
         free = [h for h in range(16) if got[s, h] < 9000]
         share = (sum(quota) - sum(got[s, h] for h in range(16) if h not in free)) / len(free)
         assert sum(quota) > 0 and all(abs(got[s, h] - share) <= 0.02 * share + 100 for h in free)
+
+
+@pytest.mark.parametrize("n", [50, 5000])
+def test_a_very_long_document_does_not_move_the_mix(spark, n):
+    # the first document of each source holds a third of its words
+    docs = spark.range(3 * n).select(
+        F.col("id").alias("doc_id"), F.expr(f"repeat('w ', cast(if(id < 3, {n} * 5, 1 + (id div 3) % 19) as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 3).alias("source")
+    )
+    for seed in range(3):
+        rows = mixing.mix(docs, weights=(5.0, 2.5, 1.7), seed=seed).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+        assert all(abs(r.taken - r.target) <= 0.001 * r.target + 5 for r in rows)
+
+
+def test_blocks_follow_the_smallest_target():
+    plan = mixing.plan([("large", 10**10), ("small", 3000)], weights=(1.0, 1.0))
+    assert plan[1][3] == pytest.approx(plan[1][2], rel=0.001)
