@@ -6,6 +6,7 @@ Parquet tables have no row-level merge, so each operator returns the new content
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,3 +84,28 @@ def next_version(versions: DataFrame) -> DataFrame:
 def stale(derived: DataFrame, sources: DataFrame, key: str, digest: str) -> DataFrame:
     """Sources whose derived row is missing or was made from other content."""
     return sources.join(derived.select(key, digest), [key, digest], "left_anti")
+
+
+def spaced(events: DataFrame, apart: int) -> DataFrame:
+    """``event_id, user_id, first`` of rows ``event_id, user_id, t``: first if no first event of the user lies less than ``apart`` before.
+
+    Events of a user pass in the order of ``t`` (null last) and ``event_id`` through one task, which holds one batch and
+    the time of the user's last first event, however many events the user has.
+    """
+
+    def pass_on(batches):
+        user, last, begun = None, None, False
+        for batch in batches:
+            first = []
+            for who, t in zip(batch.column("user_id").to_pylist(), batch.column("t").to_pylist(), strict=True):
+                if not begun or who != user:
+                    begun, user, new = True, who, True
+                else:
+                    new = last is not None and t is not None and t - last >= apart
+                last = t if new else last
+                first.append(new)
+            yield pa.RecordBatch.from_arrays([batch.column("event_id"), batch.column("user_id"), pa.array(first, pa.bool_())], names=["event_id", "user_id", "first"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in events.schema}
+    ordered = events.select("event_id", "user_id", "t").repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("t"), "event_id")
+    return ordered.mapInArrow(pass_on, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, first boolean")

@@ -7,7 +7,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import answers, scores, text
-from ..operators import search
+from ..operators import maintain, search
 from .fixtures import NOW, view
 from .registry import n_rows, query
 from .retrieval import bm25_of_chunks
@@ -296,18 +296,6 @@ def approvals(spark, sf_dir):
 
 @query("i7_distinct_within_ttl")
 def distinct_within_ttl(spark, sf_dir):
-    """Batch twin: a key's first event counts, later ones within the hour of it are hits; a fold over each key's times."""
-    import numpy as np
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        t = pdf["ts"].astype("int64").to_numpy() // 1_000_000_000 if str(pdf["ts"].dtype).endswith("[ns]") else pdf["ts"].astype("int64").to_numpy() // 1_000_000
-        hit, start = np.zeros(len(t), bool), None
-        for i, x in enumerate(t):
-            if start is not None and x - start <= 3600:
-                hit[i] = True
-            else:
-                start = x
-        return pd.DataFrame({"event_id": pdf["event_id"].to_numpy(), "hit": hit})
-
-    return view(spark, sf_dir, "events").select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(fold, "event_id long, hit boolean")
+    """Batch twin: a key's first event counts, later ones within the hour of it are hits; times count in whole seconds."""
+    events = view(spark, sf_dir, "events").select("event_id", "user_id", F.unix_seconds("ts").alias("t"))
+    return maintain.spaced(events, 3601).select("event_id", (~F.col("first")).alias("hit"))

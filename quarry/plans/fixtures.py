@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: The reference time of every age rule.
 NOW = "2024-02-01 00:00:00"
@@ -77,7 +78,6 @@ _SPARK: dict[str, str] = {
     "questions": _QUESTIONS,
     "answers": "select l_orderkey exam_id, l_suppkey student_id, l_partkey question_id, cast(l_linenumber as string) student_answer from {lineitem}",
     "images": _IMAGES.replace("{div}", "div").replace("{text}", "string"),
-    "table_rows": _TABLE_ROWS.replace("{cells_s}", "array(cast(s_suppkey as string), s_name, cast(s_acctbal as string))").replace("{cells_c}", "array(cast(c_custkey as string), c_name, c_mktsegment)"),
     "vectors": "select vec_id, cast(embedding as array<double>) embedding, label from {embeddings}",
 }
 
@@ -126,6 +126,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df
 
 
+#: Keys that are numbered in one task.
+KEY_RANGE = 100_000
+
+
+def numbered(df: DataFrame, key: str) -> DataFrame:
+    """Add ``row_no``, the place of a row in the order of a whole-number key: its place in its range of keys after the counts of those before."""
+    ranged = df.withColumn("_range", F.floor(F.col(key) / KEY_RANGE))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n")).select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = ranged.join(counts, F.col("_range").eqNullSafe(F.col("_of")))
+    return placed.withColumn("row_no", (F.col("_before") + F.row_number().over(Window.partitionBy("_range").orderBy(key))).cast("int")).select(*df.columns, "row_no")
+
+
+def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sheet, row_no, cells``: suppliers and customers as rows of two sheets."""
+    sheets = []
+    for sheet, key, cells in (("supplier", "s_suppkey", ("s_suppkey", "s_name", "s_acctbal")), ("customer", "c_custkey", ("c_custkey", "c_name", "c_mktsegment"))):
+        rows = numbered(table(spark, sf_dir, sheet), key)
+        sheets.append(rows.select(F.lit(sheet).alias("sheet"), "row_no", F.array(*(F.col(c).cast("string") for c in cells)).alias("cells")))
+    return sheets[0].unionByName(sheets[1])
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A given table or a view over them."""
     if name in TABLES:
@@ -134,5 +156,7 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         from ..operators import search
 
         return search.described_hits(view(spark, sf_dir, "vectors"))
+    if name == "table_rows":
+        return table_rows(spark, sf_dir)
     text = _SPARK[name]
     return spark.sql(text, **{n: view(spark, sf_dir, n) for n in [*TABLES, *_SPARK] if "{" + n + "}" in text})

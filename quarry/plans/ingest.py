@@ -122,18 +122,8 @@ def document_listing(spark, sf_dir):
 @query("i1_debounced_changes")
 def debounced(spark, sf_dir):
     """Batch twin of the debouncing stream: an event counts if none of its user was accepted within two hours before."""
-    import pandas as pd
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["ts", "event_id"])
-        keep, last = [], None
-        for ts in pdf["ts"]:
-            ok = last is None or (ts - last).total_seconds() >= 7200
-            last = ts if ok else last
-            keep.append(ok)
-        return pdf[keep][["event_id", "user_id"]]
-
-    return view(spark, sf_dir, "events").select("event_id", "user_id", "ts").groupBy("user_id").applyInPandas(fold, "event_id long, user_id long")
+    events = view(spark, sf_dir, "events").select("event_id", "user_id", F.unix_micros("ts").alias("t"))
+    return maintain.spaced(events, 7_200_000_000).where("first").select("event_id", "user_id")
 
 
 @query("j1_default_embeddings")

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quarry.functions import scores, text
-from quarry.operators import chunking, graph, search
+from quarry.operators import chunking, graph, maintain, search
 
 
 def one(spark, column, **values):
@@ -102,3 +102,24 @@ def test_fusion_ignores_channel_order(spark):
     a = search.fuse(spark.createDataFrame(rows, schema)).collect()
     b = search.fuse(spark.createDataFrame(rows[::-1], schema)).collect()
     assert {r.chunk_id: round(r.score, 12) for r in a} == {r.chunk_id: round(r.score, 12) for r in b}
+
+
+def test_events_of_a_user_are_not_gathered(spark, sf):
+    from quarry.plans import answers, ingest
+
+    for query in (ingest.debounced, answers.distinct_within_ttl):
+        assert "FlatMapGroups" not in query(spark, sf)._jdf.queryExecution().toString()
+    rows = [(i, u, t) for i, (u, t) in enumerate([(1, 0), (1, 5), (1, 10), (1, 19), (1, 20), (None, 3), (None, 4), (2, None), (2, 7)])]
+    got = maintain.spaced(spark.createDataFrame(rows, "event_id long, user_id long, t long"), 10)
+    assert sorted(r.event_id for r in got.where("first").collect()) == [0, 2, 4, 5, 8]
+
+
+def test_rows_are_numbered_by_ranges(spark, sf, monkeypatch):
+    from quarry.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "KEY_RANGE", 10)
+    df = spark.createDataFrame([(k,) for k in [*range(-25, 40, 3), 1000]], "k long").repartition(3)
+    got = sorted((r.k, r.row_no) for r in fixtures.numbered(df, "k").collect())
+    assert [n for _, n in got] == list(range(1, len(got) + 1))
+    numbering = [line for line in fixtures.table_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "Window" in line]
+    assert numbering and all("_range" in line for line in numbering)
