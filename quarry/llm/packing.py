@@ -5,16 +5,19 @@ lengths, so the driver plans over a histogram of bounded size whatever the numbe
 
 1. *Linear grouping*: pieces above ``small`` are cut, in order of length, into groups of equal
    cardinality, and each length counts as the largest of its group.
-2. *Few-size configurations*: over these few sizes, the fullest configuration that the stock
-   allows is found by a bounded knapsack and used as often as the stock allows, again and again.
+2. *Few-size configurations*: over these few sizes, the least number of bins is a linear programme
+   over configurations, solved by column generation (``optimised``); whole multiples of its
+   configurations are used first, and what is left is filled by the fullest configuration that the
+   stock allows, again and again.  The programme is solved for a few sizes, the rest rule alone also for
+   many (finer rounding), and the plan with the fewest sequences counts.
 3. *Substitution*: real lengths, longest first, take the places of the rounded ones.  Bins that
    received the same lengths form one *run* (a count and a free space), so the plan stays small.
 4. *Best fit*: small lengths, longest first, go to the runs with the least free space that holds
    them, which is the very result of best fit on single bins; what is left opens new bins.
 
-On the cluster each piece gets its rank among the pieces of its length (salted, so a length that
-a third of all pieces have is ranked by many tasks), and a lookup in the broadcast plan turns
-(length, rank) into (sequence, offset).
+On the cluster each piece gets its rank among the pieces of its length (salted by the count of the
+length, so a task ranks about ``RANKED`` pieces), and a lookup in the broadcast plan turns (length,
+rank) into (sequence, offset).  Pieces that fill a sequence alone need no rank, only a number of their own.
 """
 
 from __future__ import annotations
@@ -26,8 +29,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-GROUPS = 512
-SALTS = 64
+from . import common
+
+#: Size groups of the linear programme, and of the rest rule alone.
+FEW, GROUPS = 48, 512
+#: Pieces of a length that are ranked in one task, about.
+RANKED = 200_000
+#: Columns that the linear programme may generate.
+COLUMNS = 400
 
 
 def _fullest(sizes: list[int], stock: list[int], capacity: int) -> list[tuple[int, int]]:
@@ -59,12 +68,64 @@ def _fullest(sizes: list[int], stock: list[int], capacity: int) -> list[tuple[in
     return sorted(counts.items())
 
 
-def plan(histogram: dict[int, int], capacity: int, small: int | None = None, groups: int = GROUPS) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
+def _best_pattern(sizes: np.ndarray, worth: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+    """The configuration of most worth, any number of each size: a knapsack over sums 0 ... capacity."""
+    value, last = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    for i, (size, w) in enumerate(zip(sizes.tolist(), worth.tolist(), strict=True)):
+        if w <= 1e-9:
+            continue
+        for _ in range(capacity // size):  # one more piece of this size wherever it pays
+            more = value[:-size] + w
+            better = more > value[size:] + 1e-12
+            if not better.any():
+                break
+            value[size:][better], last[size:][better] = more[better], i
+    counts, at = np.zeros(len(sizes), int), int(value.argmax())
+    while at > 0 and last[at] >= 0:
+        counts[last[at]] += 1
+        at -= int(sizes[last[at]])
+    return float(worth @ counts), counts
+
+
+def optimised(sizes: list[int], stock: list[int], capacity: int, columns: int = COLUMNS) -> list[tuple[int, list[tuple[int, int]]]]:
+    """``[(times, [(size index, count)])]``: whole multiples of the configurations that an optimal linear programme uses.
+
+    Minimise the bins over all configurations of the sizes; the revised simplex method keeps one
+    configuration for each size, and a knapsack finds the next one to bring in.
+    """
+    size, need = np.array(sizes), np.array(stock, float)
+    n = len(size)
+    basis = np.diag((capacity // size).astype(float))
+    for _ in range(columns):
+        prices = np.linalg.solve(basis.T, np.ones(n))
+        worth, column = _best_pattern(size, prices, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        held, step = np.linalg.solve(basis, need), np.linalg.solve(basis, column.astype(float))
+        ratio = np.where(step > 1e-9, np.maximum(held, 0) / np.where(step > 1e-9, step, 1), np.inf)
+        basis[:, int(ratio.argmin())] = column
+    used, left, out = np.floor(np.linalg.solve(basis, need) + 1e-6), np.array(stock), []
+    for k in np.argsort(-used, kind="stable").tolist():
+        config = basis[:, k].astype(int)
+        inside = np.flatnonzero(config)
+        times = int(min(used[k], *(left[inside] // config[inside]))) if len(inside) else 0
+        if times > 0:
+            left -= times * config
+            out.append((times, [(int(i), int(config[i])) for i in inside]))
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int, small: int | None = None, groups: int = GROUPS, few: int = FEW) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     """``([(length, first rank, count, first sequence, per sequence, offset)], sequences)``.
 
     The ranks [first, first + count) of a length fill consecutive sequences from ``first sequence``,
-    ``per sequence`` pieces in each, from ``offset`` on.
+    ``per sequence`` pieces in each, from ``offset`` on.  Of the optimised plan over ``few`` sizes and the
+    plan of fullest configurations over ``groups`` sizes, the one with fewer sequences (the former on ties).
     """
+    return min((_plan(histogram, capacity, small, few, True), _plan(histogram, capacity, small, groups, False)), key=lambda p: p[1])
+
+
+def _plan(histogram: dict[int, int], capacity: int, small: int | None, groups: int, optimise: bool) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
     small = capacity // 8 if small is None else small
     lengths = sorted((n for n in histogram if histogram[n] > 0), reverse=True)
     if lengths and lengths[0] > capacity:
@@ -96,9 +157,14 @@ def plan(histogram: dict[int, int], capacity: int, small: int | None = None, gro
 
     # 2. and 3. configurations, with real lengths put in: runs of equal bins
     runs: list[tuple[int, int, list[tuple[int, int]]]] = []  # (bins, free, [(length, count)])
+    chosen = optimised(sizes, stock, capacity) if optimise and sizes else []
+    chosen.reverse()
     while any(stock):
-        config = _fullest(sizes, stock, capacity)
-        times = min(stock[i] // c for i, c in config)
+        if chosen:
+            times, config = chosen.pop()
+        else:
+            config = _fullest(sizes, stock, capacity)
+            times = min(stock[i] // c for i, c in config)
         places = [i for i, c in config for _ in range(c)]
         for i, c in config:
             stock[i] -= c * times
@@ -174,29 +240,36 @@ def plan(histogram: dict[int, int], capacity: int, small: int | None = None, gro
     return rows, sequence
 
 
-def pack(pieces: DataFrame, capacity: int = 4096, groups: int = GROUPS, salts: int = SALTS) -> DataFrame:
+def pack(pieces: DataFrame, capacity: int = 4096, groups: int = GROUPS, few: int = FEW, ranked: int = RANKED) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to rows with ``doc_id, piece, length`` (other columns pass through).
 
-    ``pieces`` is read twice, so hand in a stored table.  Repeated rows are packed each; rows of no or
-    null length get a null sequence.  Within a length, ranks follow (salt, doc_id, piece), so equal rows
-    are interchangeable.  An empty table gives an empty table.
+    The rows are stored once with a number each.  Repeated rows are packed each; rows of no or null length
+    get a null sequence; a piece longer than the capacity is an error.  Within a length any rank will do, so
+    ranks follow the numbers, and neither a hot document nor a hot length reaches one task.  Given columns
+    ``sequence_id`` and ``offset`` are replaced, ``_row`` is reserved.  An empty table gives an empty table.
     """
     spark = pieces.sparkSession
-    pieces = pieces.drop("sequence_id", "offset")  # they are given anew
-    counted = pieces.where("length > 0").groupBy("length").count().collect()  # at most `capacity` rows
-    rows, _ = plan({int(r["length"]): int(r["count"]) for r in counted}, capacity, groups=groups)
+    pieces = pieces.drop("sequence_id", "offset", "_row")  # the first two are given anew
+    stored = common.cut(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    counted = {int(r["length"]): int(r["count"]) for r in stored.where("length > 0").groupBy("length").count().collect()}  # at most `capacity` rows
+    if max(counted, default=0) > capacity:
+        raise ValueError(f"a piece of {max(counted)} tokens exceeds the capacity {capacity}")
+    shorter = {n: c for n, c in counted.items() if n < capacity}
+    rows, used = plan(shorter, capacity, groups=groups, few=few)
     table = np.array(sorted(rows) or [(0,) * 6], np.int64)
     shared = spark.sparkContext.broadcast(table)
 
     # rank within a length in two steps: inside (length, salt), plus the counts of lower salts
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)).cast("int"))
+    salts = F.broadcast(spark.createDataFrame([(n, -(-c // ranked)) for n, c in shorter.items()], "_of long, _salts long"))
+    salted = stored.where(F.col("length").between(1, capacity - 1)).join(salts, F.col("length") == F.col("_of")).withColumn("_salt", F.pmod(F.xxhash64("_row"), F.col("_salts"))).drop("_of", "_salts")
     below = (
-        salted.where("length > 0").groupBy("length", "_salt").count()
+        salted.groupBy("length", "_salt").count()
         .withColumn("_below", F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
         .select("length", "_salt", "_below")
     )
-    inner = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("doc_id", "piece")) - 1
-    ranked = salted.withColumn("_inner", inner).join(F.broadcast(below), ["length", "_salt"], "left").withColumn("_rank", F.col("_inner") + F.col("_below"))
+    inner = F.row_number().over(Window.partitionBy("length", "_salt").orderBy("_row")) - 1
+    below, _ = common.sized(below, "packing-below")
+    numbered = salted.withColumn("_inner", inner).join(below, ["length", "_salt"]).withColumn("_rank", F.col("_inner") + F.col("_below"))
 
     @F.pandas_udf("sequence_id long, offset long")
     def place(length, rank):
@@ -214,8 +287,10 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = GROUPS, salts: i
         out = pd.DataFrame({"sequence_id": row[:, 3] + j // per, "offset": row[:, 5] + j % per * n})
         return out.where(pd.Series(ok), None).astype("Int64")
 
-    placed = ranked.withColumn("_place", place("length", "_rank"))
-    return placed.select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    placed = numbered.withColumn("_place", place("length", "_rank")).select(*pieces.columns, "_place.sequence_id", "_place.offset")
+    full = stored.where(F.col("length") == capacity).select(*pieces.columns, (F.col("_row") + used).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    none = stored.where("length is null or length <= 0").select(*pieces.columns, *(F.lit(None).cast("long").alias(c) for c in ("sequence_id", "offset")))
+    return placed.unionByName(full).unionByName(none)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -33,8 +33,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cut_up = tokens.with_digest(tokens.pieces(table(spark, sf_dir, "documents"), vocabulary()))
-    return packing.pack(common.cut(cut_up, "pieces"))
+    return packing.pack(tokens.with_digest(tokens.pieces(table(spark, sf_dir, "documents"), vocabulary())))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
