@@ -94,7 +94,7 @@ from (select page_id, strlen(coalesce(html, '')) n, min(page_id) over (partition
     substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (cast('0x' || substr(sha1(coalesce(html, '')), 5 * k + 1, 5) as bigint) // m) % 32 + 1, 1)), '')), '') h from pages)""",
     "op9_pivot_top_k": """
 with v as (select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) v from embeddings
-  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
+  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)
 select query_id, rank, vec_id, score from (
   select q.vec_id query_id, x.vec_id, cast(list_dot_product(q.v, x.v) as bigint) score,
     cast(row_number() over (partition by q.vec_id order by list_dot_product(q.v, x.v) desc, x.vec_id) as int) rank

@@ -5,13 +5,18 @@ pivot p gives ``d(q, x) >= |d(q, p) - d(x, p)|``, and since ``<q, x> = (|q|^2 +
 the largest such bound limits the score from above.  Candidates are evaluated in the order of these
 limits until no limit reaches the k-th best score: the result is exact.
 
-Vectors travel as packed blocks.  A query set of any size is cut into blocks of ``QUERY_BLOCK``, and
-each block of candidates meets each block of queries by an equi-join on block numbers; a task holds
-one block of each.
+Both sides travel as packed blocks, each ordered by nearest pivot so that the pivot distances inside
+one vary little.  The k-th best score of a query in the pivots' own sample is a threshold that its
+result cannot stay below.  A block of candidates and a block of queries meet only if the limit that
+the ranges of their pivot distances leave reaches the least threshold of the query block.  Queries are
+the small side (a stated set), so they are copied to the candidate blocks they meet; every candidate
+block is shuffled once, whatever the number of queries, and each pair of blocks can run in a task of its own.
 """
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -20,17 +25,26 @@ from pyspark.sql import functions as F
 from . import common
 
 PIVOTS = 32
-BLOCK = 4096
+#: Most rows, and most bytes of components, of a block; smaller tables are cut so that there are ``BLOCKS_PER_CORE`` blocks for each core.
+BLOCK, BLOCK_BYTES, BLOCKS_PER_CORE = 16384, 16_000_000, 3
 QUERY_BLOCK = 512
+#: Bytes of components that are ordered by nearest pivot together.
+ORDERED_BYTES = 64_000_000
 #: Rows (smallest hash first) from which the pivots are picked: a bounded sample, which affects speed only.
 PIVOT_SAMPLE = 2000
+#: A score outside 64 bits is ranked by its own column.
+_LONG, _WIDE = 1 << 63, 10**38 - 1
+
 
+def integers(vectors: DataFrame, scale: int = 1024) -> DataFrame:
+    """``vec_id, v`` with v = floor(scale * x) as doubles (whole numbers of any size).
 
-def integers(vectors: DataFrame, dim: int, scale: int = 1024) -> DataFrame:
-    """``vec_id, v`` with v = floor(scale * x) as doubles; vectors of another length, null, or with null or non-finite parts take no part."""
-    x = F.col("embedding").cast("array<double>")
-    good = (F.size(x) == dim) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
-    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", F.transform(x, lambda e: F.floor(e * scale).cast("double")).alias("v"))
+    Vectors that are null or empty, or have null or non-finite components, or a component whose multiple is not finite, take no part.
+    """
+    x = F.transform(F.col("embedding").cast("array<double>"), lambda e: e * scale)
+    good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
+    whole = F.transform(x, lambda e: F.when(F.abs(e) < 2.0**53, F.floor(e).cast("double")).otherwise(e))  # larger doubles are whole already
+    return vectors.where(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False))).select("vec_id", whole.alias("v"))
 
 
 def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -47,87 +61,163 @@ def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 def distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances rows x pivots, by differences (no cancellation)."""
-    return np.stack([np.sqrt(((rows - p) ** 2).sum(1)) for p in pivots], 1)
+    return np.stack([np.sqrt(((rows - p) ** 2).sum(1)) for p in pivots], 1) if len(pivots) else np.zeros((len(rows), 0))
+
+
+def products(x: np.ndarray, q: np.ndarray) -> list[int] | np.ndarray:
+    """Exact inner products of whole-number rows with a whole-number vector: doubles, 64-bit or Python integers, as their size needs."""
+    bound = float(np.abs(x).max(initial=0.0)) * float(np.abs(q).sum())
+    if bound < 2.0**53:
+        return (x @ q).astype(np.int64)
+    if bound < 2.0**62:
+        return x.astype(np.int64) @ q.astype(np.int64)
+    whole = [int(a) for a in q]
+    return [sum(int(a) * b for a, b in zip(row, whole, strict=True)) for row in x]
 
 
-def search_block(q: np.ndarray, q_ids: np.ndarray, q_d: np.ndarray, x: np.ndarray, ids: np.ndarray, x_d: np.ndarray, k: int, step: int = 256):
-    """For each query the k best of the block as ``(query row, ids, scores)``, evaluating candidates in bound order."""
-    q2, x2 = (q**2).sum(1), (x**2).sum(1)
+def limits(q2: float, x2: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Upper bounds of scores from squared lengths and a lower bound of the distance; rounding is far below the slack added here."""
+    with np.errstate(invalid="ignore", over="ignore"):
+        out = (q2 + x2 - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1e-6 * (1 + np.abs(x2) + q2)
+    return np.where(np.isnan(out), np.inf, out)
+
+
+def search_block(q: np.ndarray, q_ids: np.ndarray, q_d: np.ndarray, least: np.ndarray, x: np.ndarray, ids: np.ndarray, x_d: np.ndarray, k: int, step: int = 256):
+    """For each query up to k best of the block with scores of ``least`` or more, as ``(query row, [(-score, id)])``.
+
+    Candidates are evaluated in the order of their limits, until the next limit is below the k-th score.
+    """
+    with np.errstate(over="ignore"):
+        q2, x2 = (q**2).sum(1), (x**2).sum(1)
     for i in range(len(q)):
-        low = np.abs(x_d - q_d[i]).max(1)
-        # rounding of distances is far below the slack added here
-        limit = (q2[i] + x2 - np.maximum(low - 1e-6 * (1 + low), 0) ** 2) / 2 + 1e-6 * (1 + np.abs(x2) + q2[i])
+        limit = limits(q2[i], x2, np.abs(x_d - q_d[i]).max(1) if x_d.shape[1] else np.zeros(len(x)))
         limit[ids == q_ids[i]] = -np.inf
-        order = np.argsort(-limit)
-        best_s, best_i = np.empty(0), np.empty(0, np.int64)
+        near = np.flatnonzero((limit >= least[i]) & (limit > -np.inf))
+        order = near[np.argsort(-limit[near], kind="stable")]
+        best: list[tuple[int, int]] = []
         at, size = 0, step
-        while at < len(order) and limit[order[at]] > -np.inf and (len(best_s) < k or limit[order[at]] >= best_s[-1]):
+        while at < len(order) and (len(best) < k or limit[order[at]] >= -best[-1][0]):
             some = order[at : at + size]
-            some = some[limit[some] > -np.inf]
-            s, n = np.concatenate([best_s, x[some] @ q[i]]), np.concatenate([best_i, ids[some]])
-            keep = np.lexsort((n, -s))[:k]
-            best_s, best_i = s[keep], n[keep]
+            s, n = products(x[some], q[i]), ids[some]
+            if isinstance(s, np.ndarray):
+                first = np.lexsort((n, -s))[:k]
+                s, n = s[first].tolist(), n[first]
+            best = sorted([*best, *zip((-a for a in s), n.tolist(), strict=True)])[:k]
             at, size = at + size, size * 2
-        yield i, best_i, best_s
+        yield i, best
 
 
-def _blocks(vectors: DataFrame, pivots: np.ndarray, size: int, name: str, dim: int) -> DataFrame:
-    """Packed rows ``name`` (number), ids, v, d: vectors and their pivot distances."""
+def _rows_by_length(batch: pa.RecordBatch):
+    """``(dim, ids, rows)`` of an Arrow batch for each length of vector."""
+    ids, column = batch.column("vec_id").to_numpy(zero_copy_only=False), batch.column("v")
+    sizes, flat = np.diff(column.offsets.to_numpy()), column.flatten().to_numpy(zero_copy_only=False)
+    for dim in np.unique(sizes).tolist():
+        yield dim, ids[sizes == dim], flat[np.repeat(sizes == dim, sizes)].reshape(-1, dim)
+
+
+_BLOCK = "block long, dim int, n int, low array<double>, high array<double>, norm double, least double, ids binary, v binary, d binary, bars binary"
 
-    def pack(batches):
-        ids, rows = [], []
 
-        def out(n):
-            i, v = np.concatenate(ids), np.concatenate(rows)
-            ids[:], rows[:] = [i[n:]], [v[n:]]
-            i, v = i[:n], v[:n]
-            return pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (i.astype("<i8").tobytes(), v.astype("<f8").tobytes(), distances(v, pivots).astype("<f8").tobytes())], names=["ids", "v", "d"])
+def _blocks(vectors: DataFrame, sample, size: int, k: int = 0) -> DataFrame:
+    """Packed blocks of at most ``size`` rows of one length, with the ranges of their pivot distances and their greatest squared length.
+
+    With ``k``, each row's bar is its k-th best score in the sample (other ids only; minus infinity where it has fewer).
+    """
 
+    def pack(batches):
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
+        held: dict[int, list] = {}
+
+        def out(dim: int):
+            nonlocal number
+            ids, v = (np.concatenate(c) for c in zip(*held.pop(dim), strict=True))
+            pivots, s_ids, s_v = sample.value.get(dim, (np.empty((0, dim)), np.empty(0, np.int64), np.empty((0, dim))))
+            d = distances(v, pivots)
+            order = np.argsort(d.argmin(1), kind="stable") if d.shape[1] else np.arange(len(v))
+            for at in range(0, len(order), size):
+                rows = order[at : at + size]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = float((v[rows] ** 2).sum(1).max())
+                    bars = np.full(len(rows), -np.inf)
+                    if k and len(s_ids) > k:
+                        scores = np.where(s_ids == ids[rows][:, None], -np.inf, v[rows] @ s_v.T)
+                        bars = np.partition(scores, -k, 1)[:, -k] - 1e-6 * (1 + norm + float((s_v**2).sum(1).max()))
+                        bars = np.where(np.isfinite(bars), bars, -np.inf)
+                yield {
+                    "block": number, "dim": dim, "n": len(rows), "low": d[rows].min(0).tolist(), "high": d[rows].max(0).tolist(), "norm": norm, "least": float(bars.min()),
+                    "ids": ids[rows].astype("<i8").tobytes(), "v": v[rows].astype("<f8").tobytes(), "d": d[rows].astype("<f8").tobytes(), "bars": bars.astype("<f8").tobytes(),
+                }
+                number += 1
+
+        schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "binary": pa.binary()}.get(t, pa.list_(pa.float64()))) for n, t in (f.split() for f in _BLOCK.split(", "))])
         for batch in batches:
-            ids.append(batch.column("vec_id").to_numpy(zero_copy_only=False))
-            rows.append(batch.column("v").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim))
-            while sum(map(len, ids)) >= size:
-                yield out(size)
-        if sum(map(len, ids)):
-            yield out(size)
+            for dim, ids, rows in _rows_by_length(batch):
+                held.setdefault(dim, []).append((ids, rows))
+                if sum(r.nbytes for _, r in held[dim]) >= ORDERED_BYTES:
+                    for row in out(dim):
+                        yield pa.RecordBatch.from_pylist([row], schema)
+        for dim in list(held):
+            for row in out(dim):
+                yield pa.RecordBatch.from_pylist([row], schema)
 
-    return vectors.mapInArrow(pack, "ids binary, v binary, d binary")
+    return vectors.mapInArrow(pack, _BLOCK)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, dim: int = 64, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` of rows ``vec_id, embedding``: each query's k best, ties to the smaller id.
 
-    A query never finds rows with its own id.  Repeated rows are separate candidates, repeated queries are
-    answered once.  Fewer than k candidates give all; empty tables give an empty table; further columns are ignored.
+    A query never finds rows with its own id.  Repeated rows are separate candidates; of rows that repeat a
+    query id the smallest vector asks.  Vectors of several lengths meet those of their own length.  Scores are
+    exact for components of any size; one outside 64 bits is ranked by up to 38 digits and shown as the nearest long.
+    Fewer than k candidates give all; empty tables give an empty table; further columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = common.cut(integers(vectors, dim), "vectors")
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOT_SAMPLE).collect()
-    chosen = pick_pivots(np.array([r["v"] for r in sample], float).reshape(-1, dim), pivots)
-    asked = integers(queries, dim).dropDuplicates(["vec_id"])
-    # number the query blocks: rows are dealt by hash into about query_block each
-    n_blocks = max(1, -(-asked.count() // query_block))
-    q_rows = asked.groupBy(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("q")).agg(F.collect_list(F.struct("vec_id", "v")).alias("rows"))
-    candidates = _blocks(rows, chosen, block, "c", dim).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<long>")))
-    met = candidates.join(q_rows, "q")
+    rows = integers(vectors)
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    picked: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOT_SAMPLE).collect():
+        picked.setdefault(len(r["v"]), []).append(r)
+    sampled = {dim: np.array([r["v"] for r in rs]) for dim, rs in picked.items()}
+    sample = spark.sparkContext.broadcast({dim: (pick_pivots(v, pivots), np.array([r["vec_id"] for r in picked[dim]], np.int64), v) for dim, v in sampled.items()})
+
+    even = -(-n // (BLOCKS_PER_CORE * spark.sparkContext.defaultParallelism))
+    size = max(1, min(block, BLOCK_BYTES // (8 * (width or 1)), max(even, 256)))
+    one = integers(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
+    asked = common.cut(_blocks(one, sample, query_block, k), "topk-queries")
+    found_in = common.cut(_blocks(rows, sample, size), "topk-candidates")
+
+    # a few numbers for each query block; there is one for every ``query_block`` stated queries
+    about = [(r["block"], r["dim"], np.array(r["low"]), np.array(r["high"]), r["norm"], r["least"]) for r in asked.select("block", "dim", "low", "high", "norm", "least").toLocalIterator()]
+    about = spark.sparkContext.broadcast(about)
+
+    def meet(batches):
+        for batch in batches:
+            pairs = []
+            for r in batch.to_pylist():
+                low, high = np.array(r["low"]), np.array(r["high"])
+                for q, dim, q_low, q_high, q2, least in about.value:
+                    if dim == r["dim"]:
+                        apart = np.maximum(np.maximum(low - q_high, q_low - high), 0).max(initial=0.0)
+                        if limits(q2, np.array([r["norm"]]), np.array([apart]))[0] >= least:
+                            pairs.append((q, r["block"]))
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["q", "block"])
+
+    pairs = found_in.select("block", "dim", "low", "high", "norm").mapInArrow(meet, "q long, block long")
+    asking = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("d").alias("q_d"), "bars")
+    met = found_in.select("block", "dim", "ids", "v", "d").join(pairs.join(asking, "q"), "block").repartition("block", "q")
 
     def search(batches):
         for batch in batches:
-            for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], "<i8")
-                x, x_d = np.frombuffer(r["v"], "<f8").reshape(len(ids), dim), np.frombuffer(r["d"], "<f8").reshape(len(ids), -1)
-                q_ids = np.array([a["vec_id"] for a in r["rows"]], np.int64)
-                q = np.array([a["v"] for a in r["rows"]], float)
-                out = [(int(q_ids[i]), n, s) for i, n, s in search_block(q, q_ids, distances(q, chosen), x, ids, x_d, k)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat([a for a, _, _ in out], [len(n) for _, n, _ in out]).astype(np.int64)),
-                        pa.array(np.concatenate([n for _, n, _ in out]) if out else np.empty(0, np.int64), pa.int64()),
-                        pa.array((np.concatenate([s for _, _, s in out]) if out else np.empty(0)).astype(np.int64)),
-                    ],
-                    names=["query_id", "vec_id", "score"],
-                )
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+            for j in range(batch.num_rows):
+                r = batch.slice(j, 1).to_pylist()[0]
+                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
+                of = lambda data, m: np.frombuffer(data, "<f8").reshape(m, -1) if data else np.empty((m, 0))
+                best = search_block(of(r["q_v"], len(q_ids)), q_ids, of(r["q_d"], len(q_ids)), np.frombuffer(r["bars"], "<f8"), of(r["v"], len(ids)), ids, of(r["d"], len(ids)), k)
+                out = [(int(q_ids[i]), n, max(-_LONG, min(_LONG - 1, -s)), Decimal(max(-_WIDE, min(_WIDE, -s))) if abs(s) >= _LONG - 1 else None) for i, some in best for s, n in some]
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "score", "wide"])
+
+    found = met.mapInArrow(search, "query_id long, vec_id long, score long, wide decimal(38,0)")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

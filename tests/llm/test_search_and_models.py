@@ -97,24 +97,55 @@ def test_bayes_keeps_true_pairs():
 
 
 def brute_top(rows, k):
-    v = {i: np.floor(1024 * np.array(x, float)) for i, x in rows if x is not None and all(e is not None and math.isfinite(e) for e in x) and len(x) == 4}
+    v = {i: [math.floor(1024 * e) for e in x] for i, x in rows if x and all(e is not None and math.isfinite(e) for e in x)}
     out = []
     for q in v:
         if q % 100 == 0:
-            best = sorted(((-int(v[q] @ v[i]), i) for i in v if i != q))[:k]
+            best = sorted((-sum(a * b for a, b in zip(v[q], v[i])), i) for i in v if i != q and len(v[i]) == len(v[q]))[:k]
             out += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     return sorted(out)
 
 
+def check_top(spark, rows, k=10, **how):
+    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
+    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=k, **how)
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows, k)
+
+
 @pytest.mark.parametrize("block", [7, 4096])
 def test_top_k_is_exact(spark, block):
     rng = np.random.default_rng(1)
     rows = [(i, np.round(rng.normal(size=4), 2).tolist()) for i in range(350)]
-    rows += [(400, [0.0] * 4), (500, None), (501, [1.0, None, 1.0, 1.0]), (502, [math.nan, 1.0, 1.0, 1.0]), (503, [math.inf, 1.0, 1.0, 1.0]), (504, [1.0]), (600, rows[7][1]), (601, rows[7][1])]
-    df = spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, embedding array<double>, score int")
-    got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=10, dim=4, block=block, query_block=2)
-    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()) == brute_top(rows, 10)
-    assert topk.top_k(df.where("false"), df.where("false"), dim=4).count() == 0
+    rows += [(400, [0.0] * 4), (500, None), (501, [1.0, None, 1.0, 1.0]), (502, [math.nan, 1.0, 1.0, 1.0]), (503, [math.inf, 1.0, 1.0, 1.0]), (504, [1.0]), (505, []), (600, rows[7][1]), (601, rows[7][1]), (700, [2.0]), (701, [3.0])]
+    check_top(spark, rows, block=block, query_block=2)
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    assert topk.top_k(none, none).count() == 0
+
+
+@pytest.mark.parametrize("dim,scale", [(128, 1.0), (3, 4e4), (5, 1e5), (5, 1e7), (4, 1e12)])
+def test_top_k_is_exact_for_any_length_and_size(spark, dim, scale):
+    rng = np.random.default_rng(dim)
+    rows = [(i, (rng.normal(size=dim) * scale).tolist()) for i in range(240)]
+    if scale < 1e7:
+        check_top(spark, rows, k=5, query_block=2)
+    else:  # products leave 64 bits: the ranking is exact, the shown score is the nearest long
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        got = topk.top_k(df, df.where("vec_id % 100 = 0"), k=5).collect()
+        assert sorted((r.query_id, r["rank"], r.vec_id) for r in got) == [(q, r, i) for q, r, i, _ in brute_top(rows, 5)]
+
+
+def test_far_blocks_never_meet(spark):
+    """Two far groups of vectors: a query's block meets only blocks of its own group, in several tasks."""
+    rng = np.random.default_rng(3)
+    rows = [(i, ((1 if i % 200 < 100 else -1) * 50 + rng.normal(size=8)).tolist()) for i in range(4000)]
+    check_top(spark, rows, k=3, block=100, query_block=10)
+    v = topk.integers(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1))
+    both = np.array([r.v for r in v.collect()])
+    sample = spark.sparkContext.broadcast({8: (topk.pick_pivots(both[:200], 8), np.arange(200), both[:200])})
+    made = topk._blocks(v, sample, 100).collect()
+    asked = topk._blocks(v.where("vec_id = 0"), sample, 10, 3).collect()[0]
+    reach = [topk.limits(asked.norm, np.array([b.norm]), np.array([max(0.0, *(max(x - z, y - w) for w, x, y, z in zip(b.high, b.low, asked.low, asked.high)))]))[0] >= asked.least for b in made]
+    assert 15 <= sum(reach) <= 25 and len(made) == 40
 
 
 def test_counterfactual_penalty_evens_out_groups():
