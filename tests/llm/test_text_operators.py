@@ -150,7 +150,7 @@ def test_mix_on_odd_documents(docs, empty):
 
 
 def test_large_sources_end_in_one_bin(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SMALL_SOURCE", 10)
+    monkeypatch.setattr(mixing, "APART", 10)
     docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(1 + id % 50 as int))").alias("text"), F.concat(F.lit("s"), F.col("id") % 2).alias("source"))
     rows = mixing.mix(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
     assert all(abs(r.taken - r.target) <= 0.01 * r.target for r in rows)
@@ -182,3 +182,59 @@ def test_a_very_long_document_does_not_move_the_mix(spark, n):
 def test_blocks_follow_the_smallest_target():
     plan = mixing.plan([("large", 10**10), ("small", 30000)], weights=(1.0, 1.4e-6))
     assert plan[1][3] == pytest.approx(plan[1][2], rel=0.001)
+
+
+def brute_mix(rows, weights=(5.0, 2.0, 1.0)):
+    """Words wanted of each source, by plain loops over blocks of one word."""
+    sizes = {}
+    for source, words in rows:
+        sizes[source] = sizes.get(source, 0) + words
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    total, target, free = sum(sizes.values()), {s: 0.0 for s in sizes}, {s for s in names if sizes[s]}
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left = total
+    while free:
+        scale = left / sum(weight[s] for s in free)
+        over = {s for s in free if scale * weight[s] > 3 * sizes[s]}
+        for s in over or free:
+            target[s] = 3.0 * sizes[s] if over else scale * weight[s]
+        if not over:
+            break
+        left -= sum(target[s] for s in over)
+        free -= over
+    return sizes, target
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_mix_query_against_brute_force(spark, sf):
+    rows = queries.op10_mixing(spark, f"/root/testdata/{sf}").collect()
+    docs = {r.doc_id: (r.source, len([w for w in __import__("re").findall(r"[^\x20\x09-\x0D]+", r.text or "")])) for r in queries.table(spark, f"/root/testdata/{sf}", "documents").collect()}
+    sizes, target = brute_mix(docs.values())
+    assert len(rows) == len(docs)
+    taken = {}
+    for r in rows:
+        source, size = docs[r.doc_id]
+        assert (r["size"], r.source_size) == (size, sizes[source]) and r.target == pytest.approx(target[source]) and r.taken in (0, size, 2 * size, 3 * size)
+        taken[source] = taken.get(source, 0) + r.taken
+    longest = {}
+    for source, size in docs.values():
+        longest[source] = max(size, longest.get(source, 0))
+    assert all(abs(taken[s] - target[s]) <= 0.005 * target[s] + 5 or abs(taken[s] - target[s]) <= longest[s] / 2 for s in sizes)
+
+
+def test_equal_rows_are_taken_one_by_one(spark):
+    text = F.expr("repeat('w ', 100)")
+    same = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), text.alias("text"), F.lit("b").alias("source"))
+    other = spark.range(4000).select((F.col("id") + 10).alias("doc_id"), text.alias("text"), F.lit("a").alias("source"))
+    docs = same.unionByName(other).withColumn("target", F.lit("mine"))
+    rows = mixing.mix(docs, weights=(2.3, 0.7)).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert {r.source for r in rows} == {"a", "b"} and all(abs(r.taken - r.target) <= 100 for r in rows)
+    per_shard = mixing.mix(docs.repartition(9), weights=(2.3, 0.7)).where("source = 'b' and times > 0").groupBy("shard").agg(F.sum("taken").alias("taken")).collect()
+    assert len(per_shard) == 16 and max(r.taken for r in per_shard) - min(r.taken for r in per_shard) <= 200
+
+
+def test_mixed_documents_keep_their_columns(spark):
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("s").alias("source"), F.lit(777).alias("size"), F.lit("t").alias("target"), F.lit(-1).alias("shard"), F.lit(9).alias("_key"), F.lit("x").alias("_row"))
+    got = mixing.mixed(docs).distinct().collect()
+    assert mixing.mixed(docs).columns == docs.columns and len(got) == 300
+    assert all((r["size"], r.target, r.shard, r._key, r._row) == (777, "t", -1, 9, "x") for r in got)
