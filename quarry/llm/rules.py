@@ -1,9 +1,13 @@
 """Quality rules with adaptive thresholds.
 
-Four ratios of each document go into quantile sketches per language and source: counts of
-logarithmic buckets (64 to a doubling), which merge by addition, so partial sketches of tasks, and
-sketches of sources, merge without error.  Fences derived from the sketches' quartiles take the
-place of fixed cutoffs and are joined back to the documents.
+Four ratios of each document and its number of words go into quantile sketches per language and
+source: counts of logarithmic buckets (64 to a doubling), which merge by addition, so partial sketches
+of tasks, and sketches of sources, merge without error.  A group's sketch is merged with its language's,
+scaled to ``PRIOR`` documents, so small groups lean on their language and large ones on themselves, by one
+rule at every size.  Fences from its 10 %, 50 % and 90 % quantiles take the place of fixed cutoffs and are
+joined back to the documents: the 90 % quantile plus ``reach`` times its distance from the median.  Most
+documents have none of some marks, so that distance is at least what one more occurrence makes in a
+document of the group's median length.
 """
 
 from __future__ import annotations
@@ -19,15 +23,15 @@ from . import common
 _SYMBOLS = b"#*$%&|<>"
 _SPACE = " \t\n\v\f\r"
 
-#: name: (ratio over n_words, times; least spread of the quartiles; has a lower fence)
+#: name: (ratio over n_words, times; counts that one more occurrence adds; has a lower fence).  A repeated window is six words at least.
 RATIOS = {
-    "word_length": ("word_chars", 100, 50, True),
-    "symbols": ("n_symbols", 1000, 30, False),
-    "dup_lines": ("n_dup_lines", 1000, 20, False),
-    "repeats": ("n_repeat_words", 1000, 100, False),
+    "word_length": ("word_chars", 100, 10, True),
+    "symbols": ("n_symbols", 1000, 1, False),
+    "dup_lines": ("n_dup_lines", 1000, 1, False),
+    "repeats": ("n_repeat_words", 1000, 6, False),
 }
-#: Documents that a (language, source) sketch needs; below, the language's merged sketch counts, then the one of all.
-LEAST_DOCS = 100
+#: Documents as which a language counts in the sketches of its sources.
+PRIOR = 100
 
 
 def features_of(text: str) -> tuple[int, int, int, int, int]:
@@ -74,77 +78,68 @@ def bucket(value: Column) -> Column:
 
 def sketches(counts: DataFrame) -> DataFrame:
     """``lang, source, ratio, bucket, n``: mergeable by summing ``n``.  Documents that failed the base rules do not count."""
-    each = F.array(*(F.struct(F.lit(name).alias("ratio"), bucket(F.floor(F.col(c) * times / F.col("n_words")).cast("long")).alias("bucket")) for name, (c, times, _, _) in RATIOS.items()))
+    value = {name: F.floor(F.col(c) * times / F.col("n_words")).cast("long") for name, (c, times, _, _) in RATIOS.items()} | {"words": F.col("n_words")}
+    each = F.array(*(F.struct(F.lit(name).alias("ratio"), bucket(v).alias("bucket")) for name, v in value.items()))
     return counts.where("not base_failed").select("lang", "source", F.explode(each).alias("r")).groupBy("lang", "source", "r.ratio", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, reach: int = 3) -> DataFrame:
-    """Per ``lang, source`` (level 0), ``lang`` (1) and all (2): ``ratio, low, high, docs`` from quartiles of the merged sketches."""
-
-    def level(keys: list[str], n: int) -> DataFrame:
-        s = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n")) if n else sketch
-        run = Window.partitionBy(*keys, "ratio").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        s = s.withColumn("upto", F.sum("n").over(run)).withColumn("docs", F.sum("n").over(Window.partitionBy(*keys, "ratio")))
-        q = lambda p: F.min(F.when(F.col("upto") * 100 >= F.col("docs") * p, F.col("bucket")))
-        return s.groupBy(*keys, "ratio").agg(q(25).alias("q1"), q(75).alias("q3"), F.max("docs").alias("docs")).select(
-            *(F.col(k) if k in keys else F.lit(None).cast("string").alias(k) for k in ("lang", "source")), F.lit(n).alias("level"), "ratio", "q1", "q3", "docs"
-        )
-
-    rows = level(["lang", "source"], 0).unionByName(level(["lang"], 1)).unionByName(level([], 2))
-    spread = F.col("q3") - F.col("q1")
-    least = F.coalesce(*(F.when(F.col("ratio") == k, F.lit(v[2])) for k, v in RATIOS.items()))
-    width = F.greatest(spread, least) * reach
-    return rows.withColumn("low", F.col("q1") - width).withColumn("high", F.col("q3") + width)
-
-
-def filtered(docs: DataFrame, reach: int = 3, least_docs: int = LEAST_DOCS) -> DataFrame:
-    """Counts, ``base_failed`` and ``kept`` for every document.
+def fences(sketch: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+    """``lang, source`` and a ``low`` and ``high`` for each ratio, from the quantiles of every group's merged sketch."""
+    wide = "decimal(38,0)"  # weights are products of counts
+    own = sketch.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    langs = own.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n"))
+    docs = langs.groupBy(F.col("lang").alias("_lang"), F.col("ratio").alias("_ratio")).agg(F.sum("n").cast(wide).alias("_docs"))
+    same = F.col("lang").eqNullSafe(F.col("_lang")) & (F.col("ratio") == F.col("_ratio"))
+    scaled = own.join(docs, same).select("lang", "source", "ratio", "bucket", (F.col("n").cast(wide) * F.col("_docs")).cast(wide).alias("w"))
+    groups = own.select(F.col("lang").alias("_lang"), "source", F.col("ratio").alias("_ratio")).distinct()
+    lent = langs.join(groups, same).select("lang", "source", "ratio", "bucket", (F.col("n").cast(wide) * prior).cast(wide).alias("w"))
+    merged = scaled.unionByName(lent).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("w").cast(wide).alias("w"))
+    key = ["lang", "source", "ratio"]
+    run = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    merged = merged.withColumn("upto", F.sum("w").over(run).cast(wide)).withColumn("all", F.sum("w").over(Window.partitionBy(*key)).cast(wide))
+    q = lambda name, p: F.min(F.when((F.col("ratio") == name) & (F.col("upto") * 100 >= F.col("all") * p), F.col("bucket"))).alias(f"{name}_{p}")
+    marks = merged.groupBy("lang", "source").agg(q("words", 50), *(q(name, p) for name in RATIOS for p in (10, 50, 90)))
+    out = []
+    for name, (_, times, more, _) in RATIOS.items():
+        low, mid, high = (F.col(f"{name}_{p}") for p in (10, 50, 90))
+        least = F.greatest(F.floor(F.lit(times * more) / F.col("words_50")).cast("long"), F.lit(1).cast("long"))
+        out += [(low - reach * F.greatest(mid - low, least)).alias(f"{name}_low"), (high + reach * F.greatest(high - mid, least)).alias(f"{name}_high")]
+    return marks.select("lang", "source", *out)
+
+
+def filtered(docs: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+    """``doc_id``, the five counts, ``base_failed`` and ``kept`` for every document.
 
     Base rules: fewer than 50 words, or more than half of the words in repeated 3-word windows.  Of the
-    rest, a document is kept if each ratio lies within its group's fences.  Null languages and sources
-    are groups of their own.  Repeated rows are judged alike; an empty table gives an empty table.
+    rest, a document is kept if each ratio lies within its group's fences (a value on a fence is inside).
+    Null languages and sources are groups of their own; a null, empty or blank text has no words and fails.
+    Repeated rows count and are judged each, alike; texts of any length are read whole; an empty table gives an
+    empty table; further columns are ignored.
     """
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     counts = common.cut(features(docs).withColumn("base_failed", failed), "rules")
-    sketch = common.cut(sketches(counts), "rules-sketch")
-    wide = (
-        fences(sketch, reach)
-        .groupBy("lang", "source", "level").agg(F.max("docs").alias("docs"), *(e for name in RATIOS for e in (F.max(F.when(F.col("ratio") == name, F.col("low"))).alias(f"{name}_low"), F.max(F.when(F.col("ratio") == name, F.col("high"))).alias(f"{name}_high"))))
-    )
-    wide = common.cut(wide, "rules-fences")
-    bounds = [f"{name}_{side}" for name in RATIOS for side in ("low", "high")]
-    side = lambda n: F.struct("docs", *bounds).alias(f"_{n}")
-    group = wide.where("level = 0").select(F.col("lang").alias("_l0"), F.col("source").alias("_s0"), side(0))
-    lang = wide.where("level = 1").select(F.col("lang").alias("_l1"), side(1))
-    every = wide.where("level = 2").select(side(2))
-    # a fence for each pair of language and source that occurs; the few language rows and the single row of all are put in here
-    own = (
-        group.join(lang, F.col("_l0").eqNullSafe(F.col("_l1")), "left").join(F.broadcast(every), F.lit(True), "left")
-        .select("_l0", "_s0", F.when(F.col("_0.docs") >= least_docs, F.col("_0")).when(F.col("_1.docs") >= least_docs, F.col("_1")).otherwise(F.col("_2")).alias("_f"))
-    )
-    joined = counts.join(own, F.col("lang").eqNullSafe(F.col("_l0")) & F.col("source").eqNullSafe(F.col("_s0")), "left")
+    own, _ = common.sized(fences(common.cut(sketches(counts), "rules-sketch"), reach, prior), "rules-fences")
+    own = own.withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    joined = counts.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     verdict = F.lit(True)
     for name, (c, times, _, lower) in RATIOS.items():
         value = F.floor(F.col(c) * times / F.col("n_words"))
-        verdict = verdict & (value <= F.col(f"_f.{name}_high"))
+        verdict = verdict & (value <= F.col(f"{name}_high"))
         if lower:
-            verdict = verdict & (value >= F.col(f"_f.{name}_low"))
+            verdict = verdict & (value >= F.col(f"{name}_low"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
 
 
-def oracle(reach: int = 3, least_docs: int = LEAST_DOCS) -> str:
+def oracle(reach: int = 3, prior: int = PRIOR) -> str:
     """The same in DuckDB SQL."""
-    values = {name: f"({c} * {times} // n_words)" for name, (c, times, _, _) in RATIOS.items()}
+    values = {name: f"({c} * {times} // n_words)" for name, (c, times, _, _) in RATIOS.items()} | {"words": "n_words"}
     sketch = " union all ".join(f"select lang, source, '{name}' ratio, {v} v from base where not base_failed" for name, v in values.items())
-    least = " ".join(f"when ratio = '{k}' then {v[2]}" for k, v in RATIOS.items())
-    pick = ", ".join(f"max(case when ratio = '{k}' then low end) {k}_low, max(case when ratio = '{k}' then high end) {k}_high" for k in RATIOS)
-    level = lambda n, keys: (
-        f"select {n} level, {'lang' if n < 2 else 'null'} lang, {'source' if n < 1 else 'null'} source, ratio, "
-        f"min(case when upto * 100 >= docs * 25 then bucket end) q1, min(case when upto * 100 >= docs * 75 then bucket end) q3, max(docs) docs from "
-        f"(select {keys} ratio, bucket, sum(n) over (partition by {keys} ratio order by bucket) upto, sum(n) over (partition by {keys} ratio) docs from "
-        f"(select {keys} ratio, bucket, count(*) n from sk group by {keys} ratio, bucket)) group by {keys} ratio"
-    )
-    checks = " and ".join(f"{v} <= f.{k}_high" + (f" and {v} >= f.{k}_low" if RATIOS[k][3] else "") for k, v in values.items())
+    q = lambda name, p: f"min(case when ratio = '{name}' and upto * 100 >= total * {p} then bucket end)"
+    sides = []
+    for name, (_, times, more, _) in RATIOS.items():
+        least = f"{times * more} // words_50, 1"
+        sides += [f"{name}_10 - {reach} * greatest({name}_50 - {name}_10, {least}) {name}_low", f"{name}_90 + {reach} * greatest({name}_90 - {name}_50, {least}) {name}_high"]
+    checks = " and ".join(f"{values[k]} <= {k}_high" + (f" and {values[k]} >= {k}_low" if RATIOS[k][3] else "") for k in RATIOS)
     return f"""
 with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') text from documents),
 w as (select rid, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') ws from d),
@@ -159,15 +154,15 @@ base as (
       length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols,
       coalesce(ln.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words
     from d join w using (rid) left join ln using (rid) left join rep using (rid))),
-sk as (select lang, source, ratio, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end bucket from ({sketch})),
-q as ({level(0, "lang, source,")} union all {level(1, "lang,")} union all {level(2, "")}),
-b as (select *, q1 - {reach} * greatest(q3 - q1, case {least} end) low, q3 + {reach} * greatest(q3 - q1, case {least} end) high from q),
-f as (select level, lang, source, max(docs) docs, {pick} from b group by level, lang, source),
-ff as (select level, lang, source, docs, {", ".join(f"{k}_{s}" for k in RATIOS for s in ("low", "high"))} from f),
-own as (
-  select x.lang, x.source, case when x.docs >= {least_docs} then 0 when l.docs >= {least_docs} then 1 else 2 end level
-  from ff x left join ff l on l.level = 1 and l.lang is not distinct from x.lang where x.level = 0)
-select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  case when base_failed then false else {checks} end kept
-from base left join own on base.lang is not distinct from own.lang and base.source is not distinct from own.source
-left join ff f on f.level = own.level and (own.level = 2 or f.lang is not distinct from own.lang) and (own.level > 0 or f.source is not distinct from own.source)"""
+own as (select lang, source, ratio, bucket, count(*) n from (select lang, source, ratio, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end bucket from ({sketch})) group by all),
+langs as (select lang, ratio, bucket, sum(n)::hugeint n from own group by all),
+docs as (select lang, ratio, sum(n)::hugeint n from langs group by all),
+merged as (select lang, source, ratio, bucket, sum(w)::hugeint w from (
+  select own.*, own.n * docs.n w from own join docs on own.lang is not distinct from docs.lang and own.ratio = docs.ratio
+  union all by name select langs.lang, x.source, langs.ratio, langs.bucket, langs.n, langs.n * {prior} w from langs join (select distinct lang, source, ratio from own) x on x.lang is not distinct from langs.lang and x.ratio = langs.ratio
+) group by lang, source, ratio, bucket),
+run as (select *, sum(w) over (partition by lang, source, ratio order by bucket) upto, sum(w) over (partition by lang, source, ratio) total from merged),
+marks as (select lang, source, {q("words", 50)} words_50, {", ".join(f"{q(k, p)} {k}_{p}" for k in RATIOS for p in (10, 50, 90))} from run group by lang, source),
+f as (select lang, source, {", ".join(sides)} from marks)
+select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, case when base_failed then false else {checks} end kept
+from base left join f on base.lang is not distinct from f.lang and base.source is not distinct from f.source"""

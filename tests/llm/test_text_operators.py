@@ -7,7 +7,7 @@ import hashlib
 import pytest
 from pyspark.sql import functions as F
 
-from quarry.llm import chat, mixing, queries, rules, warc
+from quarry.llm import chat, common, mixing, queries, rules, warc
 
 
 def turns_of(spark):
@@ -63,6 +63,23 @@ def test_buckets_are_fine_and_ordered(spark):
     assert all(r.b <= r.id <= r.b * 65 / 64 + 1 for r in rows) and all(a.b <= b.b for a, b in zip(rows, rows[1:]))
 
 
+def test_fences_are_the_groups_own(spark):
+    """No fence is a constant: groups with other texts get other fences, also where most documents have none of a mark."""
+    sf = "/root/testdata/sf0.01"
+    counts = common.cut(rules.features(queries.table(spark, sf, "documents")).withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")))
+    rows = rules.fences(rules.sketches(counts)).collect()
+    assert len(rows) > 60
+    assert all(len({r[f"{name}_high"] for r in rows}) >= 3 for name in rules.RATIOS)
+    assert len({r.word_length_low for r in rows}) > 10
+
+
+def test_small_groups_lean_on_their_language(spark):
+    text = lambda word, k: " ".join([f"{word}{i}" for i in range(k)])
+    rows = [(i, text("abcd", 100 + i % 50), "en", "big") for i in range(400)] + [(500, text("abcdefghijkl", 100), "en", "tiny"), (501, text("abcd", 120), "en", "tiny")]
+    got = {r.doc_id: r.kept for r in rules.filtered(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not got[500] and got[501] and all(got[i] for i in range(400))
+
+
 def test_sketches_merge(docs):
     counts = rules.features(docs).withColumn("base_failed", F.lit(False)).where("n_words > 0")
     whole = rules.sketches(counts)
