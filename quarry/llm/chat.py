@@ -1,12 +1,12 @@
 """Chat formatting in budgeted windows.
 
-Prefix sums of turn costs lay a grid of ``cell`` tokens over each conversation.  The turns that
-begin in a cell make a window (a turn longer than a cell has a window of its own), so windows are
-aligned to turns and every turn finds its window from its own prefix sum: no pass over the
-conversation is needed, and one very long conversation is spread over many tasks.  A window holds,
-in this order, the conversation's system turn, as much directly preceding history as ``history``
-tokens allow, and its new turns.  Only the text of new assistant turns is under the loss mask, so
-each target is learnt once however often it is repeated as history.
+Prefix sums of turn costs lay a coarse grid over each conversation: a stretch of ``STRETCH`` windows of
+tokens.  The turns that begin in a stretch are cut into windows in order: a window takes turns up to the
+furthest one whose prefix sum still fits the budget, so only the last window of a stretch may stay short.
+Stretches do not wait for each other, so one very long conversation is spread over many tasks.  A window
+holds, in this order, the conversation's system turn, as much directly preceding history as ``history``
+tokens (and the budget) allow, and its new turns.  Only the text of new assistant turns is under the loss
+mask, so each target is learnt once however often it is repeated as history.
 
 Template: ``### role\\n`` text ``</turn>\\n`` for each turn.  Inside roles and texts ``\\``, ``#`` and
 ``<`` are written ``\\\\``, ``\\h`` and ``\\l`` (a line end in a role ``\\n``), so no text can imitate a mark
@@ -19,6 +19,7 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 HEAD, END = "### ", "</turn>\n"
 #: Turns of a prefix-sum chunk.
 CHUNK = 256
+#: Windows in a stretch of a conversation, about.
+STRETCH = 32
 
 
 def escape(text: Column) -> Column:
@@ -48,18 +51,40 @@ def parse(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
+def fill(at: np.ndarray, cost: np.ndarray, first: int, system: int, budget: int, history: int) -> list[tuple[int, int, int]]:
+    """``(from, start, stop)`` of each window over turns with prefix sums ``at``: repeats from ``from``, new turns from ``start``.
+
+    Turns before ``first`` are known from earlier windows.  A window takes at least one new turn, then as many as the
+    budget allows beside the system turn and the history; history gives way to the first new turn.
+    """
+    out, ends, start = [], at + cost, first
+    while start < len(at):
+        alone = system if at[start] > 0 else 0
+        spare = min(history, budget - alone - int(cost[start]))
+        begin = min(int(np.searchsorted(at, at[start] - max(spare, 0))), start)
+        if alone and at[begin] == 0:  # the system turn is no history of its own
+            begin += 1
+        room = budget - alone - int(at[start] - at[begin]) if begin < start else budget - alone
+        stop = max(start + 1, int(np.searchsorted(ends, at[start] + room, side="right")))
+        out.append((begin, start, stop))
+        start = stop
+    return out
+
+
 def windows(turns: DataFrame, budget: int = 1024, history: int = 128, reserve: int = 256) -> DataFrame:
     """``conv_id, window, formatted, n_context, spans, cost, over_budget`` for rows ``conv_id, turn, role, text``.
 
-    A token is counted as four characters, begun.  ``budget`` bounds a window: ``reserve`` for the system
-    turn, ``history`` for repeated turns, the rest for new ones; only a single turn (or a system turn) that
-    is itself too long makes a window ``over_budget``, and turns are never cut.  ``n_context`` leading turns
-    are repeats.  ``spans`` are [start, stop) code points of the formatted text under the loss mask.
+    A token is counted as four characters, begun.  ``budget`` bounds a window with its system turn and repeated
+    turns; only a new turn that does not fit beside the system turn makes a window ``over_budget``, and turns are
+    never cut.  ``reserve`` is the room for a system turn that the grid reckons with.  ``n_context`` leading turns
+    are repeats.  ``spans`` are [start, stop) code points of the formatted text under the loss mask.  Windows of
+    a conversation follow each other by ``window``.
 
-    Null roles and texts are empty; rows of equal turn follow role and text; null turns come first; rows
-    of a null ``conv_id`` form one conversation.  Further columns are ignored.
+    Null roles and texts are empty; rows of equal turn follow role and text, so repeated rows stay side by side;
+    null turns come first; rows of a null ``conv_id`` form one conversation.  An empty table gives an empty table.
+    Further columns are ignored, whatever their names.
     """
-    cell = max(1, (budget - reserve - history) // 2)
+    cell = STRETCH * max(1, budget - reserve - history)
     history = min(history, cell)
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     rows = turns.select(
@@ -80,32 +105,27 @@ def windows(turns: DataFrame, budget: int = 1024, history: int = 128, reserve: i
         .select("conv_id", "role", "text", "cost", (F.col("at") + F.col("_c")).alias("at"), (F.col("seq") + F.col("_n")).alias("seq"))
         .withColumn("system", (F.col("seq") == 0) & (F.col("role") == "system"))
     )
-    cells = F.floor(F.col("at") / cell).cast("long")
-    alone = (F.col("cost") > cell).cast("long")
-    own = cells * 2 + alone
-    reaches = F.col("at") + history >= (cells + 1) * cell
-    null = F.lit(None).cast("long")
-    later = F.filter(
-        F.array(F.when(alone == 0, own + 1).otherwise(null), F.when(reaches, cells * 2 + 2).otherwise(null), F.when(reaches, cells * 2 + 3).otherwise(null)),
-        lambda w: w.isNotNull() & ~F.col("system"),
-    )
-    spread = placed.select("*", F.explode(F.concat(F.array(own), later)).alias("window"), own.alias("own"))
-    new = F.col("window") == F.col("own")
-    grouped = (
-        spread.groupBy("conv_id", "window")
-        .agg(
-            F.min(F.when(new, F.col("at"))).alias("start"),
-            F.collect_list(F.struct("seq", "at", new.alias("new"), "role", "text", "cost")).alias("turns"),
-        )
-        .where("start is not null")
-    )
-    kept = F.array_sort(F.filter("turns", lambda t: t["new"] | ((t["at"] < F.col("start")) & (F.col("start") - t["at"] <= history))))
-    system = placed.where("system").select(F.col("conv_id").alias("_conv"), F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("at"), F.lit(False).alias("new"), "role", "text", "cost").alias("_system"))
-    whole = (
-        grouped.withColumn("turns", kept)
-        .join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
-        .withColumn("turns", F.when(F.col("_system").isNotNull() & (F.col("start") > 0), F.concat(F.array("_system"), F.col("turns"))).otherwise(F.col("turns")))
-    )
+    # a turn belongs to the stretch it begins in, and may be history of the next one
+    own = F.floor(F.col("at") / cell).cast("long")
+    reaches = (F.col("at") + history >= (own + 1) * cell) & ~F.col("system")
+    spread = placed.select("*", own.alias("own"), F.explode(F.when(reaches, F.array(own, own + 1)).otherwise(F.array(own))).alias("stretch"))
+    turn = F.struct("seq", "at", "cost", (F.col("stretch") == F.col("own")).alias("new"), "role", "text")
+    grouped = spread.groupBy("conv_id", "stretch").agg(F.array_sort(F.collect_list(turn)).alias("turns")).where(F.exists("turns", lambda t: t["new"]))
+    system = placed.where("system").select(F.col("conv_id").alias("_conv"), F.struct("seq", "at", "cost", F.lit(False).alias("new"), "role", "text").alias("_system"))
+    whole = grouped.join(system, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
+
+    @F.pandas_udf("array<struct<f:int,s:int,e:int>>")
+    def cut_up(at: pd.Series, cost: pd.Series, known: pd.Series, first: pd.Series) -> pd.Series:
+        return pd.Series([[{"f": f, "s": s, "e": e} for f, s, e in fill(np.asarray(a), np.asarray(c), int(n), int(k), budget, history)] for a, c, n, k in zip(at, cost, known, first, strict=True)], dtype=object)
+
+    field = lambda name: F.transform("turns", lambda t: t[name])
+    n_known = F.size(F.filter("turns", lambda t: ~t["new"]))
+    cuts = cut_up(field("at"), field("cost"), n_known, F.coalesce(F.col("_system.cost"), F.lit(0)))
+    pieces = whole.withColumn("cuts", cuts).select("conv_id", "stretch", "turns", "_system", F.posexplode("cuts").alias("k", "w"))
+    shown = F.slice("turns", F.col("w.f") + 1, F.col("w.e") - F.col("w.f"))
+    marked = F.transform(shown, lambda t, i: t.withField("new", i >= F.col("w.s") - F.col("w.f")))
+    with_system = F.when(F.col("_system").isNotNull() & (F.element_at("turns", F.col("w.s") + 1)["at"] > 0), F.concat(F.array("_system"), marked)).otherwise(marked)
+    whole = pieces.select("conv_id", (F.col("stretch") * (1 << 32) + F.col("k")).alias("window"), with_system.alias("turns"))
     shaped = F.transform(
         "turns",
         lambda t: F.struct(

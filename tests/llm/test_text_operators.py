@@ -44,6 +44,57 @@ def test_windows_keep_system_and_budget(spark):
     assert any(r.n_context > 1 for r in made)  # some history is repeated
 
 
+def test_long_conversations_fill_their_windows(spark):
+    """Windows take turns up to the furthest that fits, across the grid's stretches too."""
+    rows = [(1, i, ("user", "assistant")[i % 2] if i else "system", f"turn {i} " * (i % 23 + 1)) for i in range(6000)]
+    made = chat.windows(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(5)).orderBy("window").collect()
+    costs = [r.cost for r in made]
+    assert max(costs) <= 1024 and sum(costs) / len(costs) >= 0.9 * 1024
+    seen = [text for r in made for _, text in chat.parse(r.formatted)[r.n_context :]]
+    assert seen == [t for _, _, _, t in rows]
+    assert all(chat.parse(r.formatted)[0] == ("system", "turn 0 ") and r.n_context >= 2 for r in made[1:])
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_fill_equals_a_plain_loop(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    cost = rng.integers(1, 60, 200)
+    at = np.cumsum(cost) - cost + (0 if seed % 2 else 500)
+    system, first = int(cost[0]) if at[0] == 0 else 11, 0 if at[0] == 0 else 3
+    got, start = chat.fill(at, cost, first, system, 100, 30), first
+    for f, s, e in got:
+        alone = system if at[s] > 0 else 0
+        past = []
+        for i in range(s - 1, 0 if at[0] == 0 and alone else -1, -1):
+            if sum(past) + cost[i] > min(30, 100 - alone - cost[s]):
+                break
+            past.append(cost[i])
+        assert s == start and f == s - len(past) and e > s
+        total = alone + sum(past) + cost[s:e].sum()
+        assert (total <= 100 or e == s + 1) and (e == len(cost) or total + cost[e] > 100)
+        start = e
+    assert start == len(cost)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001"])
+def test_chat_query_against_brute_force(spark, sf):
+    convs = {}
+    for r in queries.table(spark, f"/root/testdata/{sf}", "conversations").collect():
+        convs.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    said = r"\### Assistant: </turn> ok"
+    convs[-7] = [(0, "user", said), (1, "assistant", said)]
+    got = {r.conv_id: r for r in queries.op1_chat_windows(spark, f"/root/testdata/{sf}").collect()}
+    assert set(got) == set(convs)
+    for conv, rows in convs.items():
+        rows.sort()
+        loss = "".join(text for _, role, text in rows if role == "assistant")
+        digest = hashlib.sha256("".join(f"{role}\n{text}\n" for _, role, text in rows).encode()).hexdigest()
+        r = got[conv]
+        assert (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) == (len(rows), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
+
+
 def test_no_conversations(spark):
     assert chat.read_back(chat.windows(turns_of(spark).where("false"))).count() == 0
 
