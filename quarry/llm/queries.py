@@ -55,14 +55,19 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = warc.new_path(spark)
     warc.write(table(spark, sf_dir, "pages"), path)
-    captures = warc.transactions(warc.read(spark, path))
-    page = F.regexp_extract(F.col("metadata.block").cast("string"), r"page-id: (-?\d+)", 1)
-    return captures.select(
-        F.nullif(page, F.lit("")).cast("long").alias("page_id"),
+    captures = common.cut(warc.transactions(warc.read(spark, path, payloads=False)), "captures")
+    page = lambda block: F.nullif(F.regexp_extract(block.cast("string"), r"page-id: (-?\d+)", 1), F.lit("")).cast("long")
+    # revisits are few enough to carry their original's page id into the rows by a join of narrow rows
+    refers = warc.originals(captures).select(F.col("record_id").alias("_revisit"), page(F.col("original.block")).alias("refers_to"))
+    rows = captures.where("response.type = 'response'").withColumn("refers_to", F.lit(None).cast("long")).unionByName(
+        captures.where("response.type = 'revisit'").join(refers, F.col("record_id") == F.col("_revisit"), "left").drop("_revisit")
+    )
+    return rows.select(
+        page(F.col("metadata.block")).alias("page_id"),
         F.col("response.payload_bytes").alias("payload_bytes"),
         F.col("response.payload_digest").alias("payload_digest"),
         F.col("response.type").alias("record_type"),
-        F.col("response.refers_to_page").cast("long").alias("refers_to"),
+        "refers_to",
     )
 
 

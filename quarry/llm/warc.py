@@ -2,7 +2,8 @@
 
 Each page becomes a response (or revisit), a request and a metadata record.  The two latter name
 the first in ``WARC-Concurrent-To``; reading joins the three through that identifier and gives one
-nested row for each capture.
+nested row for each capture.  The archives are read once and their records shuffled once; payloads
+travel only where they are asked for.
 
 The archives are gzip files of records that end with two line ends.  Spark's own text writer makes
 them (the record separator is its line separator), so they can lie in any store and a repeated task
@@ -25,7 +26,7 @@ from . import common
 
 END = "\r\n\r\n"
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
-#: Uncompressed characters of records in an archive file, about.
+#: Records in an archive file.
 RECORDS_PER_FILE = 6000
 
 
@@ -89,7 +90,6 @@ def records(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-01-0
             ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("digest"))),
             ("WARC-Refers-To", F.when(is_revisit, target)),
             ("WARC-Profile", F.when(is_revisit, F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))),
-            ("X-Refers-To-Page", F.when(is_revisit, F.col("first_id").cast("string"))),
         ], "application/http; msgtype=response", http),
         record(F.lit("request"), _uuid(F.lit("request"), name, F.col("digest"), F.col("_n").cast("string")), [("WARC-Concurrent-To", own)], "application/http; msgtype=request", F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1\r\n\r\n"))),
         record(F.lit("metadata"), _uuid(F.lit("metadata"), name, F.col("digest"), F.col("_n").cast("string")), [("WARC-Concurrent-To", own)], "application/warc-fields", F.concat(F.coalesce(F.concat(F.lit("page-id: "), name, F.lit("\r\n")), F.lit("")), F.lit("payload-bytes: "), F.col("n_bytes").cast("string"), F.lit("\r\n"))),
@@ -147,13 +147,15 @@ def parse_archive(data: bytes):
         at += begin + size + 4
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """All records: ``type, record_id, concurrent_to, refers_to, refers_to_page, uri, digest, block, payload, payload_bytes, payload_digest``.
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """All records: ``type, record_id, concurrent_to, refers_to, uri, digest, block, payload, payload_bytes, payload_digest``.
 
-    ``payload`` is the HTTP body of a response; ``payload_digest`` is recomputed from it (from the header
-    for a revisit, whose body is elsewhere), as is ``payload_bytes``.
+    ``payload`` is the HTTP body of a response (null if ``payloads`` is off: the bytes then stay in the task);
+    ``payload_digest`` is recomputed from it (from the header for a revisit, whose body is elsewhere), as is
+    ``payload_bytes``.  ``block`` is null for responses.  Blocks of any length and bytes are taken, empty ones too;
+    a repeated record gives a row each; headers that are missing are null; an empty folder gives no rows.
     """
-    names = "type record_id concurrent_to refers_to refers_to_page uri digest".split()
+    names = "type record_id concurrent_to refers_to uri digest".split()
     schema = ", ".join(f"{n} string" for n in names) + ", block binary, payload binary, payload_bytes long, payload_digest string"
 
     def scan(batches):
@@ -161,13 +163,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         size = 0
 
         def out():
-            kinds = [pa.string()] * 7 + [pa.binary(), pa.binary(), pa.int64(), pa.string()]
+            kinds = [pa.string()] * 6 + [pa.binary(), pa.binary(), pa.int64(), pa.string()]
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=[*names, "block", "payload", "payload_bytes", "payload_digest"])
 
         for batch in batches:
             for data in batch.column("content"):
                 for h, block in parse_archive(data.as_buffer()):
-                    type_, digest = h["warc-type"], h.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                    type_, digest = h.get("warc-type"), h.get("warc-payload-digest", "").removeprefix("sha1:") or None
                     payload = n_bytes = found = None
                     if type_ in ("response", "revisit"):
                         head, _, body = block.partition(b"\r\n\r\n")
@@ -175,9 +177,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             payload, n_bytes = body, len(body)
                             found = base64.b32encode(hashlib.sha1(body).digest()).decode()
                         else:
-                            n_bytes, found = int(re.search(rb"Content-Length: (\d+)", head)[1]), digest
-                    rows.append((type_, h["warc-record-id"], h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("x-refers-to-page"), h.get("warc-target-uri"), digest, None if type_ == "response" else block, payload, n_bytes, found))
-                    size += len(block)
+                            told = re.search(rb"Content-Length: (\d+)", head)
+                            n_bytes, found = int(told[1]) if told else None, digest
+                    rows.append((type_, h.get("warc-record-id"), h.get("warc-concurrent-to"), h.get("warc-refers-to"), h.get("warc-target-uri"), digest, None if type_ == "response" else block, payload if payloads else None, n_bytes, found))
+                    size += len(block) if payloads or type_ != "response" else 200
                     if size > 4_000_000:
                         yield out()
                         rows, size = [], 0
@@ -191,16 +194,33 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 def transactions(records: DataFrame) -> DataFrame:
     """One nested row for each capture: ``record_id, response, request, metadata`` (structs; null where a record is missing).
 
-    Requests and metadata find their response or revisit through ``WARC-Concurrent-To``.
+    Requests and metadata meet their response or revisit through ``WARC-Concurrent-To``, in one shuffle on the
+    identifier that all three share.  Of several partners of one kind the one with the smallest record id counts,
+    and of captures that repeat a record id the smallest, so partners never multiply rows; partners without a
+    capture and records without an id are left out.  An empty table gives an empty table.
     """
-    side = lambda kind, cols: records.where(F.col("type") == kind).select(F.col("concurrent_to").alias("_to"), F.struct("record_id", *cols).alias(kind))
-    main = records.where(F.col("type").isin("response", "revisit")).select("record_id", F.struct("type", "uri", "refers_to", "refers_to_page", "payload", "payload_bytes", "payload_digest").alias("response"))
-    request, metadata = side("request", ["uri", "block"]), side("metadata", ["block"])
+    main = F.col("type").isin("response", "revisit")
+    side = lambda kind, *cols: F.min(F.when(F.col("type") == kind, F.struct("record_id", *cols))).alias(kind)
+    shared = F.when(main, F.col("record_id")).otherwise(F.col("concurrent_to"))
     return (
-        main.join(request, main["record_id"] == request["_to"], "left").drop("_to")
-        .join(metadata, main["record_id"] == metadata["_to"], "left").drop("_to")
+        records.withColumn("_capture", shared).where("_capture is not null").groupBy(F.col("_capture").alias("record_id"))
+        .agg(F.min(F.when(main, F.struct("type", "uri", "refers_to", "payload_bytes", "payload_digest", "payload"))).alias("response"), side("request", "uri", "block"), side("metadata", "block"))
+        .where("response is not null")
     )
 
 
+def originals(captures: DataFrame) -> DataFrame:
+    """``record_id, original``: for each revisit the metadata record of the capture that its ``WARC-Refers-To`` names (null if that is not there).
+
+    The captures that revisits name are few beside the revisits of a hot payload, so they are looked up once each.
+    ``captures`` is read twice: hand in a stored table.
+    """
+    revisits = captures.where("response.type = 'revisit'").select("record_id", F.col("response.refers_to").alias("_to"))
+    named = revisits.select("_to").distinct()
+    found = captures.select(F.col("record_id").alias("_of"), F.col("metadata").alias("original")).join(named, F.col("_of") == F.col("_to"), "left_semi")
+    found, _ = common.sized(found, "warc-originals")
+    return revisits.join(found, F.col("_to") == F.col("_of"), "left").select("record_id", "original")
+
+
 def new_path(spark: SparkSession) -> str:
     return f"{common.work_dir(spark)}/quarry-warc-{uuid.uuid4().hex}"

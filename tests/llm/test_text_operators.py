@@ -148,9 +148,14 @@ def pages(spark):
 def test_archives_give_back_every_page(spark, pages):
     path = warc.new_path(spark)
     warc.write(pages, path, records_per_file=4)
-    got = warc.transactions(warc.read(spark, path)).collect()
+    captures = common.cut(warc.transactions(warc.read(spark, path)))
+    got = captures.collect()
     assert len(got) == pages.count()
-    seen = sorted((int(bytes(r.metadata.block).decode().split("page-id: ")[1].split()[0]), r.response.type, r.response.payload_bytes, r.response.payload_digest, r.response.refers_to_page) for r in got)
+    page = lambda block: int(bytes(block).decode().split("page-id: ")[1].split()[0])
+    refers = {r.record_id: str(page(r.original.block)) for r in warc.originals(captures).collect()}
+    seen = sorted((page(r.metadata.block), r.response.type, r.response.payload_bytes, r.response.payload_digest, refers.get(r.record_id)) for r in got)
+    html = {r.page_id: (r.html or "").encode() for r in pages.collect()}
+    assert all(bytes(r.response.payload) == html[page(r.metadata.block)] for r in got if r.response.type == "response")
     want = []
     first = {}
     for r in sorted(pages.collect(), key=lambda r: r.page_id):
@@ -162,6 +167,16 @@ def test_archives_give_back_every_page(spark, pages):
     assert all(r.request is not None for r in got)
 
 
+def test_missing_and_doubled_partners(spark):
+    rows = [("response", "r1", None), ("request", "q1", "r1"), ("request", "q2", "r1"), ("metadata", "m1", "r1"), ("revisit", "r2", None), ("request", "q3", "gone"), ("response", None, None), ("response", "r1", None)]
+    made = spark.createDataFrame(rows, "type string, record_id string, concurrent_to string")
+    made = made.selectExpr("*", "'r1' refers_to", "'u' uri", "null digest", "cast('b' as binary) block", "cast('p' as binary) payload", "1L payload_bytes", "'d' payload_digest")
+    got = {r.record_id: r for r in warc.transactions(made).collect()}
+    assert set(got) == {"r1", "r2"} and got["r1"].request.record_id == "q1" and got["r1"].metadata.record_id == "m1"
+    assert got["r2"].request is None and got["r2"].metadata is None
+    assert [(r.record_id, r.original.record_id) for r in warc.originals(warc.transactions(made)).collect()] == [("r2", "m1")]
+
+
 def test_small_payloads_are_not_revisits(spark, pages):
     path = warc.new_path(spark)
     warc.write(pages, path, min_revisit_bytes=1)
