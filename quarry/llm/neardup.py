@@ -1,15 +1,19 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Texts with equal word sequences form a class; only its smallest document goes on.
-2. Minwise signatures are cut into bands whose number and rows follow the wanted similarity (``shape``).  Documents that share a band are
-   candidates: each band value links its documents to the smallest, and the connected components of these
-   links (clusters) contain every candidate pair.  No pairs are listed, so a cluster of n documents costs n rows.
-3. Inside a cluster, the signature of one document at a time is compared with all others in batches of
-   ``BATCH`` values; a pair is dropped once the posterior probability of the wanted similarity, given the
-   matches so far, falls below ``MISS``.  Survivors are verified exactly on their full shingle sets.
-   Documents that are already known to belong together need no comparison, so all but the largest
-   component of a cluster are explored.  Clusters of more than ``BLOCK_SHINGLES`` are cut into blocks, and every
-   two blocks meet in a task of their own.
+2. Minwise signatures are cut into bands whose number and rows follow the wanted similarity (``shape``).
+   Documents that share a band value are a bucket; buckets of the same documents are one.
+3. In every bucket, whatever its size, signatures are compared in batches of ``BATCH`` values; a pair is
+   dropped once the posterior probability of the wanted similarity, given the matches so far, falls below
+   ``MISS``.  Only pairs that survive connect documents: clusters are the components of survivors.
+4. Inside a cluster survivors are verified exactly on their full shingle sets.
+
+No pairs are listed at any time.  Documents already known to belong together need no comparison, so all
+but the largest component of a group are explored, one document against all others at a time.  Large
+groups are cut: a bucket of more than ``BUCKET_DOCS`` into blocks which meet pairwise; a cluster of more than
+``BLOCK_SHINGLES`` into slices, each verified together with a few common documents, so that in one pass
+the slices of a group of near copies become one component; only documents outside a cluster's largest
+component then meet all slices.
 
 A pair of similarity 0.85 shares no band with probability (1 - 0.85**5) ** 25 < 5e-7, one of 0.80 (32 bands of 4) with probability (1 - 0.8**4) ** 32 < 5e-8.
 """
@@ -17,6 +21,7 @@ A pair of similarity 0.85 shares no band with probability (1 - 0.85**5) ** 25 <
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Callable, Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -33,7 +38,11 @@ UNBANDED = 1e-6
 BATCH = 32
 #: Posterior probability below which a candidate is dropped.
 MISS = 1e-6
-BLOCK_DOCS, BLOCK_SHINGLES = 8192, 3_000_000
+BUCKET_DOCS, BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8192, 3_000_000
+#: Documents of a large cluster that every slice of it sees.
+COMMON = 8
+#: Tasks over which the neighbours of a node are spread in the star steps.
+SALTS = 8
 _MASK = (1 << 64) - 1
 _rng = np.random.default_rng(97)
 _A = _rng.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -95,7 +104,7 @@ def normal(text: str) -> list[bytes]:
 
 
 def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, digest, bands``: digest of the word sequence (null: no words) and band values."""
+    """``doc_id, n_shingles, digest, bands, sig``: digest of the word sequence (null: no words), band values, the signature's bytes."""
 
     def profile(batches):
         for batch in batches:
@@ -103,15 +112,16 @@ def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
             for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
                 words = normal(text or "")
                 if not words:
-                    rows.append((doc_id, 0, None, None))
+                    rows.append((doc_id, 0, None, None, None))
                     continue
                 s = shingles(words)
-                rows.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), bands(signature(s), percent).tolist()))
-            cols = list(zip(*rows, strict=True)) or [()] * 4
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "bands"])
+                sig = signature(s)
+                rows.append((doc_id, len(s), hashlib.blake2b(b" ".join(words), digest_size=16).digest(), bands(sig, percent).tolist(), sig.astype(np.uint8).tobytes()))
+            cols = list(zip(*rows, strict=True)) or [()] * 5
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_shingles long, digest binary, bands array<long>")
+    return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
 
 @lru_cache(maxsize=8)
@@ -132,55 +142,21 @@ def least_matches(percent: int, miss: float = MISS) -> tuple[int, ...]:
     return tuple(out)
 
 
-def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For ascending ids, the position of the smallest member of each one's component under 100 * |a & b| >= percent * |a | b|.
+def united(roots: np.ndarray, hits: Callable[[int], np.ndarray]) -> np.ndarray:
+    """Components (smallest position) of a symmetric relation on positions, starting from known ones in ``roots``.
 
-    Equal ids are one document.
+    ``hits(i)`` gives the positions related to i.  A pair is settled once either side is explored, so the
+    members of the largest component may stay unexplored.
     """
-    n = len(sets)
-    roots = np.searchsorted(np.array(ids, np.int64), ids)
-    sizes = np.array([len(s) for s in sets])
-
-    def unite(i: int, hits: np.ndarray) -> None:
-        own = np.unique(np.append(roots[hits], roots[i]))
-        roots[np.isin(roots, own)] = own[0]
-
-    if n <= 6:
-        for i in range(n):
-            for k in range(i):
-                a, b = sizes[i], sizes[k]
-                if roots[i] != roots[k] and 100 * min(a, b) >= percent * max(a, b):
-                    both = a + b - len(np.unique(np.concatenate([sets[i], sets[k]])))
-                    if 100 * both >= percent * (a + b - both):
-                        unite(i, np.array([k]))
-        return roots
-    sigs = np.stack([signature(s).astype(np.uint8) for s in sets])
-    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
-    starts = np.concatenate([[0], np.cumsum(sizes)])
-    by_shingle = np.argsort(flat, kind="stable")
-    posting = owner[by_shingle]
-    first = np.searchsorted(flat[by_shingle], np.arange(len(names) + 1))
-    least = least_matches(percent)
+    n = len(roots)
 
     def explore(i: int) -> None:
-        near = np.flatnonzero((roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
-        matches = np.zeros(len(near), int)
-        for k, low in enumerate(least):
-            part = slice(k * BATCH, (k + 1) * BATCH)
-            matches += (sigs[near, part] == sigs[i, part]).sum(1)
-            near, matches = near[matches >= low], matches[matches >= low]
-            if not len(near):
-                return
-        own = flat[starts[i] : starts[i + 1]]
-        a, spans = first[own], first[own + 1] - first[own]
-        where = np.repeat(a - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
-        both = np.bincount(posting[where], minlength=n)[near]
-        hits = near[100 * both >= percent * (sizes[near] + sizes[i] - both)]
-        if len(hits):
-            unite(i, hits)
-
-    # a pair is settled once either side is explored, so the members of one component may stay unexplored
+        found = hits(i)
+        if len(found):
+            own = np.unique(np.append(roots[found], roots[i]))
+            if len(own) > 1:
+                roots[np.isin(roots, own)] = own[0]
+
     pending = np.random.default_rng(n).permutation(n).tolist()
     while True:
         later = []
@@ -191,13 +167,99 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int) -> np.ndarray:
             else:
                 explore(i)
         if len(later) == len(pending) or len(set(roots[later])) <= 1:
-            if len(set(roots[later])) > 1:  # two components of equal size: explore one of them
+            if len(set(roots[later])) > 1:  # components of equal size: all but one are explored
                 for i in [i for i in later if roots[i] != roots[later[0]]]:
                     explore(i)
             return roots
         pending = later
 
 
+def surviving(i: int, roots: np.ndarray, sizes: np.ndarray, sigs: np.ndarray, percent: int) -> np.ndarray:
+    """Positions outside the component of i whose sizes allow the similarity and whose signatures survive batch after batch."""
+    near = np.flatnonzero((roots != roots[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+    matches = np.zeros(len(near), int)
+    for k, low in enumerate(least_matches(percent)):
+        part = slice(k * BATCH, (k + 1) * BATCH)
+        matches += (sigs[near, part] == sigs[i, part]).sum(1)
+        near, matches = near[matches >= low], matches[matches >= low]
+        if not len(near):
+            break
+    return near
+
+
+def _positions(ids: list[int]) -> np.ndarray:
+    """First position of each of the ascending ids, so that equal ids are one document."""
+    return np.searchsorted(np.array(ids, np.int64), ids)
+
+
+def clustered(ids: list[int], sizes: list[int], sigs: list[bytes], percent: int) -> np.ndarray:
+    """For ascending ids, the position of the smallest member of each one's component of surviving pairs."""
+    roots, sizes_, sigs_ = _positions(ids), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
+    return united(roots, lambda i: surviving(i, roots, sizes_, sigs_, percent))
+
+
+def linked(ids: list[int], sets: list[np.ndarray], percent: int, sigs: list[bytes] | None = None, labels: list[int] | None = None) -> np.ndarray:
+    """For ascending ids, the position of the smallest member of each one's component under 100 * |a & b| >= percent * |a | b|.
+
+    ``labels`` say which documents are known to belong together.
+    """
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets])
+    roots = _positions(ids)
+    if labels is not None:
+        first: dict[int, int] = {}
+        roots = np.array([min(r, first.setdefault(label, int(r))) for r, label in zip(roots, labels, strict=True)])
+    sigs_ = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1) if sigs else np.stack([signature(s).astype(np.uint8) for s in sets])
+    names, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    by_shingle = np.argsort(flat, kind="stable")
+    posting = owner[by_shingle]
+    first_at = np.searchsorted(flat[by_shingle], np.arange(len(names) + 1))
+
+    def hits(i: int) -> np.ndarray:
+        near = surviving(i, roots, sizes, sigs_, percent)
+        if not len(near):
+            return near
+        if len(near) <= 3:
+            both = np.array([sizes[i] + sizes[k] - len(np.union1d(sets[i], sets[k])) for k in near])
+        else:
+            own = flat[starts[i] : starts[i + 1]]
+            a, spans = first_at[own], first_at[own + 1] - first_at[own]
+            where = np.repeat(a - np.concatenate([[0], np.cumsum(spans)[:-1]]), spans) + np.arange(spans.sum())
+            both = np.bincount(posting[where], minlength=n)[near]
+        return near[100 * both >= percent * (sizes[near] + sizes[i] - both)]
+
+    return united(roots, hits)
+
+
+def _grouped(batches, key: list[str], settle: Callable[..., Iterable[tuple]]):
+    """``settle(columns)`` for each group of consecutive rows of Arrow batches with equal key columns; results in batches."""
+    now, held, done = None, [], []
+    for batch in batches:
+        columns = [batch.column(c).to_pylist() for c in batch.schema.names]
+        at = [batch.schema.names.index(c) for c in key]
+        for row in zip(*columns, strict=True):
+            own = tuple(row[c] for c in at)
+            if own != now:
+                if held:
+                    done += settle(*zip(*held, strict=True))
+                    if len(done) > 5000:
+                        yield _edge_batch(done)
+                        done = []
+                now, held = own, []
+            held.append(row)
+    if held:
+        done += settle(*zip(*held, strict=True))
+    if done:
+        yield _edge_batch(done)
+
+
+def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["a", "b", "slices"])
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """``node, root`` for edges ``a, b``: the smallest node of every connected component (nodes of some edge only).
 
@@ -231,15 +293,20 @@ def connected(edges: DataFrame) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.array(nodes[keep], pa.int64()), pa.array(roots[keep], pa.int64())], names=["a", "b"])
 
     now = common.cut(edges.where("a <> b").mapInArrow(contract, "a long, b long").distinct(), "edges")
+    def met(rows: DataFrame, low: DataFrame) -> DataFrame:
+        """Rows joined with the row of their ``a``; the neighbours of one node are spread over ``SALTS`` tasks."""
+        spread = low.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
+        return rows.withColumn("salt", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("long")).join(spread, ["a", "salt"]).drop("salt")
+
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = state(now)
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both, low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = common.cut(large, "edges")  # oriented: a > b
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
+        small = met(large, low).select(F.explode(F.array(F.struct(F.col("a"), F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a <> b").distinct()
         now = common.cut(small, "edges")
         after = state(now)
         if after == before:
@@ -248,76 +315,86 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def _clusters(reps: DataFrame, percent: int) -> DataFrame:
+    """``node, root``: components of pairs that share a band and whose signatures survive (documents of some such pair only)."""
+    banded = reps.select("doc_id", F.explode("bands").alias("band"))
+    # one bucket for every set of documents, named by its count and 128 bits of hashes
+    same = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
+    one = common.cut(same.groupBy("n", "x", "y").agg(F.min("band").alias("band")), "buckets")
+    bucket = one.select("band", F.ceil(F.col("n") / BUCKET_DOCS).cast("int").alias("blocks"))
+    member = banded.join(bucket, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "doc_id")
+    key = ["band", "i", "k"]
+    rows = member.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "n_shingles", "sig")
+
+    def settle(band, i, k, ids, sizes, sigs):
+        return [(a, ids[r], 1) for a, r in zip(ids, clustered(ids, sizes, sigs, percent).tolist(), strict=True) if ids[r] != a]
+
+    return connected(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int").select("a", "b"))
+
+
+def _verified(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+    """Exact links ``a, b, slices`` (each document to the smallest one of its component) inside every group ``(root, i, k)`` of ``dealt``."""
+    key = ["root", "i", "k"]
+    # only texts of cluster members travel: their ids are broadcast while their counted number is small
+    dealt, _ = common.sized(dealt, "dealt")
+    rows = docs.select("doc_id", "text").join(dealt, "doc_id").repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "label", "slices", "sig", "text")
+
+    def settle(root, i, k, ids, labels, slices, sigs, texts):
+        known = sigs if len(set(ids)) == len(ids) else None  # rows that repeat an id may have other texts
+        roots = linked(ids, [shingles(normal(t or "")) for t in texts], percent, known, labels)
+        return [(a, ids[r], n) for a, r, n in zip(ids, roots.tolist(), slices, strict=True)]
+
+    return common.cut(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int"), "links").where("a <> b")
+
+
 def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
 
     Documents whose sets of five-word shingles (ASCII lower case) have 100 * |a & b| >= percent * |a | b| are
     linked; ``component_id`` is the smallest ``doc_id`` reachable.  Null, empty and blank texts have empty
-    sets and are linked with nothing.  Rows that repeat a ``doc_id`` each get a row; a null ``doc_id`` takes
-    the component of its equal texts, and null where it has none.  Empty tables give an empty table.
+    sets and are linked with nothing; texts of any length are compared whole.  Rows that repeat a ``doc_id`` each
+    get a row (of several texts of one id each is compared); a null ``doc_id`` takes the component of its equal
+    texts, and null where it has none.  Empty tables give an empty table; further columns are ignored.
     """
     known = common.cut(profiles(docs, percent), "profiles")
     classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     classes = common.cut(classes, "classes")
     reps = (
         known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-        .select("doc_id", "digest", "n_shingles", "bands").dropDuplicates(["digest", "doc_id"])
+        .select("doc_id", "digest", "n_shingles", "bands", "sig").dropDuplicates(["digest", "doc_id"])
     )
     reps = common.cut(reps, "reps")
-    banded = reps.select("doc_id", F.explode("bands").alias("band"))
-    shared = banded.groupBy("band").agg(F.min("doc_id").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "b")
-    edges = banded.join(shared, "band").select(F.col("doc_id").alias("a"), "b")
-    cluster = connected(edges)
-
-    # clusters in blocks: most have one; a large one meets itself block by block
-    member = reps.groupBy("doc_id").agg(F.max("n_shingles").alias("n_shingles")).join(cluster.withColumnRenamed("node", "doc_id"), "doc_id")
-    member = common.cut(member, "members")
-    load = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    dealt = member.join(load, "root").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "root", "blocks", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("k"), "doc_id"
+    cluster = _clusters(reps, percent)
+
+    member = reps.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sig")).alias("p")).select("doc_id", "p.*").join(cluster.withColumnRenamed("node", "doc_id"), "doc_id")
+    shared = [F.min(F.struct(F.xxhash64("doc_id", F.lit(c)), "doc_id", "sig")).alias(f"c{c}") for c in range(COMMON)]
+    load = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("slices"), *shared)
+    load = common.cut(load, "loads")
+    slices = member.join(load.select("root", "slices"), "root").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
+    slices = common.cut(slices, "slices")
+    none = F.lit(0)
+    large = load.where("slices > 1")
+    everywhere = (
+        large.select("root", "slices", F.explode(F.array_distinct(F.array(*(F.struct(f"c{c}.doc_id", f"c{c}.sig") for c in range(COMMON))))).alias("c"))
+        .select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"), none.alias("k"), "c.doc_id", F.col("c.doc_id").alias("label"), "slices", "c.sig")
     )
-    # only texts of cluster members travel: their ids are broadcast while their counted number is small
-    dealt, _ = common.sized(dealt, "dealt")
-    rows = docs.select("doc_id", "text").join(dealt, "doc_id").repartition("root", "i", "k").sortWithinPartitions("root", "i", "k", "doc_id")
-
-    def verify(batches):
-        key, held, many = None, [], 0
-        done: list[tuple] = []
-        size = 0
-
-        def settle():
-            nonlocal size
-            ids = [h[0] for h in held]
-            done.append((ids, [ids[r] for r in linked(ids, [h[1] for h in held], percent)], [many] * len(ids)))
-            size += len(ids)
-
-        def flush():
-            nonlocal size
-            cols = [[v for d in done for v in d[c]] for c in range(3)]
-            done.clear()
-            size = 0
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32())], names=["a", "b", "blocks"])
-
-        for batch in batches:
-            for root, blocks, i, k, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("root", "blocks", "i", "k", "doc_id", "text")), strict=True):
-                if (root, i, k) != key:
-                    if held:
-                        settle()
-                        if size > 5000:
-                            yield flush()
-                    key, held, many = (root, i, k), [], blocks
-                held.append((doc_id, shingles(normal(text or ""))))
-        if held:
-            settle()
-        if done:
-            yield flush()
-
-    found = common.cut(rows.select("root", "blocks", "i", "k", "doc_id", "text").mapInArrow(verify, "a long, b long, blocks int"), "links")
-    joined = found.where("blocks = 1 and a <> b").select("a", F.col("b").alias("root"))
-    many = found.where("blocks > 1 and a <> b").select("a", "b")
-    if many.limit(1).count():
-        joined = joined.unionByName(connected(many).select(F.col("node").alias("a"), "root"))
+    first = slices.select("root", "i", none.alias("k"), "doc_id", F.col("doc_id").alias("label"), "slices", "sig").unionByName(everywhere)
+    links = _verified(docs, first, percent)
+    joined = links.where("slices = 1").select("a", F.col("b").alias("root"))
+    if large.limit(1).count():
+        many = links.where("slices > 1").select("a", "b")
+        label = connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
+        parts = common.cut(slices.where("slices > 1").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "parts")
+        most = parts.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
+        outside = parts.join(most, "root").where("label <> most")
+        rest = outside.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
+        # every block of outside documents meets every slice once
+        asks = outside.join(rest, "root").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+        met = parts.join(rest, "root").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        columns = ["root", "i", "k", "doc_id", "label", "slices", "sig"]
+        second = _verified(docs, met.select(*columns).unionByName(asks.select(*columns)).distinct(), percent)
+        joined = joined.unionByName(connected(many.unionByName(second.select("a", "b"))).select(F.col("node").alias("a"), "root"))
     names = classes.join(joined, F.col("rep") == F.col("a"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return (
         known.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")
@@ -345,9 +422,10 @@ from k left join c on c.h = k.h and k.n > 0 left join m on m.node = c.rep"""
 
 
 def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """The rows of ``docs`` whose document is kept, once each; rows with a null ``doc_id`` stay.
+    """The rows of ``docs`` whose document is kept, once each, with all their columns; rows with a null ``doc_id`` stay.
 
-    Only ids of dropped documents are joined back (an anti join), by broadcast while they are few.
+    Of several rows with one id the one with the smallest text (null first) stays.  Only ids of dropped
+    documents are joined back (an anti join), by broadcast while they are few.
     """
     verdict = components(docs.where("doc_id is not null"), percent)
     gone, n = common.sized(verdict.where("not kept").select("doc_id").distinct(), "dropped")
@@ -355,5 +433,6 @@ def deduplicated(docs: DataFrame, percent: int = 85) -> DataFrame:
     again, n = common.sized(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"), "repeated")
     if not n:
         return kept
-    twice = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    row = F.struct(F.col("text").alias("_text"), F.xxhash64(*docs.columns).alias("_hash"), F.struct(*docs.columns).alias("_row"))
+    twice = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.struct("text", F.xxhash64(*docs.columns))).alias("_one")).select("_one._row.*")
     return kept.join(again, "doc_id", "left_anti").unionByName(twice)
