@@ -12,18 +12,34 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: list[str] = []
+_tables: list[str] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: ``spark.checkpoint.dir``, or an own one where that is unset (tests)."""
+    """The shared folder for intermediate tables: ``spark.checkpoint.dir``.
+
+    Where that is unset, a local master (tests) takes a folder of its own; a cluster is an error, since its
+    executors would each write to their own disks.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_dir:
             _own_dir.append(tempfile.mkdtemp(prefix="spark-quarry-", dir="/tmp"))
         base = f"file://{_own_dir[0]}"
     return base.rstrip("/")
 
 
+def drop_tables(spark: SparkSession) -> int:
+    """Delete the intermediate tables that this driver has written (call it when no result is read any more); their number."""
+    n = len(_tables)
+    while _tables:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def cut(df: DataFrame, name: str = "table") -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
@@ -31,6 +47,7 @@ def cut(df: DataFrame, name: str = "table") -> DataFrame:
     is used twice is computed once.
     """
     path = f"{work_dir(df.sparkSession)}/quarry-{name}-{uuid.uuid4().hex}"
+    _tables.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -55,10 +72,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, modulus: in
     """At most ``max_rows`` labelled documents ``(doc_id, text, label)``, none of the fold ``held_out``.
 
     Rows are chosen by the smallest hash of their id, so the sample does not depend on partitioning.
-    Null labels are left out; a document with several labels takes the largest; null text is empty.
+    Null labels are left out; a document with several labels takes the largest, one with several texts the
+    smallest; null text is empty.
     The sample is the only bounded step of a classifier; everything else runs over all rows.
     """
     learn = labels.where(F.col("doc_id").isNotNull() & F.col(target).isNotNull() & (label_fold(F.col("doc_id"), modulus) != held_out))
     chosen = learn.groupBy("doc_id").agg(F.max(target).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    return cut(rows.join(F.broadcast(chosen), "doc_id"), "labelled")
+    return cut(rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
