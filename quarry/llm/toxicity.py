@@ -3,20 +3,21 @@
 Features are the words of a text and the beginnings of its words; a beginning counts once for each
 distinct word that has it, up to ``CAP``.  Those that depart most from independence of the label (by
 their likelihood ratio on the labelled sample) are chosen.  Every labelled text
-that names a group is also seen with each identity term swapped for another of the same kind, and
-the loss penalises the squared change of the score, so naming a group carries no weight by itself.
+that names a group is also seen with its identity terms swapped for each other one of their kind, and
+without them, and the loss penalises the squared change of the score, so naming a group carries no weight by itself.
 """
 
 from __future__ import annotations
 
 import math
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
@@ -40,13 +41,15 @@ IDENTITY_TERMS = (
 )
 MAX_LABELLED = 20_000
 FEATURES = 1500
+#: Words with one beginning that count at most; a linear score of unbounded counts would judge a text by its length.
 CAP = 3
 #: Hash space of candidate features.
 SPACE = 1 << 22
 _STRIP = "".join(map(chr, range(33, 48))) + ":;<=>?@[\\]^_`{|}~«»„“”…¡¿"
 _PREFIXES = (4, 5, 6)
 
-_SWAP = {t: line[(i + 1) % len(line)] for line in IDENTITY_TERMS for i, t in enumerate(line)}
+_KIND = {t: line for line in IDENTITY_TERMS for t in line}
+_WORD = re.compile(common.WORD)
 
 
 def bare(word: str) -> str:
@@ -68,11 +71,35 @@ def text_features(words: set[str]) -> Counter[int]:
     return Counter(f for w in words for f in word_features(w))
 
 
-def swapped(words: set[str]) -> set[str] | None:
-    """The words with every identity term replaced by the next of its kind; None if there is none."""
-    if not any(w in _SWAP for w in words):
-        return None
-    return {_SWAP.get(w, w) for w in words}
+def swapped(text: str, step: int = 1) -> str | None:
+    """The text with every identity term replaced by the one ``step`` places on in its kind, case and marks kept; None if it names none.
+
+    With step 0 the terms are left out.
+    """
+    found = False
+
+    def other(m: re.Match) -> str:
+        nonlocal found
+        core = bare(m[0])
+        kind = _KIND.get(core)
+        if kind is None:
+            return m[0]
+        found = True
+        new = kind[(kind.index(core) + step) % len(kind)] if step else ""
+        if len(m[0].lower()) != len(m[0]):
+            return new
+        at = m[0].lower().index(core)
+        old = m[0][at : at + len(core)]
+        return m[0][:at] + (new.upper() if old.isupper() and len(old) > 1 else new.capitalize() if old[0].isupper() else new) + m[0][at + len(core) :]
+
+    out = _WORD.sub(other, text)
+    return out if found else None
+
+
+def counterfactuals(text: str) -> list[str]:
+    """The text with its terms swapped for every partner of their kinds, and without them: partners alone could all gain weight together."""
+    kinds = {_KIND[w] for w in text_words(text) if w in _KIND}
+    return [swapped(text, step) for step in range(max(map(len, kinds), default=0))]
 
 
 class Model:
@@ -125,6 +152,10 @@ def choose_features(sample: DataFrame, n: int = FEATURES) -> tuple[list[int], in
 def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3, max_labelled: int = MAX_LABELLED, threshold: float = 0.7, penalty: float = 1.0, l2: float = 1e-3, steps: int = 400) -> Model:
     """Learn from at most ``max_labelled`` rows outside the fold; with no usable label the score is 0.5 (one label: its share).
 
+    Rows are chosen by the hash of their id and features by rounded strength, then hash, so ties and partitioning do
+    not matter; a document with several rows or labels counts once (smallest text, largest label); null texts are
+    empty; empty tables give the model without labels; further columns are ignored.
+
     The bias is placed so that on the sample the cut at ``threshold`` has the best F1.
     """
     sample = common.labelled_sample(docs, labels, "toxic", modulus, held_out, max_labelled)
@@ -132,23 +163,21 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3,
     if not pos or not neg:
         share = (pos + 0.5) / (pos + neg + 1)
         return Model({}, math.log(share / (1 - share)))
-    names = sorted(set(chosen) | {f for t in _SWAP for f in word_features(t)})
+    names = sorted(set(chosen) | {f for t in _KIND for f in word_features(t)})
     index = {f: i for i, f in enumerate(names)}
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
-                words = text_words(text)
-                swap = swapped(words)
-                code = lambda ws: sorted(index[f] for f, c in text_features(ws).items() if f in index for _ in range(min(c, CAP)))
-                out.append((doc_id, label, code(words), code(swap) if swap is not None else None))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "x", "swap"])
+                code = lambda t: sorted(index[f] for f, c in text_features(text_words(t)).items() if f in index for _ in range(min(c, CAP)))
+                out.append((doc_id, label, code(text), [code(t) for t in counterfactuals(text)]))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "x", "swaps"])
 
     # indices of chosen features only: a few dozen numbers for each of a bounded number of rows
-    data = sample.mapInPandas(rows, "doc_id long, label int, x array<int>, swap array<int>").orderBy("doc_id").collect()
+    data = sample.mapInPandas(rows, "doc_id long, label int, x array<int>, swaps array<array<int>>").orderBy("doc_id").collect()
     x, y = [np.array(r["x"], int) for r in data], np.array([r["label"] for r in data], float)
-    pairs = [(x[i], np.array(r["swap"], int)) for i, r in enumerate(data) if r["swap"] is not None]
+    pairs = [(x[i], np.array(swap, int)) for i, r in enumerate(data) for swap in r["swaps"]]
     w, b = train(x, y, pairs, len(names), penalty, l2, steps)
     z = np.array([w[i].sum() for i in x]) + b
     b += math.log(threshold / (1 - threshold)) - best_cut(z, y)
@@ -194,9 +223,8 @@ def best_cut(z: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k] - 1)
 
 
-def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` and ``predicted``; a null text counts as empty."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model) -> Column:
+    """The score of ``text`` as a column; a null text counts as empty, a very long one is read whole."""
     shared = spark.sparkContext.broadcast((model.weights, model.bias))
 
     @F.pandas_udf("double")
@@ -205,4 +233,17 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         for part in parts:
             yield pd.Series([own.score(t or "") for t in part], dtype=float)
 
-    return docs.withColumn("score", score(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return score(F.coalesce("text", F.lit("")))
+
+
+def scored(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """All rows and columns of ``docs`` with ``score`` and ``predicted`` (given columns of these names are replaced).
+
+    A score of exactly ``threshold`` is predicted 1.  Repeated rows score alike; an empty table gives an empty table.
+    """
+    return docs.withColumn("score", scorer(docs.sparkSession, model)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score stays below the threshold."""
+    return docs.where(scorer(docs.sparkSession, model) < threshold)
