@@ -1,31 +1,47 @@
 """Token ids of whole texts, computed inside tasks with the ``tokenizers`` library.
 
 The vocabulary used here never joins characters across ASCII white space, so a text's ids are the
-ids of its white-space separated words put together.  A worker therefore keeps a bounded memo from
-word to ids and asks the library only for words it has not seen.  Machines are taken to be little-endian.
+ids of its white-space separated words put together, and a distinct word of some texts is coded once.
+Any vocabulary with other rules of normalising and splitting is left to the library, text by text.
+Machines are taken to be little-endian.
 """
 
 from __future__ import annotations
 
+import itertools
+import json
 import re
 import struct
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words (and parts of words) kept in a worker's memos, about 100 bytes each, before they start afresh; frequent ones soon return.
-MEMO_WORDS = 250_000
-#: Longer words (no white space in them) go to the library each time.
-MEMO_WORD_BYTES = 64
-
+#: Entries of each of the two generations of a worker's memos, about 150 bytes each.
+MEMO_WORDS = 200_000
+#: Bytes of texts whose words are coded together.
+TOGETHER = 4_000_000
+
+# The normaliser and the splitting for which words may be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 #: Words of these characters alone (no apostrophe) fall into runs of letters, single digits and runs of marks,
-#: as the vocabulary's own splitting has it; composed Latin letters need no further normalisation than lower case.
-_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
-_ONLY_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+#: as that splitting has it; composed Latin letters need no further normalisation than lower case.
+_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|\n|[!-&(-/:-@\[-`{-~]+")
+_ONLY_PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9\n!-&(-/:-@\[-`{-~]+")
+#: Stands for a line end among ids; no id has all bits set.
+_STOP = b"\xff\xff\xff\xff"
 
 
 def byte_letters() -> dict[int, str]:
@@ -35,10 +51,60 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memo:
+    """A bounded table with two generations: a full one becomes the old one, whose entries return when they are asked for."""
+
+    def __init__(self, make: Callable[[list], Iterable], room: int = 0):
+        self.now: dict = {}
+        self._old: dict = {}
+        self._make, self._room = make, room or MEMO_WORDS
+
+    def all_of(self, keys: set) -> dict:
+        """The table, once it holds all keys."""
+        if len(self.now) > self._room:
+            self._old, self.now = self.now, {}
+        missing = keys.difference(self.now)
+        known = missing.intersection(self._old)
+        self.now.update(zip(known, map(self._old.__getitem__, known)))
+        new = list(missing - known)
+        self.now.update(zip(new, self._make(new)))
+        return self.now
+
+
+def word_codes(column: pa.Array, code: Callable[[list[str]], list[bytes]], same: bytes = b"") -> Iterator[bytes]:
+    """The codes of each text's words (parts between ASCII white space) one after the other, ``same`` after a word that equals the one before.
+
+    Words of about ``TOGETHER`` bytes of texts are split and numbered by Arrow, so ``code`` sees each distinct one once.
+    """
+    column = pc.fill_null(column, "")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, side="right")))
+        split = pc.ascii_split_whitespace(column.slice(at, stop - at))
+        numbered = split.flatten().dictionary_encode()
+        codes = code(numbered.dictionary.to_pylist())
+        words, order = numbered.dictionary, numbered.indices.to_numpy()
+        first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        if same and len(order):
+            empty = pc.index(words, "").as_py()  # around white space at the ends of a text
+            again = np.flatnonzero((order[1:] == order[:-1]) & (order[1:] != empty)) + 1
+            again = again[~np.isin(again, first)] + 1
+            order, first = np.insert(order, again, len(codes)), first + np.searchsorted(again, first, side="right")
+        # taking the coded words in the order of the texts lays their codes out in a row
+        laid = pa.array([*codes, same], pa.binary()).take(pa.array(order, pa.int32()))
+        _, ends, data = laid.buffers()
+        ends = np.frombuffer(ends, "<i4", len(laid) + 1)
+        for begin, end in itertools.pairwise(ends[first].tolist()):
+            yield data[begin:end].to_pybytes() if end > begin else b""
+        at = stop
+
+
 class WordEncoder:
-    """``text -> little-endian unsigned 32-bit ids`` with bounded memos of words and of their parts.
+    """``text -> little-endian unsigned 32-bit ids``.
 
-    Plain words go part by part to the vocabulary's model; all others to the whole encoder.
+    Distinct words are coded once for some texts at a time: plain words part by part by the vocabulary's model
+    (parts are kept in a bounded memo), all others by the whole encoder.
     """
 
     def __init__(self, path: str):
@@ -47,34 +113,38 @@ class WordEncoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._model = self._tokenizer.model
         self._letters = byte_letters()
-        self._words: dict[bytes, bytes] = {}
-        self._parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        found = self._parts.get(part)
-        if found is None:
-            if len(self._parts) > MEMO_WORDS:
-                self._parts.clear()
-            known = part if part.isascii() else "".join([self._letters[b] for b in part.encode()])
-            found = self._parts[part] = array("I", [t.id for t in self._model.tokenize(known)]).tobytes()
-        return found
-
-    def _word(self, word: bytes) -> bytes:
-        text = word.decode()
-        if _ONLY_PLAIN.fullmatch(text) and "<|" not in text:
-            return b"".join([self._part(p) for p in _PLAIN.findall(text.lower())])
+        self._parts = Memo(self._code_parts)
+        rules = json.loads(self._tokenizer.to_str())
+        self.by_words = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["post_processor"] is None
+
+    def _ids(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        memo = self._words
-        for text in texts:
-            words = text.encode().split()
-            if len(memo) > MEMO_WORDS:
-                memo.clear()
-            long = {}
-            for word in set(words).difference(memo):
-                (memo if len(word) <= MEMO_WORD_BYTES else long)[word] = self._word(word)
-            yield b"".join(map((memo | long).__getitem__ if long else memo.__getitem__, words))
+    def _code_parts(self, parts: list[str]) -> Iterator[bytes]:
+        model, letters = self._model.tokenize, self._letters
+        for part in parts:
+            known = part if part.isascii() else "".join([letters[b] for b in part.encode()])
+            yield _STOP if part == "\n" else array("I", [t.id for t in model(known)]).tobytes()
+
+    def _code_words(self, words: list[str]) -> list[bytes]:
+        """Plain words are coded together: the ids of their parts in a row, cut at the code of the line ends between them."""
+        if not words:
+            return []
+        text = "\n".join(words)
+        if not _ONLY_PLAIN.fullmatch(text) or "<|" in text:
+            plain = [w for w in words if _ONLY_PLAIN.fullmatch(w) and "<|" not in w]
+            found = dict(zip(plain, self._code_words(plain), strict=True))
+            return [found[w] if w in found else self._ids(w) for w in words]
+        parts = _PLAIN.findall(text.lower())
+        return b"".join(map(self._parts.all_of(set(parts)).__getitem__, parts)).split(_STOP)
+
+    def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
+        """Ids of each text, nulls as empty ones."""
+        column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
+        if not self.by_words:
+            yield from map(self._ids, pc.fill_null(column, "").to_pylist())
+            return
+        yield from word_codes(column, self._code_words)
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -95,9 +165,7 @@ def token_ids(batches: Iterable[pa.RecordBatch], path: str, end_id: int | None)
     enc = encoder(path)
     end = b"" if end_id is None else struct.pack("<I", end_id)
     for batch in batches:
-        ids = batch.column("doc_id").to_pylist()
-        texts = [t or "" for t in batch.column("text").to_pylist()]
-        for doc_id, coded in zip(ids, enc.encode(texts), strict=True):
+        for doc_id, coded in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
             yield doc_id, coded + end
 
 

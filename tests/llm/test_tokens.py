@@ -139,7 +139,7 @@ def test_memos_keep_their_bound(monkeypatch):
     own = tokens.WordEncoder(queries.vocabulary())
     texts = [" ".join(f"word{(i * k) % 90}, don't" for k in range(9)) for i in range(60)]
     want = [array.array("I", e.ids).tobytes() for e in own._tokenizer.encode_batch(texts, add_special_tokens=False)]
-    assert list(own.encode(texts)) == want and len(own._words.now) < 150
+    assert list(own.encode(texts)) == want and len(own._parts.now) < 150
 
 
 def test_pack_is_gapless(docs, empty):
