@@ -15,12 +15,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .tokens import word_codes
 
-BUCKETS = 1 << 13
+#: Hash places of tokens (the last one is the mark of a repeated word): sums of 33 numbers each reach the driver.
+BUCKETS = 1 << 15
 DIM = 32
 NONZERO = 4
 STRETCH = 64
@@ -28,37 +30,27 @@ MAX_LABELLED = 20_000
 _RUN = re.compile(r"[^\W\d_]+|[\W\d_]+")
 
 
-def word_tokens(word: bytes) -> bytes:
+def word_tokens(word: str) -> bytes:
     """Tokens of a word as 32-bit numbers: its runs of letters (folded) with their case, and of other characters."""
     out = []
-    for run in _RUN.findall(word.decode()):
+    for run in _RUN.findall(word):
         if run[0].isalpha():
             out.append("w" + run.lower())
             if len(run) > 1 and run.isupper():
                 out.append("case:upper")
         else:
-            out.append("s" + run[:8])
+            out.append("s" + run)
     return np.array([zlib.crc32(t.encode()) % (BUCKETS - 1) for t in out], "<i4").tobytes()
 
 
 #: The token put after a word that equals the word before it.
 _SAME = np.array([BUCKETS - 1], "<i4").tobytes()
-_memo: dict[bytes, bytes] = {}
 
 
-def tokens(text: str) -> np.ndarray:
-    if len(_memo) > 120_000:
-        _memo.clear()
-    words, out, last = text.encode().split(), [], None
-    for w in words:
-        t = _memo.get(w)
-        if t is None:
-            t = _memo[w] = word_tokens(w)
-        out.append(t)
-        if w == last:
-            out.append(_SAME)
-        last = w
-    return np.frombuffer(b"".join(out), "<i4")
+def tokens(texts: pa.Array) -> Iterator[np.ndarray]:
+    """The tokens of each text."""
+    for codes in word_codes(texts, lambda words: list(map(word_tokens, words)), _SAME):
+        yield np.frombuffer(codes, "<i4")
 
 
 def index_vectors() -> tuple[np.ndarray, np.ndarray]:
@@ -92,10 +84,10 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
         size = 0
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                held.append(tokens(text or ""))
-                size += len(held[-1])
-                if size > 500_000:
+            for own in tokens(batch.column("text")):
+                held.append(own)
+                size += len(own)
+                if size > 1_500_000:
                     add()
                     size = 0
         if held:
@@ -121,9 +113,8 @@ def word_vectors(vectors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return v.astype(np.float32), (1e-3 / (1e-3 + counts / total)).astype(np.float32)
 
 
-def pooled(text: str, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Mean, largest and smallest stretch means, and the log length."""
-    t = tokens(text)
+def pooled(t: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Mean, largest and smallest stretch means, and the log length of a text's tokens."""
     if not len(t):
         return np.zeros(3 * DIM + 1, np.float32)
     starts = np.arange(0, len(t), STRETCH)
@@ -190,17 +181,19 @@ def _pool_column(docs: DataFrame, v: np.ndarray, weight: np.ndarray, then):
 
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
-            yield then(np.stack([pooled(t or "", *shared.value) for t in part]) if len(part) else np.zeros((0, 3 * DIM + 1), np.float32))
+            rows = [pooled(t, *shared.value) for t in tokens(pa.array(part, pa.string()))]
+            yield then(np.stack(rows) if rows else np.zeros((0, 3 * DIM + 1), np.float32))
 
     return apply
 
 
-def scored(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5, max_labelled: int = MAX_LABELLED, threshold: float = 0.3) -> DataFrame:
-    """All rows and columns of ``docs`` with ``score`` and ``predicted``.
+def scorer(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int = 5, max_labelled: int = MAX_LABELLED) -> Column:
+    """The score of ``text`` as a column, learnt from ``docs`` and ``labels``.
 
-    The network is fitted on at most ``max_labelled`` labelled documents outside the fold; vectors come from
-    all documents.  A null text is empty and has a score too; without both labels the score is the share of
-    good ones (0.5 with none at all).  Repeated rows score alike.
+    The network is fitted on at most ``max_labelled`` labelled documents outside the fold (those of smallest hash,
+    so ties and partitioning do not matter); vectors come from all documents, whole.  A null or blank text is empty
+    and has a score too; without both labels the score is the share of good ones (0.5 with none at all, or with
+    an empty table).
     """
     v, weight = word_vectors(*context_vectors(docs))
     sample = common.labelled_sample(docs, labels, "quality", modulus, held_out, max_labelled)
@@ -208,8 +201,20 @@ def scored(docs: DataFrame, labels: DataFrame, held_out: int = 0, modulus: int =
     rows = sample.select("doc_id", "label", pool("text").alias("x")).orderBy("doc_id").collect()  # bounded: max_labelled rows of 97 numbers
     x, y = np.array([r["x"] for r in rows], float).reshape(-1, 3 * DIM + 1), np.array([r["label"] for r in rows], float)
     if len(set(y)) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
-        return docs.withColumn("score", F.lit(float(share))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+        return F.lit(float((y.sum() + 0.5) / (len(y) + 1)))
     net = docs.sparkSession.sparkContext.broadcast(train(x, y).arrays)
-    score = F.pandas_udf(_pool_column(docs, v, weight, lambda x: pd.Series(Network(net.value).score(x.astype(float)))), "double")
-    return docs.withColumn("score", score(F.coalesce("text", F.lit("")))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    return F.pandas_udf(_pool_column(docs, v, weight, lambda x: pd.Series(Network(net.value).score(x.astype(float)))), "double")(F.coalesce("text", F.lit("")))
+
+
+def scored(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
+    """All rows and columns of ``docs`` with ``score`` and ``predicted`` (given columns of these names are replaced).
+
+    A score of exactly ``threshold`` is predicted 1.  Repeated rows count in the vectors and score alike; very long
+    texts are pooled whole; an empty table gives an empty table.  See ``scorer`` for nulls and ``how``.
+    """
+    return docs.withColumn("score", scorer(docs, labels, **how)).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def kept(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **how) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose score reaches the threshold."""
+    return docs.where(scorer(docs, labels, **how) >= threshold)

@@ -206,6 +206,136 @@ def test_classifiers_on_odd_documents(request, labels, which):
         assert len(rows) == df.count() and all(0 <= r.score <= 1 for r in rows)
 
 
+def test_swaps_keep_the_sentence():
+    text = "Two WOMEN, a Muslim\tand (blind) men met; women left."
+    assert toxicity.swapped(text) == "Two MEN, a Jewish\tand (elderly) girls met; men left."
+    assert toxicity.swapped("nobody here") is None and toxicity.counterfactuals("nobody") == []
+    assert toxicity.counterfactuals("some women,") == ["some ,", "some men,", "some girls,", "some boys,"] and len(set(toxicity.counterfactuals("a muslim"))) == 8
+
+
+def test_neutral_mentions_are_not_toxic(spark):
+    """Labels that go with a group: the penalty takes false positives on neutral mentions away, and finds insults as before."""
+    rng = np.random.default_rng(8)
+    plain = [f"word{i}" for i in range(60)]
+    rows, labels = [], []
+    for i in range(600):
+        toxic = i % 2
+        words = list(rng.choice(plain, 20))
+        if rng.random() < (0.9 if toxic else 0.05):
+            words.insert(int(rng.integers(20)), "Muslims")
+        if toxic and rng.random() < 0.8:
+            words.insert(int(rng.integers(20)), "vilescum")
+        rows.append((i, " ".join(words)))
+        labels.append((i, 1, toxic))
+    neutral = [(1000 + i, " ".join([*rng.choice(plain, 20), "Muslims"])) for i in range(100)]
+    insults = [(2000 + i, " ".join([*rng.choice(plain, 20), "vilescum"])) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    hits = {}
+    for penalty in (0.0, 5.0):
+        model = toxicity.fit(docs, labels, penalty=penalty)
+        got = toxicity.scored(spark.createDataFrame(neutral + insults, "doc_id long, text string"), model, 0.5).collect()
+        hits[penalty] = sum(r.score for r in got if r.doc_id < 2000), sum(r.score for r in got if r.doc_id >= 2000)
+    assert hits[5.0][0] < 0.6 * hits[0.0][0] and hits[5.0][1] > 0.9 * hits[0.0][1]
+
+
+def test_toxicity_query_against_a_plain_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = queries.table(spark, sf, "documents")
+    model = toxicity.fit(docs.select("doc_id", "text"), queries.table(spark, sf, "labels"))
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, sf).collect()}
+    for r in docs.collect():
+        behind: dict[int, set] = {}
+        for w in (r.text or "").split(" "):
+            for part in w.replace("\t", "\n").replace("\r", "\n").replace("\v", "\n").replace("\f", "\n").split("\n"):
+                b = toxicity.bare(part)
+                for f in toxicity.word_features(b) if b else ():
+                    behind.setdefault(f, set()).add(b)
+        z = model.bias + sum(model.weights.get(f, 0.0) * min(len(ws), toxicity.CAP) for f, ws in behind.items())
+        assert got[r.doc_id].score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9) and got[r.doc_id].predicted == int(got[r.doc_id].score >= 0.7)
+
+
+def plain_tokens(text):
+    out, last = [], None
+    for w in text.encode().split():
+        out += np.frombuffer(quality.word_tokens(w.decode()), "<i4").tolist()
+        if w == last:
+            out.append(quality.BUCKETS - 1)
+        last = w
+    return out
+
+
+def test_context_vectors_against_a_plain_loop(spark, docs):
+    places, signs = quality.index_vectors()
+    sums, counts = np.zeros((quality.BUCKETS, quality.DIM)), np.zeros(quality.BUCKETS)
+    rows = docs.where("doc_id is null or doc_id <> 10").collect() + queries.table(spark, "/root/testdata/sf0.001", "documents").limit(30).collect()
+    for r in rows:
+        t = plain_tokens(r.text or "")
+        for i, own in enumerate(t):
+            counts[own] += 1
+            for k in (i - 2, i - 1, i + 1, i + 2):
+                if 0 <= k < len(t):
+                    np.add.at(sums[own], places[t[k]], signs[t[k]])
+    got, n = quality.context_vectors(spark.createDataFrame([(r.text,) for r in rows], "text string").repartition(3))
+    assert (n == counts).all() and (got == sums).all()
+
+
+def test_quality_query_against_a_plain_loop(spark):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = queries.table(spark, sf, "documents"), queries.table(spark, sf, "labels")
+    v, weight = quality.word_vectors(*quality.context_vectors(docs))
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    known = {}
+    for r in labels.where(common.label_fold(labels.doc_id, 5) != 0).collect():
+        if r.quality is not None and r.doc_id in texts:
+            known[r.doc_id] = max(r.quality, known.get(r.doc_id, 0))
+
+    def features(text):
+        t = plain_tokens(text)
+        if not t:
+            return np.zeros(3 * quality.DIM + 1)
+        stretch = [t[k : k + quality.STRETCH] for k in range(0, len(t), quality.STRETCH)]
+        mean = lambda own: sum(v[i] * weight[i] for i in own) / max(sum(weight[i] for i in own), 1e-9)
+        means = np.array([mean(own) for own in stretch])
+        return np.concatenate([mean(t), means.max(0), means.min(0), [math.log1p(len(t)) / 10]])
+
+    x = {i: features(t).astype(np.float32).astype(float) for i, t in texts.items()}
+    net = quality.train(np.array([x[i] for i in sorted(known)]), np.array([known[i] for i in sorted(known)], float))
+    got = {r.doc_id: r for r in queries.op8_quality_network(spark, sf).collect()}
+    assert set(got) == set(texts)
+    assert all(got[i].score == pytest.approx(float(net.score(x[i])), abs=0.02) for i in texts)
+
+
+def test_sample_keeps_its_bound(spark):
+    docs = spark.range(5000).selectExpr("3L doc_id", "concat('t', id) text").unionByName(spark.range(100).selectExpr("id doc_id", "'u' text"))
+    labels = spark.range(100).selectExpr("id doc_id", "1 quality", "cast(id % 2 as int) toxic")
+    got = common.labelled_sample(docs, labels, "toxic", 3, 1, 10).collect()
+    assert len(got) == 10 == len({r.doc_id for r in got})
+
+
+def test_stages_keep_clashing_columns(spark):
+    """Columns that an operator uses itself pass through the stages as they were."""
+    sf = "/root/testdata/sf0.001"
+    names = ["score", "predicted", "size", "target", "shard", "times", "_row", "_key", "label", "kept"]
+    docs = queries.table(spark, sf, "documents").limit(60)
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, docs.doc_id * 100 + k)
+    docs = common.cut(docs)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows
+        assert all(r[name] == r.doc_id * 100 + k for r in rows for k, name in enumerate(names))
+
+
+def test_work_tables_can_be_dropped(spark):
+    import os
+
+    common.cut(spark.range(3))
+    path = common._tables[-1].removeprefix("file://")
+    assert os.path.isdir(path) and common.drop_tables(spark) > 0 and not os.path.exists(path)
+
+
 def test_held_out_labels_are_never_read(spark, docs):
     fold = docs.select("doc_id", common.label_fold(docs["doc_id"], 3).alias("f")).where("f = 1 and doc_id is not null").select("doc_id").distinct()
     labels = fold.selectExpr("doc_id", "1 quality", "1 toxic")
