@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -10,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
+from ..sources.tables import stored
 
-#: Query vectors that one job keeps in memory; larger query sets are searched in several passes.
+#: Query vectors that a task keeps in memory; a larger query set is searched in several passes.
 MAX_QUERIES = 10_000
+#: Scores that a task holds at once.
+SCORES = 4_000_000
 
 
 def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str = "rank") -> DataFrame:
@@ -23,17 +27,23 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
 def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, by: str | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` (and ``keep``): each query's k most similar vectors by cosine (per value of ``by``).
 
-    Queries (``query_id, embedding``) are a stated set of at most ``MAX_QUERIES``; more raise an error.  Each task
-    multiplies its batches with all queries and passes on only its own best k, so k rows a query and task are
-    shuffled.  A query does not find its own id.  Scores are rounded to six places, ties go to the smaller id.
+    Queries (``query_id, embedding``) are a stated set; each pass takes at most about ``MAX_QUERIES`` of them, dealt
+    by hash.  Each task multiplies its batches with all queries of the pass and passes on only the best k of a
+    stretch, so few rows a query and task are shuffled.  A query does not find its own id.  Scores are rounded to
+    six places, ties go to the smaller id.
     """
-    rows = queries.select("query_id", "embedding").orderBy("query_id").limit(MAX_QUERIES + 1).collect()
-    if len(rows) > MAX_QUERIES:
-        raise ValueError(f"more than {MAX_QUERIES} queries; search them in parts")
+    keep = keep or []
+    passes = max(1, -(-queries.count() // (MAX_QUERIES // 2)))
+    parts = [queries] if passes == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) for p in range(passes)]
+    found = reduce(DataFrame.unionByName, (_nearest(part, vectors, k, keep, by) for part in parts))
+    return topk(found, ["query_id", *([by] if by else [])], [F.desc("score"), F.col("vec_id")], k)
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], by: str | None) -> DataFrame:
+    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()  # one pass of queries
     ids = np.array([r["query_id"] for r in rows], np.int64)
     q = np.array([r["embedding"] for r in rows], float)
     shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(q) if len(rows) else q))
-    keep = keep or []
     fields = {f.name: f for f in vectors.schema}
     schema = "query_id long, vec_id long, score double" + "".join(f", {c} {fields[c].dataType.simpleString()}" for c in keep)
 
@@ -42,26 +52,23 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | No
         for batch in batches:
             if not len(batch) or not len(own_ids):
                 continue
-            x = unit(np.stack(batch["embedding"].to_numpy()).astype(float))
-            names = batch["vec_id"].to_numpy()
-            s = np.round(own @ x.T, 6)
-            parts = [np.arange(len(names))] if by is None else [np.flatnonzero(batch[by].to_numpy() == v) for v in batch[by].unique()]
-            who, where = [], []
-            for part in parts:
-                order = part[np.argsort(names[part], kind="stable")]
-                for i, query_id in enumerate(own_ids):
-                    mine = order[names[order] != query_id]
-                    if len(mine) > 4 * k:  # no need to sort what cannot be among the best k
-                        least = np.partition(s[i, mine], -k)[-k]
-                        mine = mine[s[i, mine] >= least]
-                    best = mine[np.argsort(-s[i, mine], kind="stable")[:k]]
-                    who.append(np.full(len(best), i))
-                    where.append(best)
-            i, j = np.concatenate(who), np.concatenate(where)
-            yield pd.DataFrame({"query_id": own_ids[i], "vec_id": names[j], "score": s[i, j] + 0.0, **{c: batch[c].to_numpy()[j] for c in keep}})
-
-    found = vectors.select("vec_id", "embedding", *(c for c in keep)).mapInPandas(search, schema)
-    return topk(found, ["query_id", *([by] if by else [])], [F.desc("score"), F.col("vec_id")], k)
+            batch = batch.sort_values("vec_id", kind="stable")
+            for part in [batch] if by is None else [g for _, g in batch.groupby(by, sort=False)]:
+                step = max(k, SCORES // len(own_ids))
+                for at in range(0, len(part), step):
+                    some = part.iloc[at : at + step]
+                    names = some["vec_id"].to_numpy()
+                    s = np.round(own @ unit(np.stack(some["embedding"].to_numpy()).astype(float)).T, 6) + 0.0
+                    s[own_ids[:, None] == names] = -np.inf
+                    least = np.partition(s, -k, 1)[:, -k] if len(names) > k else np.full(len(own_ids), -np.inf)
+                    i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # j ascends, and with it the id
+                    order = np.lexsort((j, -s[i, j], i))
+                    i, j = i[order], j[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    i, j = i[place < k], j[place < k]
+                    yield pd.DataFrame({"query_id": own_ids[i], "vec_id": names[j], "score": s[i, j], **{c: some[c].to_numpy()[j] for c in keep}})
+
+    return vectors.select("vec_id", "embedding", *keep).mapInPandas(search, schema)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -70,8 +77,8 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def described_hits(vectors: DataFrame, k: int = 20) -> DataFrame:
-    """The twenty nearest vectors of the query vectors 0 to 19, with made-up chunk fields (see the ``hits`` view)."""
-    queries = vectors.where("vec_id < 20").withColumnRenamed("vec_id", "query_id")
+    """The twenty nearest vectors of every query vector (ids divisible by 100), with made-up chunk fields (see the ``hits`` view)."""
+    queries = vectors.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id")
     found = nearest(queries, vectors, k, keep=["label"])
     ext = F.element_at(F.array(F.lit(".pdf"), F.lit(".docx"), F.lit(".xlsx"), F.lit(".txt")), (F.col("vec_id") % 4 + 1).cast("int"))
     return found.select(
@@ -113,16 +120,41 @@ def term_stats(index: DataFrame, collections: DataFrame) -> DataFrame:
     return raw.join(F.broadcast(mean), "collection").select("collection", "term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(query_terms: DataFrame, index: DataFrame, terms: DataFrame, collections: DataFrame) -> DataFrame:
+#: Partitions of stored postings by a hash of the term.
+BUCKETS = 64
+
+
+def bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
+
+
+class Index(NamedTuple):
+    """BM25 tables of a chunk table: ``postings``, ``terms`` and ``collections``."""
+
+    postings: DataFrame
+    terms: DataFrame
+    collections: DataFrame
+
+
+def build_index(chunks: DataFrame) -> Index:
+    """Write the BM25 tables once.  Postings lie by a hash of their term and sorted by it, so searches read only the parts of asked terms."""
+    index = postings(chunks).withColumn("bucket", bucket(F.col("term")))
+    index = stored(index.repartition("bucket", "term").sortWithinPartitions("bucket", "term"), "postings", "bucket")
+    collections = stored(collection_stats(chunks, index).coalesce(1), "collections")
+    return Index(index, stored(term_stats(index, collections), "terms"), collections)
+
+
+def bm25(query_terms: DataFrame, index: Index) -> DataFrame:
     """``query_id, collection, chunk_id, score``: sums over distinct query terms; chunks without any are absent.
 
-    Query terms meet the term table first, so only postings of asked terms are shuffled, and a frequent
-    term's postings are summed per (query, chunk) where they lie.
+    The distinct terms of the stated queries meet the term table first; their buckets prune the scan of the
+    postings and their terms filter it, so postings of other terms are neither shuffled nor summed.
     """
-    asked = query_terms.select("query_id", "term").distinct().join(terms, "term").join(F.broadcast(collections), "collection")
+    asked = query_terms.select("query_id", "term").distinct()
+    facts = index.terms.join(asked, "term").join(F.broadcast(index.collections), "collection").withColumn("bucket", bucket(F.col("term")))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return index.join(asked, ["collection", "term"]).groupBy("query_id", "collection", "chunk_id").agg(F.sum(part).alias("score"))
+    return index.postings.join(facts, ["bucket", "collection", "term"]).groupBy("query_id", "collection", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 # --- fusion and shaping ----------------------------------------------------

@@ -58,12 +58,12 @@ def best_per_source(spark, sf_dir):
 
 
 @query("d26_confidence_gate", """
-with g as (select q.vec_id query_id, max(score) top, avg(score) filter (where rank <= 3) mean from (select vec_id from vectors where vec_id < 25) q left join hits h on h.query_id = q.vec_id group by q.vec_id)
+with g as (select q.vec_id query_id, max(score) top, avg(score) filter (where rank <= 3) mean from (select vec_id from vectors where vec_id % 100 = 0) q left join (select * from hits where score >= 0.3) h on h.query_id = q.vec_id group by q.vec_id)
 select query_id, coalesce(top, 0) top, round(coalesce(mean, 0), 6) mean, case when top is null then 'fallback' when top >= 0.2 then 'pass' when mean < 0.2 then 'web_search' else 'rewrite' end action from g""")
 def gate(spark, sf_dir):
-    """Queries without hits fall back."""
-    g = view(spark, sf_dir, "hits").groupBy("query_id").agg(F.max("score").alias("top"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean"))
-    q = view(spark, sf_dir, "vectors").where("vec_id < 25").select(F.col("vec_id").alias("query_id"))
+    """Queries without hits above the threshold fall back."""
+    g = view(spark, sf_dir, "hits").where("score >= 0.3").groupBy("query_id").agg(F.max("score").alias("top"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean"))
+    q = view(spark, sf_dir, "vectors").where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"))
     action = F.when(F.col("top").isNull(), "fallback").when(F.col("top") >= 0.2, "pass").when(F.col("mean") < 0.2, "web_search").otherwise("rewrite")
     return q.join(g, "query_id", "left").select("query_id", F.coalesce("top", F.lit(0.0)).alias("top"), F.round(F.coalesce("mean", F.lit(0.0)), 6).alias("mean"), action.alias("action"))
 
@@ -118,14 +118,14 @@ def claims(spark, sf_dir):
 
 
 @query("c18_citation_match", f"""
-with {_SENTENCES}, x as (select session_id, seq, unnest(range(len(ss))) pos, unnest(ss) sentence from s where seq < 4),
+with {_SENTENCES}, x as (select session_id, seq, unnest(range(len(ss))) pos, unnest(ss) sentence from s),
 c as (select session_id, seq ctx, content from messages where role = 'user'),
 m as (select x.session_id, x.seq, x.pos, c.ctx, len(list_intersect(list_distinct(string_split(x.sentence, '')), list_distinct(string_split(c.content, '')))) / length(x.sentence) overlap from x join c using (session_id))
 select session_id, seq, pos, ctx, round(overlap, 6) overlap from (select *, row_number() over (partition by session_id, seq, pos order by round(overlap, 6) desc, ctx) r from m) where r = 1 and overlap > 0.3""")
 def citation_match(spark, sf_dir):
     """Best context of each sentence by shared characters over the sentence's length."""
     m = view(spark, sf_dir, "messages")
-    x = m.where("role = 'assistant' and seq < 4").select("session_id", "seq", F.posexplode(text.sentences(F.col("content"))).alias("pos", "sentence"))
+    x = m.where("role = 'assistant'").select("session_id", "seq", F.posexplode(text.sentences(F.col("content"))).alias("pos", "sentence"))
     c = m.where("role = 'user'").select("session_id", F.col("seq").alias("ctx"), text.characters(F.col("content")).alias("chars"))
     over = F.size(F.array_intersect(text.characters(F.col("sentence")), F.col("chars"))) / F.length("sentence")
     best = search.topk(x.join(c, "session_id").withColumn("overlap", over).withColumn("o", F.round("overlap", 6)), ["session_id", "seq", "pos"], [F.desc("o"), F.col("ctx")], 1)

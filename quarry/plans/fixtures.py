@@ -35,7 +35,7 @@ select p_partkey id, case p_partkey % 4 when 0 then 'single_choice' when 1 then
   p_name content, substr(p_brand, -1, 1) correct_answer, p_size % 5 + 1 difficulty, 2 + p_size % 4 score, p_type source_file from {part}"""
 _QRELS = """
 select q.vec_id query_id, e.vec_id relevant_id, concat('type', q.label % 3) query_type, case when q.vec_id % 2 = 0 then 'easy' else 'hard' end difficulty
-from {embeddings} q join {embeddings} e on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id < 20"""
+from {embeddings} q join {embeddings} e on e.label = q.label and e.vec_id <> q.vec_id where q.vec_id % 100 = 0"""
 _CALLS = """
 select concat(user_id, '-', {day}) query_id,
   case event_type when 'click' then 'rewrite' when 'view' then 'generate' when 'purchase' then 'reflect' when 'signup' then 'decompose' else 'classify' end call_type,
@@ -105,7 +105,7 @@ SQL_VIEWS: dict[str, str] = {
       vec_id % 9 + 1 page, concat('S', vec_id % 5) section, concat('text of ', vec_id, ' ', repeat('word' || (vec_id % 7) || ' ', cast(vec_id % 60 as int))) content
       from (select q.vec_id query_id, e.vec_id, e.label, list_cosine_similarity(q.embedding, e.embedding) score,
         row_number() over (partition by q.vec_id order by round(list_cosine_similarity(q.embedding, e.embedding), 6) desc, e.vec_id) rk
-        from vectors q join vectors e on e.vec_id <> q.vec_id where q.vec_id < 20) where rk <= 20""",
+        from vectors q join vectors e on e.vec_id <> q.vec_id where q.vec_id % 100 = 0) where rk <= 20""",
 }
 SQL_VIEWS = {k: v.replace("{", "").replace("}", "") for k, v in SQL_VIEWS.items()}
 

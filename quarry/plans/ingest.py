@@ -59,8 +59,7 @@ f as (select query_id, chunk_id, round(sum(0.5 / (60 + r)), 9) score from s wher
 select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from f) where rank <= 5""")
 def multi_collection(spark, sf_dir):
     """Search in the allowed collections only, ranks per collection, fused over them."""
-    chunks = view(spark, sf_dir, "chunks")
-    found = bm25_of_chunks(spark, sf_dir, chunks).where(F.col("collection").isin("public_kb", "dept_hr"))
+    found = bm25_of_chunks(spark, sf_dir).where(F.col("collection").isin("public_kb", "dept_hr"))
     order = [F.desc("score"), F.col("chunk_id")]
     top = search.topk(found, ["query_id", "collection"], order, 10)
     fused = search.fuse(top.select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))).withColumn("score", F.round("score", 9))
@@ -88,10 +87,9 @@ with {_BM25}, s as (select query_id, chunk_id, score, row_number() over (partiti
 t9 as (select query_id, chunk_id, round(0.5 / (60 + r) + 0.5 * score / 10, 6) score from s where r <= 20)
 select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from t9) where rank <= 10""")
 def single_collection(spark, sf_dir):
-    """One collection: its statistics are its own, so other collections are not read into the index."""
-    chunks = view(spark, sf_dir, "chunks").where("collection = 'public_kb'")
+    """One collection: its statistics are its own in the index."""
     order = [F.desc("score"), F.col("chunk_id")]
-    top = search.topk(bm25_of_chunks(spark, sf_dir, chunks), ["query_id"], order, 20, "r")
+    top = search.topk(bm25_of_chunks(spark, sf_dir).where("collection = 'public_kb'"), ["query_id"], order, 20, "r")
     mixed = top.select("query_id", "chunk_id", F.round(scores.blended(F.col("r"), F.col("score") / 10), 6).alias("score"))
     return search.topk(mixed, ["query_id"], order, 10)
 

@@ -95,9 +95,9 @@ def figure_prefix(spark, sf_dir):
     return view(spark, sf_dir, "images").select("chunk_id", F.when(n != "", F.concat(F.lit("[图"), n, F.lit("] "), "caption")).otherwise(F.col("caption")).alias("description"))
 
 
-@query("a17_faq_variants", "select concat('faq_', id, '_v', v) variant_id, case v when 0 then query else concat(query, ' ', v) end question, answer, v > 0 is_variant from feedback, range(3) r(v) where rating = 1 and id % 50 = 0")
+@query("a17_faq_variants", "select concat('faq_', id, '_v', v) variant_id, case v when 0 then query else concat(query, ' ', v) end question, answer, v > 0 is_variant from feedback, range(3) r(v) where rating = 1")
 def faq_variants(spark, sf_dir):
-    f = view(spark, sf_dir, "feedback").where("rating = 1 and id % 50 = 0")
+    f = view(spark, sf_dir, "feedback").where("rating = 1")
     words = F.array(F.col("query"), F.concat("query", F.lit(" 1")), F.concat("query", F.lit(" 2")))
     return f.select("id", "answer", F.posexplode(words).alias("v", "question")).select(F.concat(F.lit("faq_"), "id", F.lit("_v"), "v").alias("variant_id"), "question", "answer", (F.col("v") > 0).alias("is_variant"))
 
@@ -146,7 +146,7 @@ def cascade(spark, sf_dir):
     """Delete entities together with their edges on either end."""
     gone = view(spark, sf_dir, "entities").where("type = 'nation'").select("name")
     e = view(spark, sf_dir, "edges")
-    left = e.join(F.broadcast(gone), e["head"] == gone["name"], "left_anti").join(F.broadcast(gone), e["tail"] == gone["name"], "left_anti")
+    left = e.join(gone, e["head"] == gone["name"], "left_anti").join(gone, e["tail"] == gone["name"], "left_anti")
     return left.groupBy("relation").agg(F.count(F.lit(1)).alias("n"))
 
 

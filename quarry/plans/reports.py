@@ -237,10 +237,10 @@ def question_points(spark, sf_dir):
     return view(spark, sf_dir, "questions").select("id", F.when(t.isin("single_choice", "true_false"), "objective").when(t == "fill_blank", "fill").otherwise("open").alias("kind"), F.coalesce("score", F.lit(2)).alias("points"))
 
 
-@query("h41_calendar_bounds", "select event_id, cast(date_trunc('week', ts) as date) week_start, cast(date_trunc('week', ts) as date) + 6 week_end, cast(date_trunc('month', ts) as date) month_start, last_day(ts) month_end from events where event_id % 10 = 0")
+@query("h41_calendar_bounds", "select event_id, cast(date_trunc('week', ts) as date) week_start, cast(date_trunc('week', ts) as date) + 6 week_end, cast(date_trunc('month', ts) as date) month_start, last_day(ts) month_end from events")
 def calendar_bounds(spark, sf_dir):
     w = F.date_trunc("week", "ts").cast("date")
-    return view(spark, sf_dir, "events").where("event_id % 10 = 0").select("event_id", w.alias("week_start"), F.date_add(w, 6).alias("week_end"), F.date_trunc("month", "ts").cast("date").alias("month_start"), F.last_day("ts").alias("month_end"))
+    return view(spark, sf_dir, "events").select("event_id", w.alias("week_start"), F.date_add(w, 6).alias("week_end"), F.date_trunc("month", "ts").cast("date").alias("month_start"), F.last_day("ts").alias("month_end"))
 
 
 _ISLANDS = "select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 24 hour then 0 else 1 end starts from events"

@@ -16,24 +16,41 @@ p as (select collection, chunk_id, term, count(*) tf, any_value(dl) dl from (sel
 c as (select collection, count(*) n, avg(len({_TOKENS})) avgdl from chunks group by collection),
 t0 as (select p.collection, term, count(*) df, ln(any_value(n) - count(*) + 0.5) - ln(count(*) + 0.5) raw from p join c using (collection) group by p.collection, term),
 t as (select collection, term, df, case when raw < 0 then 0.25 * avg(raw) over (partition by collection) else raw end idf from t0)"""
-_TERMS = r"""
-qt as (select item_id query_id, unnest(list_distinct(list_slice(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), 1, 6))) term from benchmark)"""
-_BM25 = f"""{_POSTINGS}, {_TERMS},
+
+
+def bm25_sql(terms: str) -> str:
+    """Common table expressions with BM25 scores ``b`` of the query terms ``qt(query_id, term)`` that ``terms`` defines."""
+    return f"""{_POSTINGS}, {terms},
 b as (select query_id, p.collection, chunk_id, round(sum(idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) score
   from qt join t using (term) join p using (collection, term) join c on c.collection = p.collection group by query_id, p.collection, chunk_id)"""
 
 
-def terms_of_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query terms: the first six tokens of each benchmark text."""
-    q = view(spark, sf_dir, "benchmark")
-    return q.select(F.col("item_id").alias("query_id"), F.explode(F.slice(text.tokens(F.col("text")), 1, 6)).alias("term"))
+_TERMS = r"""
+qt as (select item_id query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) term from benchmark)"""
+_BM25 = bm25_sql(_TERMS)
+_indexes: dict[tuple, search.Index] = {}
+
+
+def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
+    """The BM25 tables of the chunks of a folder: written by the first search of a session, read by the others."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        _indexes[key] = search.build_index(view(spark, sf_dir, "chunks"))
+    return _indexes[key]
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """``query_id, term`` of ``query_id, text``: all tokens of the whole text."""
+    return queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("term"))
 
 
-def bm25_of_chunks(spark: SparkSession, sf_dir: str, chunks: DataFrame | None = None) -> DataFrame:
-    chunks = view(spark, sf_dir, "chunks") if chunks is None else chunks
-    index = search.postings(chunks)
-    collections = search.collection_stats(chunks, index)
-    return search.bm25(terms_of_queries(spark, sf_dir), index, search.term_stats(index, collections), collections).withColumn("score", F.round("score", 6))
+def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+
+
+def bm25_of_chunks(spark: SparkSession, sf_dir: str, queries: DataFrame | None = None) -> DataFrame:
+    queries = asked(spark, sf_dir) if queries is None else queries
+    return search.bm25(terms_of(queries), index_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
 
 
 @query("flagship_bm25_top10", f"with {_BM25} select query_id, collection, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from b) where rank <= 10")
@@ -44,15 +61,12 @@ def flagship(spark, sf_dir):
 
 @query("a6_bm25_term_stats", f"with {_POSTINGS} select collection, term, df, round(idf, 6) idf from t")
 def term_stats(spark, sf_dir):
-    chunks = view(spark, sf_dir, "chunks")
-    index = search.postings(chunks)
-    return search.term_stats(index, search.collection_stats(chunks, index)).withColumn("idf", F.round("idf", 6))
+    return search.build_index(view(spark, sf_dir, "chunks")).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query("a6_bm25_collection_stats", f"with {_POSTINGS} select collection, n, round(avgdl, 6) avgdl from c")
 def collection_stats(spark, sf_dir):
-    chunks = view(spark, sf_dir, "chunks")
-    return search.collection_stats(chunks, search.postings(chunks)).withColumn("avgdl", F.round("avgdl", 6))
+    return search.build_index(view(spark, sf_dir, "chunks")).collections.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("c2_bm25_scores", f"with {_BM25} select * from b")
@@ -73,11 +87,11 @@ def cosine_top(spark, sf_dir):
 @query("c1_nearest_per_label", """
 select query_id, vec_id, score, label, cast(rank as int) rank from (select q.vec_id query_id, e.vec_id, round(list_cosine_similarity(q.embedding, e.embedding), 6) score, e.label,
   row_number() over (partition by q.vec_id, e.label order by round(list_cosine_similarity(q.embedding, e.embedding), 6) desc, e.vec_id) rank
-  from vectors q join vectors e on q.vec_id <> e.vec_id where q.vec_id < 20 and e.label < 5) where rank <= 2""")
+  from vectors q join vectors e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0 and e.label < 5) where rank <= 2""")
 def nearest_filtered(spark, sf_dir):
     """Nearest neighbours with a filter, per partition of the target."""
     v = view(spark, sf_dir, "vectors")
-    return search.nearest(v.where("vec_id < 20").withColumnRenamed("vec_id", "query_id"), v.where("label < 5"), 2, keep=["label"], by="label")
+    return search.nearest(v.where("vec_id % 100 = 0").withColumnRenamed("vec_id", "query_id"), v.where("label < 5"), 2, keep=["label"], by="label")
 
 
 @query("h2_vector_norms", "select vec_id, round(sqrt(list_dot_product(embedding, embedding)), 6) norm, round(list_sum(list_transform(embedding, lambda x: x / sqrt(list_dot_product(embedding, embedding)))), 6) unit_sum from vectors")
@@ -99,35 +113,47 @@ def cache_statistics(spark, sf_dir):
     return view(spark, sf_dir, "hits").where("rank = 1").agg(F.count(F.lit(1)).alias("lookups"), hits.alias("hits"), F.round(F.coalesce(F.try_divide(hits, F.count(F.lit(1))), F.lit(0.0)), 4).alias("hit_rate"))
 
 
-_CHANNELS = """
-v as (select query_id, vec_id, 'vector' channel, rank, 0.6 weight, score from hits where rank <= 15),
-w as (select query_id, vec_id, 'bm25' channel, row_number() over (partition by query_id order by label, vec_id) rank, 0.4 weight, score from hits where vec_id % 2 = 0),
-u as (select * from v union all select * from w),
-f as (select query_id, vec_id, round(sum(weight / (60 + rank)), 9) score from u group by query_id, vec_id)"""
+# chunks and queries take their vectors from the embeddings table, by number
+_VECTORS = """
+nv as (select count(*) n from embeddings),
+cv as (select chunk_id, collection, vec_id, embedding from (select chunk_id, collection, (document_id * 7 + chunk_index) % n vec_id from chunks, nv) join vectors using (vec_id)),
+vs as (select i.item_id query_id, x.vec_id, round(list_cosine_similarity(q.embedding, x.embedding), 6) score from benchmark i, nv join vectors q on q.vec_id = i.item_id * 13 % n join (select distinct vec_id, embedding from cv) x on true),
+vc as (select * from (select query_id, chunk_id, collection, score, row_number() over (partition by query_id order by score desc, chunk_id) rank from vs join cv using (vec_id)) where rank <= 20)"""
+_CHANNELS = f"""{_BM25}, {_VECTORS},
+u as (select query_id, chunk_id, 'vector' channel, rank, 0.6 weight, score from vc where rank <= 15
+  union all select query_id, chunk_id, 'bm25', rank, 0.4, score from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from b) where rank <= 15),
+f as (select query_id, chunk_id, round(sum(weight / (60 + rank)), 9) score from u group by query_id, chunk_id)"""
 
 
-def two_channels(spark, sf_dir) -> DataFrame:
-    """A vector channel and a second one (even ids in label order, in BM25's place) over the hits."""
-    h = view(spark, sf_dir, "hits")
-    v = h.where("rank <= 15").select("query_id", "vec_id", F.lit("vector").alias("channel"), "rank", F.lit(0.6).alias("weight"), "score")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("label", "vec_id"))
-    w = h.where("vec_id % 2 = 0").select("query_id", "vec_id", F.lit("bm25").alias("channel"), rank.alias("rank"), F.lit(0.4).alias("weight"), "score")
-    return v.unionByName(w)
+def vector_channel(spark, sf_dir, k: int = 20) -> DataFrame:
+    """``query_id, chunk_id, collection, score, rank``: the k chunks most similar to each query.
 
+    Chunks share vectors, so the search runs over the vectors that some chunk has; the k best vectors have k chunks or more.
+    """
+    v = view(spark, sf_dir, "vectors").select("vec_id", "embedding")
+    n = v.count()
+    c = view(spark, sf_dir, "chunks").select("chunk_id", "collection", ((F.col("document_id") * 7 + F.col("chunk_index")) % n).alias("vec_id"))
+    q = view(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), (F.col("item_id") * 13 % n).alias("vec_id")).join(v, "vec_id").select("query_id", "embedding")
+    used = v.join(c.select("vec_id").distinct(), "vec_id", "left_semi")
+    near = search.nearest(q, used, k).select((-1 - F.col("query_id")).alias("query_id"), "vec_id", "score")
+    return search.topk(near.join(c, "vec_id"), ["query_id"], [F.desc("score"), F.col("chunk_id")], k).drop("vec_id")
 
-def fused(spark, sf_dir) -> DataFrame:
-    u = two_channels(spark, sf_dir).withColumnRenamed("vec_id", "chunk_id")
-    return search.fuse(u).select("query_id", F.col("chunk_id").alias("vec_id"), F.round("score", 9).alias("score"))
+
+def two_channels(spark, sf_dir) -> DataFrame:
+    """The vector channel and the BM25 channel, fifteen rows of each query each."""
+    v = vector_channel(spark, sf_dir).where("rank <= 15").select("query_id", "chunk_id", F.lit("vector").alias("channel"), "rank", F.lit(0.6).alias("weight"), "score")
+    b = search.topk(bm25_of_chunks(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("chunk_id")], 15)
+    return v.unionByName(b.select("query_id", "chunk_id", F.lit("bm25").alias("channel"), "rank", F.lit(0.4).alias("weight"), "score"))
 
 
 @query("c3_rank_fusion", f"with {_CHANNELS} select * from f")
 def rank_fusion(spark, sf_dir):
-    return fused(spark, sf_dir)
+    return search.fuse(two_channels(spark, sf_dir)).withColumn("score", F.round("score", 9))
 
 
-@query("e1_channel_ranks", f"with {_CHANNELS} select query_id, vec_id, channel, cast(rank as int) rank from u")
+@query("e1_channel_ranks", f"with {_CHANNELS} select query_id, chunk_id, channel, cast(rank as int) rank from u")
 def channel_ranks(spark, sf_dir):
-    return two_channels(spark, sf_dir).select("query_id", "vec_id", "channel", "rank")
+    return two_channels(spark, sf_dir).select("query_id", "chunk_id", "channel", "rank")
 
 
 @query("g1_channel_union", f"with {_CHANNELS} select channel, count(*) n from u group by channel")
@@ -135,10 +161,10 @@ def channel_union(spark, sf_dir):
     return two_channels(spark, sf_dir).groupBy("channel").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("e15_best_of_lists", f"with {_CHANNELS} select query_id, vec_id, channel, score, cast(rank as int) rank from (select query_id, vec_id, channel, score, row_number() over (partition by query_id order by score desc, vec_id) rank from (select *, row_number() over (partition by query_id, vec_id order by score desc, channel) r from u) where r = 1) where rank <= 10")
+@query("e15_best_of_lists", f"with {_CHANNELS} select query_id, chunk_id, channel, score, cast(rank as int) rank from (select query_id, chunk_id, channel, score, row_number() over (partition by query_id order by score desc, chunk_id) rank from (select *, row_number() over (partition by query_id, chunk_id order by score desc, channel) r from u) where r = 1) where rank <= 10")
 def best_of_lists(spark, sf_dir):
-    one = search.topk(two_channels(spark, sf_dir), ["query_id", "vec_id"], [F.desc("score"), F.col("channel")], 1, "r")
-    return search.topk(one.select("query_id", "vec_id", "channel", "score"), ["query_id"], [F.desc("score"), F.col("vec_id")], 10)
+    one = search.topk(two_channels(spark, sf_dir), ["query_id", "chunk_id"], [F.desc("score"), F.col("channel")], 1, "r")
+    return search.topk(one.select("query_id", "chunk_id", "channel", "score"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
 
 
 @query("h7_blended_score", "select query_id, vec_id, round(0.5 / (60 + rank) + 0.5 * score, 6) score from hits")
@@ -207,27 +233,71 @@ def diversity(spark, sf_dir):
     return search.diverse(view(spark, sf_dir, "hits").select("query_id", "vec_id", "rank", "content"), 5)
 
 
-@query("m1_hybrid_search", f"""
-with {_BM25},
+_AGE = f"date_diff('day', created_at::date, date '{NOW[:10]}') / 30.0"
+_HYBRID = f"""{_BM25}, {_VECTORS},
+w as (select item_id query_id, 0.3 + 0.4 * least(1.0, greatest(0.0, (length(text) - 15) / 35.0)) wv, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) ts from benchmark),
 bt as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from b) where rank <= 20),
-ft as (select * from (select b.*, row_number() over (partition by query_id order by b.score desc, b.chunk_id) rank from b join chunks ch using (chunk_id) where ch.chunk_type in ('image', 'table')) where rank <= 5),
-fu as (select query_id, chunk_id, sum(w / (60 + rank)) score from (select query_id, chunk_id, rank, 0.6 w from bt union all select query_id, chunk_id, rank, 0.4 from ft) group by query_id, chunk_id),
-st as (select fu.query_id, fu.chunk_id, fu.score, ch.collection, ch.created_at from fu join chunks ch using (chunk_id) where coalesce(ch.status, 'active') = 'active' and coalesce(ch.security_level, 'public') in ('public', 'internal')),
-dc as (select query_id, chunk_id, round(score + case when collection = 'public_kb' then 0.1 else 0 end - case when date_diff('day', created_at::date, date '{NOW[:10]}') / 30.0 > 6 then least(0.1, 0.01 * (date_diff('day', created_at::date, date '{NOW[:10]}') / 30.0 - 6)) else 0 end, 6) score from st)
-select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from dc) where rank <= 5""")
-def hybrid(spark, sf_dir):
-    """Many queries in one plan: a text and a picture-and-table channel, fusion, status and level filters, boost, decay, truncation."""
-    chunks = view(spark, sf_dir, "chunks")
-    found = bm25_of_chunks(spark, sf_dir)
-    facts = chunks.select("chunk_id", F.col("collection").alias("c"), "chunk_type", "created_at", "status", "security_level")
+im as (select * from (select b.*, row_number() over (partition by query_id order by b.score desc, b.chunk_id) rank from b join chunks ch using (chunk_id) where ch.chunk_type in ('image', 'table')) where rank <= 5),
+fq as (select * from (select query_id, chunk_id, row_number() over (partition by query_id order by score desc, chunk_id) rank from vc where collection = 'public_kb') where rank <= 5),
+fu as (select query_id, chunk_id, round(sum(x / (60 + rank)), 9) fused from (
+  select query_id, chunk_id, rank, wv x from vc join w using (query_id) union all select query_id, chunk_id, rank, 1 - wv from bt join w using (query_id)
+  union all select query_id, chunk_id, rank, 0.4 from im union all select query_id, chunk_id, rank, 0.3 from fq) group by query_id, chunk_id),
+ok as (select fu.*, ch.collection, ch.created_at, ch.content from fu join chunks ch using (chunk_id) where coalesce(ch.status, 'active') = 'active' and coalesce(ch.security_level, 'public') in ('public', 'internal')),
+top as (select * from (select *, row_number() over (partition by query_id order by fused desc, chunk_id) r from ok) where r <= 20),
+rr as (select query_id, chunk_id, round(case when len(ts) > 0 then len(list_filter(ts, lambda x: contains(lower(content), x))) / len(ts) * 0.8 else 0.5 end
+  + case when collection = 'public_kb' then 0.1 else 0 end - case when {_AGE} > 6 then least(0.1, 0.01 * ({_AGE} - 6)) else 0 end, 6) score from top join w using (query_id)),
+hy as (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank, max(score) over (partition by query_id) best from rr)"""
+
+
+def hybrid_candidates(spark, sf_dir) -> DataFrame:
+    """``query_id, chunk_id, fused, collection, created_at, content``: the fused channels behind the status and level filters.
+
+    Four channels: vectors and BM25 (weights by the query's length), pictures and tables, and the FAQ collection.
+    """
     order = [F.desc("score"), F.col("chunk_id")]
-    main = search.topk(found, ["query_id"], order, 20).select("query_id", "chunk_id", "rank", F.lit(0.6).alias("weight"))
+    facts = view(spark, sf_dir, "chunks").select("chunk_id", "collection", "chunk_type", "created_at", "status", "security_level", "content")
+    w = asked(spark, sf_dir).select("query_id", scores.length_weights(F.col("text"))[0].alias("wv"))
+    near, found = vector_channel(spark, sf_dir), bm25_of_chunks(spark, sf_dir)
+    row = lambda df, weight: df.select("query_id", "chunk_id", "rank", weight.alias("weight"))
     shown = facts.where(F.col("chunk_type").isin("image", "table")).select("chunk_id")
-    side = search.topk(found.join(shown, "chunk_id"), ["query_id"], order, 5).select("query_id", "chunk_id", "rank", F.lit(0.4).alias("weight"))
-    both = search.fuse(main.unionByName(side)).join(facts, "chunk_id")
-    ok = both.where((F.coalesce("status", F.lit("active")) == "active") & F.coalesce("security_level", F.lit("public")).isin("public", "internal"))
-    s = scores.time_decay(scores.faq_boost(F.col("score"), F.col("c") == "public_kb"), F.col("created_at"), F.lit(NOW).cast("timestamp"))
-    return search.topk(ok.select("query_id", "chunk_id", F.round(s, 6).alias("score")), ["query_id"], order, 5)
+    channels = search.union_all([
+        row(near.join(w, "query_id"), F.col("wv")),
+        row(search.topk(found, ["query_id"], order, 20).join(w, "query_id"), 1 - F.col("wv")),
+        row(search.topk(found.join(shown, "chunk_id", "left_semi"), ["query_id"], order, 5), F.lit(0.4)),
+        row(search.topk(near.where("collection = 'public_kb'").drop("rank"), ["query_id"], order, 5), F.lit(0.3)),
+    ])
+    both = search.fuse(channels).select("query_id", "chunk_id", F.round("score", 9).alias("fused")).join(facts, "chunk_id")
+    return both.where((F.coalesce("status", F.lit("active")) == "active") & F.coalesce("security_level", F.lit("public")).isin("public", "internal"))
+
+
+def reranked(spark, sf_dir, candidates: DataFrame) -> DataFrame:
+    """``query_id, chunk_id, score, rank``: twenty candidates reranked by the pair scorer, FAQ boost and age, cut at the adaptive k."""
+    q = asked(spark, sf_dir).select("query_id", text.keywords(F.col("text")).alias("ts"))
+    top = search.topk(candidates, ["query_id"], [F.desc("fused"), F.col("chunk_id")], 20, "r").join(q, "query_id")
+    s = scores.faq_boost(text.coverage(F.col("content"), F.col("ts")), F.col("collection") == "public_kb")
+    s = scores.time_decay(s, F.col("created_at"), F.lit(NOW).cast("timestamp"))
+    best = search.topk(top.select("query_id", "chunk_id", F.round(s, 6).alias("score")), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
+    k = search.adaptive_k(F.max("score").over(Window.partitionBy("query_id")), 5)
+    return best.withColumn("a", k).where("rank <= a.k").select("query_id", "chunk_id", "score", "rank")
+
+
+@query("m1_hybrid_search", f"with {_HYBRID} select query_id, chunk_id, score, cast(rank as int) rank from hy where rank <= case when best < 0.5 then 10 when best > 0.8 then 3 else 5 end")
+def hybrid(spark, sf_dir):
+    """Many queries in one plan: four channels, fusion, filters, reranking, boost, decay and adaptive k."""
+    return reranked(spark, sf_dir, hybrid_candidates(spark, sf_dir))
+
+
+@query("m1_hybrid_with_mmr")
+def hybrid_mmr(spark, sf_dir):
+    """The hybrid search with the diversity step: of the fused candidates the thirty that greedy maximal marginal relevance keeps are reranked."""
+    v = view(spark, sf_dir, "vectors").select("vec_id", "embedding")
+    n = v.count()
+    c = hybrid_candidates(spark, sf_dir)
+    of = view(spark, sf_dir, "chunks").select("chunk_id", ((F.col("document_id") * 7 + F.col("chunk_index")) % n).alias("vec_id")).join(v, "vec_id").drop("vec_id")
+    q = view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), (F.col("item_id") * 13 % n).alias("vec_id")).join(v, "vec_id").select("query_id", F.col("embedding").alias("query_embedding"))
+    numbered = c.withColumn("vec_id", F.xxhash64("chunk_id"))
+    kept = search.mmr(numbered.join(of, "chunk_id").join(q, "query_id").select("query_id", "vec_id", F.col("fused").alias("score"), "embedding", "query_embedding"), 30)
+    return reranked(spark, sf_dir, numbered.join(kept.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_semi"))
 
 
 @query("m5_many_collections", f"""

@@ -164,10 +164,10 @@ def section_tails(spark, sf_dir):
     return view(spark, sf_dir, "chunks").select("chunk_id", text.section_tail(path).alias("tail"))
 
 
-@query("h17_table_text", "select sheet, row_no, concat('fields: ', array_to_string(list_filter(list_transform(cells, lambda c: trim(c)), lambda c: c <> ''), ', ')) described from table_rows where row_no <= 3")
+@query("h17_table_text", "select sheet, row_no, concat('fields: ', array_to_string(list_filter(list_transform(cells, lambda c: trim(c)), lambda c: c <> ''), ', ')) described from table_rows")
 def table_text(spark, sf_dir):
     md = F.concat(F.lit("| "), F.array_join("cells", " | "), F.lit(" |"))
-    return view(spark, sf_dir, "table_rows").where("row_no <= 3").select("sheet", "row_no", F.concat(F.lit("fields: "), F.array_join(text.markdown_cells(md), ", ")).alias("described"))
+    return view(spark, sf_dir, "table_rows").select("sheet", "row_no", F.concat(F.lit("fields: "), F.array_join(text.markdown_cells(md), ", ")).alias("described"))
 
 
 @query("h31_image_scores", "select chunk_id, round(least(8, 2 * (case when contains(caption, '1') then 1 else 0 end + case when contains(caption, '2') then 1 else 0 end)) + case when width > 800 then 1.5 else 0 end, 4)::double score from images")
