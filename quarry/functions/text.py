@@ -177,10 +177,10 @@ def redacted(s: Column) -> Column:
 
 
 def images_in_markup(s: Column) -> Column:
-    """Distinct image names of Markdown and HTML, in order of kind."""
+    """Distinct image names of Markdown and HTML, in order of kind, without folders, parameters and fragments."""
     md = F.regexp_extract_all(s, F.lit(r"!\[[^\]]*\]\(([^)\s]+)\)"), F.lit(1))
     html = F.regexp_extract_all(s, F.lit(r"""(?i)<img[^>]*src=["']([^"']+)["']"""), F.lit(1))
-    return F.array_distinct(F.transform(F.concat(md, html), lambda x: basename(x)))
+    return F.array_distinct(F.transform(F.concat(md, html), lambda x: basename(F.regexp_replace(x, r"[?#].*$", ""))))
 
 
 def html_rows(s: Column) -> Column:

@@ -6,12 +6,13 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 
 #: Boundaries of the recursive split, strongest first: heading, code fence, table row, paragraph, line, word.
+#: Separators of the recursive split in their order, and the ends of sentences.
 BOUNDARIES = (r"(?=\n#{1,6} )", r"(?=\n```\n)", r"(?=\n\|)", r"(?=\n\n)", r"(?=\n)", r"(?= )")
 _ENDS = "。？！.\n"
 
@@ -84,6 +85,19 @@ def sentence_split(s: str, most: int) -> list[str]:
     return out
 
 
+def paragraph_packs(s: Column, most: int = 2000) -> Column:
+    """Paragraphs (parted by an empty line) put together while they stay within ``most`` characters; blank packs are left out.
+
+    A text within the limit stays as it is.  One fold on the JVM; a paragraph is never cut.
+    """
+    trim = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    kept = lambda done, c: F.when(trim(c) != "", F.concat(done, F.array(trim(c)))).otherwise(done)
+    state = lambda now, done: F.struct(now.alias("now"), done.alias("done"))
+    step = lambda a, p: F.when(F.length(a["now"]) + F.length(p) > most, state(p, kept(a["done"], a["now"]))).otherwise(state(F.concat(a["now"], F.lit("\n\n"), p), a["done"]))
+    folded = F.aggregate(F.split(s, "\n\n"), state(F.lit(""), F.array().cast("array<string>")), step, lambda a: kept(a["done"], a["now"]))
+    return F.when(F.length(s) > most, folded).otherwise(F.filter(F.array(s), lambda c: trim(c) != ""))
+
+
 def chunk_table(docs: DataFrame, how=split, **options) -> DataFrame:
     """``doc_id, chunk_index, content`` of every text, in Arrow batches; a task holds one batch at a time."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from typing import NamedTuple
 
@@ -169,6 +170,15 @@ def fuse(channels: DataFrame, k: int = 60) -> DataFrame:
     return channels.groupBy("query_id", "chunk_id").agg(F.sum(scores.rrf(F.col("weight"), F.col("rank"), k)).alias("score"))
 
 
+def expanded(queries: DataFrame, find: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``item_id, chunk_id, score``: the best score of every chunk over all wordings ``query_id, item_id, text`` of an item.
+
+    ``find`` is the caller's search: rows ``query_id, text`` in, ``query_id, chunk_id, score`` out, for all wordings in one plan.
+    """
+    found = find(queries.select("query_id", "text"))
+    return found.join(queries.select("query_id", "item_id").distinct(), "query_id").groupBy("item_id", "chunk_id").agg(F.max("score").alias("score"))
+
+
 def adaptive_k(top: Column, k: int, low: float = 0.5, high: float = 0.8) -> Column:
     """``struct(k, retrieve_again, reason)`` from a query's best score."""
     row = lambda n, again, why: F.struct(F.lit(n).alias("k"), F.lit(again).alias("retrieve_again"), F.lit(why).alias("reason"))

@@ -10,7 +10,8 @@ from ..functions import answers, scores, text
 from ..operators import maintain, search
 from .fixtures import NOW, view
 from .registry import n_rows, query
-from .retrieval import bm25_of_chunks
+from ..sources.tables import stored
+from .retrieval import bm25_of_chunks, bm25_sql
 
 
 @query("b6_row_predicate", "select chunk_id from chunks where length(content) % 7 = 3 and page = 2")
@@ -181,11 +182,13 @@ def choice_grades(spark, sf_dir):
 
 
 @query("h36_answer_scores", r"""
-with p as (select item_id, substr(text, 1, 60) expected, text actual from benchmark),
+with p as (select a.item_id, e.text expected, a.text actual from benchmark a join benchmark e on e.item_id = a.item_id + 1),
 w as (select *, list_distinct(list_filter(regexp_split_to_array(lower(expected), '\s+'), lambda x: length(x) >= 2)) e, list_distinct(list_filter(regexp_split_to_array(lower(actual), '\s+'), lambda x: length(x) >= 2)) a from p)
-select item_id, cast(least(100, floor(len(list_intersect(e, a)) / len(e) * 100 + 1e-9) + 20) as int) score from w""")
+select item_id, cast(least(100, floor(len(list_intersect(e, a)) / len(e) * 100 + 1e-9) + case when contains(lower(actual), lower(expected)) then 20 else 0 end) as int) score from w""")
 def answer_scores(spark, sf_dir):
-    return view(spark, sf_dir, "benchmark").select("item_id", answers.answer_score(F.col("text"), F.substring("text", 1, 60)).alias("score"))
+    one = view(spark, sf_dir, "benchmark").select("item_id", "text")
+    nxt = view(spark, sf_dir, "benchmark").select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("expected"))
+    return one.join(nxt, "item_id").select("item_id", answers.answer_score(F.col("text"), F.col("expected")).alias("score"))
 
 
 @query("h40_rewrite_needed", "select session_id, seq, seq > 0 or length(content) < 10 needed from messages where role = 'user'")
@@ -198,9 +201,20 @@ def knowledge_points(spark, sf_dir):
     return view(spark, sf_dir, "chunks").select("chunk_id", answers.knowledge_point(F.col("content")).alias("point")).where("point is not null")
 
 
-@query("h46_page_links", r"select page_id, len(regexp_extract_all(html, '<h[1-6][^>]*>')) headings, len(regexp_extract_all(html, '<li>')) items from pages")
-def page_marks(spark, sf_dir):
-    return view(spark, sf_dir, "pages").select("page_id", F.size(F.regexp_extract_all("html", F.lit("<h[1-6][^>]*>"), F.lit(0))).cast("long").alias("headings"), F.size(F.regexp_extract_all("html", F.lit("<li>"), F.lit(0))).cast("long").alias("items"))
+_MARKUP = "case when page % 2 = 0 then concat('![', caption, '](media/', image_id, ')') else concat('<img alt=\"x\" src=\"/files/p', page, '/', image_id, '?v=1\">') end"
+_FOUND = r"list_transform(list_concat(regexp_extract_all(s, '!\[[^\]]*\]\(([^)\s]+)\)', 1), regexp_extract_all(s, '(?i)<img[^>]*src=[\"'']([^\"'']+)[\"'']', 1)), lambda x: regexp_replace(split_part(x, '?', 1), '^.*/', ''))"
+
+
+@query("h46_image_references", f"""
+with d as (select source, string_agg({_MARKUP}, chr(10) order by chunk_id) s from images group by source), l as (select source, {_FOUND} l from d)
+select source, list_filter(l, lambda x, i: list_position(l, x) = i) image_ids from l""")
+def image_references(spark, sf_dir):
+    """Images that a document's Markdown and HTML name, each once: those of Markdown first, in order, without folders and parameters."""
+    html = F.concat(F.lit('<img alt="x" src="/files/p'), "page", F.lit("/"), "image_id", F.lit('?v=1">'))
+    mark = F.when(F.col("page") % 2 == 0, F.concat(F.lit("!["), "caption", F.lit("](media/"), "image_id", F.lit(")"))).otherwise(html)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", mark.alias("m")))), lambda r: r["m"])
+    docs = view(spark, sf_dir, "images").groupBy("source").agg(F.array_join(lines, "\n").alias("s"))
+    return docs.select("source", text.images_in_markup(F.col("s")).alias("image_ids"))
 
 
 @query("h47_html_tables", "select sheet, (row_no - 1) // 200 slice, string_agg(concat('| ', array_to_string(cells, ' | '), ' |', case when (row_no - 1) % 200 = 0 then concat(chr(10), '| --- | --- | --- |') else '' end), chr(10) order by row_no) markdown from table_rows group by sheet, slice")
@@ -228,28 +242,57 @@ def version_aware(spark, sf_dir):
     return one.select("query_id", "vec_id", "score", F.concat(F.lit("Document "), "source", F.lit(" is deprecated")).alias("hint"))
 
 
-@query("m7_expansion_search", "select query_id, vec_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from (select query_id % 10 query_id, vec_id, max(score) score from hits group by query_id % 10, vec_id)) where rank <= 10")
+_VARIANTS = r"""
+vq as (select item_id, unnest(list_distinct([lower(text), replace(lower(text), 'the', 'der'), replace(lower(text), 'the', 'los')])) variant, lower(text) own from benchmark),
+qt as (select distinct concat(item_id, '|', md5(variant)) query_id, unnest(regexp_extract_all(lower(variant), '[\p{L}\p{N}]+')) term from vq)"""
+_OF = "cast(split_part(query_id, '|', 1) as bigint)"
+
+
+def _variants(spark, sf_dir):
+    """``item_id, variant, query_id`` of every wording of a query; the query itself is one."""
+    q = F.lower("text")
+    v = view(spark, sf_dir, "benchmark").select("item_id", q.alias("own"), F.explode(answers.expansions(q, {"the": ["der", "los"]})).alias("variant"))
+    return v.withColumn("query_id", F.concat("item_id", F.lit("|"), F.md5("variant")))
+
+
+@query("m7_expansion_search", f"with {bm25_sql(_VARIANTS)}, m as (select {_OF} query_id, chunk_id, max(score) score from b group by 1, 2) select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from m) where rank <= 10")
 def expansion_search(spark, sf_dir):
-    """Two wordings of each query (ids 10 apart); the best score of a hit counts; ten best."""
-    h = view(spark, sf_dir, "hits").groupBy((F.col("query_id") % 10).alias("query_id"), "vec_id").agg(F.max("score").alias("score"))
-    return search.topk(h, ["query_id"], [F.desc("score"), F.col("vec_id")], 10).select("query_id", "vec_id", "score", "rank")
+    """Every wording is searched; the best score of a chunk counts; ten best."""
+    found = search.expanded(_variants(spark, sf_dir).select("query_id", "item_id", F.col("variant").alias("text")), lambda q: bm25_of_chunks(spark, sf_dir, q))
+    return search.topk(found.withColumnRenamed("item_id", "query_id"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
 
 
-@query("m8_sub_query_search", "select distinct query_id % 4 query_id, vec_id from hits where rank <= 3")
-def sub_query_search(spark, sf_dir):
-    return view(spark, sf_dir, "hits").where("rank <= 3").select((F.col("query_id") % 4).alias("query_id"), "vec_id").distinct()
+_PARTS = r"""
+sq as (select item_id, unnest(range(len(ss))) k, unnest(ss) sentence from (select item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?]\s*'), lambda x: trim(x)), lambda x: x <> '') ss from benchmark)),
+qt as (select distinct concat(item_id, '|', k) query_id, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) term from sq)"""
 
 
-@query("m10_remediation", """
-with a as (select query_id, max(score) top from hits group by query_id), b as (select query_id, max(score) top from hits where label % 2 = 0 group by query_id)
-select a.query_id, greatest(a.top, coalesce(b.top, 0)) top, coalesce(b.top > a.top, false) replaced from a left join b on b.query_id = (a.query_id + 1) % 20 where a.top < 0.4""")
+@query("m8_sub_query_search", f"with {bm25_sql(_PARTS)} select distinct {_OF} query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from b) where r <= 3")
+def sub_query_search(spark, sf_dir):
+    """A query's sentences are searched each; their three best chunks together, once each."""
+    parts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "text"))
+    found = bm25_of_chunks(spark, sf_dir, parts.select(F.concat("item_id", F.lit("|"), "k").alias("query_id"), "text"))
+    top = search.topk(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], 3, "r")
+    return top.select(F.substring_index("query_id", "|", 1).cast("long").alias("query_id"), "chunk_id").distinct()
+
+
+@query("m10_remediation", f"""
+with {bm25_sql(_VARIANTS)}, s as (select {_OF} item_id, query_id, max(score) top from b group by 1, 2),
+k as (select distinct item_id, concat(item_id, '|', md5(variant)) query_id, variant = own original from vq),
+a as (select s.item_id, s.top from s join k using (query_id) where original), z as (select s.item_id, max(s.top) again from s join k using (query_id) where not original group by s.item_id),
+w as (select * from a where top < (select round(avg(top), 6) from a))
+select w.item_id query_id, greatest(top, coalesce(again, 0)) top, coalesce(again > top, false) replaced from w left join z using (item_id)""")
 def remediation(spark, sf_dir):
-    """Weak queries are searched again (here: their neighbour's even labels); the second result counts only if better."""
-    h = view(spark, sf_dir, "hits")
-    a = h.groupBy("query_id").agg(F.max("score").alias("top")).where("top < 0.4")
-    b = h.where("label % 2 = 0").groupBy(((F.col("query_id") + 19) % 20).alias("query_id")).agg(F.max("score").alias("again"))
+    """Queries whose best chunk is weak (below the mean) are searched again in other wordings; the second result counts only if better."""
+    v = _variants(spark, sf_dir).withColumn("original", F.col("variant") == F.col("own"))
+    first = bm25_of_chunks(spark, sf_dir, v.where("original").select(F.col("item_id").alias("query_id"), F.col("variant").alias("text")))
+    a = stored(first.groupBy("query_id").agg(F.max("score").alias("top")), "tops")
+    weak = a.where(F.col("top") < a.agg(F.round(F.avg("top"), 6)).first()[0])
+    retry = v.where("not original").join(weak, v["item_id"] == weak["query_id"], "left_semi")
+    again = search.expanded(retry.select("query_id", "item_id", F.col("variant").alias("text")), lambda q: bm25_of_chunks(spark, sf_dir, q))
+    z = again.groupBy(F.col("item_id").alias("query_id")).agg(F.max("score").alias("again"))
     better = F.coalesce(F.col("again") > F.col("top"), F.lit(False))
-    return a.join(b, "query_id", "left").select("query_id", F.when(better, F.col("again")).otherwise(F.col("top")).alias("top"), better.alias("replaced"))
+    return weak.join(z, "query_id", "left").select("query_id", F.when(better, F.col("again")).otherwise(F.col("top")).alias("top"), better.alias("replaced"))
 
 
 @query("m15_graph_from_json", "select head, relation, tail from edges where relation in ('BELONGS_TO')")

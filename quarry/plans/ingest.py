@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import hooks, scores, text
 from ..operators import graph, maintain, search
 from ..sources import files
+from ..sources.tables import stored
 from .fixtures import view
 from .registry import n_rows, query
 from .retrieval import _BM25, bm25_of_chunks
@@ -72,14 +73,19 @@ def image_channel(spark, sf_dir):
     return search.topk(bm25_of_chunks(spark, sf_dir).join(shown, "chunk_id", "left_semi"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 5).select("query_id", "chunk_id", "score", "rank")
 
 
-@query("m13_multi_hop", """
-with b as (select head as "name", tail other, concat_ws(chr(9), head, relation, tail) edge from edges union all select tail, head, concat_ws(chr(9), head, relation, tail) from edges),
-s as (select name start from entities where type = 'region'),
-h1 as (select distinct s.start, b.other, b.edge from s join b on b.name = s.start), h2 as (select distinct h1.start, b.edge from h1 join b on b.name = h1.other)
-select start, count(distinct edge) n from (select start, edge from h1 union all select start, edge from h2) group by start""")
+@query("m13_multi_hop", f"""
+with {_BM25}, top as (select * from (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from b) where r <= 3),
+m as (select distinct query_id, concat('Supplier#', lpad(cast(1 + document_id % 10 as varchar), 9, '0')) start from top join chunks using (chunk_id)),
+g as (select head as "name", tail other, concat_ws(chr(9), head, relation, tail) edge from edges union all select tail, head, concat_ws(chr(9), head, relation, tail) from edges),
+h1 as (select distinct m.start, g.other, g.edge from (select distinct start from m) m join g on g.name = m.start), h2 as (select distinct h1.start, g.edge from h1 join g on g.name = h1.other)
+select query_id, count(distinct edge) n from m join (select start, edge from h1 union all select start, edge from h2) using (start) group by query_id""")
 def multi_hop(spark, sf_dir):
-    names = view(spark, sf_dir, "entities").where("type = 'region'").select("name")
-    return graph.subgraph(names, view(spark, sf_dir, "edges"), 2).groupBy("start").agg(n_rows().alias("n"))
+    """Two hops from the entities of a query's three best chunks (each document names a supplier)."""
+    top = search.topk(bm25_of_chunks(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("chunk_id")], 3)
+    named = view(spark, sf_dir, "chunks").select("chunk_id", F.concat(F.lit("Supplier#"), F.lpad((1 + F.col("document_id") % 10).cast("string"), 9, "0")).alias("start"))
+    m = stored(top.join(named, "chunk_id").select("query_id", "start").distinct(), "named")
+    walked = graph.subgraph(m.select(F.col("start").alias("name")).distinct(), view(spark, sf_dir, "edges"), 2)
+    return m.join(walked, "start").groupBy("query_id").agg(F.countDistinct("edge").alias("n"))
 
 
 @query("m4_single_collection_search", f"""

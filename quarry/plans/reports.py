@@ -268,8 +268,12 @@ def daily(spark, sf_dir):
 
 @query("i8_collection_versions", "select event_id, concat('kb', user_id % 4) collection, row_number() over (partition by user_id % 4 order by ts, event_id) version from events where event_type = 'purchase'")
 def collection_versions(spark, sf_dir):
-    e = view(spark, sf_dir, "events").where("event_type = 'purchase'").withColumn("collection", F.concat(F.lit("kb"), F.col("user_id") % 4))
-    return e.select("event_id", "collection", F.row_number().over(Window.partitionBy("collection").orderBy("ts", "event_id")).cast("long").alias("version"))
+    """Numbers in order of time: inside a day of a collection, after the counts of the days before, so no collection goes to one task."""
+    e = view(spark, sf_dir, "events").where("event_type = 'purchase'").select("event_id", "ts", F.concat(F.lit("kb"), F.col("user_id") % 4).alias("collection"), F.to_date("ts").alias("day"))
+    before = Window.partitionBy("collection").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = e.groupBy("collection", "day").agg(n_rows().alias("n")).select("collection", "day", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    inside = F.row_number().over(Window.partitionBy("collection", "day").orderBy("ts", "event_id"))
+    return e.withColumn("inside", inside).join(days, ["collection", "day"]).select("event_id", "collection", (F.col("inside") + F.col("earlier")).alias("version"))
 
 
 @query("i9_last_activity", "select session_id, max(created_at) last_active from feedback group by session_id")

@@ -21,9 +21,20 @@ def sentence_chunks(spark, sf_dir):
     return chunking.chunk_table(view(spark, sf_dir, "documents"), chunking.sentence_split, most=500)
 
 
-@query("l3_paragraph_packs", "select doc_id, count(*) n, cast(sum(length(line)) as bigint) chars from doc_lines group by doc_id")
+_TRIM = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+
+
+@query("l3_paragraph_packs", f"""
+with p as (select doc_id, text, list_prepend({{'cur': '', 'packs': []::varchar[]}}, list_transform(string_split(text, chr(10) || chr(10)), lambda x: {{'cur': x, 'packs': []::varchar[]}})) ps from documents),
+f as (select doc_id, text, list_reduce(ps, lambda a, x: case when length(a.cur) + length(x.cur) > 500
+  then {{'cur': x.cur, 'packs': case when {_TRIM.format("a.cur")} <> '' then list_append(a.packs, {_TRIM.format("a.cur")}) else a.packs end}}
+  else {{'cur': a.cur || chr(10) || chr(10) || x.cur, 'packs': a.packs}} end) f from p),
+l as (select doc_id, case when length(text) <= 500 then [text] else list_append(f.packs, {_TRIM.format("f.cur")}) end packs from f)
+select doc_id, unnest(range(len(packs)))::int pack, unnest(packs) content from (select doc_id, list_filter(packs, lambda x: {_TRIM.format("x")} <> '') packs from l)""")
 def paragraph_packs(spark, sf_dir):
-    return view(spark, sf_dir, "doc_lines").groupBy("doc_id").agg(n_rows().alias("n"), F.sum(F.length("line")).alias("chars"))
+    """Paragraphs put together up to 500 characters; a longer one is a pack of its own."""
+    d = view(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(chunking.paragraph_packs(F.col("text"), 500)).alias("pack", "content"))
 
 
 @query("e18_merged_lines")
@@ -143,9 +154,22 @@ def image_statistics(spark, sf_dir):
     return view(spark, sf_dir, "images").groupBy(F.regexp_extract("image_id", r"\.([a-z]+)$", 1).alias("format")).agg(n_rows().alias("n"), px.cast("long").alias("pixels"), F.round(px / 1048576.0, 2).alias("megapixels"))
 
 
-@query("d33_rich_media", "select source, list_sort(list(distinct image_id)) images, list_sort(list(distinct page)) pages from images group by source")
+@query("d33_rich_media", """
+with m as (select source, page, image_id, null table_id from images union all select source, page, null, chunk_id from chunks where chunk_type = 'table'
+  union all select c.source, c.page, i.image_id, null from chunks c join images i on i.source = c.source and i.page = c.page_end where c.chunk_type = 'text' and c.page_end > c.page)
+select source, coalesce(list_sort(list(distinct image_id) filter (where image_id is not null)), []) images, coalesce(list_sort(list(distinct table_id) filter (where table_id is not null)), []) tables, list_sort(list(distinct page)) pages from m group by source""")
 def rich_media(spark, sf_dir):
-    return view(spark, sf_dir, "images").groupBy("source").agg(F.sort_array(F.collect_set("image_id")).alias("images"), F.sort_array(F.collect_set("page")).alias("pages"))
+    """Pictures and tables of each source, from three places: image chunks, table chunks, and pictures of a page that a text runs on to."""
+    i, c = view(spark, sf_dir, "images"), view(spark, sf_dir, "chunks")
+    none = F.lit(None).cast("string")
+    on = c.where("chunk_type = 'text' and page_end > page").select(F.col("source").alias("s"), F.col("page").alias("p"), "page_end")
+    rows = (
+        i.select("source", "page", "image_id", none.alias("table_id"))
+        .unionByName(c.where("chunk_type = 'table'").select("source", "page", none.alias("image_id"), F.col("chunk_id").alias("table_id")))
+        .unionByName(i.join(on, (i["source"] == on["s"]) & (i["page"] == on["page_end"])).select("source", F.col("p").alias("page"), "image_id", none.alias("table_id")))
+    )
+    each = lambda name: F.sort_array(F.collect_set(name))
+    return rows.groupBy("source").agg(each("image_id").alias("images"), each("table_id").alias("tables"), each("page").alias("pages"))
 
 
 @query("h10_figure_numbers", r"select chunk_id, replace(regexp_extract(caption, '图\s*(\d+[\.\-]\d+)', 1), '-', '.') figure_number from images")
