@@ -330,7 +330,8 @@ def _clusters(reps: DataFrame, percent: int) -> DataFrame:
     def settle(band, i, k, ids, sizes, sigs):
         return [(a, ids[r], 1) for a, r in zip(ids, clustered(ids, sizes, sigs, percent).tolist(), strict=True) if ids[r] != a]
 
-    return connected(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int").select("a", "b"))
+    # stored, so that a task runs one Python worker at a time
+    return connected(common.cut(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int").select("a", "b"), "survivors"))
 
 
 def _verified(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:

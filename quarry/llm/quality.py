@@ -87,7 +87,7 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             for own in tokens(batch.column("text")):
                 held.append(own)
                 size += len(own)
-                if size > 1_500_000:
+                if size > 500_000:
                     add()
                     size = 0
         if held:

@@ -22,9 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries of each of the two generations of a worker's memos, about 150 bytes each.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 100_000
 #: Bytes of texts whose words are coded together.
-TOGETHER = 4_000_000
+TOGETHER = 3_000_000
 
 # The normaliser and the splitting for which words may be encoded one by one.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
