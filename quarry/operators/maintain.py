@@ -109,3 +109,11 @@ def spaced(events: DataFrame, apart: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in events.schema}
     ordered = events.select("event_id", "user_id", "t").repartition("user_id").sortWithinPartitions("user_id", F.asc_nulls_last("t"), "event_id")
     return ordered.mapInArrow(pass_on, f"event_id {kinds['event_id']}, user_id {kinds['user_id']}, first boolean")
+
+
+def synced(stored: DataFrame, current: DataFrame) -> DataFrame:
+    """``document_id, content_hash, rewritten`` after a sync of the stored hashes with the current ones: diff, drop what is gone, rewrite what changed."""
+    d = snapshot_diff(current, stored)
+    changed = d.where("change_type in ('added', 'modified')").select("document_id", F.col("new_hash").alias("content_hash"))
+    kept = delete(stored, d.where("change_type = 'deleted'"), ["document_id"])
+    return upsert(kept.withColumn("rewritten", F.lit(False)), changed.withColumn("rewritten", F.lit(True)), ["document_id"])

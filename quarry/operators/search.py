@@ -148,14 +148,15 @@ def build_index(chunks: DataFrame) -> Index:
 def bm25(query_terms: DataFrame, index: Index) -> DataFrame:
     """``query_id, collection, chunk_id, score``: sums over distinct query terms; chunks without any are absent.
 
-    The distinct terms of the stated queries meet the term table first; their buckets prune the scan of the
-    postings and their terms filter it, so postings of other terms are neither shuffled nor summed.
+    The buckets of the asked terms (at most ``BUCKETS`` numbers) prune the scan of the postings; in what is read the
+    terms filter before anything is summed, so postings of other terms are neither shuffled nor aggregated.
     """
     asked = query_terms.select("query_id", "term").distinct()
+    buckets = sorted(r["b"] for r in asked.select(bucket(F.col("term")).alias("b")).distinct().collect())
     facts = index.terms.join(asked, "term").join(F.broadcast(index.collections), "collection").withColumn("bucket", bucket(F.col("term")))
     tf, dl = F.col("tf"), F.col("dl")
     part = F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))
-    return index.postings.join(facts, ["bucket", "collection", "term"]).groupBy("query_id", "collection", "chunk_id").agg(F.sum(part).alias("score"))
+    return index.postings.where(F.col("bucket").isin(buckets)).join(facts, ["bucket", "collection", "term"]).groupBy("query_id", "collection", "chunk_id").agg(F.sum(part).alias("score"))
 
 
 # --- fusion and shaping ----------------------------------------------------

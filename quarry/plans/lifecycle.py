@@ -170,12 +170,8 @@ def sync_summary(spark, sf_dir):
 with t as (select coalesce(c.document_id, s.document_id) document_id, case when s.document_id is null then 'added' when c.document_id is null then 'deleted' when s.content_hash = c.content_hash then 'same' else 'modified' end k, coalesce(c.content_hash, s.content_hash) h from doc_current c full join doc_stored s using (document_id))
 select document_id, h content_hash, k <> 'same' rewritten from t where k <> 'deleted'""")
 def incremental_sync(spark, sf_dir):
-    """Diff, drop what is gone, rewrite what changed: the new hash table."""
-    stored = view(spark, sf_dir, "doc_stored")
-    d = maintain.snapshot_diff(view(spark, sf_dir, "doc_current"), stored)
-    changed = d.where("change_type in ('added', 'modified')").select("document_id", F.col("new_hash").alias("content_hash"))
-    kept = maintain.delete(stored, d.where("change_type = 'deleted'"), ["document_id"])
-    return maintain.upsert(kept.withColumn("rewritten", F.lit(False)), changed.withColumn("rewritten", F.lit(True)), ["document_id"])
+    """The new hash table."""
+    return maintain.synced(view(spark, sf_dir, "doc_stored"), view(spark, sf_dir, "doc_current"))
 
 
 @query("c20_active_version", "select d.doc_id document_id, max(case when status = 'active' then version end) version from documents d left join doc_versions v on v.document_id = d.doc_id group by d.doc_id")

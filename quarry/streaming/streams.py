@@ -67,3 +67,22 @@ def suggestion_counts(feedback: DataFrame) -> DataFrame:
 def each_batch(changes: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str):
     """Run a batch job (an incremental sync, say) on every micro-batch, once for each batch id."""
     return changes.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def continuous_sync(changes: DataFrame, stored: DataFrame, path: str, checkpoint: str):
+    """Keep the table of content hashes at ``path`` in step with a stream ``document_id, content_hash, seq`` (a null hash: deleted).
+
+    Every micro-batch takes the latest change of each document and writes version ``n`` of the table from the one before,
+    so a batch that is repeated after a failure writes the same version again.  After the last batch the newest version
+    equals the batch sync of the final snapshot.
+    """
+    stored.select("document_id", "content_hash").write.mode("overwrite").parquet(f"{path}/v=-1")
+
+    def apply(batch: DataFrame, n: int) -> None:
+        spark = batch.sparkSession
+        now = spark.read.schema("document_id long, content_hash string").parquet(f"{path}/v={n - 1}")
+        last = batch.groupBy("document_id").agg(F.max_by("content_hash", "seq").alias("content_hash"))
+        kept = now.join(last.select("document_id"), "document_id", "left_anti")
+        kept.unionByName(last.where("content_hash is not null")).write.mode("overwrite").parquet(f"{path}/v={n}")
+
+    return each_batch(changes, apply, checkpoint)
