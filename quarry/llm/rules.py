@@ -6,8 +6,10 @@ of tasks, and sketches of sources, merge without error.  A group's sketch is mer
 scaled to ``PRIOR`` documents, so small groups lean on their language and large ones on themselves, by one
 rule at every size.  Fences from its 10 %, 50 % and 90 % quantiles take the place of fixed cutoffs and are
 joined back to the documents: the 90 % quantile plus ``reach`` times its distance from the median.  Most
-documents have none of some marks, so that distance is at least what one more occurrence makes in a
-document of the group's median length.
+documents have none of some marks, and plain quantiles would all be zero.  Sketches of marks therefore
+take each document with one occurrence more than it has, which weighs by the document's own length, so
+the quantiles follow the group's lengths and marks; the verdict is on the plain ratio.  The distance is at
+least what one more occurrence makes in a document of the group's median length.
 """
 
 from __future__ import annotations
@@ -78,7 +80,7 @@ def bucket(value: Column) -> Column:
 
 def sketches(counts: DataFrame) -> DataFrame:
     """``lang, source, ratio, bucket, n``: mergeable by summing ``n``.  Documents that failed the base rules do not count."""
-    value = {name: F.floor(F.col(c) * times / F.col("n_words")).cast("long") for name, (c, times, _, _) in RATIOS.items()} | {"words": F.col("n_words")}
+    value = {name: F.floor((F.col(c) + (0 if lower else more)) * times / F.col("n_words")).cast("long") for name, (c, times, more, lower) in RATIOS.items()} | {"words": F.col("n_words")}
     each = F.array(*(F.struct(F.lit(name).alias("ratio"), bucket(v).alias("bucket")) for name, v in value.items()))
     return counts.where("not base_failed").select("lang", "source", F.explode(each).alias("r")).groupBy("lang", "source", "r.ratio", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
@@ -132,8 +134,9 @@ def filtered(docs: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
 
 def oracle(reach: int = 3, prior: int = PRIOR) -> str:
     """The same in DuckDB SQL."""
-    values = {name: f"({c} * {times} // n_words)" for name, (c, times, _, _) in RATIOS.items()} | {"words": "n_words"}
-    sketch = " union all ".join(f"select lang, source, '{name}' ratio, {v} v from base where not base_failed" for name, v in values.items())
+    values = {name: f"({c} * {times} // n_words)" for name, (c, times, _, _) in RATIOS.items()}
+    raised = {name: f"(({c} + {0 if lower else more}) * {times} // n_words)" for name, (c, times, more, lower) in RATIOS.items()} | {"words": "n_words"}
+    sketch = " union all ".join(f"select lang, source, '{name}' ratio, {v} v from base where not base_failed" for name, v in raised.items())
     q = lambda name, p: f"min(case when ratio = '{name}' and upto * 100 >= total * {p} then bucket end)"
     sides = []
     for name, (_, times, more, _) in RATIOS.items():
