@@ -63,6 +63,17 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> tuple[DataFra
     return (F.broadcast(stored) if n <= rows else stored), n
 
 
+def turn_order() -> list[Column]:
+    """Turns of a conversation: by number (null first), role and text (its beginning, then its digest)."""
+    return [F.asc_nulls_first("turn"), F.asc("role"), F.asc("head"), F.asc("digest")]
+
+
+def turn_parts(role: Column, text: Column) -> list[Column]:
+    """``role, head, digest, bytes`` of a turn: what orders and names it without its text."""
+    named = F.concat(F.octet_length(role).cast("string"), F.lit(":"), role, text)
+    return [role.alias("role"), F.substring(text, 1, 64).alias("head"), F.unhex(F.md5(named)).alias("digest"), F.octet_length(text).cast("long").alias("bytes")]
+
+
 def label_fold(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo ``modulus``: the fold that decides what may be learnt from."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.fixtures import spread
-from . import chat, common, mixing, neardup, packing, quality, rules, token_files, tokens, topk, toxicity, warc
+from . import chat, common, mixing, neardup, packing, quality, repair, rules, token_files, tokens, topk, toxicity, trie, warc
 
 
 def vocabulary() -> str:
@@ -86,9 +86,20 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_quality_rules, op3_packing, op4_toxicity, op5_token_files, op6_minhash, op7_warc, op8_quality_network, op9_pivot_top_k, op10_mixing)}
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.nodes(trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(turns), turns)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_quality_rules, op3_packing, op4_toxicity, op5_token_files, op6_minhash, op7_warc, op8_quality_network, op9_pivot_top_k, op10_mixing, op12_prefix_trie, op13_structure_repair)}
 
 ORACLE_SQL = {
+    "op12_prefix_trie": trie.oracle(),
+    "op13_structure_repair": repair.oracle(),
     "op2_quality_rules": rules.oracle(),
     "op6_minhash": neardup.oracle(),
     "op7_warc": """
