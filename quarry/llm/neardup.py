@@ -10,10 +10,10 @@
 
 No pairs are listed at any time.  Documents already known to belong together need no comparison, so all
 but the largest component of a group are explored, one document against all others at a time.  Large
-groups are cut: a bucket of more than ``BUCKET_DOCS`` into blocks which meet pairwise; a cluster of more than
-``BLOCK_SHINGLES`` into slices, each verified together with a few common documents, so that in one pass
-the slices of a group of near copies become one component; only documents outside a cluster's largest
-component then meet all slices.
+groups are cut: a bucket of more than ``BUCKET_DOCS`` into blocks, a cluster of more than ``BLOCK_SHINGLES``
+into slices, each verified together with a few common documents, so that in one pass the slices of a
+group of near copies become one component; only documents outside a group's largest component then meet
+all blocks or slices.
 
 A pair of similarity 0.85 shares no band with probability (1 - 0.85**5) ** 25 < 5e-7, one of 0.80 (32 bands of 4) with probability (1 - 0.8**4) ** 32 < 5e-8.
 """
@@ -192,9 +192,18 @@ def _positions(ids: list[int]) -> np.ndarray:
     return np.searchsorted(np.array(ids, np.int64), ids)
 
 
-def clustered(ids: list[int], sizes: list[int], sigs: list[bytes], percent: int) -> np.ndarray:
-    """For ascending ids, the position of the smallest member of each one's component of surviving pairs."""
-    roots, sizes_, sigs_ = _positions(ids), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
+def known_roots(ids: list[int], labels: list[int] | None) -> np.ndarray:
+    """For ascending ids, the position of the first document that is known to belong to each one."""
+    roots = _positions(ids)
+    if labels is not None:
+        first: dict[int, int] = {}
+        roots = np.array([min(r, first.setdefault(label, int(r))) for r, label in zip(roots, labels, strict=True)])
+    return roots
+
+
+def clustered(ids: list[int], sizes: list[int], sigs: list[bytes], percent: int, labels: list[int] | None = None) -> np.ndarray:
+    """For ascending ids, the position of the smallest member of each one's component of surviving pairs (and known labels)."""
+    roots, sizes_, sigs_ = known_roots(ids, labels), np.array(sizes), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1)
     return united(roots, lambda i: surviving(i, roots, sizes_, sigs_, percent))
 
 
@@ -205,10 +214,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int, sigs: list[byte
     """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
-    roots = _positions(ids)
-    if labels is not None:
-        first: dict[int, int] = {}
-        roots = np.array([min(r, first.setdefault(label, int(r))) for r, label in zip(roots, labels, strict=True)])
+    roots = known_roots(ids, labels)
     sigs_ = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1) if sigs else np.stack([signature(s).astype(np.uint8) for s in sets])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), sizes)
@@ -315,26 +321,59 @@ def connected(edges: DataFrame) -> DataFrame:
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def in_blocks(member: DataFrame, key: list[str], label: str, rows: int, meet: bool) -> DataFrame:
+    """Members ``key, doc_id, label`` with ``i, k``: groups of more than ``rows`` documents are cut into blocks.
+
+    Without ``meet`` every block stands alone.  With it the documents outside a group's most frequent label meet
+    every block of the group, and no others do: documents of that label are known to belong together.
+    """
+    load = member.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("blocks"))
+    dealt = member.join(load, key).withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("k", F.lit(0))
+    if not meet:
+        return dealt.drop("blocks")
+    dealt = common.cut(dealt, "dealt")
+    large = dealt.where("blocks > 1")
+    if not large.limit(1).count():
+        return dealt.drop("blocks")
+    most = large.groupBy(*key, label).agg(F.count(F.lit(1)).alias("n")).groupBy(*key).agg(F.max(F.struct("n", label))[label].alias("most"))
+    outside = large.join(most, key).where(F.col(label) != F.col("most")).drop("most")
+    rest = outside.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("parts"))
+    own = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.col("parts")).cast("int")
+    asks = outside.join(rest, key).withColumn("k", own).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("parts")
+    met = large.join(rest, key).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+    return dealt.where("blocks = 1").unionByName(met.unionByName(asks).distinct()).drop("blocks")
+
+
 def _clusters(reps: DataFrame, percent: int) -> DataFrame:
     """``node, root``: components of pairs that share a band and whose signatures survive (documents of some such pair only)."""
     banded = reps.select("doc_id", F.explode("bands").alias("band"))
     # one bucket for every set of documents, named by its count and 128 bits of hashes
     same = banded.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id")).alias("x"), F.bit_xor(F.xxhash64("doc_id", F.lit(1))).alias("y")).where("n > 1")
-    one = common.cut(same.groupBy("n", "x", "y").agg(F.min("band").alias("band")), "buckets")
-    bucket = one.select("band", F.ceil(F.col("n") / BUCKET_DOCS).cast("int").alias("blocks"))
-    member = banded.join(bucket, "band").withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    member = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "doc_id")
+    bucket = common.cut(same.groupBy("n", "x", "y").agg(F.min("band").alias("band")), "buckets")
     key = ["band", "i", "k"]
-    rows = member.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "n_shingles", "sig")
 
-    def settle(band, i, k, ids, sizes, sigs):
-        return [(a, ids[r], 1) for a, r in zip(ids, clustered(ids, sizes, sigs, percent).tolist(), strict=True) if ids[r] != a]
+    def settle(band, i, k, ids, labels, sizes, sigs):
+        return [(a, ids[r], 1) for a, r in zip(ids, clustered(ids, sizes, sigs, percent, labels).tolist(), strict=True) if ids[r] != a]
+
+    def survivors(member: DataFrame) -> DataFrame:
+        rows = member.join(reps.select("doc_id", "n_shingles", "sig"), "doc_id").repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "label", "n_shingles", "sig")
+        # stored, so that a task runs one Python worker at a time
+        return common.cut(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int").select("a", "b"), "survivors")
+
+    member = banded.join(bucket.select("band", "n"), "band").select("band", "n", "doc_id", F.col("doc_id").alias("label"))
+    pairs = survivors(in_blocks(member.drop("n"), ["band"], "label", BUCKET_DOCS, False))
+    found = connected(pairs)
+    if bucket.where(F.col("n") > BUCKET_DOCS).limit(1).count():
+        known = found.select(F.col("node").alias("doc_id"), "root")
+        again = member.where(F.col("n") > BUCKET_DOCS).join(known, "doc_id", "left").select("band", "doc_id", F.coalesce("root", "doc_id").alias("label"))
+        found = connected(pairs.unionByName(survivors(in_blocks(again, ["band"], "label", BUCKET_DOCS, True))))
+    return found
 
-    # stored, so that a task runs one Python worker at a time
-    return connected(common.cut(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int").select("a", "b"), "survivors"))
 
+Linker = Callable[[tuple, tuple, tuple, tuple], np.ndarray]
 
-def _verified(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
+
+def _verified(docs: DataFrame, dealt: DataFrame, link: Linker) -> DataFrame:
     """Exact links ``a, b, slices`` (each document to the smallest one of its component) inside every group ``(root, i, k)`` of ``dealt``."""
     key = ["root", "i", "k"]
     # only texts of cluster members travel: their ids are broadcast while their counted number is small
@@ -342,34 +381,20 @@ def _verified(docs: DataFrame, dealt: DataFrame, percent: int) -> DataFrame:
     rows = docs.select("doc_id", "text").join(dealt, "doc_id").repartition(*key).sortWithinPartitions(*key, "doc_id").select(*key, "doc_id", "label", "slices", "sig", "text")
 
     def settle(root, i, k, ids, labels, slices, sigs, texts):
-        known = sigs if len(set(ids)) == len(ids) else None  # rows that repeat an id may have other texts
-        roots = linked(ids, [shingles(normal(t or "")) for t in texts], percent, known, labels)
-        return [(a, ids[r], n) for a, r, n in zip(ids, roots.tolist(), slices, strict=True)]
+        return [(a, ids[r], n) for a, r, n in zip(ids, link(ids, texts, sigs, labels).tolist(), slices, strict=True)]
 
     return common.cut(rows.mapInArrow(lambda batches: _grouped(batches, key, settle), "a long, b long, slices int"), "links").where("a <> b")
 
 
-def components(docs: DataFrame, percent: int = 85) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+def settled(docs: DataFrame, member: DataFrame, link: Linker) -> DataFrame:
+    """``a, root`` of every document that has an exact link inside its cluster.
 
-    Documents whose sets of five-word shingles (ASCII lower case) have 100 * |a & b| >= percent * |a | b| are
-    linked; ``component_id`` is the smallest ``doc_id`` reachable.  Null, empty and blank texts have empty
-    sets and are linked with nothing; texts of any length are compared whole.  Rows that repeat a ``doc_id`` each
-    get a row (of several texts of one id each is compared); a null ``doc_id`` takes the component of its equal
-    texts, and null where it has none.  Empty tables give an empty table; further columns are ignored.
+    ``member``: ``doc_id, n_shingles, sig, root, label``, where ``root`` names the cluster and documents of equal ``label``
+    are known to belong together.  ``link`` gives, for ascending ids, texts, signatures and labels, the position of the
+    smallest member of each one's component.  Large clusters are cut into slices that share a few documents; then only
+    documents outside a cluster's largest component meet all slices.
     """
-    known = common.cut(profiles(docs, percent), "profiles")
-    classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    classes = common.cut(classes, "classes")
-    reps = (
-        known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
-        .select("doc_id", "digest", "n_shingles", "bands", "sig").dropDuplicates(["digest", "doc_id"])
-    )
-    reps = common.cut(reps, "reps")
-    cluster = _clusters(reps, percent)
-
-    member = reps.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sig")).alias("p")).select("doc_id", "p.*").join(cluster.withColumnRenamed("node", "doc_id"), "doc_id")
-    shared = [F.min(F.struct(F.xxhash64("doc_id", F.lit(c)), "doc_id", "sig")).alias(f"c{c}") for c in range(COMMON)]
+    shared = [F.min(F.struct(F.xxhash64("doc_id", F.lit(c)), "doc_id", "sig", "label")).alias(f"c{c}") for c in range(COMMON)]
     load = member.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("slices"), *shared)
     load = common.cut(load, "loads")
     slices = member.join(load.select("root", "slices"), "root").withColumn("i", F.pmod(F.xxhash64("doc_id"), F.col("slices")).cast("int"))
@@ -377,25 +402,54 @@ def components(docs: DataFrame, percent: int = 85) -> DataFrame:
     none = F.lit(0)
     large = load.where("slices > 1")
     everywhere = (
-        large.select("root", "slices", F.explode(F.array_distinct(F.array(*(F.struct(f"c{c}.doc_id", f"c{c}.sig") for c in range(COMMON))))).alias("c"))
-        .select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"), none.alias("k"), "c.doc_id", F.col("c.doc_id").alias("label"), "slices", "c.sig")
+        large.select("root", "slices", F.explode(F.array_distinct(F.array(*(F.struct(f"c{c}.doc_id", f"c{c}.sig", f"c{c}.label") for c in range(COMMON))))).alias("c"))
+        .select("root", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"), none.alias("k"), "c.doc_id", "c.label", "slices", "c.sig")
     )
-    first = slices.select("root", "i", none.alias("k"), "doc_id", F.col("doc_id").alias("label"), "slices", "sig").unionByName(everywhere)
-    links = _verified(docs, first, percent)
+    columns = ["root", "i", "k", "doc_id", "label", "slices", "sig"]
+    first = slices.withColumn("k", none).select(*columns).unionByName(everywhere)
+    links = _verified(docs, first, link)
     joined = links.where("slices = 1").select("a", F.col("b").alias("root"))
     if large.limit(1).count():
         many = links.where("slices > 1").select("a", "b")
-        label = connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("label"))
-        parts = common.cut(slices.where("slices > 1").join(label, "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id")), "parts")
+        label = connected(many).select(F.col("node").alias("doc_id"), F.col("root").alias("now"))
+        parts = common.cut(slices.where("slices > 1").join(label, "doc_id", "left").withColumn("label", F.coalesce("now", "label")).drop("now"), "parts")
         most = parts.groupBy("root", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("root").agg(F.max(F.struct("n", "label"))["label"].alias("most"))
         outside = parts.join(most, "root").where("label <> most")
         rest = outside.groupBy("root").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_DOCS), F.ceil(F.sum("n_shingles") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
         # every block of outside documents meets every slice once
         asks = outside.join(rest, "root").withColumn("k", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
         met = parts.join(rest, "root").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        columns = ["root", "i", "k", "doc_id", "label", "slices", "sig"]
-        second = _verified(docs, met.select(*columns).unionByName(asks.select(*columns)).distinct(), percent)
+        second = _verified(docs, met.select(*columns).unionByName(asks.select(*columns)).distinct(), link)
         joined = joined.unionByName(connected(many.unionByName(second.select("a", "b"))).select(F.col("node").alias("a"), "root"))
+    return joined
+
+
+def components(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for every row of ``docs``.
+
+    Documents whose sets of five-word shingles (ASCII lower case) have 100 * |a & b| >= percent * |a | b| are
+    linked; ``component_id`` is the smallest ``doc_id`` reachable.  Null, empty and blank texts have empty
+    sets and are linked with nothing; texts of any length are compared whole.  Rows that repeat a ``doc_id`` each
+    get a row (of several texts of one id each is compared); a null ``doc_id`` takes the component of its equal
+    texts, and null where it has none.  Empty tables give an empty table; further columns are ignored.
+    """
+    known = common.cut(profiles(docs, percent), "profiles")
+    classes = known.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    classes = common.cut(classes, "classes")
+    reps = (
+        known.join(classes.select("digest", F.col("rep").alias("doc_id")), ["digest", "doc_id"])
+        .select("doc_id", "digest", "n_shingles", "bands", "sig").dropDuplicates(["digest", "doc_id"])
+    )
+    reps = common.cut(reps, "reps")
+    cluster = _clusters(reps, percent)
+
+    member = reps.groupBy("doc_id").agg(F.max(F.struct("n_shingles", "sig")).alias("p")).select("doc_id", "p.*").join(cluster.withColumnRenamed("node", "doc_id"), "doc_id")
+
+    def link(ids, texts, sigs, labels):
+        known = sigs if len(set(ids)) == len(ids) else None  # rows that repeat an id may have other texts
+        return linked(ids, [shingles(normal(t or "")) for t in texts], percent, known, labels)
+
+    joined = settled(docs, member.withColumn("label", F.col("doc_id")), link)
     names = classes.join(joined, F.col("rep") == F.col("a"), "left").select("digest", F.coalesce("root", "rep").alias("component_id"))
     return (
         known.select("doc_id", "n_shingles", "digest").join(names, "digest", "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.fixtures import spread
-from . import chat, common, mixing, neardup, packing, quality, repair, rules, token_files, tokens, topk, toxicity, trie, warc
+from . import chat, common, jaccard, mixing, neardup, packing, quality, repair, rules, token_files, tokens, topk, toxicity, trie, warc
 
 
 def vocabulary() -> str:
@@ -86,6 +86,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.components(table(spark, sf_dir, "documents"))
+
+
 def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.nodes(trie.rebuilt(trie.numbered(table(spark, sf_dir, "conversations"))))
 
@@ -95,9 +99,10 @@ def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repaired(repair.damaged(turns), turns)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_quality_rules, op3_packing, op4_toxicity, op5_token_files, op6_minhash, op7_warc, op8_quality_network, op9_pivot_top_k, op10_mixing, op12_prefix_trie, op13_structure_repair)}
+QUERIES = {f.__name__: f for f in (op1_chat_windows, op2_quality_rules, op3_packing, op4_toxicity, op5_token_files, op6_minhash, op7_warc, op8_quality_network, op9_pivot_top_k, op10_mixing, op11_ngram_join, op12_prefix_trie, op13_structure_repair)}
 
 ORACLE_SQL = {
+    "op11_ngram_join": jaccard.oracle(),
     "op12_prefix_trie": trie.oracle(),
     "op13_structure_repair": repair.oracle(),
     "op2_quality_rules": rules.oracle(),
