@@ -11,7 +11,7 @@ from ..operators import maintain, search
 from .fixtures import NOW, view
 from .registry import n_rows, query
 from ..sources.tables import stored
-from .retrieval import bm25_of_chunks, bm25_sql
+from .retrieval import best_chunks, bm25_sql
 
 
 @query("b6_row_predicate", "select chunk_id from chunks where length(content) % 7 = 3 and page = 2")
@@ -258,7 +258,7 @@ def _variants(spark, sf_dir):
 @query("m7_expansion_search", f"with {bm25_sql(_VARIANTS)}, m as (select {_OF} query_id, chunk_id, max(score) score from b group by 1, 2) select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from m) where rank <= 10")
 def expansion_search(spark, sf_dir):
     """Every wording is searched; the best score of a chunk counts; ten best."""
-    found = search.expanded(_variants(spark, sf_dir).select("query_id", "item_id", F.col("variant").alias("text")), lambda q: bm25_of_chunks(spark, sf_dir, q))
+    found = search.expanded(_variants(spark, sf_dir).select("query_id", "item_id", F.col("variant").alias("text")), lambda q: best_chunks(spark, sf_dir, 10, q))
     return search.topk(found.withColumnRenamed("item_id", "query_id"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
 
 
@@ -271,8 +271,7 @@ qt as (select distinct concat(item_id, '|', k) query_id, unnest(regexp_extract_a
 def sub_query_search(spark, sf_dir):
     """A query's sentences are searched each; their three best chunks together, once each."""
     parts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "text"))
-    found = bm25_of_chunks(spark, sf_dir, parts.select(F.concat("item_id", F.lit("|"), "k").alias("query_id"), "text"))
-    top = search.topk(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], 3, "r")
+    top = best_chunks(spark, sf_dir, 3, parts.select(F.concat("item_id", F.lit("|"), "k").alias("query_id"), "text"))
     return top.select(F.substring_index("query_id", "|", 1).cast("long").alias("query_id"), "chunk_id").distinct()
 
 
@@ -285,11 +284,11 @@ select w.item_id query_id, greatest(top, coalesce(again, 0)) top, coalesce(again
 def remediation(spark, sf_dir):
     """Queries whose best chunk is weak (below the mean) are searched again in other wordings; the second result counts only if better."""
     v = _variants(spark, sf_dir).withColumn("original", F.col("variant") == F.col("own"))
-    first = bm25_of_chunks(spark, sf_dir, v.where("original").select(F.col("item_id").alias("query_id"), F.col("variant").alias("text")))
+    first = best_chunks(spark, sf_dir, 1, v.where("original").select(F.col("item_id").alias("query_id"), F.col("variant").alias("text")))
     a = stored(first.groupBy("query_id").agg(F.max("score").alias("top")), "tops")
     weak = a.where(F.col("top") < a.agg(F.round(F.avg("top"), 6)).first()[0])
     retry = v.where("not original").join(weak, v["item_id"] == weak["query_id"], "left_semi")
-    again = search.expanded(retry.select("query_id", "item_id", F.col("variant").alias("text")), lambda q: bm25_of_chunks(spark, sf_dir, q))
+    again = search.expanded(retry.select("query_id", "item_id", F.col("variant").alias("text")), lambda q: best_chunks(spark, sf_dir, 1, q))
     z = again.groupBy(F.col("item_id").alias("query_id")).agg(F.max("score").alias("again"))
     better = F.coalesce(F.col("again") > F.col("top"), F.lit(False))
     return weak.join(z, "query_id", "left").select("query_id", F.when(better, F.col("again")).otherwise(F.col("top")).alias("top"), better.alias("replaced"))

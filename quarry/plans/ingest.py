@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import hooks, scores, text
-from ..operators import graph, maintain, search
+from ..operators import bm25, graph, maintain, search
 from ..sources import files
 from ..sources.tables import stored
 from .fixtures import view
 from .registry import n_rows, query
-from .retrieval import _BM25, bm25_of_chunks
+from .retrieval import _BM25, asked, best_chunks, index_of
 
 
 @query("a22_ingest", r"""
@@ -60,17 +60,15 @@ f as (select query_id, chunk_id, round(sum(0.5 / (60 + r)), 9) score from s wher
 select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from f) where rank <= 5""")
 def multi_collection(spark, sf_dir):
     """Search in the allowed collections only, ranks per collection, fused over them."""
-    found = bm25_of_chunks(spark, sf_dir).where(F.col("collection").isin("public_kb", "dept_hr"))
     order = [F.desc("score"), F.col("chunk_id")]
-    top = search.topk(found, ["query_id", "collection"], order, 10)
+    top = best_chunks(spark, sf_dir, 10, per_collection=True, where=F.col("collection").isin("public_kb", "dept_hr"))
     fused = search.fuse(top.select("query_id", "chunk_id", "rank", F.lit(0.5).alias("weight"))).withColumn("score", F.round("score", 9))
     return search.topk(fused, ["query_id"], order, 5)
 
 
 @query("m3_image_channel", f"with {_BM25} select query_id, chunk_id, score, cast(rank as int) rank from (select b.*, row_number() over (partition by query_id order by b.score desc, b.chunk_id) rank from b join chunks c using (chunk_id) where c.chunk_type = 'image') where rank <= 5")
 def image_channel(spark, sf_dir):
-    shown = view(spark, sf_dir, "chunks").where("chunk_type = 'image'").select("chunk_id")
-    return search.topk(bm25_of_chunks(spark, sf_dir).join(shown, "chunk_id", "left_semi"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 5).select("query_id", "chunk_id", "score", "rank")
+    return bm25.top(asked(spark, sf_dir), index_of(spark, sf_dir), {"image": (5, ["image"])}).select("query_id", "chunk_id", "score", "rank")
 
 
 @query("m13_multi_hop", f"""
@@ -81,7 +79,7 @@ h1 as (select distinct m.start, g.other, g.edge from (select distinct start from
 select query_id, count(distinct edge) n from m join (select start, edge from h1 union all select start, edge from h2) using (start) group by query_id""")
 def multi_hop(spark, sf_dir):
     """Two hops from the entities of a query's three best chunks (each document names a supplier)."""
-    top = search.topk(bm25_of_chunks(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("chunk_id")], 3)
+    top = best_chunks(spark, sf_dir, 3)
     named = view(spark, sf_dir, "chunks").select("chunk_id", F.concat(F.lit("Supplier#"), F.lpad((1 + F.col("document_id") % 10).cast("string"), 9, "0")).alias("start"))
     m = stored(top.join(named, "chunk_id").select("query_id", "start").distinct(), "named")
     walked = graph.subgraph(m.select(F.col("start").alias("name")).distinct(), view(spark, sf_dir, "edges"), 2)
@@ -95,7 +93,7 @@ select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_num
 def single_collection(spark, sf_dir):
     """One collection: its statistics are its own in the index."""
     order = [F.desc("score"), F.col("chunk_id")]
-    top = search.topk(bm25_of_chunks(spark, sf_dir).where("collection = 'public_kb'"), ["query_id"], order, 20, "r")
+    top = best_chunks(spark, sf_dir, 20, where=F.col("collection") == "public_kb").withColumnRenamed("rank", "r")
     mixed = top.select("query_id", "chunk_id", F.round(scores.blended(F.col("r"), F.col("score") / 10), 6).alias("score"))
     return search.topk(mixed, ["query_id"], order, 10)
 

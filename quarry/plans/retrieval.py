@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scores, text
-from ..operators import search
+from ..operators import bm25, search
+from ..sources.tables import fingerprint, stored
 from .fixtures import NOW, view
 from .registry import query
 
@@ -28,14 +29,14 @@ b as (select query_id, p.collection, chunk_id, round(sum(idf * tf * 2.5 / (tf +
 _TERMS = r"""
 qt as (select item_id query_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) term from benchmark)"""
 _BM25 = bm25_sql(_TERMS)
-_indexes: dict[tuple, search.Index] = {}
+_indexes: dict[tuple, bm25.Index] = {}
 
 
-def index_of(spark: SparkSession, sf_dir: str) -> search.Index:
-    """The BM25 tables of the chunks of a folder: written by the first search of a session, read by the others."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+def index_of(spark: SparkSession, sf_dir: str) -> bm25.Index:
+    """The BM25 index of the chunks of a folder: written by the first search of a session, and again once the documents' files change."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(spark, f"{sf_dir}/documents.parquet"))
     if key not in _indexes:
-        _indexes[key] = search.build_index(view(spark, sf_dir, "chunks"))
+        _indexes[key] = bm25.build(view(spark, sf_dir, "chunks"))
     return _indexes[key]
 
 
@@ -48,35 +49,38 @@ def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
-def bm25_of_chunks(spark: SparkSession, sf_dir: str, queries: DataFrame | None = None) -> DataFrame:
+def best_chunks(spark: SparkSession, sf_dir: str, k: int, queries: DataFrame | None = None, **how) -> DataFrame:
+    """``query_id, collection, chunk_id, score, rank``: the k best chunks of every query; see ``bm25.top`` for ``how``."""
     queries = asked(spark, sf_dir) if queries is None else queries
-    return search.bm25(terms_of(queries), index_of(spark, sf_dir)).withColumn("score", F.round("score", 6))
+    return bm25.top(queries, index_of(spark, sf_dir), {"all": (k, None)}, **how).drop("channel")
 
 
 @query("flagship_bm25_top10", f"with {_BM25} select query_id, collection, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from b) where rank <= 10")
 def flagship(spark, sf_dir):
     """Documents to chunks to BM25 tables to the ten best chunks of every query."""
-    return search.topk(bm25_of_chunks(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
+    return best_chunks(spark, sf_dir, 10)
 
 
 @query("a6_bm25_term_stats", f"with {_POSTINGS} select collection, term, df, round(idf, 6) idf from t")
 def term_stats(spark, sf_dir):
-    return search.build_index(view(spark, sf_dir, "chunks")).terms.withColumn("idf", F.round("idf", 6))
+    return bm25.build(view(spark, sf_dir, "chunks")).terms.withColumn("idf", F.round("idf", 6))
 
 
 @query("a6_bm25_collection_stats", f"with {_POSTINGS} select collection, n, round(avgdl, 6) avgdl from c")
 def collection_stats(spark, sf_dir):
-    return search.build_index(view(spark, sf_dir, "chunks")).collections.withColumn("avgdl", F.round("avgdl", 6))
+    return bm25.build(view(spark, sf_dir, "chunks")).collections.withColumn("avgdl", F.round("avgdl", 6))
 
 
 @query("c2_bm25_scores", f"with {_BM25} select * from b")
 def bm25_scores(spark, sf_dir):
-    return bm25_of_chunks(spark, sf_dir)
+    """The join itself, with every score; searches go through ``bm25.top``."""
+    index = search.build_index(view(spark, sf_dir, "chunks"))
+    return search.bm25(terms_of(asked(spark, sf_dir)), index).withColumn("score", F.round("score", 6))
 
 
 @query("f2_bm25_top_per_collection", f"with {_BM25} select query_id, collection, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id, collection order by score desc, chunk_id) rank from b) where rank <= 5")
 def bm25_top(spark, sf_dir):
-    return search.topk(bm25_of_chunks(spark, sf_dir), ["query_id", "collection"], [F.desc("score"), F.col("chunk_id")], 5)
+    return best_chunks(spark, sf_dir, 5, per_collection=True)
 
 
 @query("f1_cosine_top20", "select query_id, vec_id, score, rank from hits")
@@ -142,7 +146,7 @@ def vector_channel(spark, sf_dir, k: int = 20) -> DataFrame:
 def two_channels(spark, sf_dir) -> DataFrame:
     """The vector channel and the BM25 channel, fifteen rows of each query each."""
     v = vector_channel(spark, sf_dir).where("rank <= 15").select("query_id", "chunk_id", F.lit("vector").alias("channel"), "rank", F.lit(0.6).alias("weight"), "score")
-    b = search.topk(bm25_of_chunks(spark, sf_dir), ["query_id"], [F.desc("score"), F.col("chunk_id")], 15)
+    b = best_chunks(spark, sf_dir, 15)
     return v.unionByName(b.select("query_id", "chunk_id", F.lit("bm25").alias("channel"), "rank", F.lit(0.4).alias("weight"), "score"))
 
 
@@ -257,13 +261,13 @@ def hybrid_candidates(spark, sf_dir) -> DataFrame:
     order = [F.desc("score"), F.col("chunk_id")]
     facts = view(spark, sf_dir, "chunks").select("chunk_id", "collection", "chunk_type", "created_at", "status", "security_level", "content")
     w = asked(spark, sf_dir).select("query_id", scores.length_weights(F.col("text"))[0].alias("wv"))
-    near, found = vector_channel(spark, sf_dir), bm25_of_chunks(spark, sf_dir)
+    near = stored(vector_channel(spark, sf_dir), "near")
+    found = stored(bm25.top(asked(spark, sf_dir), index_of(spark, sf_dir), {"all": (20, None), "shown": (5, ["image", "table"])}), "found")  # the postings are read once
     row = lambda df, weight: df.select("query_id", "chunk_id", "rank", weight.alias("weight"))
-    shown = facts.where(F.col("chunk_type").isin("image", "table")).select("chunk_id")
     channels = search.union_all([
         row(near.join(w, "query_id"), F.col("wv")),
-        row(search.topk(found, ["query_id"], order, 20).join(w, "query_id"), 1 - F.col("wv")),
-        row(search.topk(found.join(shown, "chunk_id", "left_semi"), ["query_id"], order, 5), F.lit(0.4)),
+        row(found.where("channel = 'all'").join(w, "query_id"), 1 - F.col("wv")),
+        row(found.where("channel = 'shown'"), F.lit(0.4)),
         row(search.topk(near.where("collection = 'public_kb'").drop("rank"), ["query_id"], order, 5), F.lit(0.3)),
     ])
     both = search.fuse(channels).select("query_id", "chunk_id", F.round("score", 9).alias("fused")).join(facts, "chunk_id")
@@ -305,7 +309,7 @@ with {_BM25}, s as (select query_id, collection, chunk_id, score, row_number() o
 select query_id, collection, chunk_id, round(0.5 / (60 + r) + 0.5 * score / 10, 6) score from s where r <= 10""")
 def many_collections(spark, sf_dir):
     """Single-collection blended search in each collection at once."""
-    top = search.topk(bm25_of_chunks(spark, sf_dir), ["query_id", "collection"], [F.desc("score"), F.col("chunk_id")], 10)
+    top = best_chunks(spark, sf_dir, 10, per_collection=True)
     return top.select("query_id", "collection", "chunk_id", F.round(scores.blended(F.col("rank"), F.col("score") / 10), 6).alias("score"))
 
 
