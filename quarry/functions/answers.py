@@ -16,21 +16,29 @@ ENTITY_PREFIX = r"^(?:请问|我想知道|帮我查|查一下)+"
 ENTITY_TAIL = r"(?:[？?！!。，,、]|是什么|有什么|有哪些|怎么样|如何|的区别|的不同|区别|不同)+$"
 
 
-def compared(q: Column) -> Column:
-    """The two things a query compares (2 to 10 characters each, distinct), else an empty array."""
-    parts = F.split(F.regexp_replace(F.regexp_replace(q, r"[？?！!。]+$", ""), COMPARISON_SUFFIX, ""), CONNECTORS)
-    clean = F.transform(F.slice(parts, 1, 2), lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.trim(p), ENTITY_PREFIX, ""), ENTITY_TAIL, "")))
-    good = F.array_distinct(F.filter(clean, lambda e: F.length(e).between(2, 10)))
-    return F.when((F.size(parts) >= 2) & text.any_of(q, text.COMPARISON), good).otherwise(F.array().cast("array<string>"))
-
-
-def sub_queries(q: Column) -> Column:
-    """2n + 1 questions of a comparison of n things; two of a long question for reasons; else the query itself."""
-    things = compared(q)
-    each = F.flatten(F.transform(things, lambda e: F.array(F.concat(e, F.lit("是什么？")), F.concat(e, F.lit("的主要特点有哪些？")))))
-    both = F.array(F.concat(F.array_join(things, "和"), F.lit("的主要区别有哪些？")))
-    reasons = text.any_of(q, ("为什么", "原因", "导致", "影响")) & (F.length(q) > 30)
-    return F.when(F.size(things) >= 2, F.array_distinct(F.concat(each, both))).when(reasons, F.array(q, F.concat(F.substring(q, 1, 10), F.lit("...的相关背景")))).otherwise(F.array(q))
+def compared(q: Column, connectors: str = CONNECTORS, signs: tuple[str, ...] = text.COMPARISON, most: int = 2, longest: int = 10) -> Column:
+    """The things a query compares (2 to ``longest`` characters each, distinct, ``most`` at most), else an empty array."""
+    parts = F.split(F.regexp_replace(F.regexp_replace(q, r"[？?！!。]+$", ""), COMPARISON_SUFFIX, ""), connectors)
+    clean = F.transform(F.slice(parts, 1, most), lambda p: F.trim(F.regexp_replace(F.regexp_replace(F.trim(p), ENTITY_PREFIX, ""), ENTITY_TAIL, "")))
+    good = F.array_distinct(F.filter(clean, lambda e: F.length(e).between(2, longest)))
+    return F.when((F.size(parts) >= 2) & text.any_of(q, signs), good).otherwise(F.array().cast("array<string>"))
+
+
+#: What is asked of each compared thing, of the first two together, and of a reason.
+ASKED, TOGETHER, BACKGROUND, AND = ("是什么？", "的主要特点有哪些？"), "的主要区别有哪些？", "...的相关背景", "和"
+REASONS = ("为什么", "原因", "导致", "影响")
+
+
+def sub_queries(q: Column, reasons: tuple[str, ...] = REASONS, asked: tuple[str, ...] = ASKED, together: str = TOGETHER, background: str = BACKGROUND, joint: str = AND, **things) -> Column:
+    """2n + 1 questions of a comparison of n things; two of a long question for reasons; else the query itself.
+
+    Word lists and wordings are the caller's where given; ``things`` goes to ``compared``.
+    """
+    found = compared(q, **things)
+    each = F.flatten(F.transform(found, lambda e: F.array(*(F.concat(e, F.lit(a)) for a in asked))))
+    both = F.array(F.concat(F.array_join(F.slice(found, 1, 2), joint), F.lit(together)))
+    why = text.any_of(q, reasons) & (F.length(q) > 30)
+    return F.when(F.size(found) >= 2, F.array_distinct(F.concat(each, both))).when(why, F.array(q, F.concat(F.substring(q, 1, 10), F.lit(background)))).otherwise(F.array(q))
 
 
 def expansions(q: Column, terms: dict[str, list[str]], most: int = 5) -> Column:

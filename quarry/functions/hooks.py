@@ -57,3 +57,30 @@ def register(spark: SparkSession) -> None:
             yield from enumerate(split(s or "", size, overlap, most, least))
 
     spark.udtf.register("chunk_text", udtf(ChunkText, returnType="chunk_index int, content string"))
+
+
+def register_triples(spark: SparkSession) -> None:
+    """Make ``text_triples(text, relations[, source])`` known to SQL: a row for each triple of known relation in the JSON of a text.
+
+    The JSON may stand in a fenced block or among other text; broken JSON gives no rows.  With a literal ``source`` the rows
+    have a column more (the plan asks ``analyze`` for the columns of each call).
+    """
+    from pyspark.sql.functions import AnalyzeArgument, AnalyzeResult, udtf
+    from pyspark.sql.types import StringType, StructType
+
+    class TextTriples:
+        @staticmethod
+        def analyze(s: AnalyzeArgument, relations: AnalyzeArgument, source: AnalyzeArgument | None = None) -> AnalyzeResult:
+            names = ["head", "head_type", "relation", "tail", "tail_type", *(["source"] if source is not None else [])]
+            schema = StructType()
+            for n in names:
+                schema = schema.add(n, StringType())
+            return AnalyzeResult(schema)
+
+        def eval(self, s: str, relations: list, *source):
+            from quarry.functions.triples import parsed
+
+            for row in parsed(s, set(relations or ())):
+                yield (*row, *source)
+
+    spark.udtf.register("text_triples", udtf(TextTriples))

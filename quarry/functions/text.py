@@ -230,3 +230,22 @@ def query_confidence(kind: Column) -> Column:
 
 def file_in_query(q: Column) -> Column:
     return F.nullif(F.regexp_extract(q, FILE_NAME, 1), F.lit(""))
+
+
+#: Order in which the built-in rules are tried; a caller's rows take any priority, negative ones come first.
+RULE_CLASSES = (("meta", META, 10), ("realtime", REALTIME, 30), ("comparison", COMPARISON, 50), ("process", PROCESS, 60))
+
+
+def rule_rows() -> list[tuple[str, str, str, int]]:
+    """The built-in rules ``pattern, kind, class, priority``; kind is ``word`` (the text holds it) or ``regex``."""
+    words = [(w, "word", name, priority) for name, own, priority in RULE_CLASSES for w in own]
+    return [*words, (IMAGE_REFERENCE, "regex", "image_reference", 20), (FILE_NAME, "regex", "file_specific", 40)]
+
+
+def first_rule(s: Column, rules: Column) -> Column:
+    """``struct(priority, pattern, class)`` of the first rule that fits: least priority, then pattern; null without one.
+
+    ``rules`` is an array of ``struct(priority, pattern, class, kind)``.
+    """
+    fits = lambda r: F.when(r["kind"] == "word", F.contains(s, r["pattern"])).otherwise(F.regexp_like(s, r["pattern"]))
+    return F.array_min(F.transform(F.filter(rules, fits), lambda r: F.struct(r["priority"].alias("priority"), r["pattern"].alias("pattern"), r["class"].alias("class"))))

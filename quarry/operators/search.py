@@ -250,3 +250,21 @@ def diverse(candidates: DataFrame, k: int, threshold: float = 0.85, chars: int =
 
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
+
+
+#: Rules of one table; every row of text is held against all of them.
+MAX_RULES = 10_000
+
+
+def classified(texts: DataFrame, column: str, rules: DataFrame, otherwise: str = "fact") -> DataFrame:
+    """``texts`` with ``class`` and ``rule``: the first row of a rule table ``pattern, kind, class, priority`` that fits a text.
+
+    The rules are counted and gathered to one array, which is broadcast with the plan; more than ``MAX_RULES`` are an error.  Rows without
+    a pattern or class are no rules; a null text is of no class but ``otherwise``.
+    """
+    valid = rules.where("pattern is not null and class is not null")
+    if (n := valid.count()) > MAX_RULES:
+        raise ValueError(f"{n} rules, at most {MAX_RULES}")
+    gathered = valid.agg(F.collect_list(F.struct("priority", "pattern", "class", "kind")).alias("_rules"))
+    named = texts.join(F.broadcast(gathered), F.lit(True)).withColumn("_first", text.first_rule(F.col(column), F.col("_rules")))
+    return named.select(*texts.columns, F.coalesce("_first.class", F.lit(otherwise)).alias("class"), F.col("_first.pattern").alias("rule"))

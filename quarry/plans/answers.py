@@ -131,10 +131,22 @@ def table_titles(spark, sf_dir):
     return view(spark, sf_dir, "table_rows").select("row_no", "sheet", answers.table_title(md).alias("title"))
 
 
-@query("h21_sub_queries", "select item_id, unnest(['a' || item_id || '是什么？', 'a' || item_id || '的主要特点有哪些？', 'bb' || item_id || '是什么？', 'bb' || item_id || '的主要特点有哪些？', 'a' || item_id || '和bb' || item_id || '的主要区别有哪些？']) sub_query from benchmark")
+# a caller's wordings, for texts that are not Chinese
+_ASK = {"connectors": " (?:and|und|et|de) ", "signs": (" and ", " und ", " et ", " de "), "longest": 80, "reasons": ("tion",), "asked": (" what is it", " main features"), "together": " main differences", "background": " background", "joint": " and "}
+_CLEAN = r"trim(regexp_replace(regexp_replace(trim({}), '^(?:请问|我想知道|帮我查|查一下)+', ''), '(?:[？?！!。，,、]|是什么|有什么|有哪些|怎么样|如何|的区别|的不同|区别|不同)+$', ''))"
+_SUB_QUERIES = rf"""
+sq as (select item_id, unnest(range(len(ss))) k, unnest(ss) s from (select item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?]\s*'), lambda x: trim(x)), lambda x: x <> '') ss from benchmark)),
+sp as (select *, regexp_split_to_array(s, ' (?:and|und|et|de) ') ps from sq),
+st as (select *, list_filter([{_CLEAN.format("ps[1]")}, {_CLEAN.format("ps[2]")}], lambda e: length(e) between 2 and 80) g from sp),
+sub as (select item_id, k, case when len(ps) >= 2 and len(g) = 2 and g[1] <> g[2] then [g[1] || ' what is it', g[1] || ' main features', g[2] || ' what is it', g[2] || ' main features', g[1] || ' and ' || g[2] || ' main differences']
+  when contains(s, 'tion') and length(s) > 30 then [s, substr(s, 1, 10) || ' background'] else [s] end subs from st)"""
+
+
+@query("h21_sub_queries", f"with {_SUB_QUERIES} select item_id, k, unnest(subs) sub_query from sub")
 def sub_queries(spark, sf_dir):
-    q = F.concat(F.lit("请问a"), "item_id", F.lit("和bb"), "item_id", F.lit("有什么区别"))
-    return view(spark, sf_dir, "benchmark").select("item_id", F.explode(answers.sub_queries(q)).alias("sub_query"))
+    """Every sentence of a query text taken apart: comparisons by the caller's connectors, long questions for reasons, others as they are."""
+    parts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "s"))
+    return parts.select("item_id", "k", F.explode(answers.sub_queries(F.col("s"), **_ASK)).alias("sub_query"))
 
 
 _EXPANDED = "replace(lower(text), 'the', 'der')"
@@ -262,16 +274,17 @@ def expansion_search(spark, sf_dir):
     return search.topk(found.withColumnRenamed("item_id", "query_id"), ["query_id"], [F.desc("score"), F.col("chunk_id")], 10)
 
 
-_PARTS = r"""
-sq as (select item_id, unnest(range(len(ss))) k, unnest(ss) sentence from (select item_id, list_filter(list_transform(regexp_split_to_array(text, '[。！？.!?]\s*'), lambda x: trim(x)), lambda x: x <> '') ss from benchmark)),
-qt as (select distinct concat(item_id, '|', k) query_id, unnest(regexp_extract_all(lower(sentence), '[\p{L}\p{N}]+')) term from sq)"""
+_PARTS = rf"""{_SUB_QUERIES},
+sx as (select item_id, k, unnest(range(len(subs))) j, unnest(subs) q from sub),
+qt as (select distinct concat(item_id, '|', k, '|', j) query_id, unnest(regexp_extract_all(lower(q), '[\p{{L}}\p{{N}}]+')) term from sx)"""
 
 
 @query("m8_sub_query_search", f"with {bm25_sql(_PARTS)} select distinct {_OF} query_id, chunk_id from (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from b) where r <= 3")
 def sub_query_search(spark, sf_dir):
-    """A query's sentences are searched each; their three best chunks together, once each."""
-    parts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "text"))
-    top = best_chunks(spark, sf_dir, 3, parts.select(F.concat("item_id", F.lit("|"), "k").alias("query_id"), "text"))
+    """The sub-queries of a query are searched each; their three best chunks together, once each."""
+    parts = view(spark, sf_dir, "benchmark").select("item_id", F.posexplode(text.sentences(F.col("text"))).alias("k", "s"))
+    subs = parts.select("item_id", "k", F.posexplode(answers.sub_queries(F.col("s"), **_ASK)).alias("j", "text"))
+    top = best_chunks(spark, sf_dir, 3, subs.select(F.concat("item_id", F.lit("|"), "k", F.lit("|"), "j").alias("query_id"), "text"))
     return top.select(F.substring_index("query_id", "|", 1).cast("long").alias("query_id"), "chunk_id").distinct()
 
 

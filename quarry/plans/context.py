@@ -220,3 +220,21 @@ def access(spark, sf_dir):
     users = view(spark, sf_dir, "events").select("user_id", (F.col("user_id") % 3).alias("r")).distinct()
     own = F.when(F.col("r") == 0, F.array(F.lit("public_kb"), F.lit("dept_hr"), F.lit("dept_finance"))).when(F.col("r") == 1, F.array(F.lit("public_kb"), F.lit("dept_hr"))).otherwise(F.array(F.lit("public_kb"), F.lit("dept_finance")))
     return users.select("user_id", F.explode(own).alias("collection"))
+
+
+_OWN_RULES = (("the", "word", "english", -2), ("und", "word", "german", -1), (r"^\p{Lu}\p{Ll}+ ", "regex", "capital", 70), ("que", "word", "other", 80), (None, "word", "nothing", -9))
+
+
+def _quoted(v) -> str:
+    return "null" if v is None else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+
+
+@query("j5_rule_table", f"""
+with r(pattern, kind, class, priority) as (values {", ".join("(" + ", ".join(map(_quoted, row)) + ")" for row in [*text.rule_rows(), *_OWN_RULES])}),
+m as (select session_id, seq, class, pattern, row_number() over (partition by session_id, seq order by priority, pattern) n from messages join r
+  on pattern is not null and case when kind = 'word' then contains(content, pattern) else regexp_matches(content, pattern) end)
+select session_id, seq, coalesce(m.class, 'fact') class, m.pattern rule from messages left join (select * from m where n = 1) m using (session_id, seq)""")
+def rule_table(spark, sf_dir):
+    """Messages by the first rule that fits: the built-in lists are rows of the table, and a caller's rows win by their priority."""
+    rules = spark.createDataFrame([*text.rule_rows(), *_OWN_RULES], "pattern string, kind string, class string, priority int")
+    return search.classified(view(spark, sf_dir, "messages"), "content", rules).select("session_id", "seq", "class", "rule")

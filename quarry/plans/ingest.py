@@ -138,3 +138,17 @@ def default_embeddings(spark, sf_dir):
 def chunk_function(spark, sf_dir):
     hooks.register(spark)
     return spark.sql("select doc_id, c.* from {docs} d, lateral chunk_text(d.text, 500, 50, 600, 100) c", docs=view(spark, sf_dir, "documents"))
+
+
+@query("j8_text_triples", """
+select head, case when substr(head, 1, 2) = 'N:' then 'nation' else '未知' end head_type, relation, tail, case when substr(tail, 1, 2) = 'N:' then 'nation' else '未知' end tail_type, 'edges' source
+from edges where relation = 'BELONGS_TO' and length(head) % 5 <> 0""")
+def text_triples(spark, sf_dir):
+    """Triples in noisy JSON answers, by a table function in a lateral join; every fifth answer is cut off and gives none."""
+    hooks.register_triples(spark)
+    e = view(spark, sf_dir, "edges")
+    known = lambda c: F.when(F.substring(c, 1, 2) == "N:", F.array(F.struct(F.concat(F.lit(" "), c).alias("name"), F.lit("nation").alias("type")))).otherwise(F.array().cast("array<struct<name:string,type:string>>"))
+    body = F.to_json(F.struct(F.concat(known(F.col("head")), known(F.col("tail"))).alias("entities"), F.array(F.struct("head", "relation", "tail")).alias("relations")))
+    answer = F.when(F.length("head") % 5 == 0, F.expr("substring(_b, 1, length(_b) - 2)")).when(F.length("head") % 5 == 1, F.concat(F.lit("Here: ```json\n"), F.col("_b"), F.lit("\n``` as asked"))).otherwise(F.concat(F.lit("Sure. "), F.col("_b"), F.lit(" done")))
+    texts = e.withColumn("_b", body).select(answer.alias("answer"))
+    return spark.sql("select t.* from {texts} x, lateral text_triples(x.answer, array('BELONGS_TO'), 'edges') t", texts=texts)
