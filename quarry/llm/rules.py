@@ -1,15 +1,16 @@
 """Quality rules with adaptive thresholds.
 
 Four ratios of each document and its number of words go into quantile sketches per language and
-source: counts of logarithmic buckets (64 to a doubling), which merge by addition, so partial sketches
+source: counts of logarithmic buckets (256 to a doubling), which merge by addition, so partial sketches
 of tasks, and sketches of sources, merge without error.  A group's sketch is merged with its language's,
 scaled to ``PRIOR`` documents, so small groups lean on their language and large ones on themselves, by one
-rule at every size.  Fences from its 10 %, 50 % and 90 % quantiles take the place of fixed cutoffs and are
-joined back to the documents: the 90 % quantile plus ``reach`` times its distance from the median.  Most
-documents have none of some marks, and plain quantiles would all be zero.  Sketches of marks therefore
-take each document with one occurrence more than it has, which weighs by the document's own length, so
-the quantiles follow the group's lengths and marks; the verdict is on the plain ratio.  The distance is at
-least what one more occurrence makes in a document of the group's median length.
+rule at every size.  Fences from its quartiles take the place of fixed cutoffs and are joined back to the
+documents: the upper quartile plus ``reach`` times its distance from the median (and the lower one less
+likewise).  Quartiles do not break down: a group of which a fifth is junk has the fences of its other
+documents.  The first occurrence of a mark in a document never counts, neither in the sketches nor in the
+verdict, so an ordinary repeated line is no outlier in a short text.  Where most documents have no mark
+(quartiles of zero) the distance is what one more occurrence makes in a document of the group's median
+length; where marks are usual the fences follow the marks.
 """
 
 from __future__ import annotations
@@ -28,10 +29,11 @@ _SPACE = " \t\n\v\f\r"
 #: name: (ratio over n_words, times; counts that one more occurrence adds; has a lower fence).  A repeated window is six words at least.
 RATIOS = {
     "word_length": ("word_chars", 100, 10, True),
-    "symbols": ("n_symbols", 1000, 1, False),
-    "dup_lines": ("n_dup_lines", 1000, 1, False),
-    "repeats": ("n_repeat_words", 1000, 6, False),
+    "symbols": ("n_symbols", 100_000, 1, False),
+    "dup_lines": ("n_dup_lines", 100_000, 1, False),
+    "repeats": ("n_repeat_words", 100_000, 6, False),
 }
+REACH = 6
 #: Documents as which a language counts in the sketches of its sources.
 PRIOR = 100
 
@@ -73,19 +75,26 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def bucket(value: Column) -> Column:
-    """Lower bound of the sketch bucket of a whole number: exact below 128, then 64 buckets to a doubling."""
-    shift = F.greatest(F.length(F.bin(value)) - 7, F.lit(0))
-    return F.when(value < 128, value).otherwise((F.floor(value / F.pow(F.lit(2.0), shift)) * F.pow(F.lit(2.0), shift)).cast("long"))
+    """Lower bound of the sketch bucket of a whole number: exact below 512, then 256 buckets to a doubling."""
+    shift = F.greatest(F.length(F.bin(value)) - 9, F.lit(0))
+    return F.when(value < 512, value).otherwise((F.floor(value / F.pow(F.lit(2.0), shift)) * F.pow(F.lit(2.0), shift)).cast("long"))
+
+
+def ratio(name: str) -> Column:
+    """A document's value of a ratio, as a whole number; of marks the first occurrence does not count."""
+    count, times, more, lower = RATIOS[name]
+    beyond = F.col(count) if lower else F.greatest(F.col(count) - more, F.lit(0))
+    return F.floor(beyond * times / F.col("n_words")).cast("long")
 
 
 def sketches(counts: DataFrame) -> DataFrame:
     """``lang, source, ratio, bucket, n``: mergeable by summing ``n``.  Documents that failed the base rules do not count."""
-    value = {name: F.floor((F.col(c) + (0 if lower else more)) * times / F.col("n_words")).cast("long") for name, (c, times, more, lower) in RATIOS.items()} | {"words": F.col("n_words")}
+    value = {name: ratio(name) for name in RATIOS} | {"words": F.col("n_words")}
     each = F.array(*(F.struct(F.lit(name).alias("ratio"), bucket(v).alias("bucket")) for name, v in value.items()))
     return counts.where("not base_failed").select("lang", "source", F.explode(each).alias("r")).groupBy("lang", "source", "r.ratio", "r.bucket").agg(F.count(F.lit(1)).alias("n"))
 
 
-def fences(sketch: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+def fences(sketch: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """``lang, source`` and a ``low`` and ``high`` for each ratio, from the quantiles of every group's merged sketch."""
     wide = "decimal(38,0)"  # weights are products of counts
     own = sketch.groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n").alias("n"))
@@ -100,16 +109,16 @@ def fences(sketch: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
     run = Window.partitionBy(*key).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     merged = merged.withColumn("upto", F.sum("w").over(run).cast(wide)).withColumn("all", F.sum("w").over(Window.partitionBy(*key)).cast(wide))
     q = lambda name, p: F.min(F.when((F.col("ratio") == name) & (F.col("upto") * 100 >= F.col("all") * p), F.col("bucket"))).alias(f"{name}_{p}")
-    marks = merged.groupBy("lang", "source").agg(q("words", 50), *(q(name, p) for name in RATIOS for p in (10, 50, 90)))
+    marks = merged.groupBy("lang", "source").agg(q("words", 50), *(q(name, p) for name in RATIOS for p in (25, 50, 75)))
     out = []
     for name, (_, times, more, _) in RATIOS.items():
-        low, mid, high = (F.col(f"{name}_{p}") for p in (10, 50, 90))
+        low, mid, high = (F.col(f"{name}_{p}") for p in (25, 50, 75))
         least = F.greatest(F.floor(F.lit(times * more) / F.col("words_50")).cast("long"), F.lit(1).cast("long"))
         out += [(low - reach * F.greatest(mid - low, least)).alias(f"{name}_low"), (high + reach * F.greatest(high - mid, least)).alias(f"{name}_high")]
     return marks.select("lang", "source", *out)
 
 
-def filtered(docs: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
+def filtered(docs: DataFrame, reach: int = REACH, prior: int = PRIOR) -> DataFrame:
     """``doc_id``, the five counts, ``base_failed`` and ``kept`` for every document.
 
     Base rules: fewer than 50 words, or more than half of the words in repeated 3-word windows.  Of the
@@ -124,24 +133,22 @@ def filtered(docs: DataFrame, reach: int = 3, prior: int = PRIOR) -> DataFrame:
     own = own.withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = counts.join(own, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
     verdict = F.lit(True)
-    for name, (c, times, _, lower) in RATIOS.items():
-        value = F.floor(F.col(c) * times / F.col("n_words"))
-        verdict = verdict & (value <= F.col(f"{name}_high"))
+    for name, (_, _, _, lower) in RATIOS.items():
+        verdict = verdict & (ratio(name) <= F.col(f"{name}_high"))
         if lower:
-            verdict = verdict & (value >= F.col(f"{name}_low"))
+            verdict = verdict & (ratio(name) >= F.col(f"{name}_low"))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.when(F.col("base_failed"), F.lit(False)).otherwise(verdict).alias("kept"))
 
 
-def oracle(reach: int = 3, prior: int = PRIOR) -> str:
+def oracle(reach: int = REACH, prior: int = PRIOR) -> str:
     """The same in DuckDB SQL."""
-    values = {name: f"({c} * {times} // n_words)" for name, (c, times, _, _) in RATIOS.items()}
-    raised = {name: f"(({c} + {0 if lower else more}) * {times} // n_words)" for name, (c, times, more, lower) in RATIOS.items()} | {"words": "n_words"}
-    sketch = " union all ".join(f"select lang, source, '{name}' ratio, {v} v from base where not base_failed" for name, v in raised.items())
+    values = {name: f"(greatest({c} - {0 if lower else more}, 0) * {times} // n_words)" for name, (c, times, more, lower) in RATIOS.items()}
+    sketch = " union all ".join(f"select lang, source, '{name}' ratio, {v} v from base where not base_failed" for name, v in (values | {"words": "n_words"}).items())
     q = lambda name, p: f"min(case when ratio = '{name}' and upto * 100 >= total * {p} then bucket end)"
     sides = []
     for name, (_, times, more, _) in RATIOS.items():
         least = f"{times * more} // words_50, 1"
-        sides += [f"{name}_10 - {reach} * greatest({name}_50 - {name}_10, {least}) {name}_low", f"{name}_90 + {reach} * greatest({name}_90 - {name}_50, {least}) {name}_high"]
+        sides += [f"{name}_25 - {reach} * greatest({name}_50 - {name}_25, {least}) {name}_low", f"{name}_75 + {reach} * greatest({name}_75 - {name}_50, {least}) {name}_high"]
     checks = " and ".join(f"{values[k]} <= {k}_high" + (f" and {values[k]} >= {k}_low" if RATIOS[k][3] else "") for k in RATIOS)
     return f"""
 with d as (select row_number() over () rid, doc_id, lang, source, coalesce(text, '') text from documents),
@@ -157,7 +164,7 @@ base as (
       length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) n_symbols,
       coalesce(ln.n, 0) n_dup_lines, coalesce(rep.n, 0) n_repeat_words
     from d join w using (rid) left join ln using (rid) left join rep using (rid))),
-own as (select lang, source, ratio, bucket, count(*) n from (select lang, source, ratio, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end bucket from ({sketch})) group by all),
+own as (select lang, source, ratio, bucket, count(*) n from (select lang, source, ratio, case when v < 512 then v else (v >> (length(bin(v)) - 9)) << (length(bin(v)) - 9) end bucket from ({sketch})) group by all),
 langs as (select lang, ratio, bucket, sum(n)::hugeint n from own group by all),
 docs as (select lang, ratio, sum(n)::hugeint n from langs group by all),
 merged as (select lang, source, ratio, bucket, sum(w)::hugeint w from (
@@ -165,7 +172,7 @@ merged as (select lang, source, ratio, bucket, sum(w)::hugeint w from (
   union all by name select langs.lang, x.source, langs.ratio, langs.bucket, langs.n, langs.n * {prior} w from langs join (select distinct lang, source, ratio from own) x on x.lang is not distinct from langs.lang and x.ratio = langs.ratio
 ) group by lang, source, ratio, bucket),
 run as (select *, sum(w) over (partition by lang, source, ratio order by bucket) upto, sum(w) over (partition by lang, source, ratio) total from merged),
-marks as (select lang, source, {q("words", 50)} words_50, {", ".join(f"{q(k, p)} {k}_{p}" for k in RATIOS for p in (10, 50, 90))} from run group by lang, source),
+marks as (select lang, source, {q("words", 50)} words_50, {", ".join(f"{q(k, p)} {k}_{p}" for k in RATIOS for p in (25, 50, 75))} from run group by lang, source),
 f as (select lang, source, {", ".join(sides)} from marks)
 select base.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, case when base_failed then false else {checks} end kept
 from base left join f on base.lang is not distinct from f.lang and base.source is not distinct from f.source"""

@@ -321,3 +321,27 @@ def test_mixed_documents_keep_their_columns(spark):
     got = mixing.mixed(docs).distinct().collect()
     assert mixing.mixed(docs).columns == docs.columns and len(got) == 300
     assert all((r["size"], r.target, r.shard, r._key, r._row) == (777, "t", -1, 9, "x") for r in got)
+
+
+def test_junk_does_not_move_the_fences(spark):
+    """A fifth of a group is junk: it is rejected, and the others stay."""
+    import random
+
+    r = random.Random(1)
+    text = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(r.randrange(3, 7))) for _ in range(r.randrange(80, 160)))
+    marked = lambda: text().replace(" ", " ### ")
+    lines = lambda: "\n".join([text(), *["home about"] * 12])  # noqa: E731  repeated lines too short for repeated windows within them
+    rows = [(i, text(), "en", "clean") for i in range(300)] + [(1000 + i, text(), "en", "mixed") for i in range(400)]
+    rows += [(2000 + i, marked(), "en", "mixed") for i in range(50)] + [(3000 + i, lines(), "en", "mixed") for i in range(50)]
+    got = {r.doc_id: r.kept for r in rules.filtered(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert not any(v for k, v in got.items() if k >= 2000) and sum(v for k, v in got.items() if k < 2000) >= 0.98 * 700
+
+
+def test_usual_marks_are_no_outliers(spark):
+    """Where marks are usual the fence follows them: the same text is junk elsewhere."""
+    words = lambda i: " ".join(f"abc{chr(97 + (i * k) % 17)}" for k in range(100))
+    code = lambda i: words(i) + " " + "# $ " * (10 + i % 8)
+    rows = [(i, code(i), "en", "code") for i in range(600)] + [(1000 + i, words(i), "en", "prose") for i in range(600)] + [(5000, code(1), "en", "prose")]
+    got = {r.doc_id: r for r in rules.filtered(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    fails = [k for k, r in got.items() if not r.kept and not r.base_failed]
+    assert 5000 in fails and not any(k < 600 for k in fails)
