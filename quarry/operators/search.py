@@ -25,42 +25,65 @@ def topk(df: DataFrame, keys: list[str], order: list[Column], k: int, name: str
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col(name) <= k)
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, by: str | None = None) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str] | None = None, by: str | None = None, at: str | None = None) -> DataFrame:
     """``query_id, vec_id, score, rank`` (and ``keep``): each query's k most similar vectors by cosine (per value of ``by``).
 
     Queries (``query_id, embedding``) are a stated set; each pass takes at most about ``MAX_QUERIES`` of them, dealt
     by hash.  Each task multiplies its batches with all queries of the pass and passes on only the best k of a
-    stretch, so few rows a query and task are shuffled.  A query does not find its own id.  Scores are rounded to
-    six places, ties go to the smaller id.
+    stretch, so few rows a query and task are shuffled.  A query does not find its own id.  With ``at``, a column of
+    numbers of the vectors, a query sees only those from its ``since`` on and before its ``until``.  Scores are rounded to
+    six places, ties go to the smaller id.  Vectors that are null or hold nulls take no part; a query meets vectors of its own length.
     """
     keep = keep or []
-    passes = max(1, -(-queries.count() // (MAX_QUERIES // 2)))
-    parts = [queries] if passes == 1 else [queries.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) for p in range(passes)]
-    found = reduce(DataFrame.unionByName, (_nearest(part, vectors, k, keep, by) for part in parts))
-    return topk(found, ["query_id", *([by] if by else [])], [F.desc("score"), F.col("vec_id")], k)
+    queries = queries.where(_whole())
+    lengths = [r["n"] for r in queries.select(F.size("embedding").alias("n")).distinct().limit(MAX_LENGTHS + 1).collect()]
+    if len(lengths) > MAX_LENGTHS:
+        raise ValueError(f"query vectors of more than {MAX_LENGTHS} lengths")
+    found = []
+    for n in sorted(lengths) or [0]:
+        own, there = (df.where(_whole() & (F.size("embedding") == n)) for df in (queries, vectors))
+        passes = max(1, -(-own.count() // (MAX_QUERIES // 2)))
+        parts = [own] if passes == 1 else [own.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == p) for p in range(passes)]
+        found += [_nearest(part, there, k, keep, by, at) for part in parts]
+    return topk(reduce(DataFrame.unionByName, found), ["query_id", *([by] if by else [])], [F.desc("score"), F.col("vec_id")], k)
 
 
-def _nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], by: str | None) -> DataFrame:
-    rows = queries.select("query_id", "embedding").orderBy("query_id").collect()  # one pass of queries
+#: Different lengths of query vectors in one search.
+MAX_LENGTHS = 16
+
+
+def _whole() -> Column:
+    return F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x))
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], by: str | None, at: str | None) -> DataFrame:
+    limits = ["since", "until"] if at else []
+    rows = queries.select("query_id", "embedding", *limits).orderBy("query_id").collect()  # one pass of queries
     ids = np.array([r["query_id"] for r in rows], np.int64)
     q = np.array([r["embedding"] for r in rows], float)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(q) if len(rows) else q))
+    seen = np.array([[-np.inf if r["since"] is None else r["since"], r["until"]] for r in rows], float) if at and rows else None
+    shared = vectors.sparkSession.sparkContext.broadcast((ids, unit(q) if len(rows) else q, seen))
     fields = {f.name: f for f in vectors.schema}
     schema = "query_id long, vec_id long, score double" + "".join(f", {c} {fields[c].dataType.simpleString()}" for c in keep)
+    if seen is not None:
+        vectors = vectors.where(F.col(at).between(float(seen[:, 0].min()), float(seen[:, 1].max())))
 
     def search(batches):
-        own_ids, own = shared.value
+        own_ids, own, within = shared.value
         for batch in batches:
             if not len(batch) or not len(own_ids):
                 continue
             batch = batch.sort_values("vec_id", kind="stable")
             for part in [batch] if by is None else [g for _, g in batch.groupby(by, sort=False)]:
                 step = max(k, SCORES // len(own_ids))
-                for at in range(0, len(part), step):
-                    some = part.iloc[at : at + step]
+                for begin in range(0, len(part), step):
+                    some = part.iloc[begin : begin + step]
                     names = some["vec_id"].to_numpy()
                     s = np.round(own @ unit(np.stack(some["embedding"].to_numpy()).astype(float)).T, 6) + 0.0
                     s[own_ids[:, None] == names] = -np.inf
+                    if within is not None:
+                        when = some[at].to_numpy(float)
+                        s[(when < within[:, :1]) | (when >= within[:, 1:])] = -np.inf
                     least = np.partition(s, -k, 1)[:, -k] if len(names) > k else np.full(len(own_ids), -np.inf)
                     i, j = np.nonzero((s >= least[:, None]) & (s > -np.inf))  # j ascends, and with it the id
                     order = np.lexsort((j, -s[i, j], i))
@@ -69,7 +92,8 @@ def _nearest(queries: DataFrame, vectors: DataFrame, k: int, keep: list[str], by
                     i, j = i[place < k], j[place < k]
                     yield pd.DataFrame({"query_id": own_ids[i], "vec_id": names[j], "score": s[i, j], **{c: some[c].to_numpy()[j] for c in keep}})
 
-    return vectors.select("vec_id", "embedding", *keep).mapInPandas(search, schema)
+    columns = dict.fromkeys(["vec_id", "embedding", *([at] if at else []), *keep])
+    return vectors.select(*columns).mapInPandas(search, schema)
 
 
 def unit(x: np.ndarray) -> np.ndarray:
