@@ -5,6 +5,9 @@ distinct word that has it, up to ``CAP``.  Those that depart most from independe
 their likelihood ratio on the labelled sample) are chosen.  Every labelled text
 that names a group is also seen with its identity terms swapped for each other one of their kind, and
 without them, and the loss penalises the squared change of the score, so naming a group carries no weight by itself.
+Labelled texts rarely name one.  Into a text that names none, a term is inserted first (its kind, the term and the place
+follow the id's hash), so every labelled sentence has counterfactuals: identity terms share beginnings with
+other words, and what those weigh must not fall on the group.
 """
 
 from __future__ import annotations
@@ -102,6 +105,29 @@ def counterfactuals(text: str) -> list[str]:
     return [swapped(text, step) for step in range(max(map(len, kinds), default=0))]
 
 
+def planted(text: str, seed: int) -> tuple[str, str]:
+    """A text with one identity term inserted between two words (or at an end), and the term; both follow ``seed``."""
+    h = zlib.crc32(f"identity {seed}".encode())
+    kind = IDENTITY_TERMS[h % len(IDENTITY_TERMS)]
+    term = kind[(h // 97) % len(kind)]
+    ends = [m.end() for m in _WORD.finditer(text)]
+    at = ends[(h // 1009) % len(ends)] if ends else 0
+    return f"{text[:at]} {term}{text[at:]}" if at else f"{term} {text}", term
+
+
+def changes(text: str, seed: int) -> list[tuple[Counter[int], Counter[int]]]:
+    """Features (up to ``CAP``) of a text that names a group, before and after each of its counterfactuals; of the planted text where it names none."""
+    capped = lambda c: Counter({f: min(n, CAP) for f, n in c.items()})
+    if any(w in _KIND for w in text_words(text)):
+        own = capped(text_features(text_words(text)))
+        return [(own - c, c - own) for c in (capped(text_features(text_words(t))) for t in counterfactuals(text))]
+    # only the inserted word differs, so the text's own words are counted once
+    term, base = planted(text, seed)[1], text_features(text_words(text))
+    with_ = lambda w: capped(base + Counter(word_features(w)))
+    own = with_(term)
+    return [(own - c, c - own) for c in (capped(base), *(with_(p) for p in _KIND[term] if p != term))]
+
+
 class Model:
     """Weights by feature hash; ``score`` maps a text to (0, 1)."""
 
@@ -170,14 +196,15 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3,
         for batch in batches:
             out = []
             for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
-                code = lambda t: sorted(index[f] for f, c in text_features(text_words(t)).items() if f in index for _ in range(min(c, CAP)))
-                out.append((doc_id, label, code(text), [code(t) for t in counterfactuals(text)]))
-            yield pd.DataFrame(out, columns=["doc_id", "label", "x", "swaps"])
+                code = lambda c: sorted(index[f] for f, n in c.items() if f in index for _ in range(min(n, CAP)))
+                moved = [[code(a), code(b)] for a, b in changes(text, doc_id)]
+                out.append((doc_id, label, code(text_features(text_words(text))), [m for m in moved if m[0] or m[1]], len(moved)))
+            yield pd.DataFrame(out, columns=["doc_id", "label", "x", "moved", "n"])
 
     # indices of chosen features only: a few dozen numbers for each of a bounded number of rows
-    data = sample.mapInPandas(rows, "doc_id long, label int, x array<int>, swaps array<array<int>>").orderBy("doc_id").collect()
+    data = sample.mapInPandas(rows, "doc_id long, label int, x array<int>, moved array<array<array<int>>>, n int").orderBy("doc_id").collect()
     x, y = [np.array(r["x"], int) for r in data], np.array([r["label"] for r in data], float)
-    pairs = [(x[i], np.array(swap, int)) for i, r in enumerate(data) for swap in r["swaps"]]
+    pairs = [(np.array(a, int), np.array(b, int)) for r in data for a, b in r["moved"]]
     w, b = train(x, y, pairs, len(names), penalty, l2, steps)
     z = np.array([w[i].sum() for i in x]) + b
     b += math.log(threshold / (1 - threshold)) - best_cut(z, y)
