@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +66,14 @@ def sized(df: DataFrame, name: str, rows: int = BROADCAST_ROWS) -> tuple[DataFra
     return (F.broadcast(stored) if n <= rows else stored), n
 
 
+def released() -> None:
+    """Give memory that a task has freed back to the machine: Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the usual C library of Linux
+    if trim:
+        trim(0)
+
+
 def turn_order() -> list[Column]:
     """Turns of a conversation: by number (null first), role and text (its beginning, then its digest)."""
     return [F.asc_nulls_first("turn"), F.asc("role"), F.asc("head"), F.asc("digest")]

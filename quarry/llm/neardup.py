@@ -38,7 +38,7 @@ UNBANDED = 1e-6
 BATCH = 32
 #: Posterior probability below which a candidate is dropped.
 MISS = 1e-6
-BUCKET_DOCS, BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8192, 3_000_000
+BUCKET_DOCS, BLOCK_DOCS, BLOCK_SHINGLES = 8192, 8192, 1_500_000
 #: Documents of a large cluster that every slice of it sees.
 COMMON = 8
 #: Tasks over which the neighbours of a node are spread in the star steps.
@@ -120,6 +120,8 @@ def profiles(docs: DataFrame, percent: int = 85) -> DataFrame:
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "n_shingles", "digest", "bands", "sig"])
+        _words.clear()
+        common.released()
 
     return docs.select("doc_id", "text").mapInArrow(profile, "doc_id long, n_shingles long, digest binary, bands array<long>, sig binary")
 
@@ -217,7 +219,7 @@ def linked(ids: list[int], sets: list[np.ndarray], percent: int, sigs: list[byte
     roots = known_roots(ids, labels)
     sigs_ = np.frombuffer(b"".join(sigs), np.uint8).reshape(n, -1) if sigs else np.stack([signature(s).astype(np.uint8) for s in sets])
     names, flat = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n, dtype=np.int32), sizes)
     starts = np.concatenate([[0], np.cumsum(sizes)])
     by_shingle = np.argsort(flat, kind="stable")
     posting = owner[by_shingle]
@@ -259,6 +261,9 @@ def _grouped(batches, key: list[str], settle: Callable[..., Iterable[tuple]]):
         done += settle(*zip(*held, strict=True))
     if done:
         yield _edge_batch(done)
+    held.clear()
+    _words.clear()
+    common.released()
 
 
 def _edge_batch(rows: list[tuple]) -> pa.RecordBatch:

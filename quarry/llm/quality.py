@@ -64,23 +64,25 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def gather(batches):
         places, signs = index_vectors()
-        sums, counts = np.zeros(BUCKETS * DIM), np.zeros(BUCKETS)
+        stop = np.full(2, BUCKETS, np.uint16)  # between texts: two tokens with an empty index vector
+        rows = np.zeros((BUCKETS + 1, DIM), np.int8)
+        np.add.at(rows, (np.arange(BUCKETS)[:, None], places), signs.astype(np.int8))
+        sums, counts = np.zeros((BUCKETS + 1, DIM), np.int64), np.zeros(BUCKETS + 1, np.int64)
         held: list[np.ndarray] = []
 
         def add():
-            stop = np.full(2, -1, "<i4")
-            t = np.concatenate([x for h in held for x in (h, stop)])
+            """Each token's neighbours up to two places away, then the sums of equal tokens side by side."""
+            t = np.concatenate([x for h in held for x in (h.astype(np.uint16), stop)])
             held.clear()
-            counts[:] += np.bincount(t[t >= 0], minlength=BUCKETS)
+            own = rows[t]
+            near = np.zeros_like(own)
             for gap in (1, 2):
-                a, b = t[:-gap], t[gap:]
-                ok = (a >= 0) & (b >= 0)
-                if gap == 2:
-                    ok &= t[1:-1] >= 0
-                a, b = a[ok], b[ok]
-                for own, other in ((a, b), (b, a)):
-                    for k in range(NONZERO):
-                        sums[:] += np.bincount(own * DIM + places[other, k], signs[other, k], BUCKETS * DIM)
+                near[gap:] += own[:-gap]
+                near[:-gap] += own[gap:]
+            order = np.argsort(t, kind="stable")
+            found, starts, n = np.unique(t[order], return_index=True, return_counts=True)
+            counts[found] += n
+            sums[found] += np.add.reduceat(near[order], starts, 0, np.int32)
 
         size = 0
         for batch in batches:
@@ -92,9 +94,9 @@ def context_vectors(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     size = 0
         if held:
             add()
-        used = np.flatnonzero(counts)
-        rows = sums.reshape(BUCKETS, DIM)[used].astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used].astype(np.int64)), *(pa.array(rows[:, k]) for k in range(DIM))], names=["bucket", "n", *(f"v{k}" for k in range(DIM))])
+        used = np.flatnonzero(counts[:BUCKETS])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(counts[used]), *(pa.array(sums[used, k]) for k in range(DIM))], names=["bucket", "n", *(f"v{k}" for k in range(DIM))])
+        common.released()
 
     columns = ["n", *(f"v{k}" for k in range(DIM))]
     merged = docs.select("text").mapInArrow(gather, "bucket int, " + ", ".join(f"{c} long" for c in columns)).groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns))
@@ -113,13 +115,13 @@ def word_vectors(vectors: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return v.astype(np.float32), (1e-3 / (1e-3 + counts / total)).astype(np.float32)
 
 
-def pooled(t: np.ndarray, v: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """Mean, largest and smallest stretch means, and the log length of a text's tokens."""
+def pooled(t: np.ndarray, weighted: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Mean, largest and smallest stretch means, and the log length of a text's tokens (``weighted``: vectors times weights)."""
     if not len(t):
         return np.zeros(3 * DIM + 1, np.float32)
     starts = np.arange(0, len(t), STRETCH)
     w = weight[t]
-    sums = np.add.reduceat(v[t] * w[:, None], starts, 0)
+    sums = np.add.reduceat(weighted[t], starts, 0)
     mass = np.add.reduceat(w, starts)
     means = sums / np.maximum(mass, 1e-9)[:, None]
     return np.concatenate([sums.sum(0) / max(mass.sum(), 1e-9), means.max(0), means.min(0), [np.log1p(len(t)) / 10]]).astype(np.float32)
@@ -177,7 +179,7 @@ def train(x: np.ndarray, y: np.ndarray, hidden: int = 32, epochs: int = 40, seed
 
 def _pool_column(docs: DataFrame, v: np.ndarray, weight: np.ndarray, then):
     """``then`` of the pooled features of each batch of texts, as a pandas UDF over ``text``."""
-    shared = docs.sparkSession.sparkContext.broadcast((v, weight))
+    shared = docs.sparkSession.sparkContext.broadcast((v * weight[:, None], weight))
 
     def apply(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in parts:
