@@ -74,3 +74,53 @@ def test_each_batch(spark, tmp_path):
     q = streams.each_batch(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), lambda df, n: seen.append(df.count()), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert sum(seen) == 2
+
+
+def test_debounce_drops_idle_state(spark, tmp_path):
+    """The same changes are accepted as without timers, and no state stays once all paths are idle."""
+    schema = "ts timestamp, path string, change_type string"
+    batches = [
+        [(at(0), "a", "modified"), (at(1), "a", "modified"), (at(2.5), "a", "modified"), (at(1), "b", "added")],
+        [(at(4), "a", "modified"), (at(5), "a", "modified"), (at(9000), "c", "added")],
+        [(at(9001), "c", "modified"), (at(9003), "a", "modified"), (at(90_000), "z", "added")],
+        [(at(190_000), "z", "added")],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        made = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        q = streams.debounced_with_timers(made, late="10 seconds").writeStream.outputMode("append").format("memory").queryName("spaced").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+        q.awaitTermination(180)
+        got = sorted((r.path, r.ts) for r in spark.sql("select * from spaced").collect())
+        assert got == sorted([("a", at(0)), ("a", at(2.5)), ("a", at(5)), ("a", at(9003)), ("b", at(1)), ("c", at(9000)), ("z", at(90_000)), ("z", at(190_000))])
+        rows_kept = [op["numRowsTotal"] for op in q.lastProgress["stateOperators"]]
+        assert sum(rows_kept) <= 3  # the last path's time, its timer and the timer's index
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_partitioned_sync_writes_touched_parts_only(spark, tmp_path):
+    from quarry.operators import maintain
+
+    stored = spark.createDataFrame([(i, f"h{i}") for i in range(200)], "document_id long, content_hash string")
+    events = [[(3, "n3", 1), (4, None, 2), (3, "n3b", 3)], [(500, "new", 4)], [(4, "back", 5), (3, None, 6), (7, "n7", 7)]]
+    for k, rows in enumerate(events):
+        spark.createDataFrame(rows, "document_id long, content_hash string, seq long").coalesce(1).write.parquet(str(tmp_path / "in" / f"f{k}"))
+    changes = spark.readStream.schema("document_id long, content_hash string, seq long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+    table = str(tmp_path / "table")
+    streams.partitioned_sync(changes, stored, table, str(tmp_path / "cp"), parts=16).awaitTermination(180)
+    read = lambda: {r.document_id: r.content_hash for r in streams.synced_table(spark, table).collect()}
+    final = {i: f"h{i}" for i in range(200)} | {500: "new", 7: "n7", 4: "back"}
+    del final[3]
+    current = spark.createDataFrame(list(final.items()), "document_id long, content_hash string")
+    assert read() == final == {r.document_id: r.content_hash for r in maintain.synced(stored, current).collect()}
+    written = {v.name: len([p for p in v.iterdir() if p.name.startswith("part=")]) for v in (tmp_path / "table").iterdir() if v.name.startswith("v=")}
+    assert all(n <= 3 for v, n in written.items() if v != "v=-1") and written["v=-1"] >= 11
+    held: dict = {}
+    for v in (tmp_path / "table").iterdir():
+        for p in v.iterdir() if v.is_dir() else []:
+            held[p.name] = held.get(p.name, 0) + p.name.startswith("part=")
+    assert max(held.values()) <= 2  # a part's version and the one before it
