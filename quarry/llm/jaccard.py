@@ -175,6 +175,8 @@ def profiles(docs: DataFrame, classes: np.ndarray, x: int, width: int, percent:
                 rows.append((doc_id, n, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), first, bitmap, light))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
+        neardup._words.clear()
+        common.released()
 
     schema = "doc_id long, n_shingles long, digest binary, prefix array<long>, bitmap binary, subsets array<struct<lo:int,hi:int,a:long,b:long>>"
     return docs.select("doc_id", "text").mapInArrow(profile, schema)
