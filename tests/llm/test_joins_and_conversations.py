@@ -210,3 +210,22 @@ def test_damage_is_by_crc(spark):
         assert got.get((c, t)) == want
     empty = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert repair.repaired(repair.damaged(empty), empty).count() == 0
+
+
+def test_shingles_of_many_texts_equal_those_of_each(monkeypatch):
+    import pyarrow as pa
+
+    texts = [None, "", "  ", "One", "one", " a B ", "x y z", "x y z x y z\t\n", "é É ß" * 5, "w " * 50, "last one here to end", "y x z", "xy z", "x" * 200, "x" * 136, "x" * 64 + "y"]
+    for together in (10, 40, 1 << 20):
+        monkeypatch.setattr(jaccard, "TOGETHER", together)
+        for width in (1, 2, 3, 5):
+            seen: dict = {}
+            for text, (words, s) in zip(texts, jaccard.shingled(pa.array(texts, pa.string()), width), strict=True):
+                plain = neardup.normal(text or "")
+                want = {tuple(plain[i : i + width]) for i in range(max(len(plain) - width + 1, min(len(plain), 1)))}
+                assert len(words) == len(plain) and len(s) == len(want) and (np.diff(s.astype(object)) > 0).all()
+                for w, h in zip(plain, words.tolist(), strict=True):
+                    assert seen.setdefault(("word", w), h) == h
+                if len(want) == 1:
+                    assert seen.setdefault(want.pop(), s[0]) == s[0]
+            assert len(set(seen.values())) == len(seen)
