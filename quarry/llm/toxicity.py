@@ -105,27 +105,36 @@ def counterfactuals(text: str) -> list[str]:
     return [swapped(text, step) for step in range(max(map(len, kinds), default=0))]
 
 
-def planted(text: str, seed: int) -> tuple[str, str]:
-    """A text with one identity term inserted between two words (or at an end), and the term; both follow ``seed``."""
+def term_of(seed: int) -> str:
+    """The identity term that is inserted under a seed."""
     h = zlib.crc32(f"identity {seed}".encode())
     kind = IDENTITY_TERMS[h % len(IDENTITY_TERMS)]
-    term = kind[(h // 97) % len(kind)]
-    ends = [m.end() for m in _WORD.finditer(text)]
-    at = ends[(h // 1009) % len(ends)] if ends else 0
-    return f"{text[:at]} {term}{text[at:]}" if at else f"{term} {text}", term
+    return kind[(h // 97) % len(kind)]
 
 
-def changes(text: str, seed: int) -> list[tuple[Counter[int], Counter[int]]]:
-    """Features (up to ``CAP``) of a text that names a group, before and after each of its counterfactuals; of the planted text where it names none."""
-    capped = lambda c: Counter({f: min(n, CAP) for f, n in c.items()})
-    if any(w in _KIND for w in text_words(text)):
-        own = capped(text_features(text_words(text)))
+def planted(text: str, seed: int) -> str:
+    """A text with the seed's identity term inserted between two words, or before the first; the place follows the seed too."""
+    ends = [0, *(m.end() for m in _WORD.finditer(text))]
+    at = ends[zlib.crc32(f"place {seed}".encode()) % len(ends)]
+    return f"{text[:at]} {term_of(seed)}{text[at:]}" if at else f"{term_of(seed)} {text}"
+
+
+def changes(text: str, seed: int, words: set[str], base: Counter[int]) -> list[tuple[Counter[int], Counter[int]]]:
+    """Features (up to ``CAP``) that each counterfactual of a text takes away and adds; of the planted text where it names no group.
+
+    ``words`` and ``base`` are the text's words and features.
+    """
+    if not words.isdisjoint(_KIND):
+        capped = lambda c: Counter({f: min(n, CAP) for f, n in c.items()})
+        own = capped(base)
         return [(own - c, c - own) for c in (capped(text_features(text_words(t))) for t in counterfactuals(text))]
-    # only the inserted word differs, so the text's own words are counted once
-    term, base = planted(text, seed)[1], text_features(text_words(text))
-    with_ = lambda w: capped(base + Counter(word_features(w)))
+    # where the term stands makes no difference to features, and only those of its kind's words can change
+    term = term_of(seed)
+    features = {w: Counter(word_features(w)) for w in _KIND[term]}
+    moved = set().union(*features.values())
+    with_ = lambda w: Counter({f: min(base[f] + (features[w][f] if w else 0), CAP) for f in moved})
     own = with_(term)
-    return [(own - c, c - own) for c in (capped(base), *(with_(p) for p in _KIND[term] if p != term))]
+    return [(own - c, c - own) for c in (with_(None), *(with_(p) for p in features if p != term))]
 
 
 class Model:
@@ -197,8 +206,10 @@ def fit(docs: DataFrame, labels: DataFrame, held_out: int = 1, modulus: int = 3,
             out = []
             for doc_id, text, label in zip(batch["doc_id"], batch["text"], batch["label"], strict=True):
                 code = lambda c: sorted(index[f] for f, n in c.items() if f in index for _ in range(min(n, CAP)))
-                moved = [[code(a), code(b)] for a, b in changes(text, doc_id)]
-                out.append((doc_id, label, code(text_features(text_words(text))), [m for m in moved if m[0] or m[1]], len(moved)))
+                words = text_words(text)
+                base = text_features(words)
+                moved = [[code(a), code(b)] for a, b in changes(text, doc_id, words, base)]
+                out.append((doc_id, label, code(base), [m for m in moved if m[0] or m[1]], len(moved)))
             yield pd.DataFrame(out, columns=["doc_id", "label", "x", "moved", "n"])
 
     # indices of chosen features only: a few dozen numbers for each of a bounded number of rows

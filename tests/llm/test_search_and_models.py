@@ -356,3 +356,33 @@ def test_pipeline_stages(spark):
     assert set(mixed.doc_id) <= want and mixed.groupby("doc_id").size().max() <= 3
     assert set(packed.doc_id) == set(mixed.doc_id)
     assert packed.groupby(["sequence_id", "offset"]).size().max() == 1
+
+
+def test_planted_terms_have_all_counterfactuals(spark, docs):
+    """Changes of features are those of the planted sentence against every swapped one, counted in full."""
+    from collections import Counter
+
+    capped = lambda t: Counter({f: min(n, toxicity.CAP) for f, n in toxicity.text_features(toxicity.text_words(t)).items()})
+    for seed, text in enumerate([r.text or "" for r in docs.collect()] + ["blacker mens womens girly whites", "some women met"]):
+        words = toxicity.text_words(text)
+        sentence = text if words & set(toxicity._KIND) else toxicity.planted(text, seed)
+        assert sorted(sentence.split()) == sorted([*text.split(), *([] if sentence == text else [toxicity.term_of(seed)])])
+        own = capped(sentence)
+        want = [(own - c, c - own) for c in map(capped, toxicity.counterfactuals(sentence))]
+        key = lambda rows: sorted((sorted(a.items()), sorted(b.items())) for a, b in rows)
+        assert key(want) == key(toxicity.changes(text, seed, words, toxicity.text_features(words)))
+
+
+def test_penalty_acts_on_texts_that_name_no_group(spark):
+    """Beginnings that insults share with identity terms do not fall on neutral mentions: with the penalty fewer of them count as toxic."""
+    calm = [f"the w{i} went to the m{i * 7 % 90} and saw a k{i % 31}" for i in range(150)]
+    rude = [f"the {w} of w{i} is a m{i * 5 % 90} like k{i % 29}" for i, w in enumerate(["blackguardish", "womenizing", "muslimity", "gayishness", "immigrantly", "refugeeism"] * 25)]
+    texts = spark.createDataFrame([(i, t) for i, t in enumerate(calm + rude)], "doc_id long, text string").cache()
+    labels = spark.createDataFrame([(i, int(i >= 150)) for i in range(300)], "doc_id long, toxic int")
+    mentions = [f"many {t} live here" for kind in toxicity.IDENTITY_TERMS for t in kind]
+    false = {}
+    for penalty in (0.0, 1.0):
+        model = toxicity.fit(texts, labels, penalty=penalty)
+        false[penalty] = sum(model.score(m) >= 0.5 for m in mentions)
+        assert sum(model.score(t) >= 0.7 for t in rude) >= 0.9 * len(rude)
+    assert false[0.0] >= 3 and false[1.0] <= false[0.0] / 2, false
