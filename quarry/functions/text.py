@@ -91,22 +91,27 @@ def preview(s: Column, n: int = 200) -> Column:
     return F.when(F.length(s) > n, F.concat(F.substring(s, 1, n), F.lit("..."))).otherwise(s)
 
 
-def heading_level(s: Column) -> Column:
-    """0 (body) to 3, from numbering, chapter words, bold marks, or a short CJK line; the first rule that fits counts."""
-    t = F.trim(s)
-    n = F.length(t)
-    return (
-        F.when(n == 0, 0)
-        .when(t.rlike("^第[一二三四五六七八九十百千万]+[章节篇部]"), 1)
-        .when(t.rlike("^第[一二三四五六七八九十百千万]+[条款]"), 2)
-        .when(t.rlike(r"^\d+[.、\s]") & (n < 50), 1)
-        .when(t.rlike(r"^\d+\.\d+[.、\s]") & (n < 80), 2)
-        .when(t.rlike(r"^\d+\.\d+\.\d+[.、\s]") & (n < 100), 3)
-        .when(t.rlike("^(?i)(Chapter|Section|Part)"), 1)
-        .when(t.rlike(r"^\*\*.+\*\*$") & (n < 50), 2)
-        .when((n < 20) & ~t.rlike(r"^[\d\s.,;:!?，。；：！？、]+$") & t.rlike("[一-鿿]"), 2)
-        .otherwise(0)
-    )
+#: What a heading looks like, fewer characters than this (none: any number), and its level; the first row that fits counts.
+HEADINGS = (
+    ("^第[一二三四五六七八九十百千万]+[章节篇部]", None, 1),
+    ("^第[一二三四五六七八九十百千万]+[条款]", None, 2),
+    (r"^\d+[.、\s]", 50, 1),
+    (r"^\d+\.\d+[.、\s]", 80, 2),
+    (r"^\d+\.\d+\.\d+[.、\s]", 100, 3),
+    ("^(?i)(Chapter|Section|Part)", None, 1),
+    (r"^\*\*.+\*\*$", 50, 2),
+    ("[一-鿿]", 20, 2),
+)
+
+
+def heading_level(s: Column, rules=HEADINGS) -> Column:
+    """0 (body) to 3 by a table of rules ``pattern, length, level``."""
+    line = F.trim(s)
+
+    def fits(pattern: str, below: int | None) -> Column:
+        return line.rlike(pattern) if below is None else line.rlike(pattern) & (F.length(line) < below)
+
+    return reduce(lambda rest, rule: F.when(fits(*rule[:2]), rule[2]).otherwise(rest), reversed(rules), F.lit(0))
 
 
 def sentences(s: Column) -> Column:

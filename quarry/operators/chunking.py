@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -109,47 +109,71 @@ def chunk_table(docs: DataFrame, how=split, **options) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
 
 
-def merged_lines(lines: DataFrame, least: int = 200, most: int = 1200) -> DataFrame:
-    """Short-neighbour merging of ``doc_id, pos, line``: an ordered fold inside each document."""
+def merged_text(s: str, least: int = 200, most: int = 1200) -> list[str]:
+    """The lines of a text that are not blank, short neighbours merged."""
+    return merge_short([line for line in s.split("\n") if line.strip(" ")], least, most)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = merge_short(pdf.sort_values("pos")["line"].tolist(), least, most)
-        return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_index": range(len(out)), "content": out})
 
-    return lines.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, content string")
+def merged_lines(docs: DataFrame, least: int = 200, most: int = 1200) -> DataFrame:
+    """``doc_id, chunk_index, content`` of ``doc_id, text``: an ordered fold inside each row, so nothing is shuffled."""
+    return chunk_table(docs, merged_text, least=least, most=most)
 
 
-def heading_merge(items: DataFrame, short: int = 80, most: int = 800, cap: int = 1200) -> DataFrame:
-    """Headings open a chunk, short bodies join it up to ``most``, tables and pictures stand alone, empty rows go, long ones are split."""
+def merge_headings(items: Iterable[tuple[str, int, str | None]], short: int = 80, most: int = 800, cap: int = 1200) -> list[tuple[str, str]]:
+    """``(kind, content)`` of items ``(kind, level, content)`` in order: headings open a chunk, short bodies join it up to ``most``,
+    tables and pictures stand alone, empty items go, long chunks are split."""
+    rows: list[tuple[str, str]] = []
+    buffer = ""
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        rows: list[tuple[str, str]] = []
+    def close() -> None:
+        nonlocal buffer
+        if buffer.strip():
+            rows.extend(("text", p) for p in (sentence_split(buffer, cap) if len(buffer) > cap else [buffer]))
         buffer = ""
 
-        def close():
-            nonlocal buffer
-            if buffer.strip():
-                rows.extend(("text", p) for p in (sentence_split(buffer, cap) if len(buffer) > cap else [buffer]))
-            buffer = ""
-
-        for kind, level, content in zip(pdf["chunk_type"], pdf["text_level"], pdf["content"], strict=True):
-            content = (content or "").strip()
-            if not content:
-                continue
-            if kind != "text":
+    for kind, level, content in items:
+        content = (content or "").strip()
+        if not content:
+            continue
+        if kind != "text":
+            close()
+            rows.append((kind, content))
+        elif level > 0 or not buffer or len(buffer) + 1 + len(content) > most or (len(content) >= short and len(buffer) >= short):
+            if not (level > 0 and buffer and len(buffer) < short and len(buffer) + 1 + len(content) <= most):
                 close()
-                rows.append((kind, content))
-            elif level > 0 or not buffer or len(buffer) + 1 + len(content) > most or (len(content) >= short and len(buffer) >= short):
-                if not (level > 0 and buffer and len(buffer) < short and len(buffer) + 1 + len(content) <= most):
-                    close()
-                buffer = f"{buffer}\n{content}" if buffer else content
-            else:
-                buffer += "\n" + content
-        close()
+            buffer = f"{buffer}\n{content}" if buffer else content
+        else:
+            buffer += "\n" + content
+    close()
+    return rows
+
+
+_MERGED = "doc_id long, chunk_index int, chunk_type string, content string"
+
+
+def heading_merge(items: DataFrame, **how) -> DataFrame:
+    """``merge_headings`` of rows ``doc_id, pos, chunk_type, text_level, content``, gathered by document."""
+
+    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("pos")
+        rows = merge_headings(zip(pdf["chunk_type"], pdf["text_level"], pdf["content"], strict=True), **how)
         return pd.DataFrame({"doc_id": pdf["doc_id"].iloc[0], "chunk_index": range(len(rows)), "chunk_type": [r[0] for r in rows], "content": [r[1] for r in rows]})
 
-    return items.groupBy("doc_id").applyInPandas(fold, "doc_id long, chunk_index int, chunk_type string, content string")
+    return items.groupBy("doc_id").applyInPandas(fold, _MERGED)
+
+
+def heading_merge_in_row(docs: DataFrame, **how) -> DataFrame:
+    """The same for ``doc_id, items`` with the items ``chunk_type, text_level, content`` of a document in one row: nothing is shuffled."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for d, items in zip(b["doc_id"], b["items"], strict=True):
+                merged = merge_headings(((x["chunk_type"], x["text_level"], x["content"]) for x in items), **how)
+                rows += [(d, i, *row) for i, row in enumerate(merged)]
+            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_type", "content"])
+
+    return docs.select("doc_id", "items").mapInPandas(run, _MERGED)
 
 
 def section_paths(items: DataFrame) -> DataFrame:

@@ -39,14 +39,15 @@ def paragraph_packs(spark, sf_dir):
 
 @query("e18_merged_lines")
 def merged_lines(spark, sf_dir):
-    return chunking.merged_lines(view(spark, sf_dir, "doc_lines"))
+    return chunking.merged_lines(view(spark, sf_dir, "documents"))
 
 
 @query("e19_heading_merge")
 def heading_merge(spark, sf_dir):
-    kind = F.when(F.col("pos") % 10 == 8, "table").otherwise("text")
-    items = view(spark, sf_dir, "doc_lines").select("doc_id", "pos", F.col("line").alias("content"), kind.alias("chunk_type"), text.heading_level(F.col("line")).alias("text_level"))
-    return chunking.heading_merge(items)
+    kind = lambda i: F.when(i % 10 == 8, "table").otherwise("text")
+    item = lambda line, i: F.struct(kind(i).alias("chunk_type"), text.heading_level(line).alias("text_level"), line.alias("content"))
+    items = F.filter(F.transform(F.split("text", "\n"), item), lambda x: F.trim(x["content"]) != "")
+    return chunking.heading_merge_in_row(view(spark, sf_dir, "documents").where("text is not null").select("doc_id", items.alias("items")))
 
 
 @query("e2_section_numbers", "select chunk_id, cast(row_number() over (partition by source, section order by case chunk_type when 'text' then 0 when 'table' then 1 else 2 end, chunk_index, chunk_id) as int) section_chunk_id from chunks")

@@ -123,3 +123,19 @@ def test_rows_are_numbered_by_ranges(spark, sf, monkeypatch):
     assert [n for _, n in got] == list(range(1, len(got) + 1))
     numbering = [line for line in fixtures.table_rows(spark, sf)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "row_number" in line and "Window" in line]
     assert numbering and all("_range" in line for line in numbering)
+
+
+def test_folds_in_a_row_equal_those_of_gathered_rows(spark, sf):
+    from quarry.operators import chunking
+    from quarry.plans import structure
+    from quarry.plans.fixtures import view
+
+    lines = view(spark, sf, "doc_lines")
+    by_doc = {}
+    for r in lines.orderBy("doc_id", "pos").collect():
+        by_doc.setdefault(r.doc_id, []).append((r.pos, r.line))
+    want = {(d, i, c) for d, rows in by_doc.items() for i, c in enumerate(chunking.merge_short([line for _, line in rows], 200, 1200))}
+    assert {tuple(r) for r in structure.merged_lines(spark, sf).collect()} == want
+    kind = F.when(F.col("pos") % 10 == 8, "table").otherwise("text")
+    items = lines.select("doc_id", "pos", F.col("line").alias("content"), kind.alias("chunk_type"), text.heading_level(F.col("line")).alias("text_level"))
+    assert {tuple(r) for r in structure.heading_merge(spark, sf).collect()} == {tuple(r) for r in chunking.heading_merge(items).collect()}
