@@ -406,3 +406,109 @@ def model_comparison(spark, sf_dir):
     m = view(spark, sf_dir, "hits").groupBy(model.alias("model")).agg(F.round(F.avg("score"), 6).alias("mean"))
     ends = m.agg(F.max("mean").alias("hi"), F.min("mean").alias("lo"))
     return m.join(F.broadcast(ends), F.lit(True)).select("model", "mean", (F.col("mean") == F.col("hi")).alias("best"), F.round(F.col("mean") - F.col("lo"), 6).alias("gain"))
+
+
+# --- searches by collection -------------------------------------------------
+
+_BY_COLLECTION = f"""{_BM25}, {_VECTORS},
+ac as (select cv.chunk_id, cv.collection, vec_id, ch.chunk_type, ch.status from cv join chunks ch using (chunk_id)),
+v5 as (select * from (select query_id, chunk_id, collection, score, row_number() over (partition by query_id, collection order by score desc, chunk_id) r from vs join ac using (vec_id) where status = 'active') where r <= 5),
+b10 as (select * from (select *, row_number() over (partition by query_id, collection order by score desc, chunk_id) r from b) where r <= 10),
+bf as (select b10.query_id, b10.chunk_id, b10.collection, b10.score, row_number() over (partition by b10.query_id, b10.collection order by b10.r) r from b10 join chunks ch using (chunk_id) where coalesce(ch.status, 'active') = 'active'),
+bl as (select query_id, collection, chunk_id, round(sum(s), 8) score from (select query_id, collection, chunk_id, 0.5 / (60 + r) + 0.5 * score s from v5 union all select query_id, collection, chunk_id, 0.5 / (60 + r) + 0.5 * greatest(score, 0) / 10 from bf) group by all),
+s5 as (select * from (select *, row_number() over (partition by query_id, collection order by score desc, chunk_id) rank from bl) where rank <= 5)"""
+
+
+def vectors_by(spark, sf_dir, chunks: DataFrame, k: int, by: str) -> DataFrame:
+    """``query_id, chunk_id, by, score, rank``: the k chunks ``chunk_id, vec_id`` most similar to each query for every value of ``by``.
+
+    Chunks share vectors: the k best vectors of a value have k chunks of it or more.
+    """
+    v = view(spark, sf_dir, "vectors").select("vec_id", "embedding")
+    q = view(spark, sf_dir, "benchmark").select((-1 - F.col("item_id")).alias("query_id"), (F.col("item_id") * 13 % v.count()).alias("vec_id")).join(v, "vec_id").select("query_id", "embedding")
+    used = v.join(chunks.select("vec_id", by).distinct(), "vec_id")
+    near = search.nearest(q, used, k, keep=[by], by=by).select((-1 - F.col("query_id")).alias("query_id"), "vec_id", by, "score")
+    return search.topk(near.join(chunks, ["vec_id", by]), ["query_id", by], [F.desc("score"), F.col("chunk_id")], k).select("query_id", "chunk_id", by, "score", "rank")
+
+
+def with_vectors(spark, sf_dir) -> DataFrame:
+    """``chunk_id, collection, chunk_type, status, vec_id`` of all chunks."""
+    n = view(spark, sf_dir, "vectors").count()
+    return view(spark, sf_dir, "chunks").select("chunk_id", "collection", "chunk_type", "status", ((F.col("document_id") * 7 + F.col("chunk_index")) % n).alias("vec_id"))
+
+
+def blended_by_collection(spark, sf_dir, k: int = 5) -> DataFrame:
+    """``query_id, collection, chunk_id, score, rank``: in every collection active chunks by vector and twice as deep by BM25, half reciprocal rank and half score."""
+    chunks = with_vectors(spark, sf_dir)
+    near = vectors_by(spark, sf_dir, chunks.where("status = 'active'").select("chunk_id", "vec_id", "collection"), k, "collection")
+    words = best_chunks(spark, sf_dir, min(2 * k, 20), per_collection=True).join(chunks.where("coalesce(status, 'active') = 'active'").select("chunk_id"), "chunk_id", "left_semi")
+    again = Window.partitionBy("query_id", "collection").orderBy("rank")
+    words = words.withColumn("rank", F.row_number().over(again)).withColumn("score", F.greatest("score", F.lit(0.0)) / 10)
+    row = lambda df: df.select("query_id", "collection", "chunk_id", scores.blended(F.col("rank"), F.col("score")).alias("s"))
+    both = row(near).unionByName(row(words)).groupBy("query_id", "collection", "chunk_id").agg(F.round(F.sum("s"), 8).alias("score"))
+    return search.topk(both, ["query_id", "collection"], [F.desc("score"), F.col("chunk_id")], k)
+
+
+@query("m4_blended_single_collection", f"with {_BY_COLLECTION} select query_id, chunk_id, score, cast(rank as int) rank from s5 where collection = 'public_kb'")
+def blended_single(spark, sf_dir):
+    """One collection: vectors and BM25 blended, active chunks only."""
+    return blended_by_collection(spark, sf_dir).where("collection = 'public_kb'").select("query_id", "chunk_id", "score", "rank")
+
+
+@query("m5_best_over_collections", f"""
+with {_BY_COLLECTION}, o as (select * from (select *, row_number() over (partition by query_id, chunk_id order by score desc, collection) n from s5) where n = 1)
+select query_id, chunk_id, collection, score, cast(r as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) r from o) where r <= 5""")
+def best_over_collections(spark, sf_dir):
+    """Every collection searched by the blended search, the best row of a chunk kept, five in all."""
+    one = search.topk(blended_by_collection(spark, sf_dir).drop("rank"), ["query_id", "chunk_id"], [F.desc("score"), F.col("collection")], 1, "n").drop("n")
+    return search.topk(one, ["query_id"], [F.desc("score"), F.col("chunk_id")], 5).select("query_id", "chunk_id", "collection", "score", "rank")
+
+
+@query("m3_image_and_faq_channels", f"""
+with {_VECTORS}, ac as (select cv.chunk_id, cv.collection, vec_id, ch.chunk_type from cv join chunks ch using (chunk_id)),
+ch as (select query_id, chunk_id, 'image' channel, score from vs join ac using (vec_id) where chunk_type in ('image', 'table') union all select query_id, chunk_id, 'faq', score from vs join ac using (vec_id) where collection = 'public_kb')
+select query_id, channel, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id, channel order by score desc, chunk_id) rank from ch) where rank <= case channel when 'image' then 5 else 3 end""")
+def image_and_faq(spark, sf_dir):
+    """The two side channels by vector: five pictures or tables, and three of the questions and answers, in one search."""
+    chunks = with_vectors(spark, sf_dir)
+    tags = F.array_compact(F.array(F.when(F.col("chunk_type").isin("image", "table"), "image"), F.when(F.col("collection") == "public_kb", "faq")))
+    found = vectors_by(spark, sf_dir, chunks.select("chunk_id", "vec_id", F.explode(tags).alias("channel")), 5, "channel")
+    return found.where("channel = 'image' or rank <= 3").select("query_id", "channel", "chunk_id", "score", "rank")
+
+
+@query("m2_hybrid_collections", f"""
+with {_BM25}, {_VECTORS}, tv as (select * from cv where collection in ('public_kb', 'dept_hr')),
+u as (select query_id, chunk_id, r, 0.6 w from (select query_id, chunk_id, row_number() over (partition by query_id, collection order by score desc, chunk_id) r from vs join tv using (vec_id)) where r <= 10
+  union all select query_id, chunk_id, r, 0.4 from (select query_id, chunk_id, row_number() over (partition by query_id, collection order by score desc, chunk_id) r from b where collection in ('public_kb', 'dept_hr')) where r <= 10),
+f as (select query_id, chunk_id, round(sum(w / (60 + r)), 9) score from u group by query_id, chunk_id)
+select query_id, chunk_id, score, cast(rank as int) rank from (select *, row_number() over (partition by query_id order by score desc, chunk_id) rank from f) where rank <= 5""")
+def hybrid_collections(spark, sf_dir):
+    """Both channels in the allowed collections only: ranks by (query, collection, channel), fused over all."""
+    allowed = F.col("collection").isin("public_kb", "dept_hr")
+    near = vectors_by(spark, sf_dir, with_vectors(spark, sf_dir).where(allowed).select("chunk_id", "vec_id", "collection"), 10, "collection")
+    words = best_chunks(spark, sf_dir, 10, per_collection=True, where=allowed)
+    row = lambda df, weight: df.select("query_id", "chunk_id", "rank", F.lit(weight).alias("weight"))
+    fused = search.fuse(row(near, 0.6).unionByName(row(words, 0.4))).withColumn("score", F.round("score", 9))
+    return search.topk(fused, ["query_id"], [F.desc("score"), F.col("chunk_id")], 5)
+
+
+# --- models -----------------------------------------------------------------
+
+_MODELS = """
+fc as (select vec_id, label, embedding, embedding[1:len(embedding) // 2] half from vectors),
+pr as (select a.vec_id, a.embedding ea, b.embedding eb, a.half ha, b.half hb from fc a join fc b on b.vec_id = a.vec_id + 1 where a.vec_id % 10 = 0),
+ms as (select 'whole' model, round(list_cosine_similarity(ea, eb), 6) s from pr union all select 'half', round(list_cosine_similarity(ha, hb), 6) from pr),
+me as (select model, round(avg(s), 6) mean, count(*) pairs from ms group by model)"""
+
+
+@query("d31_models_against_current", f"with {_MODELS} select model, mean, pairs, round(mean - (select mean from me where model = 'whole'), 6) gain, mean - (select mean from me where model = 'whole') > 0.05 better from me")
+def models_against_current(spark, sf_dir):
+    """Mean similarity of neighbouring pairs under two embeddings of the same items (whole vectors, and their first halves) against the current one, with the margin of 0.05."""
+    v = view(spark, sf_dir, "vectors")
+    a = v.where("vec_id % 10 = 0").select(F.col("vec_id"), F.col("embedding").alias("ea"))
+    pairs = a.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("eb")), "vec_id")
+    half = lambda c: F.slice(c, F.lit(1), F.floor(F.size(c) / 2).cast("int"))
+    both = pairs.select(F.explode(F.create_map(F.lit("whole"), scores.cosine(F.col("ea"), F.col("eb")), F.lit("half"), scores.cosine(half("ea"), half("eb")))).alias("model", "s"))
+    means = stored(both.groupBy("model").agg(F.round(F.avg(F.round("s", 6)), 6).alias("mean"), F.count(F.lit(1)).alias("pairs")), "models")
+    current = F.broadcast(means.where("model = 'whole'").select(F.col("mean").alias("now")))  # one row
+    return means.join(current, F.lit(True)).select("model", "mean", "pairs", F.round(F.col("mean") - F.col("now"), 6).alias("gain"), (F.col("mean") - F.col("now") > 0.05).alias("better"))
