@@ -26,9 +26,11 @@ import hashlib
 import itertools
 import math
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -71,6 +73,73 @@ def boundary(counts: dict[int, int], percent: int) -> int:
     return min(range(1, SIZES + 1), key=lambda x: (cost(x), x))
 
 
+# --- shingles --------------------------------------------------------------
+
+#: Bytes of texts that are split and hashed together.
+TOGETHER = 3_000_000
+#: A random number for each byte at each place of a word (places beyond the table's use it again, times odd numbers).
+_BYTES = np.random.default_rng(11).integers(0, 1 << 64, (64, 256), np.uint64)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of non-empty strings: mixed sums of the numbers of their bytes and places."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    _, ends, data = words.buffers()
+    ends = np.frombuffer(ends, "<i4")[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    place = np.arange(len(data)) - np.repeat(starts, sizes)
+    numbers = _BYTES[place & 63, data]
+    if sizes.max() > 64:
+        numbers = numbers * (2 * (place >> 6) + 1).astype(np.uint64)
+    return neardup._mix(np.add.reduceat(numbers, starts) + sizes.astype(np.uint64) * _STEP)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct numbers."""
+    x = np.sort(x)
+    again = x[1:] == x[:-1]
+    return x[np.concatenate([[True], ~again])] if again.any() else x
+
+
+def shingled(column: pa.Array, width: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Word hashes in order, and sorted distinct shingle hashes, of each text.
+
+    Words are parts between ASCII white space of the ASCII-lower-cased text; fewer words than ``width`` are one shingle.
+    Texts of about ``TOGETHER`` bytes are split and hashed at once.
+    """
+    column = pc.fill_null(column, "")
+    sizes = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(column):
+        stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, side="right")))
+        split = pc.ascii_split_whitespace(pc.ascii_lower(column.slice(at, stop - at)))
+        words = split.flatten()
+        owner = np.repeat(np.arange(stop - at), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        kept = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # there are empty ones around white space at the ends of a text
+        if not kept.all():
+            words, owner = words.filter(pa.array(kept)), owner[kept]
+        h, counts = word_hashes(words), np.bincount(owner, minlength=stop - at)
+        rolled = np.full(max(len(h) - width + 1, 0), width, np.uint64)
+        for k in range(width):
+            rolled = rolled * _STEP + h[k : k + len(rolled)]
+        rolled = neardup._mix(rolled)
+        begin = 0
+        for n in counts.tolist():
+            own = h[begin : begin + n]
+            if n >= width:
+                yield own, distinct(rolled[begin : begin + n - width + 1])
+            else:
+                whole = np.full(min(n, 1), n, np.uint64)
+                for x in own:
+                    whole = whole * _STEP + x
+                yield own, neardup._mix(whole)
+            begin += n
+        at = stop
+
+
 # --- frequencies -----------------------------------------------------------
 
 
@@ -78,18 +147,26 @@ def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
     """Orders of magnitude of the counters that elements fall on, over all documents, and the histogram of sizes below ``SIZES``."""
     step = COUNTERS // SLICES
 
+    def add(counters: np.ndarray, held: list[np.ndarray]) -> None:
+        if held:
+            counters += np.bincount((np.concatenate(held) >> np.uint64(44)).view(np.int64), minlength=COUNTERS)
+            held.clear()
+
     def count(batches):
         counters, sizes = np.zeros(COUNTERS, np.int64), np.zeros(SIZES, np.int64)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                s = neardup.shingles(neardup.normal(text or ""), width)
+            held = []
+            for _, s in shingled(batch.column("text"), width):
                 if 0 < len(s) < SIZES:
                     sizes[len(s)] += 1
-                np.add.at(counters, (s >> np.uint64(44)).view(np.int64), 1)
+                held.append(s)
+                if len(held) == 512:
+                    add(counters, held)
+            add(counters, held)
         parts = [*counters.reshape(SLICES, step), sizes]
         yield pa.RecordBatch.from_arrays([pa.array(range(SLICES + 1), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], names=["slice", "counts"])
 
-    def add(batches):
+    def total_of(batches):
         now, total = None, None
         for batch in batches:
             for k, data in zip(batch.column("slice").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -104,7 +181,7 @@ def sketch(docs: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int]]:
             yield _slice(now, total)
 
     kinds = "slice int, counts binary"
-    sums = docs.select("text").mapInArrow(count, kinds).repartition("slice").sortWithinPartitions("slice").mapInArrow(add, kinds).collect()  # SLICES rows of fixed size
+    sums = docs.select("text").mapInArrow(count, kinds).repartition("slice").sortWithinPartitions("slice").mapInArrow(total_of, kinds).collect()  # SLICES rows of fixed size
     found = {r["slice"]: np.frombuffer(zlib.decompress(r["counts"]), np.int64) for r in sums}
     counters = np.concatenate([found.get(k, np.zeros(step, np.int64)) for k in range(SLICES)])
     return np.log2(counters + 1).astype(np.uint8), {s: int(n) for s, n in enumerate(found.get(SLICES, ())) if n}
@@ -159,12 +236,10 @@ def profiles(docs: DataFrame, classes: np.ndarray, x: int, width: int, percent:
         rank = shared.value
         for batch in batches:
             ids, rows = batch.column("doc_id").to_pylist(), []
-            for doc_id, text in zip(ids, batch.column("text").to_pylist(), strict=True):
-                words = neardup.normal(text or "")
-                if not words:
+            for doc_id, (words, s) in zip(ids, shingled(batch.column("text"), width), strict=True):
+                if not len(words):
                     rows.append((doc_id, 0, None, None, None, None))
                     continue
-                s = neardup.shingles(words, width)
                 n, first, bitmap, light = len(s), None, None, None
                 if 100 * n >= percent * x:
                     k = prefix(n, percent)
@@ -172,10 +247,9 @@ def profiles(docs: DataFrame, classes: np.ndarray, x: int, width: int, percent:
                     first, bitmap = s[order].view(np.int64).tolist(), parity(s)
                 if n < x:
                     light = subsets(s, x, percent)
-                rows.append((doc_id, n, hashlib.blake2b(b" ".join(words), digest_size=16).digest(), first, bitmap, light))
+                rows.append((doc_id, n, hashlib.blake2b(words.tobytes(), digest_size=16).digest(), first, bitmap, light))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
-        neardup._words.clear()
         common.released()
 
     schema = "doc_id long, n_shingles long, digest binary, prefix array<long>, bitmap binary, subsets array<struct<lo:int,hi:int,a:long,b:long>>"
@@ -280,7 +354,7 @@ def heavy_links(docs: DataFrame, reps: DataFrame, x: int, width: int, percent: i
     """``a, b``: exact links that connect all heavy sets that belong together."""
 
     def link(ids, texts, sigs, labels):
-        return linked(ids, [neardup.shingles(neardup.normal(t or ""), width) for t in texts], percent, labels)
+        return linked(ids, [s for _, s in shingled(pa.array(texts, pa.string()), width)], percent, labels)
 
     def verified(pairs: DataFrame, label: DataFrame | None) -> DataFrame:
         cluster = neardup.connected(pairs).withColumnRenamed("node", "doc_id")
