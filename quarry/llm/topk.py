@@ -16,18 +16,22 @@ block is shuffled once, whatever the number of queries, and each pair of blocks
 from __future__ import annotations
 
 from decimal import Decimal
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.fixtures import spread
 from . import common
 
 PIVOTS = 32
 #: Most rows, and most bytes of components, of a block; smaller tables are cut so that there are ``BLOCKS_PER_CORE`` blocks for each core.
 BLOCK, BLOCK_BYTES, BLOCKS_PER_CORE = 16384, 16_000_000, 3
 QUERY_BLOCK = 512
+#: Bytes of query blocks that one pass broadcasts.
+PASS_BYTES = 64_000_000
 #: Bytes of components that are ordered by nearest pivot together.
 ORDERED_BYTES = 64_000_000
 #: Rows (smallest hash first) from which the pivots are picked: a bounded sample, which affects speed only.
@@ -165,6 +169,18 @@ def _blocks(vectors: DataFrame, sample, size: int, k: int = 0) -> DataFrame:
     return vectors.mapInArrow(pack, _BLOCK)
 
 
+def _passes(asked: DataFrame) -> list:
+    """The query blocks in broadcasts of about ``PASS_BYTES``, one a pass."""
+    spark, out, held, size = asked.sparkSession, [], [], 0
+    for r in asked.toLocalIterator():
+        held.append(r.asDict())
+        size += len(r["v"]) + len(r["d"])
+        if size >= PASS_BYTES:
+            out.append(spark.sparkContext.broadcast(held))
+            held, size = [], 0
+    return [*out, spark.sparkContext.broadcast(held)] if held or not out else out
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score`` of rows ``vec_id, embedding``: each query's k best, ties to the smaller id.
 
@@ -174,7 +190,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     Fewer than k candidates give all; empty tables give an empty table; further columns are ignored.
     """
     spark = vectors.sparkSession
-    rows = integers(vectors)
+    rows = integers(spread(vectors))
     n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     picked: dict[int, list] = {}
     for r in rows.orderBy(F.xxhash64("vec_id", "v"), "vec_id").limit(PIVOT_SAMPLE).collect():
@@ -188,36 +204,27 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, pivots: int = PIV
     asked = common.cut(_blocks(one, sample, query_block, k), "topk-queries")
     found_in = common.cut(_blocks(rows, sample, size), "topk-candidates")
 
-    # a few numbers for each query block; there is one for every ``query_block`` stated queries
-    about = [(r["block"], r["dim"], np.array(r["low"]), np.array(r["high"]), r["norm"], r["least"]) for r in asked.select("block", "dim", "low", "high", "norm", "least").toLocalIterator()]
-    about = spark.sparkContext.broadcast(about)
-
-    def meet(batches):
-        for batch in batches:
-            pairs = []
-            for r in batch.to_pylist():
-                low, high = np.array(r["low"]), np.array(r["high"])
-                for q, dim, q_low, q_high, q2, least in about.value:
-                    if dim == r["dim"]:
-                        apart = np.maximum(np.maximum(low - q_high, q_low - high), 0).max(initial=0.0)
-                        if limits(q2, np.array([r["norm"]]), np.array([apart]))[0] >= least:
-                            pairs.append((q, r["block"]))
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["q", "block"])
-
-    pairs = found_in.select("block", "dim", "low", "high", "norm").mapInArrow(meet, "q long, block long")
-    asking = asked.select(F.col("block").alias("q"), F.col("ids").alias("q_ids"), F.col("v").alias("q_v"), F.col("d").alias("q_d"), "bars")
-    met = found_in.select("block", "dim", "ids", "v", "d").join(pairs.join(asking, "q"), "block").repartition("block", "q")
-
-    def search(batches):
+    def search(own, batches):
         for batch in batches:
             for j in range(batch.num_rows):
                 r = batch.slice(j, 1).to_pylist()[0]
-                ids, q_ids = np.frombuffer(r["ids"], "<i8"), np.frombuffer(r["q_ids"], "<i8")
+                low, high, norm = np.array(r["low"]), np.array(r["high"]), np.array([r["norm"]])
                 of = lambda data, m: np.frombuffer(data, "<f8").reshape(m, -1) if data else np.empty((m, 0))
-                best = search_block(of(r["q_v"], len(q_ids)), q_ids, of(r["q_d"], len(q_ids)), np.frombuffer(r["bars"], "<f8"), of(r["v"], len(ids)), ids, of(r["d"], len(ids)), k)
-                out = [(int(q_ids[i]), n, max(-_LONG, min(_LONG - 1, -s)), Decimal(max(-_WIDE, min(_WIDE, -s))) if abs(s) >= _LONG - 1 else None) for i, some in best for s, n in some]
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "score", "wide"])
-
-    found = met.mapInArrow(search, "query_id long, vec_id long, score long, wide decimal(38,0)")
+                ids = np.frombuffer(r["ids"], "<i8")
+                x, x_d = of(r["v"], len(ids)), of(r["d"], len(ids))
+                for q in own.value:
+                    if q["dim"] != r["dim"]:
+                        continue
+                    apart = np.maximum(np.maximum(low - np.array(q["high"]), np.array(q["low"]) - high), 0).max(initial=0.0)
+                    if limits(q["norm"], norm, np.array([apart]))[0] < q["least"]:
+                        continue
+                    q_ids = np.frombuffer(q["ids"], "<i8")
+                    best = search_block(of(q["v"], len(q_ids)), q_ids, of(q["d"], len(q_ids)), np.frombuffer(q["bars"], "<f8"), x, ids, x_d, k)
+                    out = [(int(q_ids[i]), n, max(-_LONG, min(_LONG - 1, -s)), Decimal(max(-_WIDE, min(_WIDE, -s))) if abs(s) >= _LONG - 1 else None) for i, some in best for s, n in some]
+                    yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out) if out else [()] * 4, (pa.int64(), pa.int64(), pa.int64(), pa.decimal128(38, 0)), strict=True)], names=["query_id", "vec_id", "score", "wide"])
+
+    kinds = "query_id long, vec_id long, score long, wide decimal(38,0)"
+    found = [found_in.mapInArrow(partial(search, own), kinds) for own in _passes(asked)]
+    found = reduce(DataFrame.unionByName, found)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("wide"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -386,3 +386,15 @@ def test_penalty_acts_on_texts_that_name_no_group(spark):
         false[penalty] = sum(model.score(m) >= 0.5 for m in mentions)
         assert sum(model.score(t) >= 0.7 for t in rude) >= 0.9 * len(rude)
     assert false[0.0] >= 3 and false[1.0] <= false[0.0] / 2, false
+
+
+def test_no_candidate_is_shuffled(spark, monkeypatch):
+    """Above the stored blocks only results move, also in several passes of query blocks, which find the same."""
+    rows = [(i, [float(np.sin(i * k + k)) for k in range(6)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    one = topk.top_k(df, df.where("vec_id % 100 = 0"), k=4, query_block=2)
+    exchanges = [line for line in one._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange " in line]
+    assert exchanges and all("hashpartitioning(query_id" in line for line in exchanges)
+    monkeypatch.setattr(topk, "PASS_BYTES", 1)
+    several = topk.top_k(df, df.where("vec_id % 100 = 0"), k=4, query_block=2)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, several.collect())) and one.count() == 36
