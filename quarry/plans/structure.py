@@ -81,9 +81,13 @@ def outline(spark, sf_dir):
     return _levelled(spark, sf_dir).where("level > 0").groupBy("doc_id").agg(F.array_join(rows, "\n").alias("outline"))
 
 
+# the table of rules HEADINGS in its order; white space and line ends as Spark's patterns have them
 @query("h19_heading_levels", r"""
-select doc_id, pos, cast(case when n = 0 then 0 when regexp_matches(t, '^\d+[.、\s]') and n < 50 then 1 when regexp_matches(t, '^\d+\.\d+[.、\s]') and n < 80 then 2 when regexp_matches(t, '^(?i)(Chapter|Section|Part)') then 1
-  when regexp_matches(t, '^\*\*.+\*\*$') and n < 50 then 2 else 0 end as int) "level" from (select doc_id, pos, trim(line) t, length(trim(line)) n from doc_lines)""")
+select doc_id, pos, cast(case when regexp_matches(t, '^第[一二三四五六七八九十百千万]+[章节篇部]') then 1 when regexp_matches(t, '^第[一二三四五六七八九十百千万]+[条款]') then 2
+  when regexp_matches(t, '^\d+[.、\s\x0B]') and n < 50 then 1 when regexp_matches(t, '^\d+\.\d+[.、\s\x0B]') and n < 80 then 2 when regexp_matches(t, '^\d+\.\d+\.\d+[.、\s\x0B]') and n < 100 then 3
+  when regexp_matches(t, '^([Cc][Hh][Aa][Pp][Tt][Ee][Rr]|[Ss][Ee][Cc][Tt][Ii][Oo][Nn]|[Pp][Aa][Rr][Tt])') then 1
+  when regexp_matches(t, '^\*\*[^\r\n\x{85}\x{2028}\x{2029}]+\*\*[\r\x{85}\x{2028}\x{2029}]?$') and n < 50 then 2 when regexp_matches(t, '[一-鿿]') and n < 20 then 2 else 0 end as int) "level"
+from (select doc_id, pos, trim(line, ' ') t, length(trim(line, ' ')) n from (select doc_id, unnest(range(len(l))) pos, unnest(l) line from (select doc_id, string_split(text, chr(10)) l from documents)) where trim(line, ' ') <> '')""")
 def heading_levels(spark, sf_dir):
     return view(spark, sf_dir, "doc_lines").select("doc_id", F.col("pos").cast("long").alias("pos"), text.heading_level(F.col("line")).alias("level"))
 

@@ -139,3 +139,22 @@ def test_folds_in_a_row_equal_those_of_gathered_rows(spark, sf):
     kind = F.when(F.col("pos") % 10 == 8, "table").otherwise("text")
     items = lines.select("doc_id", "pos", F.col("line").alias("content"), kind.alias("chunk_type"), text.heading_level(F.col("line")).alias("text_level"))
     assert {tuple(r) for r in structure.heading_merge(spark, sf).collect()} == {tuple(r) for r in chunking.heading_merge(items).collect()}
+
+
+def test_heading_levels_and_their_sql_hold_all_rules(spark, tmp_path):
+    """Every rule of the table, with white space and line ends on which the pattern languages differ."""
+    import duckdb
+
+    from quarry.plans import structure
+    from quarry.plans.registry import SQL
+
+    lines = {
+        "第一章 总则": 1, "第二条 范围": 2, "70.32.29.134 " + "x" * 77: 3, "1.2.3 third": 1, "1.2 " + "x" * 60: 2, "1. first": 1, "1\x0bfirst": 1, "1.2.3 " + "x" * 94: 0, "seCtion 2": 1, "\u017fection 2": 0,
+        "**bold**": 2, "**bold**\r": 2, "**bo\rld**": 0, "简短标题": 2, "简" * 20: 0, "\u00a01. first": 0, "\u00a0": 0, "  2. padded  ": 1, "body": 0,
+    }
+    spark.createDataFrame([(1, "\n".join(lines), "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [r.level for r in structure.heading_levels(spark, str(tmp_path)).orderBy("pos").collect()]
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == list(lines.values())
+    assert [r[0] for r in con.execute(f"select level from ({SQL['h19_heading_levels']}) order by pos").fetchall()] == got
