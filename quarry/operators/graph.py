@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import sized, stored
+
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """``name, other, relation, edge``: every edge seen from either end."""
@@ -18,9 +20,10 @@ def subgraph(names: DataFrame, edges: DataFrame, depth: int = 2, allowed: DataFr
     """``start, edge, hops``: edges on undirected paths of 1 to ``depth`` hops from each start, least hops first seen.
 
     An edge lies on a path without repeated edges exactly if a shortest walk reaches one of its ends, so reached
-    nodes suffice and paths are not listed: a step keeps one row for each (start, node).  ``allowed`` (``name``)
+    nodes suffice and paths are not listed: a step keeps one row for each (start, node).  The edges are stored once.  ``allowed`` (``name``)
     restricts the nodes.  The depth is small (3 at most), so the loop only builds the plan.
     """
+    edges = stored(edges.select("head", "relation", "tail"), "edges")  # made once, not once a hop and direction
     seen = both_ways(edges)
     if allowed is not None:
         ok = allowed.select("name").distinct()
@@ -28,12 +31,25 @@ def subgraph(names: DataFrame, edges: DataFrame, depth: int = 2, allowed: DataFr
     front = names.select(F.col("name").alias("start"), "name").distinct()
     found = None
     for hop in range(1, min(depth, 3) + 1):
+        front, _ = sized(front, "front")  # a small front is broadcast, so that edges stay where they are
         step = front.join(seen, "name").select("start", "other", "edge", F.lit(hop).alias("hops"))
         found = step if found is None else found.unionByName(step)
         front = step.select("start", F.col("other").alias("name")).distinct()
     return found.groupBy("start", "edge").agg(F.min("hops").alias("hops"))
 
 
+def distinct_items(owners: DataFrame, members: DataFrame) -> DataFrame:
+    """``owner, n``: how many distinct items the groups of each owner hold, from ``owners (owner, key)`` and ``members (key, item)``.
+
+    Items are counted by the set of groups that they are in, and an owner adds up the sets that meet its groups, so
+    owners and items are never joined.  Owners without items and null keys give no rows.
+    """
+    within = members.where("key is not null and item is not null").groupBy("item").agg(F.array_sort(F.collect_set("key")).alias("keys"))
+    sets = stored(within.groupBy("keys").agg(F.count(F.lit(1)).alias("n")), "key-sets")
+    meets = owners.distinct().join(sets.select(F.explode("keys").alias("key"), "keys", "n"), "key").select("owner", "keys", "n").distinct()
+    return meets.groupBy("owner").agg(F.sum("n").alias("n"))
+
+
 def merge_entities(triples: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entities (last properties win) and distinct edges of ``seq, head, relation, tail``."""
     ends = triples.select("seq", F.col("head").alias("name")).unionByName(triples.select("seq", F.col("tail").alias("name")))

@@ -83,7 +83,8 @@ def multi_hop(spark, sf_dir):
     named = view(spark, sf_dir, "chunks").select("chunk_id", F.concat(F.lit("Supplier#"), F.lpad((1 + F.col("document_id") % 10).cast("string"), 9, "0")).alias("start"))
     m = stored(top.join(named, "chunk_id").select("query_id", "start").distinct(), "named")
     walked = graph.subgraph(m.select(F.col("start").alias("name")).distinct(), view(spark, sf_dir, "edges"), 2)
-    return m.join(walked, "start").groupBy("query_id").agg(F.countDistinct("edge").alias("n"))
+    counted = graph.distinct_items(m.select(F.col("query_id").alias("owner"), F.col("start").alias("key")), walked.select(F.col("start").alias("key"), F.col("edge").alias("item")))
+    return counted.withColumnRenamed("owner", "query_id")
 
 
 @query("m4_single_collection_search", f"""

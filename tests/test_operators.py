@@ -158,3 +158,31 @@ def test_heading_levels_and_their_sql_hold_all_rules(spark, tmp_path):
     con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == list(lines.values())
     assert [r[0] for r in con.execute(f"select level from ({SQL['h19_heading_levels']}) order by pos").fetchall()] == got
+
+
+def test_distinct_items_of_owners(spark):
+    """Distinct items over all groups of an owner, against plain sets; the plan never joins owners with items."""
+    import random
+
+    rng = random.Random(5)
+    owners = [(o, f"k{rng.randrange(6)}") for o in range(40) for _ in range(3)] + [(99, None), (98, "nowhere")]
+    members = [(f"k{rng.randrange(6)}", rng.randrange(300)) for _ in range(900)] + [(None, 1), ("k1", None)]
+    df = graph.distinct_items(spark.createDataFrame(owners, "owner long, key string"), spark.createDataFrame(members, "key string, item long"))
+    own = {o: {k for p, k in owners if p == o and k} for o, _ in owners}
+    want = {o: len({i for k, i in members if k in ks and i is not None}) for o, ks in own.items()}
+    assert {r.owner: r.n for r in df.collect()} == {o: n for o, n in want.items() if n}
+    assert "item" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_subgraph_reads_the_edges_once(spark):
+    """Edges are made once and not once a hop and direction (before: four times)."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "d")], "head string, relation string, tail string").mapInPandas(counted, "head string, relation string, tail string")
+    got = graph.subgraph(spark.createDataFrame([("a",)], "name string"), edges, 2).collect()
+    assert {(r.edge.replace("\t", ""), r.hops) for r in got} == {("aRb", 1), ("bRc", 2)} and seen.value == 3
