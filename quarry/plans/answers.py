@@ -11,7 +11,7 @@ from ..operators import maintain, search
 from .fixtures import NOW, view
 from .registry import n_rows, query
 from ..sources.tables import stored
-from .retrieval import best_chunks, bm25_sql
+from .retrieval import best_chunks, bm25_sql, judged, relevant
 
 
 @query("b6_row_predicate", "select chunk_id from chunks where length(content) % 7 = 3 and page = 2")
@@ -335,8 +335,9 @@ def answer_evaluation(spark, sf_dir):
 
 @query("m19_offline_evaluation", "select query_type, count(*) n, round(avg(rel), 6) hit_rate from (select q.query_id, any_value(q.query_type) query_type, max(case when h.vec_id is null then 0.0 else 1 end) rel from qrels q left join (select query_id, vec_id from hits where rank <= 5) h on h.query_id = q.query_id and h.vec_id = q.relevant_id group by q.query_id) group by query_type")
 def offline_evaluation(spark, sf_dir):
-    h = view(spark, sf_dir, "hits").where("rank <= 5").select("query_id", F.col("vec_id").alias("relevant_id"), F.lit(1.0).alias("rel"))
-    q = view(spark, sf_dir, "qrels").join(h, ["query_id", "relevant_id"], "left").groupBy("query_id").agg(F.first("query_type").alias("query_type"), F.max(F.coalesce("rel", F.lit(0.0))).alias("rel"))
+    queries, labels, n = judged(spark, sf_dir)
+    h = relevant(view(spark, sf_dir, "hits").where("rank <= 5").select("query_id", "vec_id"), queries, labels).groupBy("query_id").agg(F.max("rel").alias("rel"))
+    q = n.join(h, "query_id", "left").fillna(0, ["rel"])
     return q.groupBy("query_type").agg(n_rows().alias("n"), F.round(F.avg("rel"), 6).alias("hit_rate"))
 
 
