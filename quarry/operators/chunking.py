@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,15 +99,34 @@ def paragraph_packs(s: Column, most: int = 2000) -> Column:
     return F.when(F.length(s) > most, folded).otherwise(F.filter(F.array(s), lambda c: trim(c) != ""))
 
 
+#: Characters of the rows that a task holds before it passes them on.
+HELD = 2_000_000
+
+
+def packed(rows: Iterable[tuple], fields: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Rows with a text at their end as Arrow batches of about ``HELD`` characters, however many rows came in together."""
+    schema = pa.schema(fields)
+    held: list[tuple] = []
+    size = 0
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+    for row in rows:
+        held.append(row)
+        size += len(row[-1]) + 64
+        if size > HELD:
+            yield batch()
+            held, size = [], 0
+    if held:
+        yield batch()
+
+
 def chunk_table(docs: DataFrame, how=split, **options) -> DataFrame:
-    """``doc_id, chunk_index, content`` of every text, in Arrow batches; a task holds one batch at a time."""
+    """``doc_id, chunk_index, content`` of every text; a task turns one text at a time into Python objects."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(d, i, c) for d, t in zip(b["doc_id"], b["text"], strict=True) for i, c in enumerate(how(t or "", **options))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "content"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = ((d.as_py(), i, c) for b in batches for d, t in zip(b.column(0), b.column(1), strict=True) for i, c in enumerate(how(t.as_py() or "", **options)))
+        return packed(rows, [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string())])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, chunk_index int, content string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, chunk_index int, content string")
 
 
 def merged_text(s: str, least: int = 200, most: int = 1200) -> list[str]:
@@ -163,17 +183,21 @@ def heading_merge(items: DataFrame, **how) -> DataFrame:
 
 
 def heading_merge_in_row(docs: DataFrame, **how) -> DataFrame:
-    """The same for ``doc_id, items`` with the items ``chunk_type, text_level, content`` of a document in one row: nothing is shuffled."""
+    """The same for ``doc_id, items`` with the items ``chunk_type, text_level, content`` of a document in one row: nothing is shuffled.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for d, items in zip(b["doc_id"], b["items"], strict=True):
-                merged = merge_headings(((x["chunk_type"], x["text_level"], x["content"]) for x in items), **how)
-                rows += [(d, i, *row) for i, row in enumerate(merged)]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "chunk_type", "content"])
+    A task turns the items of one document at a time into Python objects.
+    """
 
-    return docs.select("doc_id", "items").mapInPandas(run, _MERGED)
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for d, items in zip(b.column("doc_id"), b.column("items"), strict=True):
+                own = items.values
+                columns = (own.field(c).to_pylist() for c in ("chunk_type", "text_level", "content")) if own is not None else ([], [], [])
+                for i, row in enumerate(merge_headings(zip(*columns, strict=True), **how)):
+                    yield d.as_py(), i, *row
+
+    fields = [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("chunk_type", pa.string()), ("content", pa.string())]
+    return docs.select("doc_id", "items").mapInArrow(lambda batches: packed(merged(batches), fields), _MERGED)
 
 
 def section_paths(items: DataFrame) -> DataFrame:

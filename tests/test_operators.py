@@ -186,3 +186,13 @@ def test_subgraph_reads_the_edges_once(spark):
     edges = spark.createDataFrame([("a", "R", "b"), ("b", "R", "c"), ("c", "R", "d")], "head string, relation string, tail string").mapInPandas(counted, "head string, relation string, tail string")
     got = graph.subgraph(spark.createDataFrame([("a",)], "name string"), edges, 2).collect()
     assert {(r.edge.replace("\t", ""), r.hops) for r in got} == {("aRb", 1), ("bRc", 2)} and seen.value == 3
+
+
+def test_chunks_leave_a_task_in_bounded_batches(monkeypatch):
+    """Rows go out by characters, whatever the size of what came in (before: a whole batch of documents at once)."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(chunking, "HELD", 1000)
+    rows = [(i, 0, "x" * 100) for i in range(500)]
+    batches = list(chunking.packed(iter(rows), [("doc_id", pa.int64()), ("chunk_index", pa.int32()), ("content", pa.string())]))
+    assert [tuple(r.values()) for b in batches for r in b.to_pylist()] == rows and max(b.num_rows for b in batches) < 10
