@@ -250,7 +250,8 @@ def pack(pieces: DataFrame, capacity: int = 4096, groups: int = GROUPS, few: int
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset", "_row")  # the first two are given anew
-    stored = common.cut(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
+    with common.small_batches(spark):  # the pieces come from whole texts
+        stored = common.cut(pieces.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     counted = {int(r["length"]): int(r["count"]) for r in stored.where("length > 0").groupBy("length").count().collect()}  # at most `capacity` rows
     if max(counted, default=0) > capacity:
         raise ValueError(f"a piece of {max(counted)} tokens exceeds the capacity {capacity}")

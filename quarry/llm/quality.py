@@ -49,7 +49,7 @@ _SAME = np.array([BUCKETS - 1], "<i4").tobytes()
 
 def tokens(texts: pa.Array) -> Iterator[np.ndarray]:
     """The tokens of each text."""
-    for codes in word_codes(texts, lambda words: list(map(word_tokens, words)), _SAME):
+    for codes in word_codes(texts, lambda words: list(map(word_tokens, words.to_pylist())), _SAME):
         yield np.frombuffer(codes, "<i4")
 
 

@@ -142,7 +142,8 @@ def write(docs: DataFrame, path: str, vocabulary: str, shards: int | None = None
         if names:
             yield out()
 
-    dealt.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
+    with common.small_batches(spark):
+        dealt.mapInArrow(blocks, SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _bases(rows: DataFrame) -> dict[int, int]:

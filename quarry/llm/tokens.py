@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Entries of each of the two generations of a worker's memos, about 150 bytes each.
 MEMO_WORDS = 100_000
 #: Bytes of texts whose words are coded together.
@@ -71,7 +73,7 @@ class Memo:
         return self.now
 
 
-def word_codes(column: pa.Array, code: Callable[[list[str]], list[bytes]], same: bytes = b"") -> Iterator[bytes]:
+def word_codes(column: pa.Array, code: Callable[[pa.Array], list[bytes]], same: bytes = b"") -> Iterator[bytes]:
     """The codes of each text's words (parts between ASCII white space) one after the other, ``same`` after a word that equals the one before.
 
     Words of about ``TOGETHER`` bytes of texts are split and numbered by Arrow, so ``code`` sees each distinct one once.
@@ -83,7 +85,7 @@ def word_codes(column: pa.Array, code: Callable[[list[str]], list[bytes]], same:
         stop = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + TOGETHER, side="right")))
         split = pc.ascii_split_whitespace(column.slice(at, stop - at))
         numbered = split.flatten().dictionary_encode()
-        codes = code(numbered.dictionary.to_pylist())
+        codes = code(numbered.dictionary)
         words, order = numbered.dictionary, numbered.indices.to_numpy()
         first = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))]).astype(np.int64)
         if same and len(order):
@@ -116,28 +118,38 @@ class WordEncoder:
         self._parts = Memo(self._code_parts)
         rules = json.loads(self._tokenizer.to_str())
         self.by_words = rules["normalizer"] == NORMALIZER and rules["pre_tokenizer"] == SPLITTER and rules["post_processor"] is None
+        del rules
+        common.released()
 
     def _ids(self, text: str) -> bytes:
         return array("I", self._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _code_parts(self, parts: list[str]) -> Iterator[bytes]:
         model, letters = self._model.tokenize, self._letters
-        for part in parts:
-            known = part if part.isascii() else "".join([letters[b] for b in part.encode()])
-            yield _STOP if part == "\n" else array("I", [t.id for t in model(known)]).tobytes()
-
-    def _code_words(self, words: list[str]) -> list[bytes]:
-        """Plain words are coded together: the ids of their parts in a row, cut at the code of the line ends between them."""
-        if not words:
-            return []
-        text = "\n".join(words)
-        if not _ONLY_PLAIN.fullmatch(text) or "<|" in text:
-            plain = [w for w in words if _ONLY_PLAIN.fullmatch(w) and "<|" not in w]
-            found = dict(zip(plain, self._code_words(plain), strict=True))
-            return [found[w] if w in found else self._ids(w) for w in words]
+        for some in itertools.batched(parts, 4096):  # so few of the model's token objects live at once
+            coded = [() if part == "\n" else model(part if part.isascii() else "".join([letters[b] for b in part.encode()])) for part in some]
+            data, at = array("I", [t.id for own in coded for t in own]).tobytes(), 0
+            for part, own in zip(some, coded, strict=True):
+                yield _STOP if part == "\n" else data[at : at + 4 * len(own)]
+                at += 4 * len(own)
+
+    def _code_plain(self, text: str) -> list[bytes]:
+        """Codes of plain words, one a line: the ids of their parts in a row, cut at the code of the line ends between them."""
         parts = _PLAIN.findall(text.lower())
         return b"".join(map(self._parts.all_of(set(parts)).__getitem__, parts)).split(_STOP)
 
+    def _code_words(self, words: pa.Array) -> list[bytes]:
+        """Plain words are coded together, as one text that Arrow joins."""
+        if not len(words):
+            return []
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "\n")[0].as_py()
+        if _ONLY_PLAIN.fullmatch(text) and "<|" not in text and "\n\n" not in text and text[0] != "\n" and text[-1] != "\n":
+            return self._code_plain(text)
+        listed = words.to_pylist()
+        plain = [w for w in listed if _ONLY_PLAIN.fullmatch(w) and "<|" not in w]
+        found = dict(zip(plain, self._code_plain("\n".join(plain)), strict=True)) if plain else {}
+        return [found[w] if w in found else self._ids(w) for w in listed]
+
     def encode(self, texts: list[str] | pa.Array) -> Iterator[bytes]:
         """Ids of each text, nulls as empty ones."""
         column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
@@ -167,6 +179,7 @@ def token_ids(batches: Iterable[pa.RecordBatch], path: str, end_id: int | None)
     for batch in batches:
         for doc_id, coded in zip(batch.column("doc_id").to_pylist(), enc.encode(batch.column("text")), strict=True):
             yield doc_id, coded + end
+        common.released()
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = 4096, end_id: int | None = 1) -> DataFrame:

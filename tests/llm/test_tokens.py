@@ -204,3 +204,33 @@ def test_files_hold_every_document_in_order(spark, docs, empty, tokenizer):
     none = token_files.new_path(spark)
     token_files.write(empty, none, queries.vocabulary(), shards=2)
     assert token_files.read(spark, none).count() == 0
+
+
+def test_texts_reach_python_in_small_batches(spark):
+    """Whole texts come in bounded batches (before, 10,000 rows at once), and the session's own setting is back afterwards."""
+    from quarry.llm import common
+
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.range(0, 9000, 1, 1).selectExpr("id doc_id", "concat('text ', id) text")
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([0] * batch.num_rows), pa.array([batch.num_rows] * batch.num_rows), pa.array([1] * batch.num_rows)], names=["doc_id", "piece", "length"])
+
+    packed = packing.pack(docs.mapInArrow(sizes, "doc_id long, piece long, length long"))
+    assert packed.agg({"piece": "max"}).first()[0] <= common.TEXT_ROWS and packed.count() == 9000
+    assert spark.conf.get(name) == before
+
+
+def test_words_are_coded_from_arrow(spark):
+    """Plain and other words, an empty one and repeated ones: each the ids that the library gives."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    own, library = tokens.WordEncoder(queries.vocabulary()), Tokenizer.from_file(queries.vocabulary())
+    want = lambda w: array.array("I", library.encode(w, add_special_tokens=False).ids).tobytes()
+    for words in (["plain", "Words,", "x1y22", "caf\u00e9"], ["plain", "", "it's", "\u4f60\u597d"], [""], []):
+        assert own._code_words(pa.array(words, pa.string())) == [want(w) for w in words]
