@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarry.operators import chunking, maintain, search
+from quarry.plans import retrieval
 from quarry.plans.fixtures import view
 from quarry.sources import files
 from quarry.streaming import streams
@@ -156,3 +157,14 @@ def test_continuous_sync_equals_the_batch_sync(spark, tmp_path):
             final[i] = h
     current = spark.createDataFrame(list(final.items()), "document_id long, content_hash string")
     assert got == final == {r.document_id: r.content_hash for r in maintain.synced(stored, current).collect()}
+
+
+def test_chunks_stay_where_they_are_in_the_vector_channel(spark, sf):
+    """The nearest vectors come to the chunks: with no table small enough by its size, chunks are still not shuffled for the join."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = retrieval.vector_channel(spark, sf)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert df.groupBy("query_id").count().where("count = 20").count() == 40
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
