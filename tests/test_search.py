@@ -168,3 +168,13 @@ def test_chunks_stay_where_they_are_in_the_vector_channel(spark, sf):
         assert df.groupBy("query_id").count().where("count = 20").count() == 40
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_contents_stay_where_they_are_in_the_hybrid_search(spark, sf):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = retrieval.hybrid_candidates(spark, sf)
+        assert "SortMergeJoin" not in df._jdf.queryExecution().executedPlan().toString()
+        assert {"document_id", "chunk_index", "content"} <= set(df.columns)  # the diversity step takes vectors by these, not from all chunks
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
